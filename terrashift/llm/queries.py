@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import url_filter, warc
-from terrashift.llm.common import load, workspace
+from terrashift.llm import quality, secrets, url_filter, warc
+from terrashift.llm.common import load, materialize, workspace
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +16,75 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_index(spark, path)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = materialize(quality.ledger(load(spark, sf_dir, "documents")), "quality-ledger")
+    return quality.apply_policy(scored, quality.PRODUCTION).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.failed(quality.BASE).alias("base_failed"), "kept", "fail_bits",
+    )
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ledger = load(spark, sf_dir, "documents"), workspace(spark, "secrets")
+    secrets.scan(docs, ledger)
+    return secrets.digest_columns(secrets.report(docs, ledger))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": op2_warc_archive,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op9_url_filters": op9_url_filters,
 }
 
+
+def _either_case(word: str) -> str:
+    """Letters of either case without a flag: case folding of some engines reaches beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _for_sql(rule: secrets.Rule) -> str:
+    words = "password|passwd|secret|token|api_?key"
+    return rule.pattern.replace(f"(?i:{words})", f"(?:{_either_case(words)})").replace("'", "''")
+
+
+def _matches_sql(i: int, rule: secrets.Rule) -> str:
+    p = _for_sql(rule)
+    return f"""
+        SELECT doc_id, '{rule.name}' AS kind, {i} AS rank, k, glen, mlen, vlen FROM (
+          SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS glen,
+                 unnest(list_transform(m, lambda x: length(x))) AS mlen, unnest(list_transform(v, lambda x: length(x))) AS vlen
+          FROM (SELECT doc_id, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}', 0) AS m,
+                       regexp_extract_all(text, '{p}', {rule.group}) AS v FROM d WHERE regexp_matches(text, '{p}')))"""
+
+
+def _spans_sql(only: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE {only}), '')"
+
+
+_MEASURES_SQL = r"""
+    d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    t AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+    r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+            SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1)
+          GROUP BY doc_id),
+    m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                 len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                 len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+          FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+    b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+                   + CASE WHEN 10 * n_symbols > 2 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+                   + CASE WHEN word_chars > 15 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END
+                   + CASE WHEN 100 * n_upper_words > 60 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)"""
+
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLES: dict[str, str] = {
@@ -53,4 +113,15 @@ ORACLES: dict[str, str] = {
                  row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rhost || r.rpath) DESC, length(r.rhost) DESC) AS k
           FROM p LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
         SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM f WHERE k = 1""",
+    "op4_quality_rules": f"""WITH {_MEASURES_SQL}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
+    "op6_secret_scans": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({" UNION ALL ".join(_matches_sql(i, r) for i, r in enumerate(secrets.RULES))}),
+        p AS (SELECT *, sum(glen + mlen) OVER (PARTITION BY doc_id, kind ORDER BY k)::BIGINT AS e FROM m),
+        f AS (SELECT doc_id, kind, rank, e - mlen AS s, e FROM p WHERE kind <> 'assign' OR vlen >= 6)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+               count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_spans_sql("rank < 3")}) AS base_sha256, {_spans_sql("rank >= 0")} AS spans
+        FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""",
 }
