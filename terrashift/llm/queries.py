@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import quality, secrets, url_filter, warc
+from terrashift.llm import byte_bpe, packing, quality, secrets, tokens, url_filter, warc
 from terrashift.llm.common import load, materialize, workspace
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "warc")
     warc.write_archive(load(spark, sf_dir, "pages"), path)
     return warc.archive_index(spark, path)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(quality.ledger(load(spark, sf_dir, "documents")), "quality-ledger")
     return quality.apply_policy(scored, quality.PRODUCTION).select(
@@ -30,14 +41,22 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.report(docs, ledger))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=1024, end_id=0)
+    return packing.digest_columns(pieces)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_warc_archive": op2_warc_archive,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_secret_scans": op6_secret_scans,
+    "op7_packing": op7_packing,
     "op9_url_filters": op9_url_filters,
 }
 
