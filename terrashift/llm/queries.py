@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import byte_bpe, packing, quality, secrets, tokens, url_filter, warc
+from terrashift.llm import byte_bpe, packing, quality, secrets, tokens, url_filter, warc, webp
 from terrashift.llm.common import load, materialize, workspace
 
 
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest_columns(pieces)
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(materialize(webp.store(load(spark, sf_dir, "documents")), "media"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_secret_scans": op6_secret_scans,
     "op7_packing": op7_packing,
+    "op8_media_columns": op8_media_columns,
     "op9_url_filters": op9_url_filters,
 }
 
