@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import byte_bpe, packing, quality, secrets, tokens, url_filter, warc, webp
+from terrashift.llm import byte_bpe, minhash, packing, quality, secrets, tokens, url_filter, warc, webp
 from terrashift.llm.common import load, materialize, workspace
 
 
@@ -54,6 +54,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, threshold=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_archive": op2_warc_archive,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_media_columns": op8_media_columns,
     "op9_url_filters": op9_url_filters,
+    "op10_minhash": op10_minhash,
 }
 
 
@@ -148,4 +153,21 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
                count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_spans_sql("rank < 3")}) AS base_sha256, {_spans_sql("rank >= 0")} AS spans
         FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""",
+    "op10_minhash": """
+        WITH RECURSIVE w AS (
+          SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, g FROM (
+                SELECT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+                FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0))),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS MATERIALIZED (
+              SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id
+                                    GROUP BY p.doc_id, q.doc_id) x
+              JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * x.both >= 85 * (na.n + nb.n - x.both)),
+        r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+        c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+               coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+        FROM documents w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id""",
 }
