@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import byte_bpe, minhash, packing, quality, secrets, tokens, url_filter, warc, webp
+from terrashift.llm import byte_bpe, minhash, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp
 from terrashift.llm.common import load, materialize, workspace
 
 
@@ -35,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_columns(suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), length=200))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = load(spark, sf_dir, "documents"), workspace(spark, "secrets")
     secrets.scan(docs, ledger)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": op2_warc_archive,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_packing": op7_packing,
     "op8_media_columns": op8_media_columns,
