@@ -539,6 +539,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_RESULT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,8 +548,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     spans, parts, bucket = np.zeros(0, _SPAN), [], None
     for batch in batches:
-        rows = []
-        for b, kind, rid, doc_id, data in zip(*(batch.column(n).to_pylist() for n in _NAMES), strict=True):
+        rows, at_row = [], []
+        for i, (b, kind, rid, doc_id, data) in enumerate(zip(*(batch.column(n).to_pylist() for n in _NAMES), strict=True)):
             if b != bucket:
                 bucket, spans, parts = b, np.zeros(0, _SPAN), []
             if kind == _SPANS:
@@ -563,10 +564,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in gone:
                 pieces.append(text[at:start])
                 at = end
+            at_row.append(i)
             rows.append((doc_id, len(text), sum(e - s for s, e in gone), len(gone), b"".join([*pieces, text[at:]])))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").take(pa.array(at_row))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,35 +577,62 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         packed = [press(t.as_buffer().to_pybytes()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(packed, pa.binary())], names=["rid", "doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("rest")], names=["rid", "doc_id", "packed", "rest"])
 
 
-def remove_repeats(
-    docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int = MAX_GROUP, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; ``kept``: the bytes that are left.
-
-    ``gram`` is a power of two below ``length``.
-    """
+def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, rest) of each row; ``rest`` holds all columns but the text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"),
+        F.struct(*others).alias("rest"),
+    )
+    rest = f"rest {rows.schema['rest'].dataType.simpleString()}"
     # written once, so that row ids stay what they are when a task is run again
-    packed = materialize(rows.mapInArrow(_pack, "rid long, doc_id long, packed binary"), "repeats-texts")
+    packed = materialize(rows.mapInArrow(_pack, f"rid long, doc_id long, packed binary, {rest}"), "repeats-texts")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "rid")
 
-    texts = packed.mapInArrow(lambda b: _text_rows(b, buckets), _ROW)
+    texts = packed.mapInArrow(lambda b: _text_rows(b, buckets), f"{_ROW}, {rest}")
     anchors = packed.select("rid", "packed").mapInArrow(lambda b: _anchor_rows(b, length, gram, buckets), _ROW)
     # spans ride along with what else a step sends, so each step runs once
     settled = materialize(dealt(anchors).mapInArrow(lambda b: _settle(b, length, gram, buckets, max_group), _ROW), "repeats-settled")
-    asked = dealt(settled.filter(F.col("kind") == _ASKS).union(texts))
+    asked = dealt(settled.filter(F.col("kind") == _ASKS).union(texts.drop("rest")))
     contexts = asked.mapInArrow(lambda b: _answer(b, length, gram, buckets), _ROW)
     sorted_ = dealt(contexts).mapInArrow(lambda b: _sort_contexts(b, length, gram, buckets), _ROW)
-    spans = settled.filter(F.col("kind") == _SPANS).union(sorted_)
-    return dealt(spans.union(texts)).mapInArrow(_cut, _RESULT)
+    spans = settled.filter(F.col("kind") == _SPANS).union(sorted_).withColumn("rest", F.lit(None).cast(rows.schema["rest"].dataType))
+    return dealt(spans.union(texts)).mapInArrow(_cut, f"{_RESULT}, {rest}")
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int = MAX_GROUP, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; ``kept``: the bytes that are left.
+
+    ``gram`` is a power of two below ``length``.
+    """
+    return _removed(docs, length, gram, max_group, doc_id, text).drop("rest")
+
+
+def cleaned(docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int = MAX_GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with what is left of each text, ``n_chars`` renewed if there is one.
+
+    A cut may part the bytes of a character; its remains are dropped. A null text becomes empty.
+    """
+    rows = _removed(docs, length, gram, max_group, doc_id, text)
+    whole = rows.mapInArrow(_as_text, f"new_text string, rest {rows.schema['rest'].dataType.simpleString()}")
+    fresh = {text: F.col("new_text"), "n_chars": F.length("new_text")}
+    return whole.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [k.as_buffer().to_pybytes().decode("utf-8", "ignore") for k in batch.column("kept")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], names=["new_text", "rest"])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -611,7 +640,8 @@ def _text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         rid = batch.column("rid").to_numpy()
         bucket = ((rid.astype(np.uint64) * _C1) >> np.uint64(40)).astype(np.int64) % buckets
         kind = np.full(len(rid), _TEXT, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(kind), batch.column("rid"), batch.column("doc_id"), batch.column("packed")], names=_NAMES)
+        columns = [pa.array(bucket.astype(np.int32)), pa.array(kind), batch.column("rid"), batch.column("doc_id"), batch.column("packed"), batch.column("rest")]
+        yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "rest"])
 
 
 def digest_columns(cleaned: DataFrame) -> DataFrame:
