@@ -44,7 +44,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 ids: the pieces with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=1024, end_id=0)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
