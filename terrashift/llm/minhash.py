@@ -6,10 +6,12 @@ the first non-empty bin in its own fixed random order. Bands of bins are the buc
 equal sets are one class and are represented by one node, so copies make no pairs.
 
 Candidates are stars: each bucket links its members to one hub, so a bucket of m members makes m - 1
-pairs. Links are confirmed on the full sets of both texts and joined to components. A bucket whose
-members then lie in several components gets another hub, until what is left is small; at last every
-member outside its bucket's largest component is compared with all members of other components. So
-every pair that shares a bucket is either confirmed or in one component anyway, and no cap applies.
+pairs. Links are confirmed on the full sets of both texts and joined to components. Buckets whose
+members then lie in several components get a second, random hub. The buckets that are still mixed
+form families by common members. In each family all members outside its largest component are a
+query set: they are compared with all members of other components, in blocks of bounded size that
+count common shingles through an index and give out links alone. So every pair that shares a bucket
+is either confirmed or in one component anyway; no cap applies and no pairs are listed.
 
 With 32 bands of 6 bins a pair at the threshold 0.85 shares no bucket with a probability of about
 3e-7, a pair at 0.9 of about 1e-10. Shingles are told apart by 64-bit hashes.
@@ -34,8 +36,8 @@ from terrashift.llm.common import materialize, text_or_empty
 from terrashift.llm.components import connected_components
 
 BANDS, ROWS = 32, 6
-#: Star rounds before the rest is compared outright; they end sooner once the rest is small.
-MAX_STAR_ROUNDS = 6
+#: Hubs that a bucket gets one after another, and shingles of a block of the comparison that follows.
+TURNS, BLOCK_SHINGLES = 2, 1_500_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -115,23 +117,6 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "packed"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], words: int, numerator: int) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    hub, hub_set = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        linked = []
-        for h, m in zip(batch.column("hub_packed").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            if h != hub:  # rows come sorted by hub
-                hub, hub_set = h, shingle_set(unpack(h), words)
-            own = shingle_set(unpack(m), words)
-            at = np.searchsorted(hub_set, own)
-            both = int((hub_set[np.minimum(at, len(hub_set) - 1)] == own).sum()) if len(hub_set) else 0
-            linked.append(both > 0 and 100 * both >= numerator * (len(own) + len(hub_set) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands) of each row; set_hash is null for an empty set."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
@@ -141,9 +126,11 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS,
 def _buckets(classes: DataFrame) -> DataFrame:
     """(key, node) of all buckets of two nodes or more; of buckets with the same members one stays."""
     rows = classes.select("node", F.explode("bands").alias("key"))
-    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("sig"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig2")).filter("n > 1")
-    distinct = stats.groupBy("n", "sig", "sig2").agg(F.min("key").alias("key")).select("key")
-    return rows.join(distinct, "key").select("key", "node").distinct()
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = rows.join(shared.select("key"), "key").distinct()
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), *hashes).filter("n > 1")
+    return members.join(alike.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -159,20 +146,86 @@ def _star_pairs(open_members: DataFrame, turn: int) -> DataFrame:
     return open_members.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _rest(open_members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members outside their bucket's largest component, and (key, size, rest) of each bucket."""
-    sizes = open_members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
-    most = most.select("key", F.col("top.component").alias("largest"), "size", (F.col("size") - F.col("top.n")).alias("rest"))
-    return open_members.join(most.select("key", "largest"), "key").filter("component <> largest").select("key", "node", "component"), most
-
+def _families(open_members: DataFrame) -> DataFrame:
+    """(node, family) by buckets with common members."""
+    hubs = open_members.groupBy("key").agg(F.min("node").alias("a"))
+    edges = open_members.join(hubs, "key").select("a", F.col("node").alias("b")).distinct()
+    return connected_components(edges).select("node", F.col("component").alias("family"))
+
+
+def _blocks(open_members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(family, query_block, member_block, is_member, node, component): who meets whom."""
+    members = open_members.select("node", "component").distinct().join(_families(open_members), "node").join(sizes, "node")
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("shingles").alias("shingles"))
+    count = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    whole = whole.filter("shingles > top.shingles").select(
+        "family", F.col("top.component").alias("largest"),
+        count(F.col("shingles") - F.col("top.shingles")).alias("query_blocks"), count(F.col("shingles")).alias("member_blocks"),
+    )
+    rows = members.join(whole, "family")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_members = rows.select("family", every("query_blocks").alias("query_block"), own("member_blocks").alias("member_block"), F.lit(1).alias("is_member"), "node", "component")
+    outside = rows.filter("component <> largest")
+    as_queries = outside.select("family", own("query_blocks").alias("query_block"), every("member_blocks").alias("member_block"), F.lit(0).alias("is_member"), "node", "component")
+    return as_members.unionByName(as_queries)
+
+
+def _star_blocks(pairs: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """As ``_blocks``: each hub ``a`` is the one query that meets its members ``b``."""
+    members = pairs.select(F.col("a").alias("family"), F.col("b").alias("node")).join(sizes, "node")
+    parts = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("member_blocks"))
+    rows = members.join(parts, "family")
+    kind = lambda n: [F.lit(n).alias("is_member"), "node", F.col("node").alias("component")]
+    as_members = rows.select("family", F.lit(0).alias("query_block"), F.pmod(F.xxhash64("node"), F.col("member_blocks")).cast("int").alias("member_block"), *kind(1))
+    hubs = parts.select("family", F.lit(0).alias("query_block"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("member_block"), F.col("family").alias("node"))
+    return as_members.unionByName(hubs.select("family", "query_block", "member_block", *kind(0)))
+
+
+def _meet(rows: list[tuple], words: int, numerator: int) -> tuple[list[int], list[int]]:
+    """Links between the queries and the members of one block that are of different components."""
+    import zstandard
 
-def _rest_pairs(open_members: DataFrame, outside: DataFrame) -> DataFrame:
-    """(a, b): each member outside the largest component with all members of other components."""
-    left = outside.select("key", F.col("node").alias("a"), F.col("component").alias("a_component"))
-    right = open_members.select("key", F.col("node").alias("b"), "component")
-    pairs = left.join(right, "key").filter("a_component <> component")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    unpack = zstandard.ZstdDecompressor().decompress
+    queries, members = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    if not queries or not members:
+        return [], []
+    sets = [shingle_set(unpack(r[3]), words) for r in members]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    index, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    nodes, components = np.array([r[1] for r in members], np.int64), np.array([r[2] for r in members], np.int64)
+    marked = np.zeros(len(index), bool)
+    a, b = [], []
+    for _, node, component, packed in queries:
+        own = shingle_set(unpack(packed), words)
+        at = np.minimum(np.searchsorted(index, own), len(index) - 1)
+        at = at[index[at] == own]
+        marked[at] = True
+        both = np.add.reduceat(marked[ids].astype(np.int64), starts)
+        marked[at] = False
+        linked = (100 * both >= numerator * (len(own) + sizes - both)) & (components != component)
+        found = nodes[linked].tolist()
+        a += [node] * len(found)
+        b += found
+    return a, b
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], words: int, numerator: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block."""
+    block, rows = None, []
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _meet(rows, words, numerator)], names=["a", "b"])
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("family", "query_block", "member_block", "is_member", "node", "component", "packed"))
+        for family, q, m, *row in zip(*columns, strict=True):
+            if block != (family, q, m):
+                if rows:
+                    yield out()
+                block, rows = (family, q, m), []
+            rows.append(tuple(row))
+    if rows:
+        yield out()
 
 
 def near_duplicates(
@@ -185,18 +238,18 @@ def near_duplicates(
     """
     sketched = materialize(sketches(docs, words, bands, rows, doc_id, text), "minhash-sketches")
     with_sets = sketched.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(with_sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = materialize(with_sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")
     members = materialize(_buckets(classes), "minhash-buckets")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     packed = plain.mapInArrow(_compress, "node long, packed binary")
-    # the texts of all nodes that share a bucket, for every turn
-    texts = materialize(packed.join(members.select("node").distinct(), "node", "left_semi"), "minhash-texts")
+    # the texts of all nodes that share a bucket, for every turn; that list has no bound, so it isn't broadcast
+    texts = materialize(packed.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "minhash-texts")
+    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(texts.withColumnRenamed("node", "b"), "b")
-        whole = right.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("hub_packed")), "a").select("a", "b", "hub_packed", "packed")
-        checked = whole.mapInArrow(lambda b: _confirm(b, words, threshold), "a long, b long, linked boolean")
-        return materialize(checked.filter("linked").select("a", "b"), "minhash-links")
+    def confirmed(blocks: DataFrame) -> DataFrame:
+        order = ["family", "query_block", "member_block"]
+        met = blocks.join(texts, "node").repartition(*order).sortWithinPartitions(*order, "is_member")
+        return materialize(met.mapInArrow(lambda b: _meetings(b, words, threshold), "a long, b long"), "minhash-links")
 
     labels: DataFrame | None = None
 
@@ -212,17 +265,13 @@ def near_duplicates(
         return materialize(moved.union(fresh.join(known.select("node"), "node", "left_anti")), "minhash-labels")
 
     open_members = members.withColumn("component", F.col("node"))
-    for turn in range(MAX_STAR_ROUNDS):
-        labels = joined(confirmed(_star_pairs(open_members, turn)))
+    for turn in range(TURNS):
+        labels = joined(confirmed(_star_blocks(_star_pairs(open_members, turn), sizes, BLOCK_SHINGLES)))
         marked = _labelled(open_members.select("key", "node"), labels)
         mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         open_members = materialize(marked.join(mixed, "key", "left_semi"), "minhash-open")
-        outside, most = _rest(open_members)
-        load = most.agg(F.sum(F.col("size") * F.col("rest")), F.sum("size")).first()
-        if not load[0] or load[0] <= 4 * load[1]:
-            break
-    if load[0]:
-        labels = joined(confirmed(_rest_pairs(open_members, outside)))
+    if not open_members.isEmpty():
+        labels = joined(confirmed(_blocks(open_members, sizes, BLOCK_SHINGLES)))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     # rows with a null id are not part of any class
