@@ -13,19 +13,19 @@ whole: a long match is a row of a wide matrix with few rows.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrashift.llm.common import text_or_empty
 
 #: Bounds of what a worker remembers, and of the cells of one matrix.
-MAX_KNOWN, MAX_KNOWN_BYTES, MAX_CELLS = 400_000, 64, 1 << 20
+MAX_KNOWN, MAX_KNOWN_BYTES, MAX_CELLS = 300_000, 64, 1 << 20
 
 _NONE = np.int32(2**31 - 1)
 
@@ -229,28 +229,27 @@ def codec(rank_file: str, pattern: str) -> ByteBpe:
     return ByteBpe(rank_file, pattern)
 
 
-#: Characters of text encoded together: bounds a worker's memory.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text encoded together: bounds a worker's memory.
+CHUNK_BYTES = 2_000_000
 
 
-def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``chars`` characters, one text at least."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list]]:
+    """Ranges of a text or binary column of about ``most`` bytes, one value at least, and their values."""
     start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > chars:
-            yield start, i
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if total and total + n > most:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        total += n
+    if start < len(column):
+        yield start, len(column), column.slice(start).to_pylist()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(rank_file, pattern)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in chunks(texts):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(bpe.encode_batch(texts[i:j]), pa.binary())], names=["doc_id", "ids"])
+        for i, j, texts in chunks(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(bpe.encode_batch(texts), pa.binary())], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -274,7 +273,3 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

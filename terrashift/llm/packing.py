@@ -13,8 +13,10 @@ pieces as needed.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,89 +30,68 @@ from pyspark.sql.window import Window
 from terrashift.llm.byte_bpe import chunks
 from terrashift.llm.common import materialize, text_or_empty
 
-#: Bounds of what a worker remembers, and of the offsets that are broadcast (one for each task of pass one).
-MAX_KNOWN, MAX_KNOWN_CHARS, MAX_BROADCAST_ROWS = 250_000, 64, 200_000
+#: Bound of the offsets that are broadcast, one row for each task of pass one.
+MAX_BROADCAST_ROWS = 200_000
+#: Bytes of text encoded together.
+CHUNK_BYTES = 2_000_000
+
+
+def byte_letters() -> dict[str, int]:
+    """Letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as a byte-level tokenizer file gives them, without added special tokens.
 
-    The library parts a text before every single space that has no white space on both sides, so
-    what lies between such spaces is encoded apart and the short words are remembered. Words that
-    are new are encoded many in one call, and parted again where an id starts with a space. Texts
-    with other spaces or with a special string are encoded by the library whole.
+    Where the file's merges are in the order of their ids, its vocabulary is a rank file too, and
+    texts of Latin letters, where all pattern engines agree, are encoded from those ranks: the ids
+    are the same and take a third of the time. All other texts, and those that hold a special
+    string, are encoded by the tokenizers library itself.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["  ", r" (?=\s)(?<=\s )", *special])).search
-        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        # the vocabulary writes a space as this letter
-        self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word with a space before it."""
-        plain = [w for w in words if w.strip() == w != ""]
-        out: dict[str, bytes] = {}
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(part):
-                data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                out.update({w: data[a:b] for w, a, b in zip(part, at, at[1:], strict=False)})
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._library([" " + w for w in rest]), strict=True))
-        return out
+        self.other = re.compile("|".join(["[^\\t-\\r\\x20-\\x7e\\xa0-\\u024f]", *special])).search
+        with open(tokenizer_file, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.ranked = None
+        if merged == sorted(merged):
+            letters = byte_letters()
+            ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token) and i not in self.tokenizer.get_added_tokens_decoder()}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > MAX_KNOWN:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        parted = [None if self.whole(t) else t.split(" ") for t in texts]
-        words = [p[1:] for p in parted if p]
-        ids = [list(map(known.get, w)) for w in words]
-        gaps = [[i for i, x in enumerate(v) if x is None] if None in v else () for v in ids]
-        fresh = {w[i] for w, g in zip(words, gaps, strict=True) for i in g}
-        found = {w: older[w] for w in fresh if w in older} if older else {}
-        found |= self._words([w for w in fresh if w not in found])
-        for w, v, g in zip(words, ids, gaps, strict=True):
-            for i in g:
-                v[i] = found[w[i]]
-        known.update({w: x for w, x in found.items() if len(w) <= MAX_KNOWN_CHARS})
-        heads = self._library([p[0] for p in parted if p])
-        encoded = iter([b"".join([h, *v]) for h, v in zip(heads, ids, strict=True)])
-        rest = iter(self._library([t for t, p in zip(texts, parted, strict=True) if not p]))
-        return [next(encoded) if p else next(rest) for p in parted]
+        slow = [self.ranked is None or self.other(t) is not None for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, slow, strict=True) if s], add_special_tokens=False))
+        return [array("I", next(rest).ids if s else self.ranked.encode_ordinary(t)).tobytes() for t, s in zip(texts, slow, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> Encoder:
+def encoder(tokenizer_file: str, pattern: str) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(tokenizer_file)
+    return Encoder(tokenizer_file, pattern)
 
 
 _TOKENS = "part int, local_start long, doc_id long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer_file).encode_batch
+def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer_file: str, pattern: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    encode = encoder(tokenizer_file, pattern).encode_batch
     end, part, total = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in chunks(texts):
-            ids = [x + end for x in encode(texts[i:j])]
+        for i, j, texts in chunks(batch.column("text"), CHUNK_BYTES):
+            ids = [x + end for x in encode(texts)]
             sizes = np.fromiter(map(len, ids), np.int64, j - i) // 4
             starts = total + np.cumsum(sizes) - sizes
             total += int(sizes.sum())
@@ -136,10 +117,10 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pass one, written: (part, local_start, doc_id, doc_tokens, ids), ids with the end id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return materialize(rows.mapInArrow(lambda b: _tokenize(b, tokenizer_file, end_id), _TOKENS), "packing-tokens")
+    return materialize(rows.mapInArrow(lambda b: _tokenize(b, tokenizer_file, pattern, end_id), _TOKENS), "packing-tokens")
 
 
 def cut(tokens: DataFrame, size: int = 1024) -> DataFrame:
@@ -153,8 +134,8 @@ def cut(tokens: DataFrame, size: int = 1024) -> DataFrame:
     return placed.mapInArrow(lambda b: _cut(b, size), _PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return cut(tokenize(docs, tokenizer_file, end_id, doc_id, text), size)
+def pack(docs: DataFrame, tokenizer_file: str, pattern: str, size: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return cut(tokenize(docs, tokenizer_file, pattern, end_id, doc_id, text), size)
 
 
 def boundary_records(pieces: DataFrame) -> DataFrame:
