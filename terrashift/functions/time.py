@@ -19,9 +19,10 @@ def to_decimal_year(ts: Column) -> Column:
 
 
 def from_decimal_year(value: Column) -> Column:
+    """To the millisecond: a double near 2000 holds a year's share to some microseconds only."""
     year = F.floor(value).cast("int")
     start, end = _year_start(year), _year_start(year + 1)
-    return F.timestamp_micros((start + F.round((value - year) * (end - start))).cast("long"))
+    return F.timestamp_micros((start + 1000 * F.round((value - year) * (end - start) / 1000)).cast("long"))
 
 
 def parse_date(text: Column) -> Column:

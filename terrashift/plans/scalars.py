@@ -210,8 +210,7 @@ def decimal_year(spark, d):
 @query("f118_from_decimal_year", "SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders")
 def from_decimal_year(spark, d):
     y = time.to_decimal_year(F.col("o_orderdate"))
-    # half a day more keeps the rounding of the last digits inside the day
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (time.from_decimal_year(y) + F.expr("INTERVAL 1 HOUR")).cast("date").alias("day"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), time.from_decimal_year(y).cast("date").alias("day"))
 
 
 @query("f119_steps", "SELECT o_custkey AS id, unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 14 DAY))::DATE AS t FROM orders GROUP BY o_custkey")

@@ -513,7 +513,7 @@ def pairwise(spark, d):
 @query(
     "t152_spearman",
     f"""WITH {TWO_SQL}, m AS (SELECT id % 4 AS g, v1 AS x, round(quantity, 1) AS y FROM two), k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS b FROM m)
-    SELECT g, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY g""",
+    SELECT g, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY g HAVING count(*) >= 10""",
 )
 def spearman(spark, d):
     m = two_years(spark, d).select((F.col("id") % 4).alias("g"), F.col("v1").alias("x"), F.round("quantity", 1).alias("y"))
