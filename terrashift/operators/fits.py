@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrashift.operators.joins import parameter_grid
+from terrashift.operators.picks import number_rows
 
 
 def decay_grid_fit(curves: DataFrame, by: list[str], t: str, y: str, event: float, betas: list[float], ends: list[float], search: float = 0.25, before: float = 1.0) -> DataFrame:
@@ -104,9 +104,8 @@ def resampled_ids(df: DataFrame, ident: str, draws: int, seed: int = 42) -> Data
     Every draw numbers the ids and hashes its slots to them, so draws are made where the rows are and
     come out the same for any partitioning.
     """
-    ids = df.select(ident).distinct()
-    total = ids.agg(F.count("*").alias("n"))
-    numbered = ids.withColumn("k", F.row_number().over(Window.orderBy(ident)) - 1)
+    numbered = number_rows(df.select(ident).distinct(), [F.col(ident)], "k").withColumn("k", F.col("k") - 1)
+    total = numbered.agg(F.count("*").alias("n"))
     slots = numbered.join(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picks = slots.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("n")))
     times = picks.groupBy("draw", "pick").agg(F.count("*").alias("times"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,3 +44,31 @@ def extreme_row(df: DataFrame, by: list[str], value: str, tie: str, largest: boo
     sign = F.col(value) if not largest else -F.col(value)
     row = F.min_by(F.struct(*rest), F.struct(sign, F.col(tie)))
     return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(row.alias("_r")).select(*by, "_r.*")
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in a global order, without bringing them into one task.
+
+    Rows are range-partitioned and sorted, checkpointed so that the ranges stay what they are, and
+    numbered by their place plus the count of all partitions before. Only one row for each partition
+    is summed up in order. Give an order without ties for stable numbers.
+    """
+    shared_checkpoints(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).checkpoint()
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Make sure that checkpoints go to the folder in spark.checkpoint.dir; local runs without one get a temporary folder."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="terrashift-")
+    spark.sparkContext.setCheckpointDir(base)

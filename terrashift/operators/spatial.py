@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrashift.functions.geo import distance_m, point_in_polygon
+from terrashift.operators.picks import shared_checkpoints
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
@@ -220,10 +221,7 @@ def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id", roun
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select(F.col(ident).alias("id"), F.col(ident).alias("component"))
-    if not labels.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        labels.sparkSession.sparkContext.setCheckpointDir(labels.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_checkpoints(labels.sparkSession)
     previous = None
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))

@@ -240,10 +240,8 @@ def priority(spark, d):
 
 @query("p092_dense_ids", f"WITH {sites_sql('s', 'supplier', 's_suppkey')} SELECT id, 'ls_' || lpad(row_number() OVER (ORDER BY lat DESC, id)::VARCHAR, 3, '0') AS name FROM s")
 def dense_ids(spark, d):
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.orderBy(F.col("lat").desc(), F.col("id")))
-    return sites(spark, d).select("id", F.format_string("ls_%03d", n).alias("name"))
+    numbered = picks.number_rows(sites(spark, d), [F.col("lat").desc(), F.col("id")])
+    return numbered.select("id", F.format_string("ls_%03d", "number").alias("name"))
 
 
 @query("p096_top", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

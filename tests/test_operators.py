@@ -214,6 +214,13 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(40)) and got[45] == 41 and got[59] == 59
 
 
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(5)
+    got = picks.number_rows(df, [F.col("v").desc()]).collect()
+    assert all(r["number"] == 1000 - r["v"] for r in got) and len(got) == 1000
+    assert picks.number_rows(df.limit(0), [F.col("v")]).count() == 0
+
+
 def test_rejection_order(spark):
     args = [F.lit(True), F.lit(20), F.lit(0.9), F.lit(0.01), F.lit(1.0), F.lit(False)]
     assert spark.range(1).select(spatial.rejection(*args)).first()[0] == "Success"
