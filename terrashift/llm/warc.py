@@ -50,9 +50,11 @@ def _header(kind: Column) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, payload: str = "html", url: str = "url", page_id: str = "page_id") -> None:
+def write_archive(pages: DataFrame, path: str, payload: str = "html", url: str = "url", page_id: str = "page_id", revisit_from: int = 0) -> None:
     """Write one record for each row of ``pages`` to the archive at ``path``.
 
+    Payloads of fewer than ``revisit_from`` bytes are stored once too, but all their records are responses.
+
     Payloads are combined by digest before the shuffle, so a payload with a third of all pages moves
     once per map task; the records that join the digests hold no payload.
     """
@@ -62,7 +64,8 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", url: str =
     rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/blobs")
     firsts = spark.read.parquet(f"{path}/blobs").select("digest", "first_id")
     slim = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    kind = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
+    own = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < revisit_from)
+    kind = F.when(own, "response").otherwise("revisit")
     slim.join(firsts, "digest").select("digest", _header(kind).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 

@@ -98,6 +98,9 @@ def test_archive_round_trip(spark):
         assert len(block) == length and bytes(r.record).endswith(b"\r\n\r\n") and b"\r\nEvil" not in head
         digest = base64.b32encode(hashlib.sha1(bytes(r.payload)).digest())
         assert b"sha1:" + digest in head
+    long_only = workspace(spark, "t")
+    warc.write_archive(pages, long_only, revisit_from=5)
+    assert {r.record_type for r in warc.archive_index(spark, long_only).collect()} == {"response"}
     none = workspace(spark, "t")
     warc.write_archive(pages.limit(0), none)
     assert warc.archive_index(spark, none).count() == 0
@@ -568,6 +571,7 @@ def test_near_duplicates_of_odd_tables(spark):
 
 
 def test_bands_find_pairs_at_the_threshold():
+    assert minhash.layout(85) == (32, 6) and minhash.layout(80) == (38, 5)
     rng = np.random.default_rng(1)
     missed = 0
     for n in (7, 40, 400):
@@ -630,3 +634,69 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, DATA)
     assert none.count() == 0
+
+
+def brute_redact(t):
+    import re
+
+    spans = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("(?i:", "(?ai:")
+        spans += [(m.start(), rank, m.end(), rule.name) for m in re.finditer(pattern, t) if len(m.group(rule.group)) >= rule.least]
+    out, at = [], 0
+    for start, _, end, name in sorted(spans):
+        if start >= at:
+            out.append(t[at:start] + f"[{name}]")
+        at = max(at, end)
+    return "".join(out) + t[at:]
+
+
+def test_pipeline_matches_brute_force(spark):
+    """Every stage on the smallest table against plain Python, each on its own input."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    if not os.path.isdir(DATA):
+        pytest.skip("the test tables aren't there")
+    stages = dict(corpus_pipeline.STAGES)
+    docs_in = spark.read.parquet(f"{DATA}/documents.parquet")
+
+    def step(name, df):
+        out = stages[name](spark, df, DATA)
+        rows = out.collect()
+        return spark.createDataFrame(rows, out.schema), {r.doc_id: r for r in rows}
+
+    texts = {r.doc_id: r.text for r in docs_in.collect()}
+    df, got = step("quality rules", docs_in)
+    want = set()
+    for i, t in texts.items():
+        n, chars, symbols, dup, repeated = measure(t)
+        lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in t.split("\n"))
+        loud = sum(w.upper() == w and w.lower() != w for w in t.replace("\x0b", " ").replace("\x0c", " ").split())
+        bad = n < 50 or 2 * repeated > n or 5 * symbols > n or 2 * dup > lines or chars > 15 * n or chars < 2 * n or 100 * loud > 60 * n
+        want |= set() if bad else {i}
+    assert set(got) == want and all(got[i].text == texts[i] for i in got)
+
+    ids = sorted(got)
+    _, label = brute_components([got[i].text for i in ids], 5, 80)
+    df, got2 = step("near duplicates", df)
+    assert set(got2) == {ids[k] for k in range(len(ids)) if label[k] == k}
+
+    ids = sorted(got2)
+    raw, masks = brute_mask([got2[i].text for i in ids], 200)
+    df, got3 = step("suffix-array dedup", df)
+    for i, t, m in zip(ids, raw, masks, strict=True):
+        assert got3[i].text == np.frombuffer(t, np.uint8)[~m].tobytes().decode("utf-8", "ignore")
+
+    df, got4 = step("secret scans", df)
+    assert {i: r.text for i, r in got4.items()} == {i: brute_redact(r.text) for i, r in got3.items()}
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc = {}
+    for p in stages["packing"](spark, df, DATA).collect():
+        by_doc.setdefault(p.doc_id, []).append(p)
+    assert set(by_doc) == set(got4)
+    for i, parts in by_doc.items():
+        packed = np.frombuffer(b"".join(bytes(p.ids) for p in sorted(parts, key=lambda p: p.start)), "<u4").tolist()
+        assert packed == library.encode(got4[i].text, add_special_tokens=False).ids + [0]
