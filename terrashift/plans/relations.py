@@ -480,3 +480,31 @@ def pixel_area(spark, d):
     from terrashift.operators.spatial import great_circle_area
 
     return sites(spark, d).select("id", r(great_circle_area(F.lit(0.001), F.lit(0.001), F.col("lon"), F.col("lat")), 2).alias("area"))
+
+
+_LINES_SQL = "ln AS (SELECT s_suppkey AS line, (s_suppkey * 37 % 200)::DOUBLE AS x1, (s_suppkey * 53 % 330)::DOUBLE AS y1, (s_suppkey * 37 % 200 + 4)::DOUBLE AS x2, (s_suppkey * 53 % 330 + s_suppkey % 7)::DOUBLE AS y2 FROM supplier)"
+
+
+@query(
+    "s025_nearest_line",
+    f"""WITH {_LINES_SQL}, p AS (SELECT c_custkey AS id, (c_custkey * 17 % 210)::DOUBLE + 0.25 AS x, (c_custkey * 29 % 340)::DOUBLE + 0.5 AS y FROM customer),
+    t AS (SELECT id, x, y, x1, y1, x2, y2, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)), 0), 1) AS s FROM p, ln)
+    SELECT id, round(min(sqrt(power(x - x1 - s * (x2 - x1), 2) + power(y - y1 - s * (y2 - y1), 2))), 6) AS distance FROM t GROUP BY id""",
+)
+def nearest_line(spark, d):
+    from terrashift.operators.geodesy import nearest_segment
+
+    k = F.col("s_suppkey")
+    at = lambda c: c.cast("double")
+    lines = table(spark, d, "supplier").select(k.alias("line"), at(k * 37 % 200).alias("x1"), at(k * 53 % 330).alias("y1"), at(k * 37 % 200 + 4).alias("x2"), at(k * 53 % 330 + k % 7).alias("y2"))
+    c = F.col("c_custkey")
+    points = table(spark, d, "customer").select(c.alias("id"), (at(c * 17 % 210) + 0.25).alias("x"), (at(c * 29 % 340) + 0.5).alias("y"))
+    return nearest_segment(points, lines, "id", "line", 5.0, 400.0).select("id", r("distance").alias("distance"))
+
+
+@query("s121_geodesic", None)
+def geodesics(spark, d):
+    from terrashift.operators.geodesy import geodesic
+
+    g = sites(spark, d).withColumn("g", geodesic("lon", "lat", F.lit(-123.0), F.lit(41.0)))
+    return g.select("id", r("g.azimuth").alias("azimuth"), r("g.back_azimuth").alias("back_azimuth"), r("g.distance_m", 3).alias("distance_m"))

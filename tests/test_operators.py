@@ -243,3 +243,22 @@ def test_operators_take_empty_input(spark):
     assert stats.kruskal(e, ["id"], "hi", "v").count() == 0
     p = spark.createDataFrame([], "id int, lon double, lat double")
     assert joins.nearest_join(p, p.withColumnRenamed("id", "sid"), "id", "sid").count() == 0
+
+
+def test_geodesic_known_lengths():
+    from terrashift.operators.geodesy import inverse
+
+    a, b, d = inverse(np.array([0.0, 0.0, 5.0, -71.117]), np.array([0.0, 0.0, 5.0, 42.25]), np.array([1.0, 0.0, 5.0, -123.683]), np.array([0.0, 1.0, 5.0, 45.517]))
+    assert d[:3] == pytest.approx([111319.4908, 110574.3886, 0.0], abs=1e-3)
+    assert a[0] == pytest.approx(90) and b[0] == pytest.approx(270) and a[1] == pytest.approx(0)
+    c, e, f = inverse(np.array([-123.683]), np.array([45.517]), np.array([-71.117]), np.array([42.25]))
+    assert d[3] == pytest.approx(f[0], abs=1e-4) and (a[3], b[3]) == pytest.approx((e[0], c[0]))
+
+
+def test_nearest_segment_of_far_points(spark):
+    from terrashift.operators.geodesy import nearest_segment
+
+    p = frame(spark, "id int, x double, y double", (1, 0.0, 3.0), (2, 900.0, 900.0), (3, 2.0, -1.0))
+    s = frame(spark, "line int, x1 double, y1 double, x2 double, y2 double", (7, 0.0, 0.0, 4.0, 0.0), (8, 0.0, 50.0, 0.0, 50.0))
+    got = {r["id"]: (r["line"], r["distance"]) for r in nearest_segment(p, s, "id", "line", 1.0, 2000.0).collect()}
+    assert got[1] == (7, 3.0) and got[3] == (7, 1.0) and got[2][0] == 8 and got[2][1] == pytest.approx(math.hypot(900, 850))
