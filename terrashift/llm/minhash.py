@@ -13,8 +13,9 @@ query set: they are compared with all members of other components, in blocks of
 count common shingles through an index and give out links alone. So every pair that shares a bucket
 is either confirmed or in one component anyway; no cap applies and no pairs are listed.
 
-With 32 bands of 6 bins a pair at the threshold 0.85 shares no bucket with a probability of about
-3e-7, a pair at 0.9 of about 1e-10. Shingles are told apart by 64-bit hashes.
+Bins of a band and bands are chosen so that a pair at the threshold shares no bucket with a
+probability of ``MISS`` at most: 32 bands of 6 bins for 0.85, 38 of 5 for 0.8. Shingles are told apart
+by 64-bit hashes.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing
 and is its own component; one with fewer words than a shingle has its whole sequence of words as its
@@ -24,6 +25,7 @@ document; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from terrashift.llm.common import materialize, text_or_empty
 from terrashift.llm.components import connected_components
 
-BANDS, ROWS = 32, 6
+#: Chance that a pair at the threshold shares no bucket.
+MISS = 3e-7
 #: Hubs that a bucket gets one after another, and shingles of a block of the comparison that follows.
 TURNS, BLOCK_SHINGLES = 2, 1_500_000
 
@@ -92,6 +95,13 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def layout(threshold: int) -> tuple[int, int]:
+    """Bands and bins of a band for a threshold in per cent: a band agrees for about a third of the pairs there."""
+    t = threshold / 100
+    rows = max(1, round(math.log(0.36) / math.log(t))) if t < 1 else 8
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(t**rows)))) if t < 1 else 1, rows
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
@@ -117,7 +127,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "packed"])
 
 
-def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, words: int, bands: int, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_hash, bands) of each row; set_hash is null for an empty set."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     return plain.mapInArrow(lambda b: _sketch(b, words, bands, rows), "doc_id long, n_shingles long, set_hash binary, bands array<bigint>")
@@ -229,13 +239,14 @@ def _meetings(batches: Iterator[pa.RecordBatch], words: int, numerator: int) ->
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     ``threshold`` is a percentage: sets are linked if 100 * intersection >= threshold * union.
     ``component_id`` is the smallest id reachable, ``kept`` whether it is the row's own.
     """
+    bands, rows = layout(threshold)
     sketched = materialize(sketches(docs, words, bands, rows, doc_id, text), "minhash-sketches")
     with_sets = sketched.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(with_sets.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")

@@ -18,7 +18,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,18 +75,12 @@ class Encoder:
         return [array("I", next(rest).ids if s else self.ranked.encode_ordinary(t)).tobytes() for t, s in zip(texts, slow, strict=True)]
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str, pattern: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(tokenizer_file, pattern)
-
-
 _TOKENS = "part int, local_start long, doc_id long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer_file: str, pattern: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer_file, pattern).encode_batch
+    encode = Encoder(tokenizer_file, pattern).encode_batch  # for this task alone: an idle worker shall not hold the vocabulary
     end, part, total = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
     for batch in batches:
         for i, j, texts in chunks(batch.column("text"), CHUNK_BYTES):

@@ -542,7 +542,8 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _RESULT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Documents without their spans; ``as_text`` drops what is left of a parted character and gives text alone."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -565,8 +566,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pieces.append(text[at:start])
                 at = end
             at_row.append(i)
-            rows.append((doc_id, len(text), sum(e - s for s, e in gone), len(gone), b"".join([*pieces, text[at:]])))
-        if rows:
+            kept = b"".join([*pieces, text[at:]])
+            rows.append((kept.decode("utf-8", "ignore"),) if as_text else (doc_id, len(text), sum(e - s for s, e in gone), len(gone), kept))
+        if rows and as_text:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), batch.column("rest").take(pa.array(at_row))], names=["new_text", "rest"])
+        elif rows:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").take(pa.array(at_row))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
@@ -580,8 +584,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("rest")], names=["rid", "doc_id", "packed", "rest"])
 
 
-def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, rest) of each row; ``rest`` holds all columns but the text."""
+def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: str, text: str, as_text: bool) -> DataFrame:
+    """What ``_cut`` gives for each row; ``rest`` holds all columns but the text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
@@ -605,7 +609,8 @@ def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: st
     contexts = asked.mapInArrow(lambda b: _answer(b, length, gram, buckets), _ROW)
     sorted_ = dealt(contexts).mapInArrow(lambda b: _sort_contexts(b, length, gram, buckets), _ROW)
     spans = settled.filter(F.col("kind") == _SPANS).union(sorted_).withColumn("rest", F.lit(None).cast(rows.schema["rest"].dataType))
-    return dealt(spans.union(texts)).mapInArrow(_cut, f"{_RESULT}, {rest}")
+    schema = "new_text string" if as_text else _RESULT
+    return dealt(spans.union(texts)).mapInArrow(lambda b: _cut(b, as_text), f"{schema}, {rest}")
 
 
 def remove_repeats(
@@ -615,7 +620,7 @@ def remove_repeats(
 
     ``gram`` is a power of two below ``length``.
     """
-    return _removed(docs, length, gram, max_group, doc_id, text).drop("rest")
+    return _removed(docs, length, gram, max_group, doc_id, text, False).drop("rest")
 
 
 def cleaned(docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int = MAX_GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -623,18 +628,11 @@ def cleaned(docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int
 
     A cut may part the bytes of a character; its remains are dropped. A null text becomes empty.
     """
-    rows = _removed(docs, length, gram, max_group, doc_id, text)
-    whole = rows.mapInArrow(_as_text, f"new_text string, rest {rows.schema['rest'].dataType.simpleString()}")
+    whole = _removed(docs, length, gram, max_group, doc_id, text, True)
     fresh = {text: F.col("new_text"), "n_chars": F.length("new_text")}
     return whole.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
-def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [k.as_buffer().to_pybytes().decode("utf-8", "ignore") for k in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], names=["new_text", "rest"])
-
-
 def _text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rid = batch.column("rid").to_numpy()
