@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrashift.operators.picks import number_rows
+
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, and ``n``."""
@@ -13,6 +15,29 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
     return got.select(*by, "n", *[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(shares)])
 
 
+def ranked_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """As :func:`percentiles` for groups of any size, also for the whole table with no ``by``.
+
+    The built-in aggregate keeps all distinct values of a group in one task. Here rows are numbered
+    in the order of group and value over all partitions, and each percentile is read off at the two
+    ranks around it, so a group with a third of all rows spreads over a third of all tasks.
+    """
+    used = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    numbered = number_rows(used, [*[F.col(c) for c in by], F.col("_v")], "_k")
+    groups = numbered.groupBy(*by).agg(F.min("_k").alias("_first"), F.count("*").alias("n"))
+    placed = numbered.join(groups, by) if by else numbered.join(F.broadcast(groups))
+    at = lambda share: (F.col("n") - 1) * F.lit(share)
+    rank = F.col("_k") - F.col("_first")
+
+    def read(share: float) -> Column:
+        low = F.floor(at(share))
+        a, b = F.max(F.when(rank == low, F.col("_v"))), F.max(F.when(rank == low + 1, F.col("_v")))
+        part = F.max(at(share) - low)
+        return a + F.coalesce(part * (b - a), F.lit(0.0))
+
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *[read(p).alias(name) for name, p in shares.items()]).filter("n IS NOT NULL")
+
+
 def value_shares(df: DataFrame, category: Column, name: str = "category") -> DataFrame:
     """(category, n, share) over all rows with a category."""
     counts = df.select(category.alias(name)).filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))

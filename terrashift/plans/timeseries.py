@@ -42,6 +42,12 @@ def percentiles(spark, d):
     return p.select("event_type", *[r(c).alias(c) for c in ("p5", "p50", "p95")], "n")
 
 
+@query("a058_ranked", f"WITH {SERIES_SQL} SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM ev GROUP BY event_type")
+def ranked(spark, d):
+    p = ag.ranked_percentiles(series(spark, d), ["event_type"], "value", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return p.select("event_type", *[r(c).alias(c) for c in ("p5", "p50", "p95")], "n")
+
+
 @query("a059_quartiles", "SELECT s_acctbal > 0 AS positive, count(*) AS n, round(quantile_cont(s_acctbal, 0.25), 4) AS q1, round(quantile_cont(s_acctbal, 0.5), 4) AS q2, round(quantile_cont(s_acctbal, 0.75), 4) AS q3 FROM supplier GROUP BY 1")
 def quartiles(spark, d):
     s = table(spark, d, "supplier").withColumn("positive", F.col("s_acctbal") > 0)
@@ -382,7 +388,7 @@ def by_category(spark, d):
 @query("c165_clip", "SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)")
 def clip(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    top = o.agg(F.percentile("v", 0.99).alias("top"))
+    top = ag.ranked_percentiles(o, [], "v", {"top": 0.99}).select("top")
     return o.join(F.broadcast(top)).filter("v <= top").select("id", "v")
 
 

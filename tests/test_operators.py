@@ -262,3 +262,18 @@ def test_nearest_segment_of_far_points(spark):
     s = frame(spark, "line int, x1 double, y1 double, x2 double, y2 double", (7, 0.0, 0.0, 4.0, 0.0), (8, 0.0, 50.0, 0.0, 50.0))
     got = {r["id"]: (r["line"], r["distance"]) for r in nearest_segment(p, s, "id", "line", 1.0, 2000.0).collect()}
     assert got[1] == (7, 3.0) and got[3] == (7, 1.0) and got[2][0] == 8 and got[2][1] == pytest.approx(math.hypot(900, 850))
+
+
+def test_ranked_percentiles_are_those_of_numpy(spark):
+    rng = np.random.default_rng(8)
+    v = [*rng.integers(0, 30, 300).astype(float).tolist(), None]
+    df = frame(spark, "g int, v double", *[(i % 3, x) for i, x in enumerate(v)], (9, 4.0)).repartition(6)
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r["g"]: r for r in aggregates.ranked_percentiles(df, ["g"], "v", shares).collect()}
+    for g in range(3):
+        own = [x for i, x in enumerate(v) if i % 3 == g and x is not None]
+        assert [got[g][k] for k in shares] == pytest.approx([np.quantile(own, p) for p in shares.values()]) and got[g]["n"] == len(own)
+    assert [got[9][k] for k in shares] == [4.0] * 5
+    whole = aggregates.ranked_percentiles(df, [], "v", {"c": 0.5}).first()
+    assert whole["c"] == pytest.approx(np.median([x for x in v if x is not None] + [4.0]))
+    assert aggregates.ranked_percentiles(df.limit(0), [], "v", {"c": 0.5}).count() == 0
