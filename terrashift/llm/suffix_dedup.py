@@ -16,7 +16,10 @@ are sorted only at anchors: the leftmost k-gram of least hash among those of eac
 4. The intervals found go to their documents, are merged and cut out.
 
 A k-gram with more than ``MAX_GROUP`` open contexts doesn't come together in one task: hashes of its
-windows are counted instead, spread by their value. Nothing is capped in either way.
+windows are counted instead, spread by their value. One with more anchors than that and than twice a
+bucket's mean load is hot: its anchors don't even meet in step 2, but are combined in each task and
+dealt by context. Such k-grams are fewer than half the buckets, whatever the input is. Nothing is
+capped in any way.
 
 What moves between tasks is packed by numpy into few rows, each for a bucket of keys.
 
@@ -40,6 +43,8 @@ from terrashift.llm.common import materialize, text_or_empty
 GRAM, MAX_GROUP, SHALLOW = 64, 100_000, 32
 #: Bytes of text for one numpy batch, and buckets for each shuffle partition.
 BATCH_BYTES, BUCKETS = 2_000_000, 4
+#: Anchors of hot k-grams that a task combines before it sends them on.
+HOT_RECORDS = 500_000
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("rid", "<i8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("count", "i1")])
@@ -47,10 +52,11 @@ _SPAN = np.dtype([("rid", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _ASK = np.dtype([("rid", "<i8"), ("gram", "<u8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("count", "i1"), ("wide", "i1")])
 _WINDOW = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("count", "<i4")])
 
+#: ``doc_id`` is that of a text; rows of packed records have their number there.
 _ROW = "bucket int, kind int, rid long, doc_id long, data binary"
 _NAMES = ["bucket", "kind", "rid", "doc_id", "data"]
 # kinds of rows, in the order in which a bucket is read
-_ANCHORS, _SPANS, _ASKS, _CONTEXTS, _WINDOWS, _TEXT = range(6)
+_ANCHORS, _HOT, _SPANS, _ASKS, _CONTEXTS, _WINDOWS, _TEXT = range(7)
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -138,13 +144,13 @@ def _unpacked(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
 
 
 def _scatter(records: np.ndarray, keys: np.ndarray, kind: int, buckets: int) -> Iterator[tuple]:
-    """Rows (bucket, kind, None, None, packed records) by a hash of the keys."""
+    """Rows (bucket, kind, None, number, packed records) by a hash of the keys."""
     if len(records):
         bucket = ((keys.astype(np.uint64) * _C1) >> np.uint64(40)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts):
-            yield int(bucket[part[0]]), kind, None, None, _packed(records[part])
+            yield int(bucket[part[0]]), kind, None, len(part), _packed(records[part])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -206,6 +212,73 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, buck
         yield _rows([*_scatter(kept, kept["gram"], _ANCHORS, buckets), *_scatter(spans, spans["rid"], _SPANS, buckets)])
 
 
+# --- hot k-grams ----------------------------------------------------------------------------------
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams, n = np.unique(_unpacked([d.as_py() for d in batch.column("data")], _ANCHOR)["gram"], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+
+def hot_grams(anchors: DataFrame, buckets: int, max_group: int) -> tuple[list[int], np.ndarray]:
+    """The buckets that hold hot k-grams, and these k-grams, sorted.
+
+    Loads of buckets come first, from the numbers of records alone; k-grams are counted only in those
+    that are over the limit, as no other can hold a hot one. At more than twice the mean load each,
+    there are fewer than ``buckets / 2`` k-grams: 8 bytes for each go to every task.
+    """
+    rows = anchors.filter(F.col("kind") == _ANCHORS)
+    loads = rows.groupBy("bucket").agg(F.sum("doc_id").alias("n")).collect()  # one row for each bucket
+    limit = max(max_group, 2 * sum(r.n for r in loads) // buckets)
+    crowded = [r.bucket for r in loads if r.n > limit]
+    if not crowded:
+        return [], np.zeros(0, np.uint64)
+    counts = rows.filter(F.col("bucket").isin(crowded)).select("data").mapInArrow(_gram_counts, "gram long, n long")
+    found = counts.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("gram").collect()
+    return crowded, np.sort(np.array([r.gram for r in found], np.int64).view(np.uint64))
+
+
+def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+
+
+def _part_hot(batches: Iterator[pa.RecordBatch], hot: np.ndarray, length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of crowded buckets: those of hot k-grams, combined over the task, are dealt by context too."""
+
+    def combined(parts: list[np.ndarray]) -> Iterator[tuple]:
+        kept, spans = _classes(np.concatenate(parts), gram, length)
+        yield from _scatter(kept, kept["gram"] ^ kept["context"], _HOT, buckets)
+        yield from _scatter(spans, spans["rid"], _SPANS, buckets)
+
+    held, total = [], 0
+    for batch in batches:
+        out = []
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            a = _unpacked([data.as_py()], _ANCHOR)
+            is_hot = _is_hot(a["gram"], hot)
+            if not is_hot.all():
+                out.append((bucket, _ANCHORS, None, int((~is_hot).sum()), _packed(a[~is_hot])))
+            if is_hot.any():
+                held.append(a[is_hot])
+                total += len(held[-1])
+            if total >= HOT_RECORDS:
+                out += combined(held)
+                held, total = [], 0
+        yield _rows(out)
+    if held:
+        yield _rows(list(combined(held)))
+
+
+def _spread(anchors: DataFrame, length: int, gram: int, buckets: int, max_group: int) -> DataFrame:
+    """Anchors and spans with hot k-grams dealt by context."""
+    crowded, hot = hot_grams(anchors, buckets, max_group)
+    if not len(hot):
+        return anchors
+    mixed = (F.col("kind") == _ANCHORS) & F.col("bucket").isin(crowded)
+    return anchors.filter(~mixed).union(anchors.filter(mixed).mapInArrow(lambda b: _part_hot(b, hot, length, gram, buckets), _ROW))
+
+
 # --- buckets --------------------------------------------------------------------------------------
 
 
@@ -229,7 +302,10 @@ def _of_kind(rows: list, kind: int, dtype: np.dtype) -> np.ndarray:
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int, max_group: int) -> Iterator[pa.RecordBatch]:
-    """From anchors by k-gram: spans of contexts that repeat, and questions for the open ones."""
+    """From anchors by k-gram: spans of contexts that repeat, and questions for the open ones.
+
+    All contexts of hot k-grams that are left are open and wide.
+    """
     for bucket, rows in _by_bucket(batches):
         passed = [(bucket, *r) for r in rows if r[0] == _SPANS]
         kept, spans = _classes(_of_kind(rows, _ANCHORS, _ANCHOR), gram, length)
@@ -237,13 +313,21 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets:
         sizes = np.diff(np.append(first, len(kept)))
         size = np.repeat(sizes, sizes)
         open_ = (size > 1) & (kept["left"].astype(np.int64) + gram + kept["right"] >= length)
-        asks = np.zeros(int(open_.sum()), _ASK)
-        for name in ("rid", "gram", "pos", "left", "right", "count"):
-            asks[name] = kept[name][open_]
-        asks["wide"] = size[open_] > max_group
+        hot, hot_spans = _classes(_of_kind(rows, _HOT, _ANCHOR), gram, length)
+        hot = hot[hot["left"].astype(np.int64) + gram + hot["right"] >= length]
+        spans = np.concatenate((spans, hot_spans))
+        asks = np.concatenate((_questions(kept[open_], size[open_] > max_group), _questions(hot, True)))
         yield _rows([*passed, *_scatter(spans, spans["rid"], _SPANS, buckets), *_scatter(asks, asks["rid"], _ASKS, buckets)])
 
 
+def _questions(a: np.ndarray, wide: np.ndarray | bool) -> np.ndarray:
+    asks = np.zeros(len(a), _ASK)
+    for name in ("rid", "gram", "pos", "left", "right", "count"):
+        asks[name] = a[name]
+    asks["wide"] = wide
+    return asks
+
+
 def _answer(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """From questions and texts by document: the bytes of open contexts by k-gram, or window hashes of wide ones."""
     import zstandard
@@ -602,9 +686,9 @@ def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: st
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "rid")
 
     texts = packed.mapInArrow(lambda b: _text_rows(b, buckets), f"{_ROW}, {rest}")
-    anchors = packed.select("rid", "packed").mapInArrow(lambda b: _anchor_rows(b, length, gram, buckets), _ROW)
+    anchors = materialize(packed.select("rid", "packed").mapInArrow(lambda b: _anchor_rows(b, length, gram, buckets), _ROW), "repeats-anchors")
     # spans ride along with what else a step sends, so each step runs once
-    settled = materialize(dealt(anchors).mapInArrow(lambda b: _settle(b, length, gram, buckets, max_group), _ROW), "repeats-settled")
+    settled = materialize(dealt(_spread(anchors, length, gram, buckets, max_group)).mapInArrow(lambda b: _settle(b, length, gram, buckets, max_group), _ROW), "repeats-settled")
     asked = dealt(settled.filter(F.col("kind") == _ASKS).union(texts.drop("rest")))
     contexts = asked.mapInArrow(lambda b: _answer(b, length, gram, buckets), _ROW)
     sorted_ = dealt(contexts).mapInArrow(lambda b: _sort_contexts(b, length, gram, buckets), _ROW)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,36 @@ def test_repeats_match_brute_force(spark, options):
         assert bytes(r.kept) == np.frombuffer(t, np.uint8)[~m].tobytes()
 
 
+def test_hot_grams_are_spread(spark, monkeypatch):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    short, long_ = prose(120), prose(260)  # one that no window lies in, so that every context is another, and one that is cut
+    texts = [prose(rng.randint(90, 200)) + short + prose(rng.randint(90, 200)) for _ in range(500)]
+    texts += [prose(rng.randint(0, 60)) + long_[rng.randint(0, 90) :] + prose(rng.randint(0, 60)) for _ in range(60)] + texts[:30] + [None, "", short]
+    seen, original = [], suffix_dedup.hot_grams
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *a: seen.append(original(*a)) or seen[-1])
+    raw, masks = brute_mask(texts, 200)
+    for r in suffix_dedup.remove_repeats(docs(spark, texts), max_group=100).collect():
+        t, m = raw[r.doc_id], masks[r.doc_id]
+        assert bytes(r.kept) == np.frombuffer(t, np.uint8)[~m].tobytes()
+    assert len(seen[0][1]) > 0
+
+
+def test_hot_anchors_are_combined_in_a_task(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_RECORDS", 50)
+    a = np.zeros(120, suffix_dedup._ANCHOR)
+    a["gram"][:90], a["gram"][90:] = 7, np.arange(30) + 100
+    a["context"], a["rid"], a["left"], a["right"], a["count"] = np.arange(120) % 9, np.arange(120), 136, 136, 1
+    columns = [pa.array([3] * 4, pa.int32()), pa.array([suffix_dedup._packed(p) for p in np.split(a, 4)], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "data"])
+    rows = [r for b in suffix_dedup._part_hot(iter([batch]), np.array([7], np.uint64), 200, 64, 8) for r in b.to_pylist()]
+    of = lambda kind, dtype: suffix_dedup._unpacked([r["data"] for r in rows if r["kind"] == kind], dtype)
+    assert sorted(of(suffix_dedup._ANCHORS, suffix_dedup._ANCHOR)["rid"].tolist()) == list(range(90, 120))
+    hot = of(suffix_dedup._HOT, suffix_dedup._ANCHOR)
+    assert set(hot["context"].tolist()) == set(range(9)) and set(hot["count"].tolist()) == {2} and len(hot) == 18
+    assert set(of(suffix_dedup._SPANS, suffix_dedup._SPAN)["rid"].tolist()) == set(range(90))
+
+
 def test_cleaned_documents_keep_their_columns(spark):
     p = "a passage that comes twice " * 10
     df = docs(spark, ["one " + p, "two " + p + "é", None]).withColumn("n_chars", F.length("text").cast("long"))
