@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from terrashift.operators.picks import number_rows
+
 # --- tails of distributions -----------------------------------------------------------------------
 
 
@@ -242,7 +244,11 @@ def median_difference(x: np.ndarray, y: np.ndarray, draws: int = 10_000, seed: i
 
 
 def bootstrap_median_difference(df: DataFrame, variable: str, group: str, value: str, g1: str, g2: str, draws: int = 10_000, seed: int = 123) -> DataFrame:
-    """(variable, delta_median, ci_low, ci_high, n1, n2); one task for each variable, its sorted values as samples."""
+    """(variable, delta_median, ci_low, ci_high, n1, n2); one task for each variable, its sorted values as samples.
+
+    Repeats one fixed stream of random numbers, so a variable's values must fit a task; for others
+    see :func:`bootstrap_by_ranks`.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.sort(pdf.loc[pdf[group] == g, value].dropna().to_numpy(float)) for g in (g1, g2))
@@ -250,3 +256,44 @@ def bootstrap_median_difference(df: DataFrame, variable: str, group: str, value:
 
     two = df.filter(F.col(group).isin(g1, g2)).select(variable, group, value)
     return two.groupBy(variable).applyInPandas(one, "variable string, delta_median double, ci_low double, ci_high double, n1 long, n2 long")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _median_ranks(n: pd.Series, seed: pd.Series) -> pd.Series:
+    """Ranks, among n sorted values, of the one or two middle values of a sample of n with replacement."""
+
+    def ranks(n: int, seed: int) -> list[int]:
+        rng, m = np.random.default_rng(seed & (2**64 - 1)), (n + 1) // 2
+        low = rng.beta(m, n - m + 1)
+        high = low if n % 2 else low + (1 - low) * rng.beta(1, n - m)
+        return [min(int(n * u) + 1, n) for u in (low, high)]
+
+    return pd.Series([ranks(int(a), int(b)) for a, b in zip(n, seed, strict=True)])
+
+
+def bootstrap_by_ranks(df: DataFrame, variable: str, group: str, value: str, g1: str, g2: str, draws: int = 10_000, seed: int = 123) -> DataFrame:
+    """As :func:`bootstrap_median_difference` for groups of any size, from random numbers of its own.
+
+    The middle of a sample with replacement is a value whose rank follows from order statistics of
+    uniform numbers, so only ranks are drawn. Values are numbered over all partitions and met by
+    number; no group comes together. At most ``draws`` differences of a variable are sorted at a time.
+    A variable without values in one of the groups has nulls for the medians.
+    """
+    used = df.filter(F.col(group).isin(g1, g2) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    sided = used.select(F.col(variable).alias("variable"), (F.col(group) == g1).alias("first"), F.col(value).cast("double").alias("value"))
+    placed = number_rows(sided, [F.col("variable"), F.col("first"), F.col("value")])
+    sides = placed.groupBy("variable", "first").agg(F.min("number").alias("start"), F.count("*").alias("n"))
+    middle = F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    drawn = sides.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = drawn.withColumn("ranks", _median_ranks("n", F.xxhash64(F.lit(seed), "variable", "first", "draw")))
+    asked = sides.withColumns({"draw": F.lit(-1), "ranks": middle}).unionByName(drawn)
+    asked = asked.select("variable", "first", "draw", "start", F.explode("ranks").alias("r")).withColumn("number", F.col("start") + F.col("r") - 1)
+    medians = asked.join(placed.select("number", "value"), "number").groupBy("variable", "first", "draw").agg(F.avg("value").alias("m"))
+    of = lambda side, c: F.when(F.col("first") == side, F.col(c))
+    gaps = medians.groupBy("variable", "draw").agg((F.max(of(True, "m")) - F.max(of(False, "m"))).alias("d"))
+    got = gaps.groupBy("variable").agg(
+        F.max(F.when(F.col("draw") < 0, F.col("d"))).alias("delta_median"), F.sort_array(F.collect_list(F.when(F.col("draw") >= 0, F.col("d")))).alias("_d")
+    )
+    counts = sides.groupBy("variable").agg(*[F.coalesce(F.sum(of(s, "n")), F.lit(0)).alias(c) for s, c in ((True, "n1"), (False, "n2"))])
+    at = lambda share: F.get("_d", F.lit(int(share * draws)))
+    return got.join(counts, "variable").select("variable", "delta_median", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), "n1", "n2")

@@ -548,6 +548,12 @@ def bootstrap(spark, d):
     return stats.bootstrap_median_difference(long, "variable", "grp", "value", "Faster", "Slower", draws=2000)
 
 
+@query("t151_bootstrap_ranks", None)
+def bootstrap_ranks(spark, d):
+    long = _grouped(spark, d).select("id", "grp", "v2", "quantity", "discount").unpivot(["id", "grp"], ["v2", "quantity", "discount"], "variable", "value")
+    return stats.bootstrap_by_ranks(long, "variable", "grp", "value", "Faster", "Slower", draws=2000)
+
+
 @query("t154_significance", None)
 def significance(spark, d):
     o = _tested(spark, d)

@@ -125,6 +125,20 @@ def test_bootstrap_literal():
     assert all(map(math.isnan, stats.median_difference(np.array([]), np.array([1.0]))))
 
 
+def test_bootstrap_by_ranks_agrees_with_resampling(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(1, 1, 101), rng.normal(0, 2, 80)
+    rows = [("v", "a", float(v)) for v in x] + [("v", "b", float(v)) for v in y] + [("v", "a", None), ("v", "a", math.nan), ("w", "a", 1.0), ("v", "c", 9.0)]
+    df = frame(spark, "variable string, g string, value double", *rows)
+    got = {r["variable"]: r for r in stats.bootstrap_by_ranks(df, "variable", "g", "value", "a", "b", draws=4000).collect()}
+    point, low, high = stats.median_difference(x, y, draws=4000)
+    assert (got["v"]["n1"], got["v"]["n2"], got["w"]["n1"], got["w"]["n2"]) == (101, 80, 1, 0)
+    assert got["v"]["delta_median"] == pytest.approx(point)
+    assert got["v"]["ci_low"] == pytest.approx(low, abs=0.08) and got["v"]["ci_high"] == pytest.approx(high, abs=0.08)
+    assert got["w"]["delta_median"] is None and got["w"]["ci_low"] is None
+    assert stats.bootstrap_by_ranks(df.limit(0), "variable", "g", "value", "a", "b", draws=10).count() == 0
+
+
 def test_overlapping_bins_count_an_edge_twice(spark):
     df = frame(spark, "v double", (25.0,), (None,))
     got = {r["bin"]: r["n"] for r in aggregates.overlapping_bins(df, "v", {"a": (20.0, 25.0), "b": (25.0, 35.0)}).collect()}
