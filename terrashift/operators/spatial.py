@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrashift.functions.geo import distance_m, point_in_polygon
+from terrashift.operators.components import connected_components
 from terrashift.operators.picks import shared_checkpoints
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -213,26 +214,17 @@ def overlapping_pairs(polygons: DataFrame, ident: str, near: float, least_share:
     return pairs.filter(enough).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
 
 
-def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id", rounds: int = 30) -> DataFrame:
-    """(id, component): the least id that each node reaches over edges (a, b).
+def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id") -> DataFrame:
+    """(id, component): the least id that each node reaches over edges (a, b); edges to other ids don't count.
 
-    Each round takes the least label of all neighbours and then the label of that label, so paths
-    shorten by half; rounds end when nothing changes. ``checkpoint`` cuts the lineage.
+    Rounds of large-star and small-star steps end when all components are stars, without a cap.
+    ``checkpoint`` cuts the lineage.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select(F.col(ident).alias("id"), F.col(ident).alias("component"))
-    shared_checkpoints(labels.sparkSession)
-    previous = None
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", "m").alias("c"))
-        up = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        labels = step.join(up, "c", "left").select("id", F.coalesce("cc", "c").alias("component")).checkpoint()
-        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == previous:
-            break
-        previous = total
-    return labels
+    shared_checkpoints(nodes.sparkSession)
+    ids = nodes.select(F.col(ident).alias("id"))
+    inside = edges.select("a", "b").join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
+    labels = connected_components(inside, lambda df: df.checkpoint()).withColumnRenamed("node", "id")
+    return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def select_pixels(pixels: DataFrame, by: list[str], inner_m: float, outer_m: float, factor: float = 2.0, least_q95: int = 10) -> DataFrame:

@@ -228,6 +228,14 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(40)) and got[45] == 41 and got[59] == 59
 
 
+def test_components_of_a_chain_from_its_far_end(spark):
+    """0, n, n - 1, ..., 1: the least node meets the chain at its largest."""
+    chain = [0, *range(300, 0, -1)]
+    edges = spark.createDataFrame([*zip(chain, chain[1:], strict=False), (400, 401), (402, 999)], "a long, b long")
+    got = {r["id"]: r["component"] for r in spatial.label_components(spark.range(405), edges).collect()}
+    assert got == {i: 0 if i <= 300 else 400 if i == 401 else i for i in range(405)}
+
+
 def test_rows_are_numbered_across_partitions(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(5)
     got = picks.number_rows(df, [F.col("v").desc()]).collect()
