@@ -408,9 +408,18 @@ def label_mask(spark, d):
     SELECT id, round(avg(d), 6) AS mean_nn, count(*) AS n FROM n GROUP BY id""",
 )
 def compactness(spark, d):
+    return _compactness(raster(spark, d).filter("s % 5 < 3"))
+
+
+@query("s138_compactness_all", None)
+def compactness_all(spark, d):
+    return _compactness(raster(spark, d))
+
+
+def _compactness(g):
     from terrashift.operators.spatial import mean_nearest_distance
 
-    c = raster(spark, d).filter("s % 5 < 3").select((F.col("s") % 5).alias("id"), (F.col("x") * 1000 + F.col("y")).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    c = g.select((F.col("s") % 5).alias("id"), (F.col("x") * 1000 + F.col("y")).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return mean_nearest_distance(c, ["id"], "p").select("id", r("mean_nn").alias("mean_nn"), "n")
 
 

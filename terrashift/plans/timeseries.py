@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrashift.config import Params
 from terrashift.functions import buckets, ratio
 from terrashift.functions.time import water_year
 from terrashift.operators import aggregates as ag
@@ -13,6 +14,8 @@ from terrashift.plans.registry import RASTER_SQL, SERIES_SQL, TWO_SQL, query, r,
 from terrashift.plans.relations import _GRID_SQL, _grid
 from terrashift.plans.scalars import _RATE
 
+PARAMS = Params()
+
 # --- groups ---------------------------------------------------------------------------------------
 
 _GROUPS = f"g AS (SELECT id, v1, v2, quantity, discount, balance, {_RATE.format('(v2 / v1)')} AS grp FROM two WHERE v1 > 0)"
@@ -159,9 +162,11 @@ def transitions(spark, d):
 
 @query("a078_pixel_means", f"WITH {RASTER_SQL} SELECT s % 7 AS cluster, round(avg(nullif(v, 1000)), 6) AS v, round(avg(x), 6) AS x, count(*) AS n FROM ras WHERE s % 7 < 4 GROUP BY 1")
 def pixel_means(spark, d):
-    g = raster(spark, d)
-    cluster = g.filter("s % 7 < 4").select("x", "y", (F.col("s") % 7).alias("cluster"))
-    got = cluster.join(g, ["x", "y"])
+    return _pixel_means(raster(spark, d).filter("s % 7 < 4"))
+
+
+def _pixel_means(g):
+    got = g.select("x", "y", (F.col("s") % 7).alias("cluster")).join(g, ["x", "y"])
     return got.groupBy("cluster").agg(r(F.avg(F.nullif(F.col("v"), F.lit(1000.0)))).alias("v"), r(F.avg("x")).alias("x"), F.count("*").alias("n"))
 
 
@@ -170,6 +175,11 @@ def histogram(spark, d):
     return ag.histogram(table(spark, d, "part"), "p_size", 0.0, 60.0, 12)
 
 
+@query("a078_pixel_means_all", None)
+def pixel_means_all(spark, d):
+    return _pixel_means(raster(spark, d))
+
+
 # --- windows --------------------------------------------------------------------------------------
 
 
@@ -339,20 +349,39 @@ _XC = """da AS (SELECT id, t::DATE AS day, sum(value) AS a, sum(length(event_typ
     c AS (SELECT x.id, x.i - y.i AS lag, sum(x.za * y.zb) AS c FROM z x JOIN z y ON x.id = y.id AND abs(x.i - y.i) <= 10 GROUP BY 1, 2)"""
 
 
-def _correlations(spark, d):
-    days = series(spark, d).filter("id < 60").groupBy("id", F.col("t").cast("date").alias("day")).agg(F.sum("value").alias("a0"), F.sum(F.length("event_type")).cast("double").alias("b0"))
+def _correlations(events, max_lag_days):
+    days = events.groupBy("id", F.col("t").cast("date").alias("day")).agg(F.sum("value").alias("a0"), F.sum(F.length("event_type")).cast("double").alias("b0"))
     cum = days.withColumns({"a": se.running_sum(["id"], "day", "a0"), "b": se.running_sum(["id"], "day", "b0")})
-    return se.cross_correlation(cum, ["id"], "day", "a", "b", 1.0, 10.0)
+    return se.cross_correlation(cum, ["id"], "day", "a", "b", 1.0, max_lag_days)
+
+
+def _few_correlations(spark, d):
+    return _correlations(series(spark, d).filter("id < 60"), 10.0)
+
+
+def _all_correlations(spark, d):
+    return _correlations(series(spark, d), PARAMS.max_lag_days)
 
 
 @query("c155_correlation", f"WITH {SERIES_SQL}, {_XC} SELECT id, lag, round(c, 5) AS correlation FROM c")
 def correlation(spark, d):
-    return _correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
+    return _few_correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
 
 
 @query("c157_best_lag", f"WITH {SERIES_SQL}, {_XC} SELECT id, lag FROM (SELECT id, lag, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, lag) AS k FROM c) WHERE k = 1")
 def best_lag(spark, d):
-    return se.best_lag(_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
+    return se.best_lag(_few_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
+
+
+@query("c155_correlation_all", None)
+def correlation_all(spark, d):
+    """All users and lags to 120 days."""
+    return _all_correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
+
+
+@query("c157_best_lag_all", None)
+def best_lag_all(spark, d):
+    return se.best_lag(_all_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
 
 
 @query(
@@ -485,8 +514,12 @@ def polynomials(spark, d):
 _TEST = "o AS (SELECT o_orderstatus AS v, o_orderpriority AS g, round(o_totalprice / 1000) AS x FROM orders WHERE o_orderkey % 7 = 0)"
 
 
-def _tested(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+def _few_tested(spark, d):
+    return _tested(spark, d, "o_orderkey % 7 = 0")
+
+
+def _tested(spark, d, where="true"):
+    o = table(spark, d, "orders").filter(where)
     return o.select(F.col("o_orderstatus").alias("v"), F.col("o_orderpriority").alias("g"), F.round(F.col("o_totalprice") / 1000).alias("x"))
 
 
@@ -498,7 +531,7 @@ def _tested(spark, d):
     SELECT v, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (power(n, 3) - n)), 6) AS h, k_groups, n::BIGINT AS n FROM q JOIN t USING (v)""",
 )
 def kruskal(spark, d):
-    return stats.kruskal_h(_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
+    return stats.kruskal_h(_few_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
 
 
 @query(
@@ -507,6 +540,16 @@ def kruskal(spark, d):
     SELECT p.v, g1, g2, sum(CASE WHEN x.x > y.x THEN 1.0 WHEN x.x = y.x THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM p JOIN o x ON x.v = p.v AND x.g = g1 JOIN o y ON y.v = p.v AND y.g = g2 GROUP BY p.v, g1, g2""",
 )
 def rank_sums(spark, d):
+    return stats.rank_sums(_few_tested(spark, d), ["v"], "g", "x").select("v", "g1", "g2", "u")
+
+
+@query("t149_kruskal_all", None)
+def kruskal_all(spark, d):
+    return stats.kruskal_h(_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
+
+
+@query("t150_rank_sums_all", None)
+def rank_sums_all(spark, d):
     return stats.rank_sums(_tested(spark, d), ["v"], "g", "x").select("v", "g1", "g2", "u")
 
 
@@ -536,7 +579,15 @@ _P = "p AS (SELECT o_custkey % 50 AS g, o_orderkey AS id, (o_orderkey * 37 % 100
            round(least(min(p * m / k) OVER (PARTITION BY g ORDER BY k), 1.0), 6) AS literal, round(least((m - k + 1) * p, 1.0), 6) AS holm FROM k""",
 )
 def adjusted(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 11 = 0")
+    return _adjusted(table(spark, d, "orders").filter("o_orderkey % 11 = 0"))
+
+
+@query("t153_adjusted_all", None)
+def adjusted_all(spark, d):
+    return _adjusted(table(spark, d, "orders"))
+
+
+def _adjusted(o):
     p = o.groupBy((F.col("o_custkey") % 50).alias("g"), ((F.col("o_orderkey") * 37 % 1009) / F.lit(1009.0)).alias("p")).agg(F.min("o_orderkey").alias("id"))
     got = stats.holm(stats.benjamini_hochberg(stats.benjamini_hochberg(p, ["g"], "p", "standard"), ["g"], "p", "literal", standard=False), ["g"], "p", "holm")
     return got.select("id", r("standard").alias("standard"), r("literal").alias("literal"), r("holm").alias("holm"))
