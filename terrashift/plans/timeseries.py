@@ -461,6 +461,10 @@ def _curves(spark, d):
 _BETAS, _ENDS = [1.0, 3.0, 7.0], [0.5, 0.7, 0.9]
 
 
+def _steps(low, high, n):
+    return [low + (high - low) * i / (n - 1) for i in range(n)]
+
+
 @query(
     "c159_grid_fit",
     f"""WITH {SERIES_SQL}, {_CURVE}, b AS (SELECT g, t AS t1 FROM cv WHERE abs(t - 1.52) <= 0.25), p AS (SELECT b.g, t1, t, y, t - t1 AS s FROM b JOIN cv USING (g)),
@@ -486,6 +490,20 @@ def log_fit(spark, d):
     return got.select("g", r("k").alias("k"), "c", r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
 
 
+@query("c159_grid_fit_all", None)
+def grid_fit_all(spark, d):
+    """40 end levels and 100 decay rates."""
+    got = fits.decay_grid_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
+    return got.select("g", r("t1").alias("t1"), r("k").alias("k"), r("c").alias("c"), r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
+
+
+@query("c160_log_fit_all", None)
+def log_fit_all(spark, d):
+    """61 end levels."""
+    got = fits.decay_loglinear_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.log_end_levels), before=0.8)
+    return got.select("g", r("k").alias("k"), r("c").alias("c"), r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
+
+
 @query("c161_decay_times", "WITH p AS (SELECT p_partkey AS id, p_size / 10.0::DOUBLE AS beta, (p_partkey % 9 - 2) / 10.0::DOUBLE AS k, p_retailprice / 1000 AS a FROM part) SELECT id, round(ln(2) / beta, 6) AS t50, round(ln(10) / beta, 6) AS t90, CASE WHEN k > 0 THEN round(ln(a * beta / k) / beta, 6) END AS tau_star FROM p")
 def decay_times(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / F.lit(10.0)).alias("beta"), ((F.col("p_partkey") % 9 - 2) / F.lit(10.0)).alias("k"), (F.col("p_retailprice") / 1000).alias("a"))
@@ -499,7 +517,7 @@ def resampled_fit(spark, d):
     draws = fits.resampled_ids(ev, "id", 20)
     daily = ev.groupBy("id", (F.floor("d").cast("double") / 10).alias("t")).agg(F.sum("value").alias("v"))
     curves = daily.join(draws, "id").groupBy("draw", "t").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times") / 100).alias("y"))
-    fitted = fits.decay_grid_fit(curves, ["draw"], "t", "y", 1.52, _BETAS, _ENDS)
+    fitted = fits.decay_grid_fit(curves, ["draw"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
     return ag.percentiles(fitted, [], "beta", {"low": 0.025, "mid": 0.5, "high": 0.975})
 
 
@@ -596,13 +614,13 @@ def _adjusted(o):
 @query("t151_bootstrap", None)
 def bootstrap(spark, d):
     long = _grouped(spark, d).select("id", "grp", "v2", "quantity", "discount").unpivot(["id", "grp"], ["v2", "quantity", "discount"], "variable", "value")
-    return stats.bootstrap_median_difference(long, "variable", "grp", "value", "Faster", "Slower", draws=2000)
+    return stats.bootstrap_median_difference(long, "variable", "grp", "value", "Faster", "Slower", draws=PARAMS.bootstrap_draws, seed=PARAMS.bootstrap_seed)
 
 
 @query("t151_bootstrap_ranks", None)
 def bootstrap_ranks(spark, d):
     long = _grouped(spark, d).select("id", "grp", "v2", "quantity", "discount").unpivot(["id", "grp"], ["v2", "quantity", "discount"], "variable", "value")
-    return stats.bootstrap_by_ranks(long, "variable", "grp", "value", "Faster", "Slower", draws=2000)
+    return stats.bootstrap_by_ranks(long, "variable", "grp", "value", "Faster", "Slower", draws=PARAMS.bootstrap_draws, seed=PARAMS.bootstrap_seed)
 
 
 @query("t154_significance", None)

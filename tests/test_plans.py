@@ -4,6 +4,7 @@ import glob
 import math
 import os
 
+import numpy as np
 import pytest
 
 from terrashift.plans import ORACLES, QUERIES
@@ -72,3 +73,54 @@ def test_rank_tests_use_all_orders(spark, duck, name):
     pairs = QUERIES[name](spark, DATA).collect()
     sizes = {(v, g): n for v, g, n in duck.sql("SELECT o_orderstatus, o_orderpriority, count(*) FROM orders GROUP BY ALL").fetchall()}
     assert pairs and all((p["n1"], p["n2"]) == (sizes[p["v"], p["g1"]], sizes[p["v"], p["g2"]]) for p in pairs)
+
+
+def brute_fits(d, y, event):
+    """The best of all combinations, with the break searched and with a fixed one and logarithms."""
+    best, log_best = [], []
+    for t1 in d[np.abs(d - event) <= 0.25]:
+        pre = (d <= t1) & (d >= t1 - 1)
+        if pre.sum() < 2 or (d >= t1).sum() < 2:
+            continue
+        k, y1 = np.polyfit(d[pre] - t1, y[pre], 1)
+        for c in np.linspace(0.7, 1.0, 40):
+            for beta in np.linspace(0.1, 2.0, 100):
+                f = np.where(d < t1, k * (d - t1) + y1, c - (c - y1) * np.exp(-beta * np.maximum(d - t1, 0)))
+                best.append((round(float(np.sqrt(np.mean((f - y) ** 2))), 12), t1, c, beta))
+    s = d - event
+    pre, post = (s < 0) & (s >= -0.8), s >= 0
+    k, y1 = np.polyfit(s[pre], y[pre], 1)
+    for c in np.linspace(0.6, 1.2, 61):
+        ok = post & (c > y)
+        if c <= y1 or ok.sum() < 2:
+            continue
+        slope, a = np.polyfit(s[ok], np.log(c - y[ok]), 1)
+        f = np.where(s < 0, k * s + y1, c - np.exp(a + slope * s))
+        log_best.append((round(float(np.sqrt(np.mean((f - y) ** 2))), 12), c, -slope))
+    return min(best), min(log_best) if log_best else None
+
+
+def test_fits_search_the_grids_of_the_survey(spark, monkeypatch):
+    from terrashift.plans import timeseries
+
+    t = np.arange(0, 4, 0.1)
+    y = np.where(t < 1.5, 0.05 * t + 0.1, 0.87 - (0.87 - 0.175) * np.exp(-0.6 * (t - 1.5))) + 0.004 * np.sin(9 * t)
+    fixture = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(t, y, strict=True)], "g string, t double, y double")
+    monkeypatch.setattr(timeseries, "_curves", lambda spark, d: fixture)
+    grid, logs = brute_fits(t, y, 1.52)
+    got = QUERIES["c159_grid_fit_all"](spark, DATA).first()
+    assert [got["rmse"], got["t1"], got["c"], got["beta"]] == pytest.approx(grid, abs=2e-6)
+    got = QUERIES["c160_log_fit_all"](spark, DATA).first()
+    assert [got["rmse"], got["c"], got["beta"]] == pytest.approx(logs, abs=2e-6)
+
+
+def test_resampled_fits_and_draws_are_those_of_the_survey(spark, monkeypatch):
+    from terrashift.operators import fits, stats
+
+    seen, fit = [], fits.decay_grid_fit
+    monkeypatch.setattr(fits, "decay_grid_fit", lambda c, by, t, y, e, betas, ends: seen.append((betas, ends)) or fit(c, by, t, y, e, betas[:2], ends[:2]))
+    QUERIES["c162_resampled_fit"](spark, DATA)
+    assert np.allclose(seen[0][0], np.linspace(0.1, 2.0, 100)) and np.allclose(seen[0][1], np.linspace(0.7, 1.0, 40))
+    for name, plan in (("bootstrap_median_difference", "t151_bootstrap"), ("bootstrap_by_ranks", "t151_bootstrap_ranks")):
+        monkeypatch.setattr(stats, name, lambda *a, draws, seed: (draws, seed))
+        assert QUERIES[plan](spark, DATA) == (10_000, 123)
