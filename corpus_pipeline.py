@@ -21,10 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs, words=5, threshold=80).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of near-duplicate rows one stays, of those with the smallest id; null ids come last.
+
+    Rows are compared by a number of their own, so repeated and null ids are rows like all others.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = minhash.near_duplicates(rows, words=5, threshold=80, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("f"))
+    return rows.join(first.select(F.col("f._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -667,6 +667,22 @@ def test_pipeline(spark):
     assert none.count() == 0
 
 
+def test_one_row_of_repeated_documents_leaves_the_pipeline_whole(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    prose = lambda s: " ".join(random.Random(s).choices([f"word{i}" for i in range(900)], k=150))
+    near = prose(4) + " end"
+    rows = [(5, prose(1)), (5, prose(1)), (9, prose(1)), (6, prose(2)), (6, near), (3, prose(4)), (None, prose(5)), (None, prose(5)), (None, prose(6)), (7, prose(6)), (None, prose(7))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = sorted([(5, prose(1)), (6, prose(2)), (3, prose(4)), (None, prose(5)), (7, prose(6)), (None, prose(7))], key=str)
+    for name in ("near duplicates", "suffix-array dedup"):
+        out = stages[name](spark, df, DATA)
+        kept = [tuple(r) for r in out.select("doc_id", "text").collect()]
+        assert sorted(kept, key=str) == want, name
+        df = spark.createDataFrame(kept, SCHEMA)
+
+
 def brute_redact(t):
     import re
 
