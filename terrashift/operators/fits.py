@@ -77,6 +77,25 @@ def decay_times(k: Column, beta: Column, amplitude: Column) -> dict[str, Column]
     }
 
 
+def fit_intervals(fitted: DataFrame, event: float, alpha: float = 0.05) -> DataFrame:
+    """One row over the fits of all draws (t1, k, b, c, beta): low, middle and high of each parameter and of the
+    decay times, as <name>_low and so on, and the share of draws that break after the event, ``p_after``."""
+    amplitude = F.col("c") - (F.col("k") * F.col("t1") + F.col("b"))
+    rows = fitted.select("k", "beta", "t1", *[c.alias(n) for n, c in decay_times(F.col("k"), F.col("beta"), amplitude).items()])
+    shares = {"low": alpha / 2, "mid": 0.5, "high": 1 - alpha / 2}
+    sides = [F.percentile(n, F.lit(q)).alias(f"{n}_{side}") for n in ("k", "beta", "t50", "t90", "tau_star", "t1") for side, q in shares.items()]
+    return rows.agg(*sides, F.avg((F.col("t1") > event).cast("double")).alias("p_after"))
+
+
+def fit_band(fitted: DataFrame, times: DataFrame, t: str, alpha: float = 0.05) -> DataFrame:
+    """(t, low, high): the interval of the fitted curves of all draws at each of ``times``."""
+    at = times.select(F.col(t).alias("t"), F.lit(1).alias("_k")).distinct()
+    since, y1 = F.col("t") - F.col("t1"), F.col("k") * F.col("t1") + F.col("b")
+    model = F.when(since < 0, F.col("k") * since + y1).otherwise(F.col("c") - (F.col("c") - y1) * F.exp(-F.col("beta") * since))
+    curves = fitted.withColumn("_k", F.lit(1)).join(at, "_k").select("t", model.alias("y"))
+    return curves.groupBy("t").agg(F.percentile("y", F.lit(alpha / 2)).alias("low"), F.percentile("y", F.lit(1 - alpha / 2)).alias("high"))
+
+
 def polynomial_rmse(df: DataFrame, by: list[str], t: str, ys: list[str], degree: int = 4) -> DataFrame:
     """(by, rmse_<y>...): root mean square residual of a polynomial in time for each column, one task per series."""
 

@@ -510,15 +510,25 @@ def decay_times(spark, d):
     return p.select("id", *[r(c).alias(n) for n, c in fits.decay_times(F.col("k"), F.col("beta"), F.col("a")).items()])
 
 
-@query("c162_resampled_fit", None)
-def resampled_fit(spark, d):
-    """Percentile interval of the decay rate over resampled sites, 20 draws."""
+def _resampled(spark, d):
+    """Fits over resampled sites, 20 draws."""
     ev = series(spark, d)
     draws = fits.resampled_ids(ev, "id", 20)
     daily = ev.groupBy("id", (F.floor("d").cast("double") / 10).alias("t")).agg(F.sum("value").alias("v"))
     curves = daily.join(draws, "id").groupBy("draw", "t").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times") / 100).alias("y"))
-    fitted = fits.decay_grid_fit(curves, ["draw"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
-    return ag.percentiles(fitted, [], "beta", {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return fits.decay_grid_fit(curves, ["draw"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
+
+
+@query("c162_resampled_fit", None)
+def resampled_fit(spark, d):
+    """Percentile intervals of all parameters, and the share of draws that break after the event."""
+    return fits.fit_intervals(_resampled(spark, d), 1.52, PARAMS.alpha)
+
+
+@query("c162_band", None)
+def resampled_band(spark, d):
+    times = series(spark, d).select((F.floor("d").cast("double") / 10).alias("t"))
+    return fits.fit_band(_resampled(spark, d), times, "t", PARAMS.alpha)
 
 
 @query("c069_polynomials", None)

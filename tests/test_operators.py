@@ -187,6 +187,22 @@ def test_decay_fit_recovers_a_curve(spark):
     assert log["c"] == 0.9 and log["beta"] == pytest.approx(3.0, abs=1e-6)
 
 
+def test_intervals_and_band_of_resampled_fits(spark):
+    rows = [(i, 1.4 + 0.05 * i, 0.1 * i - 0.1, 0.02 * i, 0.8 + 0.01 * i, 0.5 + 0.1 * i) for i in range(6)]
+    fitted = frame(spark, "draw int, t1 double, k double, b double, c double, beta double", *rows)
+    _, t1, k, b, c, beta = np.array(rows).T
+    a = c - (k * t1 + b)
+    usable = (k > 0) & (a > 0)
+    want = {"k": k, "beta": beta, "t50": math.log(2) / beta, "t90": math.log(10) / beta, "tau_star": np.log(a * beta / np.where(usable, k, 1))[usable] / beta[usable], "t1": t1}
+    got = fits.fit_intervals(fitted, 1.52).first()
+    for name, values in want.items():
+        assert [got[f"{name}_{s}"] for s in ("low", "mid", "high")] == pytest.approx(np.percentile(values, [2.5, 50, 97.5]))
+    assert got["p_after"] == pytest.approx(np.mean(t1 > 1.52))
+    for row in fits.fit_band(fitted, frame(spark, "t double", (1.0,), (1.5,), (3.0,), (3.0,)), "t").collect():
+        y = np.where(row["t"] < t1, k * row["t"] + b, c - a * np.exp(-beta * (row["t"] - t1)))
+        assert [row["low"], row["high"]] == pytest.approx(np.percentile(y, [2.5, 97.5]))
+
+
 def test_loglinear_fit_falls_back_to_the_line(spark):
     df = frame(spark, "g string, t double, y double", ("a", 0.0, 0.0), ("a", 0.1, 0.1), ("a", 0.2, 5.0))
     fit = fits.decay_loglinear_fit(df, ["g"], "t", "y", 0.2, [1.0]).first()
