@@ -2,12 +2,12 @@
 
 The rank file is read from ``rank_file``. Each match of the pattern is encoded on its own. The matches of a batch
 that are new to the worker are bucketed by length and laid out as the rows of a padded matrix of ids;
-in each round every row merges its leftmost pair of least rank, found by a hashed lookup of all
-adjacent pairs at once, and rows are compacted in place, until no row has a pair to merge.
+in each round every row merges its leftmost pair of least rank, pairs being looked up in a hash table
+for all rows at once, and rows are compacted as they empty, until no row has a pair to merge.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
 one by one; an empty table gives an empty table; other columns are ignored. Texts of any length are
-whole: a long match is a row of a wide matrix with few rows.
+whole: a long match is a row of a wide matrix with few rows, treated as all others are.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from terrashift.llm.common import text_or_empty
 
-#: Bounds of what a worker remembers, and of the cells of one matrix.
-MAX_KNOWN, MAX_KNOWN_BYTES, MAX_CELLS = 300_000, 64, 1 << 20
+#: Bounds of what a worker remembers, and of the cells of one matrix; rows below this width are one block.
+MAX_KNOWN, MAX_KNOWN_BYTES, MAX_CELLS, NARROW = 300_000, 64, 1 << 20, 64
 
 _NONE = np.int32(2**31 - 1)
 
@@ -86,40 +86,72 @@ class ByteBpe:
         self.whole = ranks
         self.known: dict[str, bytes] = {}
 
-    def _merge(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Merge the rows of ``ids`` in place; -1 pads. A round looks up again only the pairs beside a merge."""
-        wide = ids.astype(np.int64)
-        live = (wide[:, :-1] >= 0) & (wide[:, 1:] >= 0)
-        ranks = np.full(live.shape, _NONE, np.int32)
-        ranks[live] = self.pairs.get((wide[:, :-1][live] << 32) | wide[:, 1:][live])
-        rows = np.arange(len(ids))
+    def _merge(self, ids: np.ndarray) -> list[np.ndarray]:
+        """The merged ids of each row of ``ids``; -1 pads.
+
+        A merge marks a cell dead and looks up again only the pairs beside it; the least rank of a row
+        comes from the least ranks of its blocks, so a round costs the root of the width. Rows are
+        compacted to the left when half of their width is dead.
+        """
+        out: list[np.ndarray] = [ids[:0, 0]] * len(ids)
+        owner = np.arange(len(ids))
         while True:
-            at = ranks[rows].argmin(axis=1) if len(rows) < len(ids) else ranks.argmin(axis=1)
-            best = ranks[rows, at]
-            going = best != _NONE
-            rows, at, best = rows[going], at[going], best[going]
-            if not len(rows):
-                return
-            ids[rows, at] = best
-            width = ids.shape[1]
-            columns = np.arange(width)
-            # compaction: what follows the merged pair moves one place to the left
-            source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            moved = np.take_along_axis(ids[rows], source, axis=1)
-            moved[:, -1] = -1
-            ids[rows] = moved
-            lengths[rows] -= 1
-            kept = np.take_along_axis(ranks[rows], np.minimum(source[:, :-1], width - 2), axis=1)
-            kept[:, -1] = _NONE
-            ranks[rows] = kept
-            for place in (at - 1, at):  # the pairs on both sides of the merge are new
-                fits = (place >= 0) & (place < width - 1)
-                r, c = rows[fits], place[fits]
-                a, b = ids[r, c].astype(np.int64), ids[r, c + 1].astype(np.int64)
-                new = np.full(len(r), _NONE, np.int32)
-                ok = b >= 0
-                new[ok] = self.pairs.get((a[ok] << 32) | b[ok])
-                ranks[r, c] = new
+            count, used = ids.shape
+            block = used + 1 if used < NARROW else int(np.sqrt(used)) + 1
+            blocks = -(-(used + 1) // block)
+            width = blocks * block
+            last = width - 1  # always padding: what a row's end has for a neighbour
+            cells = np.full((count, width), -1, np.int64)
+            cells[:, :used] = ids
+            following, before = np.tile(np.minimum(np.arange(width) + 1, last), (count, 1)), np.tile(np.arange(width) - 1, (count, 1))
+            before[:, 0] = last
+            ranks = np.full((count, width), _NONE, np.int32)
+            live = (ids[:, :-1] >= 0) & (ids[:, 1:] >= 0)
+            ranks[:, : used - 1][live] = self.pairs.get((ids[:, :-1][live].astype(np.int64) << 32) | ids[:, 1:][live])
+            going = self._rounds(cells.reshape(-1), following.reshape(-1), before.reshape(-1), ranks, blocks, max(8, used // 2))
+            done = np.ones(count, bool)
+            done[going] = False
+            sizes = (cells >= 0).sum(axis=1)
+            for row, merged in zip(owner[done].tolist(), np.split(cells[done][cells[done] >= 0], np.cumsum(sizes[done]))[:-1], strict=True):
+                out[row] = merged
+            if not len(going):
+                return out
+            # compaction: what is left of the rows that go on moves to the left
+            packed = cells[going]
+            ids = np.full((len(going), int(sizes[going].max())), -1, np.int32)
+            ids[np.arange(ids.shape[1]) < sizes[going][:, None]] = packed[packed >= 0]
+            owner = owner[going]
+
+    def _rounds(self, cells: np.ndarray, following: np.ndarray, before: np.ndarray, ranks: np.ndarray, blocks: int, most: int) -> np.ndarray:
+        """Up to ``most`` rounds in place, a merge of every row in each; the rows that have pairs left."""
+        count, width = ranks.shape
+        by_block = ranks.reshape(count * blocks, -1)
+        block, flat = by_block.shape[1], ranks.reshape(-1)
+        least = by_block.min(axis=1).reshape(count, blocks)
+        rows = np.arange(count)
+        for _ in range(most):
+            first = rows * blocks
+            first += (least if len(rows) == count else least[rows]).argmin(axis=1)
+            best = least.reshape(-1)[first]
+            if best.max() == _NONE:
+                going = best != _NONE
+                rows, first, best = rows[going], first[going], best[going]
+                if not len(rows):
+                    return rows
+            base = rows * width
+            at = first * block + by_block[first].argmin(axis=1)
+            gone = base + following[at]
+            right, left = base + following[gone], base + before[at]
+            cells[at], cells[gone] = best, -1
+            following[at] = right - base
+            before[right] = at - base
+            made = best.astype(np.int64)
+            flat[gone] = _NONE
+            new = self.pairs.get(np.concatenate((cells[left] << 32 | made, made << 32 | cells[right])))
+            flat[left], flat[at] = new[: len(rows)], new[len(rows) :]
+            touched = np.concatenate((gone, at, left)) // block
+            least.reshape(-1)[touched] = by_block[touched].min(axis=1)
+        return rows
 
     def encode_matches(self, matches: list[bytes]) -> list[bytes]:
         """Ids of each match as little-endian unsigned 32-bit integers."""
@@ -141,60 +173,13 @@ class ByteBpe:
                 end += 1
             rows = todo[start:end]
             width = int(sizes[rows[-1]])
-            if len(rows) == 1 and width > 4096:
-                out[rows[0]] = self._encode_long(matches[rows[0]])
-                start = end
-                continue
             block = np.frombuffer(b"".join(matches[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
-            lengths = sizes[rows].copy()
-            ids = np.where(np.arange(width) < lengths[:, None], self.of_byte[block], np.int32(-1)).astype(np.int32)
-            if width > 1:
-                self._merge(ids, lengths)
-            for i, row, n in zip(rows, ids.astype("<u4"), lengths, strict=True):
-                out[i] = row[:n].tobytes()
+            ids = np.where(np.arange(width) < sizes[rows][:, None], self.of_byte[block], np.int32(-1)).astype(np.int32)
+            for i, row in zip(rows, self._merge(ids), strict=True):
+                out[i] = row.astype("<u4").tobytes()
             start = end
         return out
 
-    def _encode_long(self, match: bytes) -> bytes:
-        """One very long match: a one-row matrix whose rounds take every pair of the least rank at once.
-
-        Pairs of equal rank that overlap are taken from the left, and merges of a rank can't make a
-        pair of lower rank that the leftmost order would have taken first unless it touches them, so
-        a round stops at the first merge that makes a lower-ranked neighbour.
-        """
-        ids = self.of_byte[np.frombuffer(match, np.uint8)].astype(np.int64)
-        while len(ids) > 1:
-            ranks = self.pairs.get((ids[:-1] << 32) | ids[1:])
-            least = ranks.min()
-            if least == _NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            # of overlapping places (runs of neighbours) every second one counts, from the left
-            run = np.concatenate(([True], np.diff(at) != 1))
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - begin) % 2 == 0]
-            made = self._until_lower(ids, at, int(least))
-            keep = np.ones(len(ids), bool)
-            keep[made + 1] = False
-            ids[made] = least
-            ids = ids[keep]
-        return ids.astype("<u4").tobytes()
-
-    def _until_lower(self, ids: np.ndarray, at: np.ndarray, merged: int) -> np.ndarray:
-        """The leading places of ``at`` up to the first whose merge makes a pair of a lower rank."""
-        new = np.int64(merged)
-        before = np.full(len(at), _NONE, np.int64)
-        has = at > 0
-        joined = np.zeros(len(at), bool)
-        joined[1:] = at[1:] == at[:-1] + 2  # the neighbour on the left is itself a fresh merge
-        left = np.where(joined, new, ids[np.maximum(at - 1, 0)])
-        before[has] = self.pairs.get((left[has] << 32) | new)
-        after = np.full(len(at), _NONE, np.int64)
-        has = at + 2 < len(ids)
-        after[has] = self.pairs.get((new << 32) | ids[np.minimum(at + 2, len(ids) - 1)][has])
-        lower = np.flatnonzero(np.minimum(before, after) < merged)
-        return at[: lower[0] + 1] if len(lower) else at
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         matched = [self.matches(t) for t in texts]
@@ -252,6 +237,13 @@ def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(bpe.encode_batch(texts), pa.binary())], names=["doc_id", "ids"])
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    decode = codec(rank_file, pattern).decode
+    for part in _encode(batches, rank_file, pattern):
+        decoded = pa.array(map(decode, part.column("ids").to_pylist()), pa.binary(), size=part.num_rows)
+        yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=["doc_id", "ids", "decoded"])
+
+
 def _decode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(rank_file, pattern)
     for batch in batches:
@@ -271,5 +263,11 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decode(b, rank_file, pattern), "doc_id long, ids binary, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) in one step, so that one worker for each core holds the vocabulary."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(lambda b: _round_trip(b, rank_file, pattern), "doc_id long, ids binary, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
