@@ -2,8 +2,9 @@
 
 An archive is two Parquet tables under one path. ``blobs`` is content-addressed: one row for each
 distinct payload under its SHA-256. ``records`` keeps the exact header bytes of every record and the
-digest of its payload. A record is rebuilt by joining the two; each blob is verified against its
-address when it is read, and a blob that doesn't fit it stops the read with an error.
+digest of its payload. A record is rebuilt by joining the two. Each blob is verified against its
+address when it is read and each record against its own header, and what doesn't fit stops the read
+with an error. Both joins deal the records of a frequent payload to several tasks.
 
 Defined results: a null payload is the empty payload; of records with equal payloads those with the
 smallest id are responses and all others revisits (null ids come after all others; repeated rows of
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrashift.llm.common import dealt_join
+
 _CRLF = "\r\n"
 _BASE32_FROM, _BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,23 +64,24 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", url: str =
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     spark = pages.sparkSession
-    rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/blobs")
-    firsts = spark.read.parquet(f"{path}/blobs").select("digest", "first_id")
+    blobs = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_records"), F.first("payload").alias("payload"))
+    blobs.write.option("compression", "zstd").parquet(f"{path}/blobs")
+    firsts = spark.read.parquet(f"{path}/blobs").select("digest", "first_id", "n_records")
     slim = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     own = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < revisit_from)
     kind = F.when(own, "response").otherwise("revisit")
-    slim.join(firsts, "digest").select("digest", _header(kind).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
+    dealt_join(slim, firsts, "digest", "n_records", "page_id").select("digest", _header(kind).cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, payload), every payload checked against its address."""
-    blobs = spark.read.parquet(f"{path}/blobs").select("digest", "payload")
+    """(digest, n_records, payload), every payload checked against its address."""
+    blobs = spark.read.parquet(f"{path}/blobs").select("digest", "n_records", "payload")
     bad = F.unhex(F.sha2("payload", 256)) != F.col("digest")
     return blobs.withColumn("payload", F.when(bad, F.raise_error(F.lit("a stored payload doesn't fit its digest")).cast("binary")).otherwise(F.col("payload")))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, header, page_id, url, record_type, stated_digest, refers_to), parsed from the exact header bytes."""
+    """(digest, header, page_id, url, record_type, stated_digest, stated_length, refers_to), parsed from the exact header bytes."""
     text = F.decode("header", "UTF-8")
     field = lambda name, pattern: F.regexp_extract(text, rf"\r\n{name}: {pattern}\r\n", 1)
     ident = lambda name: field(name, r"<urn:page:([^>]*)>")
@@ -87,30 +91,42 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Target-URI", r"([^\r]*)").alias("url"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated_digest"),
+        field("Content-Length", "([0-9]+)").try_cast("long").alias("stated_length"),
         ident("WARC-Refers-To").try_cast("long").alias("refers_to"),
     )
 
 
+def _or_stop(ok: Column, value: Column, problem: str, kind: str) -> Column:
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(problem)).cast(kind))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Each record rebuilt: (page_id, url, record_type, refers_to, header, payload, record).
+    """Each record rebuilt: (page_id, url, record_type, refers_to, header, payload, record, stated_digest).
 
     ``record`` is the whole record as it stands in a WARC file; that of a revisit ends after its
-    header block, while ``payload`` is the full payload for it too.
+    header block, while ``payload`` is the full payload for it too. The block that follows the WARC
+    header must be as long as that header states.
     """
-    whole = read_headers(spark, path).join(read_blobs(spark, path), "digest")
+    whole = dealt_join(read_headers(spark, path), read_blobs(spark, path), "digest", "n_records", "header")
     end = F.lit(_CRLF * 2).cast("binary")
     record = F.when(F.col("record_type") == "response", F.concat("header", "payload", end)).otherwise(F.concat("header", end))
-    return whole.select("page_id", "url", "record_type", "refers_to", "header", "payload", record.alias("record"))
+    begin = F.instr(F.decode("header", "ISO-8859-1"), _CRLF * 2) + 3
+    fits = F.octet_length("record") - begin - 4 == F.col("stated_length")
+    checked = _or_stop(fits, F.col("record"), "a record is not as long as its header states", "binary")
+    return whole.withColumn("record", record).select("page_id", "url", "record_type", "refers_to", "header", "payload", checked.alias("record"), "stated_digest")
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, rebuilt from the archive.
 
-    Length and digest are those of the stored bytes, taken once for each blob; only they are joined
-    to the headers. A header that states another digest stops the read.
+    Length and digest are taken from what was rebuilt: of a response from the bytes between its header
+    and its end, of a revisit from the payload that it refers to. A header that states another digest
+    stops the read.
     """
-    blobs = read_blobs(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    heads = read_headers(spark, path).select("digest", "page_id", "record_type", "stated_digest", "refers_to")
-    wrong = F.col("stated_digest") != F.col("payload_digest")
-    checked = F.when(wrong, F.raise_error(F.lit("a header states another payload digest"))).otherwise(F.col("payload_digest"))
-    return heads.join(blobs, "digest").select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    size = F.octet_length("record") - F.octet_length("header") - 4
+    inside = F.substring(F.col("record"), F.octet_length("header") + 1, size)
+    body = F.when(F.col("record_type") == "response", inside).otherwise(F.col("payload"))
+    rebuilt = read_records(spark, path).withColumn("body", body)
+    digest = base32_sha1(F.col("body"))
+    checked = _or_stop(F.col("stated_digest") == F.col("digest"), F.col("digest"), "a header states another payload digest", "string")
+    return rebuilt.withColumn("digest", digest).select("page_id", F.octet_length("body").cast("long").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
