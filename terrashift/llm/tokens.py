@@ -46,7 +46,11 @@ class PieceCounter:
         spec = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
             raise ValueError("only BPE models without normalization and with a leading space are supported")
-        normal = [p for p in model.pieces if p.type == 1]  # others never come out of merges
+        if not model.trainer_spec.byte_fallback:
+            raise ValueError("a model without byte fallback counts unknown characters in another way")
+        if any(p.type in (4, 5) for p in model.pieces):
+            raise ValueError("user-defined and unused pieces take part in merges in a way of their own")
+        normal = [p for p in model.pieces if p.type == 1]  # control, unknown and byte pieces never come out of merges
         # rank: 0 for the best score; equal scores share a rank, so that position decides
         scores = sorted({p.score for p in normal}, reverse=True)
         rank = {s: i for i, s in enumerate(scores)}
