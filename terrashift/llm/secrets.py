@@ -43,7 +43,8 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     # [0-9a-f]+ takes whole runs of hex digits, so the runs of 24 or more are the same matches
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # the block to its END line, or where there is none the lines of base64 that follow
+    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*){0,60})"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -130,19 +131,22 @@ def spans_by_blob(ledger_findings: DataFrame, rules: tuple[Rule, ...] = RULES) -
     return current.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "rank", "end", "kind"))).alias("found"))
 
 
+def _found_in(rows: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(digest, found) of the blobs of ``rows``, not of all that the ledger ever saw."""
+    findings = rows.sparkSession.read.parquet(f"{ledger}/findings")
+    return spans_by_blob(findings.join(rows.select("digest").distinct(), "digest", "left_semi"), rules)
+
+
 def report(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, found) for every row of ``versions``; ``found`` is an array, empty where nothing was found."""
-    found = spans_by_blob(versions.sparkSession.read.parquet(f"{ledger}/findings"), rules)
     rows = versions.select(F.col(doc_id).cast("long").alias("doc_id"), address(text_or_empty(text)).alias("digest"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return rows.join(found, "digest", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    return rows.join(_found_in(rows, ledger, rules), "digest", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by ``[kind]``; overlapping spans become one."""
-    columns = docs.columns
-    found = spans_by_blob(docs.sparkSession.read.parquet(f"{ledger}/findings"), rules).select(F.col("digest").alias("_digest"), F.col("found").alias("_found"))
-    whole = F.col(text)
+    whole = F.col(f"row.`{text}`")
 
     def step(acc: Column, m: Column) -> Column:
         fresh = m["start"] >= acc["at"]
@@ -154,9 +158,11 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole)))
-    clean = F.when(F.col("_found").isNull(), whole).otherwise(F.aggregate("_found", start, step, rest))
-    joined = docs.withColumn("_digest", address(text_or_empty(text))).join(found, "_digest", "left")
-    return joined.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in columns])
+    clean = F.when(F.col("found").isNull(), whole).otherwise(F.aggregate("found", start, step, rest))
+    # the user's columns ride in a struct, where no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), address(text_or_empty(F.col(f"`{text}`"))).alias("digest"))
+    joined = rows.join(_found_in(rows, ledger, rules), "digest", "left")
+    return joined.select(*[(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _joined(found: Column) -> Column:
