@@ -8,7 +8,7 @@ read again. All of it is DataFrame functions; no row leaves the JVM and no text
 Defined results: a null or empty text has no words and measures 0 everywhere; words are maximal runs
 of characters other than space and U+0009..U+000D; lines are split at ``\\n`` alone; repeated rows
 are judged one by one; an empty table gives an empty ledger; other columns pass through ``annotate``
-untouched and are dropped by ``ledger``.
+and ``keep`` untouched, whatever their names, and are dropped by ``ledger``.
 """
 
 from __future__ import annotations
@@ -139,10 +139,15 @@ def apply_policy(ledger_df: DataFrame, policy: Policy) -> DataFrame:
     return ledger_df.withColumn("kept", ~failed(policy)).withColumn("policy", F.lit(f"{policy.name}/{policy.version}"))
 
 
-def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns as they were."""
-    verdict = failed(policy, judged(text_or_empty(text))["bits"])
-    return docs.filter(~verdict)
+def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger beside the rows themselves: (row, measures..., fail_bits), ``row`` a struct of all columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judged(text_or_empty(F.col(f"`{text}`"))).alias("j"))
+    return rows.select("row", *[F.col(f"j.m.{m}").alias(m) for m in MEASURES], F.col("j.bits").alias("fail_bits"))
+
+
+def keep(annotated: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """The rows of :func:`annotate` that the policy keeps, all columns as they were."""
+    return annotated.filter(~failed(policy)).select("row.*")
 
 
 def ablations(ledger_df: DataFrame, policy: Policy) -> DataFrame:

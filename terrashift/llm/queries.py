@@ -24,8 +24,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.encode_and_decode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
