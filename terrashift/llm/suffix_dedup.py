@@ -15,11 +15,13 @@ are sorted only at anchors: the leftmost k-gram of least hash among those of eac
    offset which windows are equal.
 4. The intervals found go to their documents, are merged and cut out.
 
-A k-gram with more than ``MAX_GROUP`` open contexts doesn't come together in one task: hashes of its
-windows are counted instead, spread by their value. One with more anchors than that and than twice a
+The suffixes of a k-gram with more than ``MAX_GROUP`` open contexts don't come together in one task:
+they are split by all that a window holds, so that a group is the equal windows of one 128-bit hash,
+combined in each task before they move. A k-gram with more anchors than that and than twice a
 bucket's mean load is hot: its anchors don't even meet in step 2, but are combined in each task and
 dealt by context. Such k-grams are fewer than half the buckets, whatever the input is. Nothing is
-capped in any way.
+capped in any way. The number of buckets follows from the bytes of text, so that a bucket's anchors
+fit a task whatever ``spark.sql.shuffle.partitions`` is.
 
 What moves between tasks is packed by numpy into few rows, each for a bucket of keys.
 
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,10 @@ from terrashift.llm.common import materialize, text_or_empty
 
 #: Length of the k-grams; open contexts of one k-gram that are sorted in one task; bytes that agree before a trie is made.
 GRAM, MAX_GROUP, SHALLOW = 64, 100_000, 32
-#: Bytes of text for one numpy batch, and buckets for each shuffle partition.
-BATCH_BYTES, BUCKETS = 2_000_000, 4
+#: Bytes of text for one numpy batch; buckets for each shuffle partition at least, and bytes of text for a bucket at most.
+BATCH_BYTES, BUCKETS, BUCKET_BYTES = 1_000_000, 4, 128_000_000
+#: Tasks of a shuffle that follow from the bytes of text.
+MAX_PARTS = 100_000
 #: Anchors of hot k-grams that a task combines before it sends them on.
 HOT_RECORDS = 500_000
 
@@ -50,7 +55,7 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("rid", "<i8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("count", "i1")])
 _SPAN = np.dtype([("rid", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _ASK = np.dtype([("rid", "<i8"), ("gram", "<u8"), ("pos", "<i4"), ("left", "<i2"), ("right", "<i2"), ("count", "i1"), ("wide", "i1")])
-_WINDOW = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("count", "<i4")])
+_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("rid", "<i8"), ("start", "<i4"), ("count", "<i4")])
 
 #: ``doc_id`` is that of a text; rows of packed records have their number there.
 _ROW = "bucket int, kind int, rid long, doc_id long, data binary"
@@ -368,21 +373,22 @@ def _answer(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets:
         if windows:
             w = np.concatenate(windows)
             kept, spans = _count_windows(w, length)
-            out += [*_scatter(kept, kept["hash"], _WINDOWS, buckets), *_scatter(spans, spans["rid"], _SPANS, buckets)]
+            out += [*_scatter(kept, kept["high"], _WINDOWS, buckets), *_scatter(spans, spans["rid"], _SPANS, buckets)]
         if out:
             yield _rows(out)
 
 
 def _window_hashes(text: bytes, asks: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """64-bit hashes of all windows that hold the anchors of ``asks``."""
-    from xxhash import xxh3_64_intdigest
+    """128-bit hashes of all windows that hold the anchors of ``asks``."""
+    from xxhash import xxh3_128_digest
 
     out = []
     for a in asks:
         low, high = int(a["pos"]) - int(a["left"]), int(a["pos"]) + gram + int(a["right"])
         starts = range(max(low, int(a["pos"]) + gram - length), min(int(a["pos"]), high - length) + 1)
         w = np.zeros(len(starts), _WINDOW)
-        w["hash"] = [xxh3_64_intdigest(text[s : s + length]) for s in starts]
+        both = np.frombuffer(b"".join(xxh3_128_digest(text[s : s + length]) for s in starts), ">u8").reshape(-1, 2)
+        w["high"], w["low"] = both[:, 0], both[:, 1]
         w["rid"], w["start"], w["count"] = a["rid"], np.fromiter(starts, np.int32, len(starts)), a["count"]
         out.append(w)
     return np.concatenate(out)
@@ -393,11 +399,11 @@ def _count_windows(w: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
     One window is asked for by every anchor that it holds; it counts once.
     """
-    w = w[np.lexsort((w["count"], w["start"], w["rid"], w["hash"]))]
+    w = w[np.lexsort((w["count"], w["start"], w["rid"], w["low"], w["high"]))]
     again = np.zeros(len(w), bool)
-    again[:-1] = (w["hash"][1:] == w["hash"][:-1]) & (w["rid"][1:] == w["rid"][:-1]) & (w["start"][1:] == w["start"][:-1])
+    again[:-1] = (w["rid"][1:] == w["rid"][:-1]) & (w["start"][1:] == w["start"][:-1])
     w = w[~again]  # of the same window the record with the highest count stays
-    first = _runs([w["hash"]]) if len(w) else np.zeros(0, np.int64)
+    first = _runs([w["high"], w["low"]]) if len(w) else np.zeros(0, np.int64)
     total = np.add.reduceat(w["count"], first) if len(first) else np.zeros(0, np.int64)
     twice = w[np.repeat(total > 1, np.diff(np.append(first, len(w))))]
     kept = w[first].copy()
@@ -490,43 +496,57 @@ def deep_shallow_sort(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray,
     """Order of the strings by (group, bytes, length), and the common prefix of each with the one before it.
 
     ``rows``: zero-padded bytes, a multiple of 8 wide; the first string of a group has -1.
-    Multikey quicksort takes all segments of a level at once: one stable sort by segment and word,
-    and segments end where the word differs. Segments left at the shallow depth go to blind tries.
+    Multikey quicksort splits all segments at once in three, by a pivot word of each: smaller and
+    larger words stay at their depth, equal ones go on to the next word. What is left at the shallow
+    depth goes to blind tries.
     """
     n = len(rows)
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    segment = np.cumsum(np.concatenate(([False], group[order][1:] != group[order][:-1]))) if n else np.zeros(0, np.int64)
     common = np.full(n, -1, np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(segment) != 0))) if n else np.zeros(0, np.int64)
-    live = np.arange(n)  # places in segments of two strings or more
     shallow = min(shallow, rows.shape[1]) // 8
-    for w in range(shallow):
-        sizes = np.bincount(segment)
-        live = live[sizes[segment[live]] > 1]
-        if not len(live):
+    # open segments: where they start, how long they are, and their depth in words
+    start = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))) if n else np.zeros(0, np.int64)
+    size, depth = np.diff(np.append(start, n)), np.zeros(len(start), np.int64)
+    deep = []
+    while True:
+        deep += list(zip(start[(size > 1) & (depth == shallow)].tolist(), size[(size > 1) & (depth == shallow)].tolist(), strict=True))
+        live = (size > 1) & (depth < shallow)
+        start, size, depth = start[live], size[live], depth[live]
+        if not len(start):
             break
-        own = words[order[live], w]
-        by = np.lexsort((own, segment[live]))
-        order[live] = order[live][by]
-        own = own[by]
-        split = np.zeros(len(live), bool)
-        split[1:] = (segment[live][1:] == segment[live][:-1]) & (own[1:] != own[:-1])
-        at = np.flatnonzero(split)
-        common[live[at]] = 8 * w + _equal_bytes(own[at] ^ own[at - 1])
-        new = np.zeros(n, bool)
-        new[starts] = True
-        new[live[at]] = True
-        segment = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, n))
-    for s in np.flatnonzero(sizes > 1).tolist():
-        begin, end = int(starts[s]), int(starts[s] + sizes[s])
-        members = order[begin:end]
+        inner = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(inner)) + (start - first)[inner]
+        members = order[place]
+        own = words[members, depth[inner]]
+        sample = np.sort(np.stack([own[first], own[first + size // 2], own[first + size - 1]]), axis=0)
+        pivot = sample[1][inner]
+        # ranks inside the three parts of each segment put every member in its place
+        less, equal = own < pivot, own == pivot
+        n_less, n_equal = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(equal, first, dtype=np.int64)
+        upto = lambda mask: np.cumsum(mask) - mask - (np.cumsum(mask)[first] - mask[first])[inner]
+        more = ~(less | equal)
+        target = np.where(less, upto(less), np.where(equal, n_less[inner] + upto(equal), (n_less + n_equal)[inner] + upto(more)))
+        order[start[inner] + target] = members
+        # borders between the parts: the first bytes that differ are in this word
+        parts = np.stack([n_less, n_equal, size - n_less - n_equal], axis=1)
+        begin = start[:, None] + np.cumsum(parts, axis=1) - parts
+        start, depth = begin.ravel(), (depth[:, None] + [0, 1, 0]).ravel()
+        size = parts.ravel()
+        start, size, depth = start[size > 0], size[size > 0], depth[size > 0]
+    fresh = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
+    if len(fresh) and shallow:
+        head = words[:, :shallow]
+        different = head[order[fresh]] ^ head[order[fresh - 1]]
+        at = (different != 0).argmax(axis=1)
+        common[fresh] = 8 * at + _equal_bytes(different[np.arange(len(fresh)), at])
+    for begin, count in deep:
+        members = order[begin : begin + count]
         strings = [rows[m, : lengths[m]].tobytes() for m in members]
         inner, shared = BlindTrie(strings, min(8 * shallow, min(map(len, strings)))).walk()
-        order[begin:end] = members[inner]
-        common[begin + 1 : end] = shared[1:]
+        order[begin : begin + count] = members[inner]
+        common[begin + 1 : begin + count] = shared[1:]
     short = np.minimum(lengths[order][1:], lengths[order][:-1])
     common[1:] = np.minimum(common[1:], short)
     return order, common
@@ -656,7 +676,7 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), batch.column("rest").take(pa.array(at_row))], names=["new_text", "rest"])
         elif rows:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").take(pa.array(at_row))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -665,27 +685,30 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         packed = [press(t.as_buffer().to_pybytes()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("rest")], names=["rid", "doc_id", "packed", "rest"])
+        columns = {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_bytes": pc.binary_length(batch.column("text")).cast(pa.int64()), "packed": pa.array(packed, pa.binary()), "rest": batch.column("rest")}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: str, text: str, as_text: bool) -> DataFrame:
-    """What ``_cut`` gives for each row; ``rest`` holds all columns but the text."""
+    """What ``_cut`` gives for each row; with ``as_text`` all columns but the text come along as ``rest``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text and as_text] or [F.lit(None).cast("boolean").alias("none")]
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"),
         F.struct(*others).alias("rest"),
     )
     rest = f"rest {rows.schema['rest'].dataType.simpleString()}"
     # written once, so that row ids stay what they are when a task is run again
-    packed = materialize(rows.mapInArrow(_pack, f"rid long, doc_id long, packed binary, {rest}"), "repeats-texts")
+    packed = materialize(rows.mapInArrow(_pack, f"rid long, doc_id long, n_bytes long, packed binary, {rest}"), "repeats-texts")
+    size = packed.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(BUCKETS * parts, -(-size // BUCKET_BYTES))
+    parts = max(parts, min(buckets // BUCKETS, MAX_PARTS))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "rid")
 
-    texts = packed.mapInArrow(lambda b: _text_rows(b, buckets), f"{_ROW}, {rest}")
+    texts = packed.drop("n_bytes").mapInArrow(lambda b: _text_rows(b, buckets), f"{_ROW}, {rest}")
     anchors = materialize(packed.select("rid", "packed").mapInArrow(lambda b: _anchor_rows(b, length, gram, buckets), _ROW), "repeats-anchors")
     # spans ride along with what else a step sends, so each step runs once
     settled = materialize(dealt(_spread(anchors, length, gram, buckets, max_group)).mapInArrow(lambda b: _settle(b, length, gram, buckets, max_group), _ROW), "repeats-settled")
@@ -693,8 +716,7 @@ def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: st
     contexts = asked.mapInArrow(lambda b: _answer(b, length, gram, buckets), _ROW)
     sorted_ = dealt(contexts).mapInArrow(lambda b: _sort_contexts(b, length, gram, buckets), _ROW)
     spans = settled.filter(F.col("kind") == _SPANS).union(sorted_).withColumn("rest", F.lit(None).cast(rows.schema["rest"].dataType))
-    schema = "new_text string" if as_text else _RESULT
-    return dealt(spans.union(texts)).mapInArrow(lambda b: _cut(b, as_text), f"{schema}, {rest}")
+    return dealt(spans.union(texts)).mapInArrow(lambda b: _cut(b, as_text), f"new_text string, {rest}" if as_text else _RESULT)
 
 
 def remove_repeats(
@@ -704,7 +726,7 @@ def remove_repeats(
 
     ``gram`` is a power of two below ``length``.
     """
-    return _removed(docs, length, gram, max_group, doc_id, text, False).drop("rest")
+    return _removed(docs, length, gram, max_group, doc_id, text, False)
 
 
 def cleaned(docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int = MAX_GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
