@@ -7,11 +7,17 @@ equal sets are one class and are represented by one node, so copies make no pair
 
 Candidates are stars: each bucket links its members to one hub, so a bucket of m members makes m - 1
 pairs. Links are confirmed on the full sets of both texts and joined to components. Buckets whose
-members then lie in several components get a second, random hub. The buckets that are still mixed
-form families by common members. In each family all members outside its largest component are a
-query set: they are compared with all members of other components, in blocks of bounded size that
-count common shingles through an index and give out links alone. So every pair that shares a bucket
-is either confirmed or in one component anyway; no cap applies and no pairs are listed.
+members then lie in several components get another, random hub, as long as that joins a good part of
+them. What is then still apart is nearly always so: near the threshold, but below it. It is settled
+by the rarest shingles: sets of sizes n <= m that are alike to t have a shingle in common among the
+first n - ceil(2 t n / (1 + t)) + 1 of the one and the first m - ceil(t m) + 1 of the other, whatever
+the order of all shingles is, and in order of frequency these are shingles that few others have. A
+part common to many sets is not among the former, unless it makes them alike. Members of different
+components that meet so are compared, as
+pairs where at most ``PAIR_GROUP`` members meet, else in blocks of bounded size that count common
+shingles through an index and give out links alone. So every pair that shares a bucket is confirmed,
+in one component anyway, or proven apart, with work that grows with the members and not with their
+square; no cap applies. Buckets with very many members are dealt to several tasks.
 
 Bins of a band and bands are chosen so that a pair at the threshold shares no bucket with a
 probability of ``MISS`` at most: 32 bands of 6 bins for 0.85, 38 of 5 for 0.8. Shingles are told apart
@@ -31,16 +37,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrashift.llm.common import materialize, text_or_empty
+from terrashift.llm.common import dealt_join, materialize, text_or_empty
 from terrashift.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no bucket.
 MISS = 3e-7
-#: Hubs that a bucket gets one after another, and shingles of a block of the comparison that follows.
-TURNS, BLOCK_SHINGLES = 2, 1_500_000
+#: Turns of hubs at least; a further one follows one that made links for this share of the members.
+TURNS, WORTH = 2, 0.1
+#: Shingles of a block of comparisons, members of a rare shingle that are compared as pairs, slots of shingle frequencies.
+BLOCK_SHINGLES, PAIR_GROUP, SLOT_BITS = 1_500_000, 16, 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -133,52 +141,127 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, doc_id: str = "
     return plain.mapInArrow(lambda b: _sketch(b, words, bands, rows), "doc_id long, n_shingles long, set_hash binary, bands array<bigint>")
 
 
+def _counted(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("key").agg(F.count("*").alias("n"), *more)
+
+
+def _distinct_groups(members: DataFrame, *told_by: Column) -> DataFrame:
+    """(key, node, ...) of all keys of two members or more; of keys with the same members one stays."""
+    hashes = [F.bit_xor(F.xxhash64("node", *told_by, F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    alike = _counted(members, *hashes).filter("n > 1")
+    kept = alike.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n")
+    return dealt_join(members, materialize(kept, "minhash-groups"), "key", "n", "node").drop("n")
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, node) of all buckets of two nodes or more; of buckets with the same members one stays."""
+    """(key, node) of all buckets of two nodes or more, those of equal members once."""
     rows = classes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = rows.join(shared.select("key"), "key").distinct()
-    hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
-    alike = members.groupBy("key").agg(F.count("*").alias("n"), *hashes).filter("n > 1")
-    return members.join(alike.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    shared = materialize(_counted(rows).filter("n > 1"), "minhash-shared")
+    return _distinct_groups(materialize(dealt_join(rows, shared, "key", "n", "node").drop("n").distinct(), "minhash-members"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("component", F.col("node"))
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (key, node, component) of keys with several components."""
+    open_keys = _counted(members, F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "n")
+    return dealt_join(members, open_keys, "key", "n", "node").drop("n")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
 
 def _star_pairs(open_members: DataFrame, turn: int) -> DataFrame:
     """(a, b): the members of each open bucket and its hub of this turn, where their components differ."""
     rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    hubs = open_members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
-    return open_members.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = _counted(open_members, F.min(F.struct(rank.alias("rank"), "node", "component")).alias("h")).select("key", "n", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
+    return dealt_join(open_members, hubs, "key", "n", "node").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _families(open_members: DataFrame) -> DataFrame:
-    """(node, family) by buckets with common members."""
-    hubs = open_members.groupBy("key").agg(F.min("node").alias("a"))
-    edges = open_members.join(hubs, "key").select("a", F.col("node").alias("b")).distinct()
-    return connected_components(edges).select("node", F.col("component").alias("family"))
+def _slot_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack, counts = zstandard.ZstdDecompressor().decompress, np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for packed in batch.column("packed"):
+            slots = (shingle_set(unpack(packed.as_buffer().to_pybytes()), words) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            np.add.at(counts, slots, 1)
+    used = np.flatnonzero(counts)
+    for i in range(0, len(used), 10_000):
+        part = used[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["slot", "n"])
+
+
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """For each slot of shingle hashes how frequent it is, on a scale of logarithms: one megabyte, whatever the input is."""
+    counts = texts.select("packed").mapInArrow(lambda b: _slot_counts(b, words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.select("slot", F.floor(4 * F.log2("n")).cast("int").alias("level")).toArrow()  # a row for each slot at most
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
+def prefix(shingles: np.ndarray, threshold: int, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, and how many of them count towards sets that are no smaller.
+
+    Of two sets that are alike to ``threshold`` per cent, one of the smaller's that count is among the
+    larger's.
+    """
+    n = len(shingles)
+    size, counting = n - -(-threshold * n // 100) + 1, n - -(-2 * threshold * n // (100 + threshold)) + 1
+    order = np.lexsort((shingles, levels[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return shingles[order[:size]], counting
 
 
-def _blocks(open_members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """(family, query_block, member_block, is_member, node, component): who meets whom."""
-    members = open_members.select("node", "component").distinct().join(_families(open_members), "node").join(sizes, "node")
-    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    whole = parts.groupBy("family").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("shingles").alias("shingles"))
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        found = [prefix(shingle_set(unpack(p.as_buffer().to_pybytes()), words), threshold, levels) for p in batch.column("packed")]
+        columns = {
+            "node": batch.column("node"), "component": batch.column("component"), "n_shingles": batch.column("n_shingles"),
+            "keys": pa.array([k.view(np.int64) for k, _ in found], pa.list_(pa.int64())), "counting": pa.array([c for _, c in found], pa.int32()),
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _rare_members(open_members: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(key, node, component, n_shingles, asks) of the rarest shingles of all open members, where several components meet in one.
+
+    ``asks``: whether the shingle counts for the member; a key without such a member is dropped.
+    """
+    nodes = open_members.select("node", "component").distinct().join(sizes, "node")
+    held = materialize(texts.join(nodes, "node"), "minhash-rest")
+    levels = _rarity(held, words)
+    schema = "node long, component long, n_shingles long, keys array<bigint>, counting int"
+    keys = held.select("node", "component", "n_shingles", "packed").mapInArrow(lambda b: _prefixes(b, words, threshold, levels), schema)
+    exploded = keys.select("node", "component", "n_shingles", "counting", F.posexplode("keys").alias("at", "key"))
+    rows = materialize(exploded.select("key", "node", "component", "n_shingles", (F.col("at") < F.col("counting")).alias("asks")), "minhash-rare")
+    asked = _counted(rows, F.max("asks").alias("asked"), F.min("component").alias("low"), F.max("component").alias("high")).filter("asked AND low < high").select("key", "n")
+    met = materialize(dealt_join(rows, materialize(asked, "minhash-asked"), "key", "n", "node").drop("n"), "minhash-met")
+    return materialize(_distinct_groups(met, F.col("asks")), "minhash-groups")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of different components under a common key, ``a`` one that asks and no larger than ``b``; no key has more than ``PAIR_GROUP`` members."""
+    side = lambda name: members.select("key", F.struct("n_shingles", "node").alias(name), F.col("component").alias(f"of_{name}"), F.col("asks").alias(f"asks_{name}"))
+    met = side("a").filter("asks_a").join(side("b"), "key").filter("a < b AND of_a <> of_b")
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(family, query_block, member_block, is_member, node, component): who meets whom under each key.
+
+    The members that ask are a query set that meets all members.
+    """
+    asked = F.sum(F.when(F.col("asks"), F.col("n_shingles")).otherwise(0))
     count = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-    whole = whole.filter("shingles > top.shingles").select(
-        "family", F.col("top.component").alias("largest"),
-        count(F.col("shingles") - F.col("top.shingles")).alias("query_blocks"), count(F.col("shingles")).alias("member_blocks"),
-    )
-    rows = members.join(whole, "family")
+    whole = _counted(members, count(asked).alias("query_blocks"), count(F.sum("n_shingles")).alias("member_blocks"))
+    rows = dealt_join(members, whole, "key", "n", "node").withColumnRenamed("key", "family")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     as_members = rows.select("family", every("query_blocks").alias("query_block"), own("member_blocks").alias("member_block"), F.lit(1).alias("is_member"), "node", "component")
-    outside = rows.filter("component <> largest")
-    as_queries = outside.select("family", own("query_blocks").alias("query_block"), every("member_blocks").alias("member_block"), F.lit(0).alias("is_member"), "node", "component")
+    as_queries = rows.filter("asks").select("family", own("query_blocks").alias("query_block"), every("member_blocks").alias("member_block"), F.lit(0).alias("is_member"), "node", "component")
     return as_members.unionByName(as_queries)
 
 
@@ -276,13 +359,21 @@ def near_duplicates(
         return materialize(moved.union(fresh.join(known.select("node"), "node", "left_anti")), "minhash-labels")
 
     open_members = members.withColumn("component", F.col("node"))
-    for turn in range(TURNS):
-        labels = joined(confirmed(_star_blocks(_star_pairs(open_members, turn), sizes, BLOCK_SHINGLES)))
-        marked = _labelled(open_members.select("key", "node"), labels)
-        mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        open_members = materialize(marked.join(mixed, "key", "left_semi"), "minhash-open")
-    if not open_members.isEmpty():
-        labels = joined(confirmed(_blocks(open_members, sizes, BLOCK_SHINGLES)))
+    turn = 0
+    while True:
+        links = confirmed(_star_blocks(_star_pairs(open_members, turn), sizes, BLOCK_SHINGLES))
+        labels = joined(links)
+        open_members = materialize(_mixed(_labelled(open_members.select("key", "node"), labels)), "minhash-open")
+        turn += 1
+        left = open_members.select("node").distinct().count()
+        if not left or (turn >= TURNS and links.count() < WORTH * left):
+            break
+    if left:
+        rare = _rare_members(open_members, texts, sizes, words, threshold)
+        few = _counted(rare).filter(F.col("n") <= PAIR_GROUP).select("key")
+        small, large = rare.join(few, "key", "left_semi"), rare.join(few, "key", "left_anti")
+        met = _star_blocks(_pairs(small), sizes, BLOCK_SHINGLES).unionByName(_blocks(large, BLOCK_SHINGLES).withColumn("query_block", F.col("query_block") + 1))
+        labels = joined(confirmed(met))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     # rows with a null id are not part of any class

@@ -660,14 +660,53 @@ def near_texts(seed):
 def test_near_duplicates_match_brute_force(spark, words, threshold, monkeypatch):
     texts = near_texts(12)
     sizes, want = brute_components(texts, words, threshold)
-    for block in (minhash.BLOCK_SHINGLES, 400):  # one block, and many small ones
+    # one block or many small ones, pairs or blocks for the rarest shingles, few or all keys dealt to several tasks
+    for block, pairs, hot in ((minhash.BLOCK_SHINGLES, 16, 1000), (400, 2, 3)):
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(minhash, "PAIR_GROUP", pairs)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts), words, threshold).collect()}
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
         assert [got[i].component_id for i in range(len(texts))] == want
         assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def comparisons(blocks):
+    met = blocks.groupBy("family", "query_block", "member_block").agg(F.sum("is_member").alias("m"), F.sum(1 - F.col("is_member")).alias("q"))
+    return met.agg(F.sum(F.col("m") * F.col("q"))).first()[0] or 0
+
+
+def test_work_on_families_grows_with_their_members(spark, monkeypatch):
+    """20,000 chained near copies, and 3,000 that share a common part but not enough of it."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40_000)]
+    chain = rng.choices(words, k=20_050)
+    shared = rng.choices(words, k=60)
+    texts = [" ".join(chain[i : i + 40]) for i in range(20_000)] + [" ".join([*shared, *rng.choices(words, k=9)]) for _ in range(3_000)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], SCHEMA).repartition(4)
+    made = []
+    for name in ("_star_blocks", "_blocks"):
+        own = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda *a, own=own: made.append(own(*a)) or made[-1])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert all(got[i] == 0 for i in range(20_000)) and all(got[i] == i for i in range(20_000, 23_000))
+    assert sum(map(comparisons, made)) < 40 * len(texts)
+
+
+def test_rarest_shingles_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        a, t = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) * np.uint64(2)), int(rng.integers(50, 101))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        levels = rng.integers(0, 4, 1 << minhash.SLOT_BITS).astype(np.uint8)
+        if len(b) and 100 * both >= t * (len(a) + len(b) - both):
+            (small, counting), (large, _) = (minhash.prefix(x, t, levels) for x in sorted((a, b), key=len))
+            assert len(np.intersect1d(small[:counting], large))
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, "other words entirely here"), (7, "a b c d"), (8, None)]
     got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
