@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrashift.operators.joins import parameter_grid
 from terrashift.operators.picks import number_rows
@@ -16,7 +17,7 @@ def decay_grid_fit(curves: DataFrame, by: list[str], t: str, y: str, event: floa
 
     y = k t + b before t1, c - (c - y(t1)) exp(-beta (t - t1)) from it on. Break times are the samples
     within ``search`` of the event, or the event if there are none; the line is fitted over ``before``
-    time units up to the break. Everything is a join with the parameter grid and one grouping.
+    time units up to the break. The samples of one curve and all end levels and rates meet in one array.
     """
     used = curves.filter(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(t).alias("t"), F.col(y).alias("y"))
     near = used.filter(F.abs(F.col("t") - event) <= search).select(*by, F.col("t").alias("t1")).distinct()
@@ -28,13 +29,39 @@ def decay_grid_fit(curves: DataFrame, by: list[str], t: str, y: str, event: floa
     # centred on the break, so that years near 2000 lose no digits
     line = pre.groupBy(*by, "t1").agg(F.count("*").alias("n"), F.regr_slope("y", since).alias("k"), F.regr_intercept("y", since).alias("y1")).filter("n >= 2 AND k IS NOT NULL")
     post = pairs.groupBy(*by, "t1").agg(F.count_if(F.col("t") >= F.col("t1")).alias("m")).filter("m >= 2")
-    grid = parameter_grid(line.join(post, [*by, "t1"]).select(*by, "t1", "k", "y1"), c=ends, beta=betas)
-    model = F.when(since < 0, F.col("k") * since + F.col("y1")).otherwise(F.col("c") - (F.col("c") - F.col("y1")) * F.exp(-F.col("beta") * since))
-    errors = grid.join(used, by).groupBy(*by, "t1", "k", "y1", "c", "beta").agg(F.sqrt(F.avg((model - F.col("y")) * (model - F.col("y")))).alias("rmse"))
-    best = errors.groupBy(*by).agg(F.min(F.struct(F.round("rmse", 12).alias("r"), "t1", "c", "beta", "k", "y1", "rmse")).alias("f"))
+    # each curve is one array; the parameter grid is evaluated where its break stands, nothing is multiplied by it
+    samples = used.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("_s"))
+    breaks = line.join(post, [*by, "t1"]).select(*by, "t1", "k", "y1").join(samples, by)
+    fitted = breaks.withColumn("_f", _best_of_grid(betas, ends)(F.transform("_s", lambda p: p["t"]), F.transform("_s", lambda p: p["y"]), "t1", "k", "y1"))
+    best = fitted.groupBy(*by).agg(F.min(F.struct(F.round("_f.rmse", 12).alias("r"), "t1", "_f.c", "_f.beta", "k", "y1", "_f.rmse")).alias("f"))
     return best.select(*by, "f.t1", "f.k", (F.col("f.y1") - F.col("f.k") * F.col("f.t1")).alias("b"), "f.c", "f.beta", "f.rmse")
 
 
+_FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("rmse", "c", "beta")])
+
+
+def _best_of_grid(betas: list[float], ends: list[float]):
+    """The end level and decay rate of the least error for each curve and break; of equal errors the smallest."""
+    beta, c = np.sort(np.array(betas, float)), np.sort(np.array(ends, float))
+
+    @F.pandas_udf(_FIT)
+    def best(ts: pd.Series, ys: pd.Series, t1: pd.Series, k: pd.Series, y1: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, y, at, slope, level in zip(ts, ys, t1, k, y1, strict=True):
+            since, y = np.asarray(t, float) - at, np.asarray(y, float)
+            pre, post = since < 0, since >= 0
+            before = float(((slope * since[pre] + level - y[pre]) ** 2).sum())
+            decay = np.exp(-beta[:, None] * since[post])
+            # c - (c - level) e - y = c (1 - e) + level e - y
+            off = c[:, None, None] * (1 - decay) + (level * decay - y[post])
+            rmse = np.sqrt((before + np.einsum("ijk,ijk->ij", off, off)) / len(y))
+            i, j = np.unravel_index(np.round(rmse, 12).argmin(), rmse.shape)
+            rows.append((rmse[i, j], c[i], beta[j]))
+        return pd.DataFrame(rows, columns=_FIT.names)
+
+    return best
+
+
 def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event: float, ends: list[float], before: float = 4 / 12) -> DataFrame:
     """(by, k, b, c, beta, rmse) for a fixed break: ln(c - y) is regressed on time for each end level c.
 
@@ -96,25 +123,42 @@ def fit_band(fitted: DataFrame, times: DataFrame, t: str, alpha: float = 0.05) -
     return curves.groupBy("t").agg(F.percentile("y", F.lit(alpha / 2)).alias("low"), F.percentile("y", F.lit(1 - alpha / 2)).alias("high"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(powers: pd.Series, products: pd.Series) -> pd.Series:
+    """Least-squares coefficients from sums of powers x^0 to x^2d and products x^0 y to x^d y; None for too few rows."""
+
+    def one(p, q):
+        if q is None or p is None or any(v is None or not np.isfinite(v) for v in (*p, *q)):
+            return None
+        n = len(q)
+        return np.linalg.lstsq(np.array([[p[i + j] for j in range(n)] for i in range(n)], float), np.array(q, float), rcond=None)[0]
+
+    return pd.Series([one(p, q) for p, q in zip(powers, products, strict=True)], dtype=object)
+
+
 def polynomial_rmse(df: DataFrame, by: list[str], t: str, ys: list[str], degree: int = 4) -> DataFrame:
-    """(by, rmse_<y>...): root mean square residual of a polynomial in time for each column, one task per series."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = [pdf[c].iloc[0] for c in by]
-        for y in ys:
-            ok = np.isfinite(pdf[t].to_numpy(float)) & np.isfinite(pdf[y].to_numpy(float))
-            x, v = pdf[t].to_numpy(float)[ok], pdf[y].to_numpy(float)[ok]
-            if len(x) <= degree:
-                row.append(np.nan)
-                continue
-            x = (x - x.mean()) / (np.ptp(x) or 1.0)
-            a = np.vander(x, degree + 1)
-            row.append(float(np.sqrt(np.mean((a @ np.linalg.lstsq(a, v, rcond=None)[0] - v) ** 2))))
-        return pd.DataFrame([row], columns=[*by, *[f"rmse_{y}" for y in ys]])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], *[f"rmse_{y} double" for y in ys]])
-    return df.select(*by, t, *ys).groupBy(*by).applyInPandas(one, schema)
+    """(by, rmse_<y>...): root mean square residual of a polynomial in time for each column.
+
+    Series are scaled to [-1, 1], summed by powers, solved where the few sums are, and joined back
+    for their residuals, so a series of any length spreads over all tasks. With no more values than
+    the degree the residual is NaN.
+    """
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    names = F.array(*[F.struct(F.lit(y).alias("v"), F.col(y).cast("double").alias("y")) for y in ys])
+    keys = df.select(*by).distinct().withColumn("v", F.explode(F.array(*[F.lit(y) for y in ys])))
+    long = df.select(*by, F.col(t).cast("double").alias("_t"), F.explode(names).alias("p")).select(*by, "_t", "p.v", "p.y").filter(usable("_t") & usable("y"))
+    own = [*by, "v"]
+    limits = long.groupBy(*own).agg(((F.min("_t") + F.max("_t")) / 2).alias("_mid"), ((F.max("_t") - F.min("_t")) / 2).alias("_half"))
+    scaled = long.join(limits, own).withColumn("_x", F.coalesce(F.try_divide(F.col("_t") - F.col("_mid"), F.col("_half")), F.lit(0.0)))
+    power = lambda i: F.lit(1.0) if i == 0 else F.pow("_x", F.lit(float(i)))
+    sums = scaled.groupBy(*own).agg(
+        F.count("*").alias("_n"), F.array(*[F.sum(power(i)) for i in range(2 * degree + 1)]).alias("_p"), F.array(*[F.sum(power(i) * F.col("y")) for i in range(degree + 1)]).alias("_q")
+    )
+    solved = sums.filter(F.col("_n") > degree).select(*own, _solved("_p", "_q").alias("_c"))
+    off = F.col("y") - sum(F.get("_c", F.lit(i)) * power(i) for i in range(degree + 1))
+    rmse = scaled.join(solved, own).groupBy(*own).agg(F.sqrt(F.avg(off * off)).alias("rmse"))
+    whole = keys.join(rmse, own, "left").groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("v") == y, F.col("rmse"))), F.lit(float("nan"))).alias(f"rmse_{y}") for y in ys])
+    return whole
 
 
 def resampled_ids(df: DataFrame, ident: str, draws: int, seed: int = 42) -> DataFrame:

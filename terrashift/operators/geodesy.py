@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrashift.operators.joins import nearest_leaves
 from terrashift.operators.spatial import WGS84_A, WGS84_F
 
 GEODESIC = T.StructType([T.StructField(n, T.DoubleType()) for n in ("azimuth", "back_azimuth", "distance_m")])
@@ -67,21 +65,13 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 def nearest_segment(points: DataFrame, segments: DataFrame, ident: str, line: str, cell: float, extent: float) -> DataFrame:
     """(ident, line, distance): the nearest of the segments (line, x1, y1, x2, y2) to each point (ident, x, y), in plane units.
 
-    A segment is entered in all cells of its box and the cells around it, so a nearest segment within
-    one cell's size is exact; points without one go on to cells 32 times as large, up to ``extent``,
-    the size of the whole area. Cut long lines into short segments first.
+    Segments are found by their boxes, see :func:`terrashift.operators.joins.nearest_leaves`; ``cell``
+    is the side of the smallest cells and ``extent`` the size of the whole area. Cut long lines into
+    short segments first.
     """
-    found, rest, size = [], points.select(ident, "x", "y"), cell
-    while True:
-        spread = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / size - 1).cast("long"), F.floor(F.greatest(a, b) / size + 1).cast("long")))  # noqa: B023, E731
-        placed = segments.select("*", spread(F.col("x1"), F.col("x2")).alias("_i")).select("*", spread(F.col("y1"), F.col("y2")).alias("_j"))
-        at = rest.withColumns({"_i": F.floor(F.col("x") / size).cast("long"), "_j": F.floor(F.col("y") / size).cast("long")})
-        gap = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-        best = at.join(placed, ["_i", "_j"]).groupBy(ident).agg(F.min(F.struct(gap.alias("d"), F.col(line))).alias("_b"))
-        last = size >= extent
-        best = best if last else best.filter(F.col("_b.d") <= size)
-        found.append(best.select(ident, F.col(f"_b.{line}").alias(line), F.col("_b.d").alias("distance")))
-        if last:
-            return reduce(DataFrame.unionByName, found)
-        rest = rest.join(best.select(ident), ident, "left_anti")
-        size = min(32 * size, max(extent, math.ulp(extent)))
+    end = lambda pick, axis: pick(F.col(f"{axis}1"), F.col(f"{axis}2"))
+    boxed = segments.select(line, "x1", "y1", "x2", "y2").withColumns({f"_{name}{axis}": end(pick, axis) for name, pick in (("low", F.least), ("high", F.greatest)) for axis in "xy"})
+    met = nearest_leaves(points.select(ident, "x", "y"), boxed, [ident], ["x", "y"], ["_lowx", "_lowy"], ["_highx", "_highy"], max(extent / 2, cell), cell)
+    gap = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    best = met.groupBy(ident).agg(F.min(F.struct(gap.alias("d"), F.col(line))).alias("_b"))
+    return best.select(ident, F.col(f"_b.{line}").alias(line), F.col("_b.d").alias("distance"))

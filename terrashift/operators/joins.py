@@ -16,6 +16,70 @@ from terrashift.functions.coerce import filled
 from terrashift.functions.geo import EARTH_RADIUS_M, cell_index, chord_to_metres
 
 
+#: A key with more rows than this, and than 1 / MAX_HOT of all rows, is dealt to several tasks.
+HOT_ROWS, MAX_HOT = 1_000, 10_000
+
+
+def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str) -> DataFrame:
+    """Inner equi-join of ``many`` rows with the one row of ``few`` for their key, hot keys dealt to several tasks.
+
+    ``rows``: a column of ``few``, how many rows of ``many`` have its key; ``row``: a column that tells
+    those apart. Fewer than ``MAX_HOT`` keys can be hot, so their list is broadcast; their rows in
+    ``few`` are repeated once for each part.
+    """
+    total = few.agg(F.sum(rows)).first()[0] or 0
+    most = max(HOT_ROWS, total // MAX_HOT)
+    parts = lambda: F.ceil(F.col(rows) / most).cast("int")
+    hot = few.filter(F.col(rows) > most).select(key, parts().alias("_parts"))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(row), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts(), F.lit(1)) - 1)))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
+#: By how much the cells of a level are smaller than those above.
+_FINER = 4
+
+
+def nearest_leaves(
+    targets: DataFrame, items: DataFrame, ident: list[str], at: list[str], low: list[str], high: list[str], top: float, cell: float, by: list[str] | None = None, other: bool = False
+) -> DataFrame:
+    """Targets and items (columns ``low``, ``high``: the corners of a box in the space of ``at``) that may be nearest to each other.
+
+    Cells of side ``top`` down to ``cell`` form a tree, each with the box of what its items cover. From
+    the top each target keeps the cells whose box starts no farther away than where the nearest box
+    ends. So a target meets a few cells of each level, wherever the items are, and at last the items
+    of a few of the smallest cells: an equi-join on the cell for each level, and no round needs the
+    result of another. With ``by`` only items of the same group meet; with ``other`` a target may be
+    among the items itself, and the nearest other item is kept too. Ties are kept.
+    """
+    by = by or []
+    sizes = [top]
+    while sizes[-1] > cell:
+        sizes.append(max(sizes[-1] / _FINER, cell))
+    middle = [(F.col(a) + F.col(b)) / 2 for a, b in zip(low, high, strict=True)]
+    # a key is a hash: cells that share one are one cell with a larger box
+    keyed = items
+    for k, size in enumerate(sizes):
+        keyed = keyed.withColumn(f"_k{k}", F.xxhash64(F.lit(k), *by, *[F.floor(m / size).cast("long") for m in middle]))
+    keyed = keyed.withColumn("_k", F.xxhash64(*by) if by else F.lit(0).cast("long"))
+    box = [F.min(c).alias(f"_l{i}") for i, c in enumerate(low)] + [F.max(c).alias(f"_h{i}") for i, c in enumerate(high)]
+    held = targets.withColumn("_at", F.xxhash64(*by) if by else F.lit(0).cast("long"))
+    one = Window.partitionBy(*ident)
+    gap = lambda i: F.greatest(F.col(f"_l{i}") - F.col(at[i]), F.lit(0.0), F.col(at[i]) - F.col(f"_h{i}"))
+    reach = lambda i: F.greatest(F.abs(F.col(at[i]) - F.col(f"_l{i}")), F.abs(F.col(at[i]) - F.col(f"_h{i}")))
+    length = lambda f: F.sqrt(reduce(lambda a, b: a + b, [f(i) * f(i) for i in range(len(at))]))
+    above = "_k"
+    for k in range(len(sizes)):
+        cells = keyed.groupBy(F.col(above).alias("_at"), F.col(f"_k{k}").alias("_next")).agg(F.count("*").alias("_n"), *box)
+        met = held.join(cells, "_at").withColumns({"_near": length(gap), "_far": length(reach)})
+        # a cell that holds the target alone says nothing about others
+        sure = F.when((F.col("_n") > 1) | (F.col("_near") > 0), F.col("_far")).otherwise(F.lit(float("inf"))) if other else F.col("_far")
+        kept = met.withColumn("_bound", F.min(sure).over(one)).filter(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-12)
+        held = kept.select(*targets.columns, F.col("_next").alias("_at"))
+        above = f"_k{k}"
+    return held.join(keyed.select(*[c for c in items.columns if c not in by], F.col(above).alias("_at")), "_at").drop("_at")
+
+
 def _on_sphere(df: DataFrame, lon: str, lat: str) -> DataFrame:
     lo, la = F.radians(lon), F.radians(lat)
     return df.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)})
@@ -26,31 +90,16 @@ def nearest_join(
 ) -> DataFrame:
     """(target_id, support_id, distance_m): the nearest support of each target, the smallest id at equal distance.
 
-    Space is cut into cubes. A nearest point within one cube's size lies in the 27 cubes around the
-    target, so it is exact; targets without one go on to cubes 32 times as large, at last to one that
-    holds the whole earth. Only the few far targets meet many supports.
+    Points are placed on the unit sphere and found by :func:`nearest_leaves`, far or near.
     """
-    t = _on_sphere(targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(target_id, lon, lat).distinct(), lon, lat).select(target_id, "_x", "_y", "_z")
-    s = _on_sphere(support.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()), lon, lat).select(
-        F.col(support_id), F.col("_x").alias("_sx"), F.col("_y").alias("_sy"), F.col("_z").alias("_sz")
-    )
-    size, found, rest = cell_m / EARTH_RADIUS_M, [], t
-    while True:
-        size = min(size, 2.0)
-        cell = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: B023, E731
-        near = [F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"_c{c}") for c in ("_x", "_y", "_z")]
-        around = reduce(lambda df, col: df.select("*", col), near, rest)
-        placed = s.select("*", *[cell(f"_s{c[1:]}").alias(f"_c{c}") for c in ("_x", "_y", "_z")])
-        gap = lambda c: (F.col(f"_{c}") - F.col(f"_s{c}")) * (F.col(f"_{c}") - F.col(f"_s{c}"))
-        pairs = around.join(placed, ["_c_x", "_c_y", "_c_z"]).withColumn("_d", F.sqrt(gap("x") + gap("y") + gap("z")))
-        best = pairs.groupBy(target_id).agg(F.min(F.struct("_d", support_id)).alias("_b"))
-        if size < 2.0:
-            best = best.filter(F.col("_b._d") <= size)
-        found.append(best.select(target_id, F.col(f"_b.{support_id}").alias(support_id), chord_to_metres(F.col("_b._d")).alias("distance_m")))
-        if size >= 2.0:
-            return reduce(DataFrame.unionByName, found)
-        rest = rest.join(best.select(target_id), target_id, "left_anti")
-        size *= 32
+    known = lambda df: df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    t = _on_sphere(known(targets).select(target_id, lon, lat).distinct(), lon, lat).select(target_id, "_x", "_y", "_z")
+    s = _on_sphere(known(support), lon, lat).select(F.col(support_id), *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
+    place = ["_sx", "_sy", "_sz"]
+    pairs = nearest_leaves(t, s, [target_id], ["_x", "_y", "_z"], place, place, 1.0, cell_m / EARTH_RADIUS_M)
+    gap = lambda c: (F.col(f"_{c}") - F.col(f"_s{c}")) * (F.col(f"_{c}") - F.col(f"_s{c}"))
+    best = pairs.groupBy(target_id).agg(F.min(F.struct(F.sqrt(gap("x") + gap("y") + gap("z")).alias("_d"), support_id)).alias("_b"))
+    return best.select(target_id, F.col(f"_b.{support_id}").alias(support_id), chord_to_metres(F.col("_b._d")).alias("distance_m"))
 
 
 def raster_sample(points: DataFrame, grid: DataFrame, xmin: float, ymax: float, dx: float, dy: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +52,12 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> Dat
 
     Rows are range-partitioned and sorted, checkpointed so that the ranges stay what they are, and
     numbered by their place plus the count of all partitions before. Only one row for each partition
-    is summed up in order. Give an order without ties for stable numbers.
+    is summed up in order. Rows that tie in ``order`` are told apart by a hash of all their columns,
+    so a value that a third of all rows have fills a third of all ranges. Give an order without ties
+    for stable numbers.
     """
     shared_checkpoints(df.sparkSession)
+    order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).checkpoint()
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -62,13 +66,36 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> Dat
     return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoints go to the folder in spark.checkpoint.dir; local runs without one get a temporary folder."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+def total_before(df: DataFrame, order: list[Column], weight: str, name: str) -> DataFrame:
+    """The sum of ``weight`` over all rows before each in a global order without ties, by ranges as in :func:`number_rows`."""
+    shared_checkpoints(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}).checkpoint()
+    sizes = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = placed.withColumn("_own", own).join(sizes.select("_part", before.alias("_start")), "_part")
+    return within.withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_place", "_start", "_own")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; local runs without one get a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="terrashift-")
-    spark.sparkContext.setCheckpointDir(base)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/terrashift/{name}-{uuid.uuid4().hex}"
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Make sure that checkpoints go to the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

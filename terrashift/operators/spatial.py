@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from terrashift.functions.geo import distance_m, point_in_polygon
 from terrashift.operators.components import connected_components
+from terrashift.operators.joins import nearest_leaves
 from terrashift.operators.picks import shared_checkpoints
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -43,10 +44,15 @@ def containment_join(points: DataFrame, polygons: DataFrame, cell: float, x: str
 
 
 def polygon_mask(grid: DataFrame, polygons: DataFrame, cell: float, x: str = "lon", y: str = "lat") -> DataFrame:
-    """``grid`` with label 1 for pixels in any polygon, else 0."""
-    keys = grid.columns
-    inside = containment_join(grid, polygons.select("ring"), cell, x, y).select(*keys).distinct().withColumn("_in", F.lit(1))
-    return grid.join(inside, keys, "left").withColumn("label", F.coalesce("_in", F.lit(0))).drop("_in")
+    """``grid`` with label 1 for pixels in any polygon, else 0.
+
+    Only positions are joined, so pixels keep whatever nulls they have and repeated pixels stay; one
+    without a position lies in no polygon.
+    """
+    spots = grid.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    inside = containment_join(spots, polygons.select("ring"), cell, "_x", "_y").select("_x", "_y").distinct()
+    same = (F.col(f"g.`{x}`") == F.col("i._x")) & (F.col(f"g.`{y}`") == F.col("i._y"))
+    return grid.drop("label").alias("g").join(inside.alias("i"), same, "left").select("g.*", F.col("i._x").isNotNull().cast("int").alias("label"))
 
 
 def _ring_area(p: np.ndarray) -> float:
@@ -247,21 +253,17 @@ def select_pixels(pixels: DataFrame, by: list[str], inner_m: float, outer_m: flo
     return chosen.filter(F.when(F.col("label") == "q95", F.col("above95")).otherwise(F.col("above75"))).drop("_q", "above75", "above95")
 
 
-def mean_nearest_distance(cluster: DataFrame, by: list[str], ident: str, x: str = "x", y: str = "y", cell: float = 1.0) -> DataFrame:
-    """(by, mean_nn, n) over the pixels of each cluster, on a plane.
+def mean_nearest_distance(cluster: DataFrame, by: list[str], ident: str, x: str = "x", y: str = "y", cell: float = 1.0, extent: float = 1024.0) -> DataFrame:
+    """(by, mean_nn, n) over the pixels of each cluster, on a plane: the mean distance to the nearest other pixel.
 
-    The nearest of nine cells is exact if it is no farther than one cell; pixels without such a
-    neighbour are compared with their whole cluster, which is few pixels of few clusters.
+    Pixels meet by a tree of cells of side ``extent`` down to ``cell``, lone ones too.
     """
-    cells = lambda c: F.floor(F.col(c) / cell).cast("long")
-    around = cluster.withColumn("_i", F.explode(F.sequence(cells(x) - 1, cells(x) + 1))).withColumn("_j", F.explode(F.sequence(cells(y) - 1, cells(y) + 1)))
-    other = cluster.select(*by, F.col(ident).alias("_o"), F.col(x).alias("_ox"), F.col(y).alias("_oy"))
-    placed = other.withColumns({"_i": F.floor(F.col("_ox") / cell).cast("long"), "_j": F.floor(F.col("_oy") / cell).cast("long")})
+    spots = cluster.select(*by, ident, x, y)
+    items = spots.select(*by, F.col(ident).alias("_o"), F.col(x).alias("_ox"), F.col(y).alias("_oy"))
+    met = nearest_leaves(spots, items, [*by, ident], [x, y], ["_ox", "_oy"], ["_ox", "_oy"], max(extent, cell), cell, by, other=True)
     gap = F.hypot(F.col(x) - F.col("_ox"), F.col(y) - F.col("_oy"))
-    near = around.join(placed, [*by, "_i", "_j"]).filter(F.col(ident) != F.col("_o")).groupBy(*by, ident).agg(F.min(gap).alias("d")).filter(F.col("d") <= cell)
-    lone = cluster.join(near.select(*by, ident), [*by, ident], "left_anti")
-    far = lone.join(other, by).filter(F.col(ident) != F.col("_o")).groupBy(*by, ident).agg(F.min(gap).alias("d"))
-    return near.unionByName(far).groupBy(*by).agg(F.avg("d").alias("mean_nn"), F.count("*").alias("n"))
+    near = met.filter(F.col(ident) != F.col("_o")).groupBy(*by, ident).agg(F.min(gap).alias("d"))
+    return near.groupBy(*by).agg(F.avg("d").alias("mean_nn"), F.count("*").alias("n"))
 
 
 def rejection(

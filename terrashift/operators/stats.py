@@ -1,6 +1,6 @@
 """Rank tests, correlations, adjustments and bootstraps over long rows (variable, group, value).
 
-Ranks and their sums are windows and aggregates; only the tails of distributions and the resampling
+Ranks come from running counts over ranges of values, so no variable is one task; only the tails of distributions and the resampling
 are Python, over few small rows.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from terrashift.operators.picks import number_rows
+from terrashift.operators.picks import number_rows, total_before
 
 # --- tails of distributions -----------------------------------------------------------------------
 
@@ -131,33 +131,51 @@ def _rho_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 # --- ranks ----------------------------------------------------------------------------------------
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def value_ranks(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
+    """(by, value, n, rank) of the distinct values of each group, from how often each occurs: ranks with ties at their mean.
+
+    Sums of counts run over ranges of all groups and values, so no group comes into one task.
+    """
+    total = total_before(counts, [*[F.col(c) for c in by], F.col(value)], n, "_before")
+    first = total.groupBy(*by).agg(F.min("_before").alias("_first")) if by else total.agg(F.min("_before").alias("_first"))
+    placed = total.join(first, by) if by else total.join(F.broadcast(first))
+    return placed.select(*by, value, n, (F.col("_before") - F.col("_first") + (F.col(n) + 1) / 2).alias("rank"))
+
+
+def with_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the rank of each non-null value in its group, ties at their mean; null values have none."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranks = value_ranks(counts, by, value, "_n").select(*by, value, F.col("rank").alias(out))
+    same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by] + [F.col(f"l.`{value}`") == F.col(f"r.`{value}`")]
+    return df.alias("l").join(ranks.alias("r"), same, "left").select("l.*", f"r.`{out}`")
 
 
 def _sized(df: DataFrame, by: list[str], group: str, value: str, least: int) -> DataFrame:
-    used = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, group, value)
-    return used.withColumn("_n", F.count("*").over(Window.partitionBy(*by, group))).filter(F.col("_n") >= least).drop("_n")
+    """(by, group, value, n): how often each value occurs in groups of at least ``least`` values."""
+    used = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    counts = used.groupBy(*by, group, value).agg(F.count("*").alias("n"))
+    large = counts.groupBy(*by, group).agg(F.sum("n").alias("_m")).filter(F.col("_m") >= least).drop("_m")
+    return counts.join(large, [*by, group])
 
 
-def _ties(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def _ties(counts: DataFrame, by: list[str]) -> DataFrame:
     """Sum of t^3 - t over the tied values of each group."""
-    counts = df.groupBy(*by, value).agg(F.count("*").cast("double").alias("_t"))
-    return counts.groupBy(*by).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("ties"))
+    t = F.col("n").cast("double")
+    return counts.groupBy(*by).agg(F.sum(t * t * t - t).alias("ties"))
 
 
 def kruskal_h(df: DataFrame, by: list[str], group: str, value: str, least: int = 5) -> DataFrame:
     """(by, h, k_groups, n): tie-corrected H over groups of at least ``least`` values."""
     used = _sized(df, by, group, value, least)
-    ranked = used.withColumn("_rank", average_rank(by, value))
-    sums = ranked.groupBy(*by, group).agg(F.sum("_rank").alias("_s"), F.count("*").alias("_m"))
+    counts = used.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    ranked = used.join(value_ranks(counts, by, value).select(*by, value, "rank"), [*by, value])
+    sums = ranked.groupBy(*by, group).agg(F.sum(F.col("rank") * F.col("n")).alias("_s"), F.sum("n").alias("_m"))
     total = sums.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s") / F.col("_m")).alias("_q"), F.sum("_m").alias("n"), F.count("*").alias("k_groups"))
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)
     fix = 1 - F.col("ties") / (n * n * n - n)
     h = F.when((F.col("k_groups") > 1) & (fix > 0), F.try_divide(raw, fix))
-    return total.join(_ties(used, by, value), by).select(*by, h.alias("h"), "k_groups", "n")
+    return total.join(_ties(counts, by), by).select(*by, h.alias("h"), "k_groups", "n")
 
 
 def kruskal(df: DataFrame, by: list[str], group: str, value: str, least: int = 5) -> DataFrame:
@@ -167,18 +185,20 @@ def kruskal(df: DataFrame, by: list[str], group: str, value: str, least: int = 5
 def rank_sums(df: DataFrame, by: list[str], group: str, value: str, least: int = 5) -> DataFrame:
     """(by, g1, g2, n1, n2, u, ties) of each pair of groups, g1 before g2 by name.
 
-    The pairs are of group labels, a fixed few; values join their pairs by label.
+    The pairs are of group labels, a fixed few; counts of values join their pairs by label.
     """
     used = _sized(df, by, group, value, least)
     labels = used.select(*by, F.col(group).alias("g1")).distinct()
     pairs = labels.join(labels.withColumnRenamed("g1", "g2"), by).filter("g1 < g2") if by else labels.withColumn("_k", F.lit(1)).join(labels.withColumnRenamed("g1", "g2").withColumn("_k", F.lit(1)), "_k").filter("g1 < g2").drop("_k")
     sides = pairs.select(*by, "g1", "g2", F.explode(F.array("g1", "g2")).alias(group))
     keys = [*by, "g1", "g2"]
-    both = sides.join(used, [*by, group]).withColumn("_rank", average_rank(keys, value))
+    both = sides.join(used, [*by, group])
     first = F.col(group) == F.col("g1")
-    got = both.groupBy(*keys).agg(F.sum(F.when(first, F.col("_rank"))).alias("_s"), F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"))
+    counts = both.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("_n1"))
+    ranked = counts.select(*keys, value, "_n1").join(value_ranks(counts.select(*keys, value, "n"), keys, value), [*keys, value])
+    got = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("_n1")).alias("_s"), F.sum("_n1").alias("n1"), F.sum(F.col("n") - F.col("_n1")).alias("n2"))
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
-    return got.join(_ties(both, keys, value), keys).select(*keys, "n1", "n2", u.alias("u"), "ties")
+    return got.join(_ties(counts, keys), keys).select(*keys, "n1", "n2", u.alias("u"), "ties")
 
 
 def holm(df: DataFrame, by: list[str], p: str, out: str = "p_holm", monotone: bool = False) -> DataFrame:
@@ -208,10 +228,17 @@ def pairwise_rank_sums(df: DataFrame, by: list[str], group: str, value: str, lea
 
 def spearman_rho(df: DataFrame, by: list[str], x: str, y: str, least: int = 10) -> DataFrame:
     """(by, n, rho): correlation of average ranks."""
-    used = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = used.withColumns({"_rx": average_rank(by, x), "_ry": average_rank(by, y)})
-    got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
-    return got.filter(F.col("n") >= least).select(*by, "n", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+    used = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).groupBy(*by, "_x", "_y").agg(F.count("*").alias("_m"))
+    ranks = lambda c, out: value_ranks(used.groupBy(*by, c).agg(F.sum("_m").alias("n")), by, c).select(*by, c, F.col("rank").alias(out))
+    ranked = used.join(ranks("_x", "_rx"), [*by, "_x"]).join(ranks("_y", "_ry"), [*by, "_y"])
+    # weighted moments about the middle rank, which is known: a pair that occurs m times counts m times
+    whole = used.groupBy(*by).agg(F.sum("_m").alias("_all")) if by else used.agg(F.sum("_m").alias("_all"))
+    placed = ranked.join(whole, by) if by else ranked.join(F.broadcast(whole))
+    m, middle = F.col("_m"), (F.col("_all") + 1) / 2
+    off = placed.withColumns({"_dx": F.col("_rx") - middle, "_dy": F.col("_ry") - middle})
+    total = lambda a, b: F.sum(m * F.col(a) * F.col(b))
+    got = off.groupBy(*by).agg(F.sum("_m").alias("n"), F.try_divide(total("_dx", "_dy"), F.sqrt(total("_dx", "_dx") * total("_dy", "_dy"))).alias("rho"))
+    return got.filter(F.col("n") >= least).select(*by, "n", "rho")
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 10) -> DataFrame:

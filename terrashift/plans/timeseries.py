@@ -9,6 +9,7 @@ from terrashift.functions import buckets, ratio
 from terrashift.functions.time import water_year
 from terrashift.operators import aggregates as ag
 from terrashift.operators import fits, stats
+from terrashift.operators import groups as gr
 from terrashift.operators import series as se
 from terrashift.plans.registry import RASTER_SQL, SERIES_SQL, TWO_SQL, query, r, raster, series, table, two_years
 from terrashift.plans.relations import _GRID_SQL, _grid
@@ -160,9 +161,13 @@ def transitions(spark, d):
     return two_years(spark, d).agg(*ag.transitions(F.col("v1"), F.col("v2"), 2.5))
 
 
-@query("a078_pixel_means", f"WITH {RASTER_SQL} SELECT s % 7 AS cluster, round(avg(nullif(v, 1000)), 6) AS v, round(avg(x), 6) AS x, count(*) AS n FROM ras WHERE s % 7 < 4 GROUP BY 1")
+_PIXEL_SQL = f"WITH {RASTER_SQL} SELECT s % 7 AS cluster, round(avg(nullif(v, 1000)), 6) AS v, round(avg(x), 6) AS x, count(*) AS n FROM ras GROUP BY 1"
+
+
+@query("a078_pixel_means", _PIXEL_SQL)
+@query("a078_pixel_means_all", _PIXEL_SQL)
 def pixel_means(spark, d):
-    return _pixel_means(raster(spark, d).filter("s % 7 < 4"))
+    return _pixel_means(raster(spark, d))
 
 
 def _pixel_means(g):
@@ -175,11 +180,6 @@ def histogram(spark, d):
     return ag.histogram(table(spark, d, "part"), "p_size", 0.0, 60.0, 12)
 
 
-@query("a078_pixel_means_all", None)
-def pixel_means_all(spark, d):
-    return _pixel_means(raster(spark, d))
-
-
 # --- windows --------------------------------------------------------------------------------------
 
 
@@ -236,7 +236,7 @@ def onsets(spark, d):
 
 @query("w093_ranks", f"WITH {SERIES_SQL} SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0::DOUBLE AS rank FROM (SELECT event_id, event_type, round(value) AS v FROM ev)")
 def ranks(spark, d):
-    return series(spark, d).withColumn("v", F.round("value")).select("event_id", stats.average_rank(["event_type"], "v").alias("rank"))
+    return series(spark, d).withColumn("v", F.round("value")).transform(lambda e: stats.with_ranks(e, ["event_type"], "v", "rank")).select("event_id", "rank")
 
 
 @query(
@@ -343,10 +343,10 @@ def renormalized(spark, d):
     return se.normalize(_stack(spark, d), ["g"], "smooth", "u").select("g", "day", r("u").alias("u"))
 
 
-_XC = """da AS (SELECT id, t::DATE AS day, sum(value) AS a, sum(length(event_type)) AS b FROM ev WHERE id < 60 GROUP BY ALL),
+_XC = f"""da AS (SELECT id, t::DATE AS day, sum(value) AS a, sum(length(event_type)) AS b FROM ev GROUP BY ALL),
     cu AS (SELECT id, day, sum(a) OVER w AS a, sum(b) OVER w AS b, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n FROM da WINDOW w AS (PARTITION BY id ORDER BY day)),
     z AS (SELECT id, i, (a - avg(a) OVER p) / stddev_pop(a) OVER p AS za, (b - avg(b) OVER p) / stddev_pop(b) OVER p AS zb FROM cu WHERE n >= 5 WINDOW p AS (PARTITION BY id)),
-    c AS (SELECT x.id, x.i - y.i AS lag, sum(x.za * y.zb) AS c FROM z x JOIN z y ON x.id = y.id AND abs(x.i - y.i) <= 10 GROUP BY 1, 2)"""
+    c AS (SELECT x.id, x.i - y.i AS lag, sum(x.za * y.zb) AS c FROM z x JOIN z y ON x.id = y.id AND abs(x.i - y.i) <= {int(PARAMS.max_lag_days)} GROUP BY 1, 2)"""
 
 
 def _correlations(events, max_lag_days):
@@ -355,32 +355,23 @@ def _correlations(events, max_lag_days):
     return se.cross_correlation(cum, ["id"], "day", "a", "b", 1.0, max_lag_days)
 
 
-def _few_correlations(spark, d):
-    return _correlations(series(spark, d).filter("id < 60"), 10.0)
-
-
 def _all_correlations(spark, d):
     return _correlations(series(spark, d), PARAMS.max_lag_days)
 
 
-@query("c155_correlation", f"WITH {SERIES_SQL}, {_XC} SELECT id, lag, round(c, 5) AS correlation FROM c")
-def correlation(spark, d):
-    return _few_correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
-
-
-@query("c157_best_lag", f"WITH {SERIES_SQL}, {_XC} SELECT id, lag FROM (SELECT id, lag, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, lag) AS k FROM c) WHERE k = 1")
-def best_lag(spark, d):
-    return se.best_lag(_few_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
+_CORRELATION_SQL = f"WITH {SERIES_SQL}, {_XC} SELECT id, lag, round(c, 5) AS correlation FROM c"
+_LAG_SQL = f"WITH {SERIES_SQL}, {_XC} SELECT id, lag FROM (SELECT id, lag, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, lag) AS k FROM c) WHERE k = 1"
 
 
-@query("c155_correlation_all", None)
-def correlation_all(spark, d):
-    """All users and lags to 120 days."""
+@query("c155_correlation", _CORRELATION_SQL)
+@query("c155_correlation_all", _CORRELATION_SQL)
+def correlation(spark, d):
     return _all_correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
 
 
-@query("c157_best_lag_all", None)
-def best_lag_all(spark, d):
+@query("c157_best_lag", _LAG_SQL)
+@query("c157_best_lag_all", _LAG_SQL)
+def best_lag(spark, d):
     return se.best_lag(_all_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
 
 
@@ -390,28 +381,21 @@ def best_lag_all(spark, d):
     SELECT strategy, grp, count(*) AS n, round(median(v2), 6) AS med FROM g GROUP BY ALL""",
 )
 def strategies(spark, d):
-    ways = {"rate": lambda df: df.filter("v1 > 0").withColumn("grp", buckets.ratio_bucket(F.col("v2") / F.col("v1"))), "amount": lambda df: df.withColumn("grp", buckets.shaking_bucket(F.col("quantity") / 25))}
-    both = None
-    for name, way in ways.items():
-        part = two_years(spark, d).transform(way).select(F.lit(name).alias("strategy"), "grp", "v2")
-        both = part if both is None else both.unionByName(part)
-    return both.groupBy("strategy", "grp").agg(F.count("*").alias("n"), r(F.median("v2")).alias("med"))
+    rate = F.when(F.col("v1") > 0, buckets.ratio_bucket(F.try_divide(F.col("v2"), F.col("v1"))))
+    long = gr.by_strategies(two_years(spark, d), {"rate": rate, "amount": buckets.shaking_bucket(F.col("quantity") / 25)}, ["v2"])
+    return long.groupBy("strategy", "grp").agg(F.count("*").alias("n"), r(F.median("v2")).alias("med"))
 
 
 @query("c148_subsets", "SELECT 'large' AS subset, count(*) AS n FROM part WHERE p_size > 40 UNION ALL SELECT 'small', count(*) FROM part WHERE p_size < 10 UNION ALL SELECT 'cheap', count(*) FROM part WHERE p_retailprice < 1100")
 def subsets(spark, d):
     cuts = {"large": F.col("p_size") > 40, "small": F.col("p_size") < 10, "cheap": F.col("p_retailprice") < 1100}
-    names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in cuts.items()]), lambda x: x.isNotNull())
-    return table(spark, d, "part").select(F.explode(names).alias("subset")).groupBy("subset").agg(F.count("*").alias("n"))
+    return gr.in_subsets(table(spark, d, "part"), cuts).groupBy("subset").agg(F.count("*").alias("n"))
 
 
 @query("c164_by_category", f"WITH {TWO_SQL}, {_GROUPS} SELECT w AS \"window\", grp, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY w), 1) AS percent, round(median(v), 6) AS med FROM (SELECT grp, unnest(['v1', 'v2']) AS w, unnest([v1, v2]) AS v FROM g) WHERE v >= 2 GROUP BY w, grp")
 def by_category(spark, d):
-    from pyspark.sql.window import Window
-
-    long = _grouped(spark, d).select("id", "grp", "v1", "v2").unpivot(["id", "grp"], ["v1", "v2"], "window", "v").filter("v >= 2")
-    got = long.groupBy("window", "grp").agg(F.count("*").alias("n"), r(F.median("v")).alias("med"))
-    return got.withColumn("percent", r(100 * F.col("n") / F.sum("n").over(Window.partitionBy("window")), 1))
+    got = gr.velocities_by_category(_grouped(spark, d), "grp", ["v1", "v2"], 2.0)
+    return got.select("window", "grp", "n", r("percent", 1).alias("percent"), r("median").alias("med"))
 
 
 @query("c165_clip", "SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)")
@@ -423,15 +407,15 @@ def clip(spark, d):
 
 @query("c166_split", "SELECT CASE WHEN p_size < 20 THEN 'coast' ELSE 'inland' END AS side, count(*) AS total, round(median(p_retailprice), 4) AS med FROM part GROUP BY 1")
 def split(spark, d):
-    side = F.when(F.col("p_size") < 20, "coast").otherwise("inland")
+    side = gr.side_of(F.col("p_size"), 20)
     return table(spark, d, "part").groupBy(side.alias("side")).agg(F.count("*").alias("total"), r(F.median("p_retailprice"), 4).alias("med"))
 
 
 @query("c167_proximity", "SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 3 > 0 THEN p_size END <= 20, false) AS road, coalesce(p_retailprice <= 1200, false) AS coast, coalesce(CASE WHEN p_size % 3 > 0 THEN p_size END <= 20, false) AND coalesce(p_retailprice <= 1200, false) AS \"both\" FROM part")
 def proximity(spark, d):
-    road = F.coalesce(F.when(F.col("p_size") % 3 > 0, F.col("p_size")) <= 20, F.lit(False))
-    coast = F.coalesce(F.col("p_retailprice") <= 1200, F.lit(False))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), road.alias("road"), coast.alias("coast"), (road & coast).alias("both"))
+    road = F.when(F.col("p_size") % 3 > 0, F.col("p_size"))
+    flagged = gr.proximity(table(spark, d, "part"), {"road": (road, 20), "coast": (F.col("p_retailprice"), 1200)})
+    return flagged.select(F.col("p_partkey").alias("id"), "road", "coast", "both")
 
 
 @query("c170_reasons", "WITH q AS (SELECT trim(split_part(p_name, ' ', 1)) AS reason, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM part WHERE p_size > 5 GROUP BY 1) SELECT CASE WHEN share >= 0.03 THEN reason ELSE 'Other' END AS reason, sum(n)::BIGINT AS n, round(sum(share), 6) AS share FROM q GROUP BY 1")
@@ -444,8 +428,7 @@ def reasons(spark, d):
 
 @query("c171_superset", f"WITH {TWO_SQL}, {_GROUPS} SELECT grp, count(*) AS n, round(median(v2), 6) AS med FROM (SELECT grp, v2 FROM g UNION ALL SELECT 'Active', v2 FROM g WHERE grp <> 'Slower') GROUP BY grp")
 def superset(spark, d):
-    groups = F.array(F.col("grp"), F.when(F.col("grp") != "Slower", F.lit("Active")))
-    got = _grouped(spark, d).select(F.explode(groups).alias("grp"), "v2").filter("grp IS NOT NULL")
+    got = gr.with_superset(_grouped(spark, d), "grp", "Active", F.col("grp") != "Slower")
     return got.groupBy("grp").agg(F.count("*").alias("n"), r(F.median("v2")).alias("med"))
 
 
@@ -458,47 +441,38 @@ def _curves(spark, d):
     return series(spark, d).groupBy(F.col("event_type").alias("g"), (F.floor("d").cast("double") / 10).alias("t")).agg((F.count("*") / F.lit(100)).alias("y"))
 
 
-_BETAS, _ENDS = [1.0, 3.0, 7.0], [0.5, 0.7, 0.9]
-
-
 def _steps(low, high, n):
     return [low + (high - low) * i / (n - 1) for i in range(n)]
 
 
-@query(
-    "c159_grid_fit",
-    f"""WITH {SERIES_SQL}, {_CURVE}, b AS (SELECT g, t AS t1 FROM cv WHERE abs(t - 1.52) <= 0.25), p AS (SELECT b.g, t1, t, y, t - t1 AS s FROM b JOIN cv USING (g)),
-    l AS (SELECT g, t1, regr_slope(y, s) AS k, regr_intercept(y, s) AS y1 FROM p WHERE s <= 0 AND s >= -1 GROUP BY g, t1 HAVING count(*) >= 2),
-    f AS (SELECT l.g, l.t1, c, beta, any_value(k) AS k, sqrt(avg(power(CASE WHEN s < 0 THEN k * s + y1 ELSE c - (c - y1) * exp(-beta * s) END - y, 2))) AS rmse
-          FROM l JOIN p ON p.g = l.g AND p.t1 = l.t1, (VALUES (0.5::DOUBLE), (0.7), (0.9)) AS q(c), (VALUES (1.0::DOUBLE), (3.0), (7.0)) AS h(beta) GROUP BY l.g, l.t1, c, beta)
-    SELECT g, round(t1, 6) AS t1, round(k, 6) AS k, c, beta, round(rmse, 8) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rmse, 12), t1, c, beta) AS n FROM f) WHERE n = 1""",
-)
-def grid_fit(spark, d):
-    got = fits.decay_grid_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _BETAS, _ENDS)
-    return got.select("g", r("t1").alias("t1"), r("k").alias("k"), "c", "beta", r("rmse", 8).alias("rmse"))
+def _steps_sql(low, high, n):
+    return f"(SELECT {low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * i / {n - 1} FROM range({n}) AS s(i))"
 
 
-@query(
-    "c160_log_fit",
-    f"""WITH {SERIES_SQL}, {_CURVE}, p AS (SELECT g, t - 1.52 AS s, y FROM cv), l AS (SELECT g, regr_slope(y, s) AS k, regr_intercept(y, s) AS y1 FROM p WHERE s < 0 AND s >= -0.8 GROUP BY g),
-    f AS (SELECT l.g, c, k, y1, regr_slope(ln(c - y), s) AS sl, regr_intercept(ln(c - y), s) AS a FROM l JOIN p USING (g), (VALUES (0.9::DOUBLE), (1.1), (1.4)) AS q(c) WHERE s >= 0 AND c > y1 AND c > y GROUP BY ALL),
-    e AS (SELECT f.g, c, k, sl, sqrt(avg(power(CASE WHEN s < 0 THEN k * s + y1 ELSE c - exp(a + sl * s) END - y, 2))) AS rmse FROM f JOIN p ON p.g = f.g GROUP BY f.g, c, k, sl)
-    SELECT g, round(k, 6) AS k, c, round(-sl, 6) AS beta, round(rmse, 8) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rmse, 12), c) AS n FROM e) WHERE n = 1""",
-)
-def log_fit(spark, d):
-    got = fits.decay_loglinear_fit(_curves(spark, d), ["g"], "t", "y", 1.52, [0.9, 1.1, 1.4], before=0.8)
-    return got.select("g", r("k").alias("k"), "c", r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
+_GRID_FIT_SQL = f"""WITH {SERIES_SQL}, {_CURVE}, b AS (SELECT g, t AS t1 FROM cv WHERE abs(t - 1.52) <= 0.25), p AS (SELECT b.g, t1, t, y, t - t1 AS s FROM b JOIN cv USING (g)),
+    l AS (SELECT g, t1, regr_slope(y, s) AS k, regr_intercept(y, s) AS y1 FROM p WHERE s <= 0 AND s >= -1 GROUP BY g, t1 HAVING count(*) >= 2),
+    f AS (SELECT l.g, l.t1, c, beta, any_value(k) AS k, sqrt(avg(power(CASE WHEN s < 0 THEN k * s + y1 ELSE c - (c - y1) * exp(-beta * s) END - y, 2))) AS rmse
+          FROM l JOIN p ON p.g = l.g AND p.t1 = l.t1, {_steps_sql(*PARAMS.end_levels)} AS q(c), {_steps_sql(*PARAMS.decay_rates)} AS h(beta) GROUP BY l.g, l.t1, c, beta)
+    SELECT g, round(t1, 6) AS t1, round(k, 6) AS k, round(c, 6) AS c, round(beta, 6) AS beta, round(rmse, 8) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rmse, 12), t1, c, beta) AS n FROM f) WHERE n = 1"""
 
 
-@query("c159_grid_fit_all", None)
-def grid_fit_all(spark, d):
+@query("c159_grid_fit", _GRID_FIT_SQL)
+@query("c159_grid_fit_all", _GRID_FIT_SQL)
+def grid_fit(spark, d):
     """40 end levels and 100 decay rates."""
     got = fits.decay_grid_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
     return got.select("g", r("t1").alias("t1"), r("k").alias("k"), r("c").alias("c"), r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
 
 
-@query("c160_log_fit_all", None)
-def log_fit_all(spark, d):
+_LOG_FIT_SQL = f"""WITH {SERIES_SQL}, {_CURVE}, p AS (SELECT g, t - 1.52 AS s, y FROM cv), l AS (SELECT g, regr_slope(y, s) AS k, regr_intercept(y, s) AS y1 FROM p WHERE s < 0 AND s >= -0.8 GROUP BY g),
+    f AS (SELECT l.g, c, k, y1, regr_slope(ln(CASE WHEN c > y THEN c - y END), s) AS sl, regr_intercept(ln(CASE WHEN c > y THEN c - y END), s) AS a FROM l JOIN p USING (g), {_steps_sql(*PARAMS.log_end_levels)} AS q(c) WHERE s >= 0 AND c > y1 AND c > y GROUP BY ALL HAVING count(*) >= 2),
+    e AS (SELECT f.g, c, k, sl, sqrt(avg(power(CASE WHEN s < 0 THEN k * s + y1 ELSE c - exp(a + sl * s) END - y, 2))) AS rmse FROM f JOIN p ON p.g = f.g WHERE sl IS NOT NULL GROUP BY f.g, c, k, sl)
+    SELECT g, round(k, 6) AS k, round(c, 6) AS c, round(-sl, 6) AS beta, round(rmse, 8) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rmse, 12), c) AS n FROM e) WHERE n = 1"""
+
+
+@query("c160_log_fit", _LOG_FIT_SQL)
+@query("c160_log_fit_all", _LOG_FIT_SQL)
+def log_fit(spark, d):
     """61 end levels."""
     got = fits.decay_loglinear_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.log_end_levels), before=0.8)
     return got.select("g", r("k").alias("k"), r("c").alias("c"), r("beta").alias("beta"), r("rmse", 8).alias("rmse"))
@@ -539,45 +513,36 @@ def polynomials(spark, d):
 
 # --- tests ----------------------------------------------------------------------------------------
 
-_TEST = "o AS (SELECT o_orderstatus AS v, o_orderpriority AS g, round(o_totalprice / 1000) AS x FROM orders WHERE o_orderkey % 7 = 0)"
-
-
-def _few_tested(spark, d):
-    return _tested(spark, d, "o_orderkey % 7 = 0")
+_TEST = "o AS (SELECT o_orderstatus AS v, o_orderpriority AS g, round(o_totalprice / 1000) AS x FROM orders)"
 
 
-def _tested(spark, d, where="true"):
-    o = table(spark, d, "orders").filter(where)
+def _tested(spark, d):
+    o = table(spark, d, "orders")
     return o.select(F.col("o_orderstatus").alias("v"), F.col("o_orderpriority").alias("g"), F.round(F.col("o_totalprice") / 1000).alias("x"))
 
 
-@query(
-    "t149_kruskal",
-    f"""WITH {_TEST}, k AS (SELECT v, g, x, rank() OVER (PARTITION BY v ORDER BY x) + (count(*) OVER (PARTITION BY v, x) - 1) / 2.0::DOUBLE AS rk FROM o),
+_KRUSKAL_SQL = f"""WITH {_TEST}, k AS (SELECT v, g, x, rank() OVER (PARTITION BY v ORDER BY x) + (count(*) OVER (PARTITION BY v, x) - 1) / 2.0::DOUBLE AS rk FROM o),
     s AS (SELECT v, g, sum(rk) AS s, count(*) AS m FROM k GROUP BY v, g), q AS (SELECT v, sum(s * s / m) AS q, sum(m)::DOUBLE AS n, count(*) AS k_groups FROM s GROUP BY v),
     t AS (SELECT v, sum(power(c, 3) - c) AS ties FROM (SELECT v, x, count(*)::DOUBLE AS c FROM o GROUP BY v, x) GROUP BY v)
-    SELECT v, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (power(n, 3) - n)), 6) AS h, k_groups, n::BIGINT AS n FROM q JOIN t USING (v)""",
-)
-def kruskal(spark, d):
-    return stats.kruskal_h(_few_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
+    SELECT v, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (power(n, 3) - n)), 6) AS h, k_groups, n::BIGINT AS n FROM q JOIN t USING (v)"""
 
 
-@query(
-    "t150_rank_sums",
-    f"""WITH {_TEST}, p AS (SELECT a.v, a.g AS g1, b.g AS g2 FROM (SELECT DISTINCT v, g FROM o) a JOIN (SELECT DISTINCT v, g FROM o) b ON a.v = b.v AND a.g < b.g)
-    SELECT p.v, g1, g2, sum(CASE WHEN x.x > y.x THEN 1.0 WHEN x.x = y.x THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM p JOIN o x ON x.v = p.v AND x.g = g1 JOIN o y ON y.v = p.v AND y.g = g2 GROUP BY p.v, g1, g2""",
-)
-def rank_sums(spark, d):
-    return stats.rank_sums(_few_tested(spark, d), ["v"], "g", "x").select("v", "g1", "g2", "u")
+@query("t149_kruskal", _KRUSKAL_SQL)
+@query("t149_kruskal_all", _KRUSKAL_SQL)
+def kruskal(spark, d):
+    return stats.kruskal_h(_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
 
 
-@query("t149_kruskal_all", None)
-def kruskal_all(spark, d):
-    return stats.kruskal_h(_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
+# U counts the values of the second group below each value of the first, equal ones half: by counts of distinct values
+_U_SQL = f"""WITH {_TEST}, c AS (SELECT v, g, x, count(*) AS n FROM o GROUP BY ALL), l AS (SELECT DISTINCT v, g FROM o),
+    p AS (SELECT a.v, a.g AS g1, b.g AS g2 FROM l a JOIN l b ON a.v = b.v AND a.g < b.g)
+    SELECT p.v, g1, g2, sum(y.n * z.n * CASE WHEN y.x > z.x THEN 1.0 WHEN y.x = z.x THEN 0.5 ELSE 0 END)::DOUBLE AS u
+    FROM p JOIN c y ON y.v = p.v AND y.g = g1 JOIN c z ON z.v = p.v AND z.g = g2 GROUP BY p.v, g1, g2"""
 
 
-@query("t150_rank_sums_all", None)
-def rank_sums_all(spark, d):
+@query("t150_rank_sums", _U_SQL)
+@query("t150_rank_sums_all", _U_SQL)
+def rank_sums(spark, d):
     return stats.rank_sums(_tested(spark, d), ["v"], "g", "x").select("v", "g1", "g2", "u")
 
 
@@ -597,21 +562,17 @@ def spearman(spark, d):
     return stats.spearman_rho(m, ["g"], "x", "y").select("g", "n", r("rho").alias("rho"))
 
 
-_P = "p AS (SELECT o_custkey % 50 AS g, o_orderkey AS id, (o_orderkey * 37 % 1009) / 1009.0::DOUBLE AS p FROM orders WHERE o_orderkey % 11 = 0)"
+_P = "p AS (SELECT o_custkey % 50 AS g, o_orderkey AS id, (o_orderkey * 37 % 1009) / 1009.0::DOUBLE AS p FROM orders)"
 
 
-@query(
-    "t153_adjusted",
-    f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS k, count(*) OVER (PARTITION BY g) AS m FROM (SELECT g, p, min(id) AS id FROM p GROUP BY g, p))
+_ADJUSTED_SQL = f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS k, count(*) OVER (PARTITION BY g) AS m FROM (SELECT g, p, min(id) AS id FROM p GROUP BY g, p))
     SELECT id, round(least(min(p * m / k) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS standard,
-           round(least(min(p * m / k) OVER (PARTITION BY g ORDER BY k), 1.0), 6) AS literal, round(least((m - k + 1) * p, 1.0), 6) AS holm FROM k""",
-)
-def adjusted(spark, d):
-    return _adjusted(table(spark, d, "orders").filter("o_orderkey % 11 = 0"))
+           round(least(min(p * m / k) OVER (PARTITION BY g ORDER BY k), 1.0), 6) AS literal, round(least((m - k + 1) * p, 1.0), 6) AS holm FROM k"""
 
 
-@query("t153_adjusted_all", None)
-def adjusted_all(spark, d):
+@query("t153_adjusted", _ADJUSTED_SQL)
+@query("t153_adjusted_all", _ADJUSTED_SQL)
+def adjusted(spark, d):
     return _adjusted(table(spark, d, "orders"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import aggregates, fits, joins, picks, series, spatial, stats
+from terrashift.operators import aggregates, fits, groups, joins, picks, series, spatial, stats
 
 
 def frame(spark, schema, *rows):
@@ -165,6 +165,26 @@ def test_nearest_join_matches_brute_force_far_and_near(spark):
         assert got[i][0] == int(np.argmin(d)) and got[i][1] == pytest.approx(2 * math.asin(min(d) / 2) * 6371008.8)
 
 
+def test_nearest_join_over_an_ocean(spark):
+    """Supports on another continent, many of them in one place: no target meets them all."""
+    rng = np.random.default_rng(6)
+    t = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-124, -120, 300), rng.uniform(38, 42, 300), strict=True))]
+    s = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(5, 8, 2000), rng.uniform(44, 47, 2000), strict=True))]
+    targets, support = frame(spark, "id int, lon double, lat double", *t, (300, None, 1.0)), frame(spark, "sid int, lon double, lat double", *s)
+    got = {r["id"]: r["sid"] for r in joins.nearest_join(targets, support, "id", "sid").collect()}
+
+    def xyz(points):
+        lo, la = np.radians([p[1] for p in points]), np.radians([p[2] for p in points])
+        return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
+
+    assert got == dict(enumerate(((xyz(t)[:, None] - xyz(s)[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()))
+    on_sphere = joins._on_sphere(targets.dropna(), "lon", "lat")
+    items = joins._on_sphere(support, "lon", "lat").select("sid", *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
+    place = ["_sx", "_sy", "_sz"]
+    met = joins.nearest_leaves(on_sphere, items, ["id"], ["_x", "_y", "_z"], place, place, 1.0, 0.0002).count()
+    assert met < 40 * len(t)
+
+
 def test_asof_takes_equal_times_and_default(spark):
     t = frame(spark, "id int, t int", (1, 5), (1, 0), (2, 3))
     v = frame(spark, "id int, t int, v double", (1, 5, 7.0), (1, 2, 3.0))
@@ -244,6 +264,35 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(40)) and got[45] == 41 and got[59] == 59
 
 
+def test_components_of_string_ids(spark):
+    """A shuffled path of 1,000 named nodes is one component."""
+    names = [f"ls_{i:04d}" for i in range(1000)]
+    order = np.random.default_rng(2).permutation(1000)
+    edges = frame(spark, "a string, b string", *[(names[a], names[b]) for a, b in zip(order, order[1:], strict=False)])
+    nodes = frame(spark, "id string", *[(n,) for n in [*names, "zz"]])
+    got = {r["id"]: r["component"] for r in spatial.label_components(nodes, edges).collect()}
+    assert got == {n: names[0] for n in names} | {"zz": "zz"}
+
+
+def test_pixels_with_nulls_are_in_their_polygon(spark):
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    polygons = frame(spark, "ring array<struct<x:double,y:double>>", (ring,), (ring,))
+    grid = frame(spark, "lon double, lat double, vel double, _in string", (0.6, 0.6, None, "mine"), (0.6, 0.6, None, "mine"), (0.5, 0.2, 1.0, None), (1.5, 0.5, None, None), (None, 0.5, 2.0, None))
+    got = sorted(((r["lon"], r["lat"]), r["vel"], r["label"]) for r in spatial.polygon_mask(grid, polygons, 0.7).collect() if r["lon"] is not None)
+    assert [g[2] for g in got] == [1, 1, 1, 0] and spatial.polygon_mask(grid, polygons, 0.7).filter("lon IS NULL").first()["label"] == 0
+
+
+def test_nearest_other_pixel_near_and_lone(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 3, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 900, (90, 2)))] + [(0, 100 + i, 5.0 + i % 4, 5.0 + i // 4) for i in range(16)] + [(1, 200, 3.0, 3.0), (1, 201, 3.0, 3.0), (7, 300, 1.0, 1.0)]
+    got = {r["c"]: (r["mean_nn"], r["n"]) for r in spatial.mean_nearest_distance(frame(spark, "c int, i int, x double, y double", *rows), ["c"], "i").collect()}
+    for c in range(3):
+        p = np.array([r[2:] for r in rows if r[0] == c])
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.diag([np.inf] * len(p))
+        assert got[c] == (pytest.approx(d.min(axis=1).mean()), len(p))
+    assert 7 not in got
+
+
 def test_components_of_a_chain_from_its_far_end(spark):
     """0, n, n - 1, ..., 1: the least node meets the chain at its largest."""
     chain = [0, *range(300, 0, -1)]
@@ -259,6 +308,63 @@ def test_rows_are_numbered_across_partitions(spark):
     assert picks.number_rows(df.limit(0), [F.col("v")]).count() == 0
 
 
+def test_a_common_value_fills_many_ranges(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"), "id").repartition(5)
+    seen = picks.number_rows(df, [F.col("v")])
+    got = sorted((r["number"], r["v"]) for r in seen.collect())
+    assert [n for n, _ in got] == list(range(1, 20_001)) and [v for _, v in got] == sorted(v for _, v in got)
+    order = [F.col("v"), F.xxhash64("v", "id")]
+    sizes = [r["n"] for r in df.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 8000
+
+
+def test_ranks_by_running_counts(spark):
+    rng = np.random.default_rng(1)
+    v = [None if x > 28 else float(x) for x in rng.integers(0, 30, 400)]
+    df = frame(spark, "g int, v double, w double", *[(i % 3, x, float(i * 7 % 11)) for i, x in enumerate(v)]).repartition(6)
+    got = stats.with_ranks(df, ["g"], "v", "rank").collect()
+    assert len(got) == 400
+    for g in range(3):
+        own = [x for i, x in enumerate(v) if i % 3 == g and x is not None]
+        for r in got:
+            if r["g"] == g:
+                assert r["rank"] == (None if r["v"] is None else sum(x < r["v"] for x in own) + (own.count(r["v"]) + 1) / 2)
+    rho = {r["g"]: r["rho"] for r in stats.spearman_rho(df, ["g"], "v", "w").collect()}
+    ranks = lambda a: np.array([(np.array(a) < x).sum() + (a.count(x) + 1) / 2 for x in a])
+    for g in range(3):
+        pairs = [(x, float(i * 7 % 11)) for i, x in enumerate(v) if i % 3 == g and x is not None]
+        assert rho[g] == pytest.approx(np.corrcoef(ranks([p[0] for p in pairs]), ranks([p[1] for p in pairs]))[0, 1])
+
+
+def test_groupings(spark):
+    df = frame(spark, "i int, g string, v double, w double", (1, "a", 1.0, 5.0), (2, "b", 3.0, None), (3, None, None, 2.0))
+    big = groups.by_strategies(df, {"one": F.col("g"), "two": F.when(F.col("v") > 2, "big")}, ["i"]).collect()
+    assert sorted(map(tuple, big)) == [("one", "a", 1), ("one", "b", 2), ("two", "big", 2)]
+    some = groups.in_subsets(df, {"low": F.col("v") < 4, "high": F.col("v") > 2}).select("i", "subset").collect()
+    assert sorted(map(tuple, some)) == [(1, "low"), (2, "high"), (2, "low")]
+    every = groups.with_superset(df, "g", "all", F.col("g") != "b").select("i", "g").collect()
+    assert sorted(map(tuple, every)) == [(1, "a"), (1, "all"), (2, "b")]
+    assert [r[0] for r in df.select(groups.side_of(F.col("v"), 2.0)).collect()] == ["coast", "inland", None]
+    flags = groups.proximity(df, {"near_v": (F.col("v"), 1.0), "near_w": (F.col("w"), 5.0)}).select("near_v", "near_w", "both").collect()
+    assert list(map(tuple, flags)) == [(True, True, True), (False, False, False), (False, True, False)]
+    speeds = groups.velocities_by_category(df, "g", ["v", "w"], 2.0).collect()
+    assert sorted((r["window"], str(r["g"]), r["n"], r["percent"], r["median"]) for r in speeds) == [("v", "b", 1, 100.0, 3.0), ("w", "None", 1, 50.0, 2.0), ("w", "a", 1, 50.0, 5.0)]
+
+
+def test_polynomials_are_those_of_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 2, 2020 + float(t), float(np.sin(t) + 0.1 * e), None if i % 5 == 0 else float(t**2)) for i, (t, e) in enumerate(zip(rng.uniform(0, 3, 80), rng.normal(size=80), strict=True))]
+    df = frame(spark, "g int, t double, y double, z double", *rows, (5, 1.0, 1.0, 1.0), (6, None, None, None))
+    got = {r["g"]: r for r in fits.polynomial_rmse(df, ["g"], "t", ["y", "z"]).collect()}
+    for g in range(2):
+        for name, k in (("y", 2), ("z", 3)):
+            t, v = np.array([(r[1], r[k]) for r in rows if r[0] == g and r[k] is not None]).T
+            x = t - t.mean()
+            want = np.sqrt(np.mean((np.polyval(np.polyfit(x, v, 4), x) - v) ** 2))
+            assert got[g][f"rmse_{name}"] == pytest.approx(want, abs=1e-9)
+    assert all(math.isnan(got[g][f"rmse_{c}"]) for g in (5, 6) for c in "yz")
+
+
 def test_rejection_order(spark):
     args = [F.lit(True), F.lit(20), F.lit(0.9), F.lit(0.01), F.lit(1.0), F.lit(False)]
     assert spark.range(1).select(spatial.rejection(*args)).first()[0] == "Success"

@@ -44,30 +44,6 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
 
 
-WHOLE = {
-    "t149_kruskal": [(" WHERE o_orderkey % 7 = 0", "")],
-    "t150_rank_sums": [(" WHERE o_orderkey % 7 = 0", "")],
-    "t153_adjusted": [(" WHERE o_orderkey % 11 = 0", "")],
-    "c155_correlation": [(" WHERE id < 60", ""), ("<= 10 ", "<= 120 ")],
-    "c157_best_lag": [(" WHERE id < 60", ""), ("<= 10 ", "<= 120 ")],
-    "s138_compactness": [(" WHERE s % 5 < 3", "")],
-    "a078_pixel_means": [(" WHERE s % 7 < 4", "")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_table(spark, duck, name):
-    """Against the SQL of the subset without its filter, which is too slow for large tables."""
-    sql = ORACLES[name]
-    for cut, whole in WHOLE[name]:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    rel = duck.sql(sql)
-    want = sorted(tuple(map(plain, r)) for r in rel.fetchall())
-    got = QUERIES[f"{name}_all"](spark, DATA).select(*rel.columns).collect()
-    assert sorted(tuple(map(plain, r)) for r in got) == want
-
-
 @pytest.mark.parametrize("name", ["t150_pairwise"])
 def test_rank_tests_use_all_orders(spark, duck, name):
     pairs = QUERIES[name](spark, DATA).collect()

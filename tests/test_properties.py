@@ -71,5 +71,5 @@ def test_partitioning_changes_nothing(data, op):
 
 def test_ranks_sum_to_the_triangle_number(data):
     used = data.filter("v IS NOT NULL").withColumn("v", F.round("v", 1))
-    got = used.withColumn("r", stats.average_rank(["g"], "v")).groupBy("g").agg(F.sum("r").alias("r"), F.count("*").alias("n"))
+    got = stats.with_ranks(used, ["g"], "v", "r").groupBy("g").agg(F.sum("r").alias("r"), F.count("*").alias("n"))
     assert all(math.isclose(x["r"], x["n"] * (x["n"] + 1) / 2) for x in got.collect())
