@@ -1,11 +1,17 @@
 """Media columns: lossless WebP images written from bytes and decoded to pixel arrays.
 
-``decode_image`` reads any lossless WebP (VP8L) stream: prefix codes with or without groups,
-back-references, colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms. ``encode_payloads`` stores bytes as grey images 64 samples wide, one sample in the green
-channel of each pixel, with a canonical prefix code for each image and back-references for runs; long
-payloads become several images of at most 256 rows, one RIFF file after another. Images of that plain
-kind are decoded in lock-step, one token of each image at a time in numpy; all others one by one.
+``encode_payloads`` stores bytes as images 32 pixels wide, two samples (red and green) to a pixel, so
+a row is 64 samples; long payloads become several images of at most 64 rows, one RIFF file after
+another. Each image is written in the way that its entropy says is shortest: with a palette, packed
+where it is small; or with a predictor chosen for every block, and cross-colour then or where it pays
+alone; and with a colour cache where that pays. All have canonical prefix codes and
+back-references for runs.
+
+``decode_media`` reads any lossless WebP (VP8L) stream: prefix codes, back-references, colour cache,
+and the predictor, cross-colour, subtract-green and palette transforms. It walks all images of a
+batch in step, one pixel of each at a time in numpy, and inverts predictors along diagonals of all
+images. Images with several code groups, which are not written here, are read one by one by
+``decode_stream``, a plain decoder of all features that tests hold against the other.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal media; repeated rows
 are stored one by one; an empty table gives an empty table; other columns are ignored.
@@ -16,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +34,11 @@ from pyspark.sql import functions as F
 
 from terrashift.llm.common import text_or_empty
 
-WIDTH, TILE_ROWS = 64, 256
-TILE = WIDTH * TILE_ROWS
+#: Samples of a row, pixels of a row, rows of an image, and bytes of an image.
+SAMPLES, WIDTH, TILE_ROWS = 64, 32, 64
+TILE = SAMPLES * TILE_ROWS
+#: What ``decode_media`` has inverted, by name, in this process.
+INVERTED: Counter = Counter()
 
 # Fixed values of the format: the order of code length codes, and alphabets of the five codes of a group.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -119,21 +129,33 @@ def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    at, previous = 0, 8
+    at, previous, held, word = 0, 8, 0, 0
+    table, most = code.table, (code.bits if code.table else 0)
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        if held < 32:  # a symbol and its extra bits take 14 at most
+            first = bits.at >> 3
+            word = int.from_bytes(bits.data[first : first + 64], "little") >> (bits.at & 7)
+            held = 504
+        entry = table[word & ((1 << most) - 1)] if table else int(code.used[0])
+        symbol, used = entry & 4095, entry >> 12
         if symbol < 16:
             lengths[at] = symbol
             previous = symbol or previous
             at += 1
-            continue
-        value, more, least = ((previous, 2, 3), (0, 3, 3), (0, 7, 11))[symbol - 16]
-        repeat = least + bits.read(more)
-        if at + repeat > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[at : at + repeat] = value
-        at += repeat
+        else:
+            value, more, least = ((previous, 2, 3), (0, 3, 3), (0, 7, 11))[symbol - 16]
+            repeat = least + (word >> used & ((1 << more) - 1))
+            used += more
+            if at + repeat > alphabet:
+                raise ValueError("too many code lengths")
+            lengths[at : at + repeat] = value
+            at += repeat
+        word >>= used
+        held -= used
+        bits.at += used
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
     return lengths
 
 
@@ -192,12 +214,13 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     return out
 
 
-def _planes(pixels: list[int], width: int) -> np.ndarray:
+def _planes(pixels: list[int] | np.ndarray, width: int) -> np.ndarray:
     """(height, width, 4) of alpha, red, green, blue."""
-    return np.array(pixels, ">u4").view(np.uint8).reshape(-1, width, 4).astype(np.int64)
+    return np.asarray(pixels).astype(">u4").view(np.uint8).reshape(-1, width, 4).astype(np.int64)
 
 
 def _predict(mode: int, left, top, top_right, top_left):
+    """What a predictor says of pixels (..., 4), from their neighbours."""
     mean = lambda a, b: (a + b) >> 1
     if mode == 0 or mode > 13:
         return np.array([255, 0, 0, 0])
@@ -210,7 +233,8 @@ def _predict(mode: int, left, top, top_right, top_left):
     if mode == 10:
         return mean(mean(left, top_left), mean(top, top_right))
     if mode == 11:
-        return left if np.abs(top - top_left).sum() < np.abs(left - top_left).sum() else top
+        nearer = np.abs(top - top_left).sum(axis=-1, keepdims=True) < np.abs(left - top_left).sum(axis=-1, keepdims=True)
+        return np.where(nearer, left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
     middle = mean(left, top)
@@ -308,20 +332,31 @@ def decode_image(riff: bytes) -> np.ndarray:
     return decode_stream(_chunk(riff)[0])
 
 
-# --- encoder of plain grey images, many at a time -------------------------------------------------
+# --- encoder, many images at a time ---------------------------------------------------------------
+
+#: Bits of the colour cache, and of the side of a predictor's block.
+CACHE_BITS, BLOCK_BITS = 6, 3
+#: Predictors that the encoder tries besides none: left, top, and left + top - top left.
+_TRIED = (0, 1, 2, 12)
+#: Cross-colour multipliers that it tries, in 32nds.
+_MULTIPLIERS = (-32, -16, -8, 8, 16, 32, 64)
+_RAREST = 1024  # rarer symbols count as one of so many: no code is longer than 11 bits
 
 
 def _code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Complete code lengths for each row of counts (two used symbols at least), near -log2 of the shares.
+    """Complete code lengths for each row of counts, near -log2 of the shares; rows of one used symbol get length 1 for it.
 
-    Rare symbols count as 1/2048 of all, so no code is longer than 12 bits. Rounded-up lengths leave
-    some code space; it goes to the most frequent symbols first, in turns, until it is used up: the
-    longest code can always be shortened by what is left.
+    Rounded-up lengths leave some code space; it goes to the most frequent symbols first, in turns,
+    until it is used up: the longest code can always be shortened by what is left.
     """
-    counts = np.where(counts > 0, np.maximum(counts, counts.sum(axis=1, keepdims=True) / 2048), 0)
+    several = (counts > 0).sum(axis=1) > 1
+    out = (counts > 0).astype(np.int64)
+    if not several.any():
+        return out
+    counts = counts[several]
+    counts = np.where(counts > 0, np.maximum(counts, counts.sum(axis=1, keepdims=True) / _RAREST), 0)
     total = counts.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore"):
-        want = np.ceil(np.log2(total / np.where(counts > 0, counts, 1))).astype(np.int64)
+    want = np.ceil(np.log2(total / np.where(counts > 0, counts, 1))).astype(np.int64)
     lengths = np.where(counts > 0, np.clip(want, 1, _MAX_CODE), 0)
     order = np.argsort(-counts, axis=1, kind="stable")[:, : int((counts > 0).sum(axis=1).max())]
     ordered = np.take_along_axis(lengths, order, axis=1)
@@ -334,7 +369,8 @@ def _code_lengths(counts: np.ndarray) -> np.ndarray:
             own[take] -= 1
             spare -= np.where(take, gain, 0)
     np.put_along_axis(lengths, order, ordered, axis=1)
-    return lengths
+    out[several] = lengths
+    return out
 
 
 def _stream_codes(lengths: np.ndarray) -> np.ndarray:
@@ -359,15 +395,20 @@ def _text_bits(value: int, n: int) -> str:
 
 
 _OWN_TEXT = [_text_bits(c, n) for c, n in zip(_OWN_CODES, _OWN_LENGTHS, strict=True)]
-_GREEN_HEAD = "0" + _text_bits(15, 4) + "".join(_text_bits(_OWN_LENGTHS[s], 3) for s in _LENGTH_ORDER) + "0"
-# red 0, blue 0, alpha 255 and distance prefix 1, the pixel to the left, are codes of one symbol
-_OTHER_CODES = "1000" + "1000" + "101" + _text_bits(255, 8) + "1001"
+_CODE_HEAD = "0" + _text_bits(15, 4) + "".join(_text_bits(_OWN_LENGTHS[s], 3) for s in _LENGTH_ORDER) + "0"
 
 
-def _header(height: int, lengths: list[int]) -> str:
-    """All bits before the pixels, as text of 0 and 1 in the order of the stream."""
-    parts = [_text_bits(0x2F, 8), _text_bits(WIDTH - 1, 14), _text_bits(height - 1, 14), "0000", "0", "0", "0", _GREEN_HEAD]
-    at, n = 0, len(lengths)
+def _one_symbol(symbol: int) -> str:
+    """A code of one symbol, which takes no bits."""
+    return "101" + _text_bits(symbol, 8)
+
+
+def _code_text(lengths: list[int]) -> str:
+    """The bits that describe a code, as text of 0 and 1 in the order of the stream."""
+    used = len(lengths) - lengths.count(0)
+    if used == 1 and lengths.index(1) < 256:
+        return _one_symbol(lengths.index(1))
+    parts, at, n = [_CODE_HEAD], 0, len(lengths)
     while at < n:
         value, end = lengths[at], at + 1
         if value == 0:
@@ -382,7 +423,21 @@ def _header(height: int, lengths: list[int]) -> str:
         else:
             parts.append(_OWN_TEXT[value])
         at = end
-    return "".join(parts) + _OTHER_CODES
+    return "".join(parts)
+
+
+def _side_image(argb: np.ndarray) -> str:
+    """An image of a transform (palette, modes or multipliers): literals only."""
+    codes, texts = [], []
+    for channel in (2, 1, 3, 0):  # green, red, blue, alpha
+        lengths = _code_lengths(np.bincount(argb[:, channel], minlength=280 if channel == 2 else 256)[None, :])
+        texts.append(_code_text(lengths[0].tolist()))
+        single = np.count_nonzero(lengths) == 1
+        values = _stream_codes(lengths)[0].tolist()
+        codes.append([""] * 280 if single else [_text_bits(c, n) for c, n in zip(values, lengths[0].tolist(), strict=True)])
+    green, red, blue, alpha = codes
+    data = [green[g] + red[r] + blue[b] + alpha[a] for a, r, g, b in argb.tolist()]
+    return "0" + "".join(texts) + _one_symbol(0) + "".join(data)
 
 
 def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -393,48 +448,196 @@ def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1)), np.where(v < 4, 0, more), np.where(v < 4, 0, v & ((1 << more) - 1))
 
 
+def _histograms(owner: np.ndarray, values: np.ndarray, images: int, size: int = 256) -> np.ndarray:
+    return np.bincount(owner * size + values, minlength=images * size).reshape(images, size)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of all symbols of each row by its entropy, and some for describing the code."""
+    total = counts.sum(axis=1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1))).sum(axis=1) + 4 * (counts > 0).sum(axis=1)
+
+
+def _predicted(planes: np.ndarray, start: np.ndarray, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Residuals of the images for which predictors pay, other images as they are, bits of each, and the modes of the former's blocks.
+
+    A block takes the predictor whose residuals seem cheapest: a raw sample costs what its share in
+    the image says, a residual the more bits the farther it is from zero. The first row and column
+    have predictors of their own.
+    """
+    images, size = len(rows), planes.shape[1]
+    place = np.arange(size) - start[owner]
+    high, across = -(-rows >> BLOCK_BITS), WIDTH >> BLOCK_BITS
+    first = across * (np.cumsum(high) - high)
+    block = first[owner] + (place // WIDTH >> BLOCK_BITS) * across + (place % WIDTH >> BLOCK_BITS)
+    on_top, on_left = place < WIDTH, place % WIDTH == 0
+    at = lambda back: np.concatenate((planes[:, :1].repeat(back, axis=1), planes[:, :-back]), axis=1)[:, :size]
+    left, top, corner = at(1), at(WIDTH), at(WIDTH + 1)
+    zero = np.zeros_like(planes)
+    edge = np.where(on_top, np.where(on_left, zero, left), top)
+    inside = ~(on_top | on_left)
+    price = (1 + 2 * np.log2(1 + np.abs((np.arange(256) ^ 128) - 128.0))).astype(np.float32)
+    counts = [_histograms(owner, p, images) for p in planes]
+    own = [np.log2((c.sum(axis=1, keepdims=True) + 256) / (c + 1)).astype(np.float32).ravel() for c in counts]
+    guesses = (zero, left, top, np.clip(left + top - corner, 0, 255))
+    tried = [(planes - np.where(inside, g, edge)) & 255 for g in guesses]
+    costs = [np.bincount(block, own[0][owner << 8 | planes[0]] + own[1][owner << 8 | planes[1]] if m == 0 else price[t].sum(axis=0), int(across * high.sum())) for m, t in zip(_TRIED, tried, strict=True)]
+    chosen = np.argmin(np.stack(costs), axis=0)
+    residual = np.choose(chosen[block], tried)
+    before = sum(map(_bits, counts))
+    several = np.minimum.reduceat(chosen, first) != np.maximum.reduceat(chosen, first)
+    after = sum(_bits(_histograms(owner, p, images)) for p in residual) + 70 + several * (80 + 2 * across * high)
+    pays = after < before
+    modes: list = [None] * images
+    for i in np.flatnonzero(pays).tolist():
+        modes[i] = np.array(_TRIED)[chosen[first[i] : first[i] + across * high[i]]]
+    return np.where(pays[owner], residual, planes), np.minimum(before, after), modes
+
+
+def _uncrossed(planes: np.ndarray, owner: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Red less a multiple of green, the bits saved, and each image's multiplier.
+
+    An image with a predictor takes the best multiplier, any other only one that pays, else 0 for none.
+    """
+    images = len(predicted)
+    red, signed = planes[0], (planes[1] ^ 128) - 128
+    plain = _bits(_histograms(owner, red, images))
+    best, chosen = np.where(predicted, np.inf, plain - 70), np.zeros(images, np.int64)
+    for m in _MULTIPLIERS:
+        bits = _bits(_histograms(owner, (red - ((m * signed) >> 5)) & 255, images))
+        chosen = np.where(bits < best, m, chosen)
+        best = np.minimum(best, bits)
+    return (red - ((chosen[owner] * signed) >> 5)) & 255, np.where(chosen != 0, plain - best - 70, 0), chosen
+
+
 def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     """One RIFF file for each tile (a multiple of 64 bytes, at most TILE)."""
-    sizes = np.fromiter(map(len, tiles), np.int64, len(tiles))
-    data = np.frombuffer(b"".join(tiles), np.uint8)
-    ends = np.cumsum(sizes)
-    tile = np.repeat(np.arange(len(tiles)), sizes)
-    # tokens: a literal where the byte differs from the one before, else part of a run
-    place = np.arange(len(data))
-    same = np.zeros(len(data), bool)
-    same[1:] = data[1:] == data[:-1]
+    images = len(tiles)
+    rows = np.fromiter(map(len, tiles), np.int64, images) // SAMPLES
+    planes = np.ascontiguousarray(np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 2).T).astype(np.int32)  # red and green
+    pixels = rows * WIDTH
+    start = np.cumsum(pixels) - pixels
+    owner = np.repeat(np.arange(images), pixels)
+    # predictor, then cross-colour
+    residual, bits, modes = _predicted(planes, start, rows, owner)
+    crossed, saved, multipliers = _uncrossed(residual, owner, np.array([m is not None for m in modes]))
+    # or a palette, where the entropy of indexes and the colours themselves take less
+    colours, index, counts = np.unique(owner << 16 | planes[0] << 8 | planes[1], return_inverse=True, return_counts=True)
+    of_colour = colours >> 16
+    n_colours = np.bincount(of_colour, minlength=images)
+    first_colour = np.cumsum(n_colours) - n_colours
+    index = index - first_colour[owner]
+    by_index = np.bincount(of_colour, counts * np.log2(pixels[of_colour] / counts), images) + 16 * n_colours + 160
+    palette = (n_colours <= 256) & (by_index < bits - saved)
+    packed = np.where(n_colours <= 2, 3, np.where(n_colours <= 4, 2, np.where(n_colours <= 16, 1, 0)))
+    # what is coded: pixels of one channel for palettes, of two for the others
+    heads = []
+    coded_r, coded_g, alphas = [None] * images, [None] * images, np.full(images, 255)
+    for i in np.flatnonzero(palette).tolist():
+        own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
+        k = int(packed[i])
+        each = 8 >> k
+        ids = index[start[i] : start[i] + pixels[i]].reshape(-1, 1 << k)
+        coded_g[i] = (ids << (each * np.arange(1 << k))).sum(axis=1)
+        coded_r[i] = np.zeros(len(ids), np.int64)
+    for i in np.flatnonzero(~palette).tolist():
+        coded_r[i], coded_g[i] = crossed[start[i] : start[i] + pixels[i]], residual[1, start[i] : start[i] + pixels[i]]
+        if modes[i] is not None:
+            alphas[i] = 0  # all predictors give full alpha
+    for i in range(images):
+        parts = [_text_bits(0x2F, 8), _text_bits(WIDTH - 1, 14), _text_bits(int(rows[i]) - 1, 14), "0000"]
+        if palette[i]:
+            own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
+            argb = np.stack([np.full(len(own), 255), own >> 8, own & 255, np.zeros(len(own), np.int64)], axis=1)
+            parts.append("1" + _text_bits(3, 2) + _text_bits(len(own) - 1, 8) + _side_image(np.diff(argb, axis=0, prepend=0) & 255))
+        else:
+            if modes[i] is not None:
+                side = np.zeros((len(modes[i]), 4), np.int64)
+                side[:, 0], side[:, 2] = 255, modes[i]
+                parts.append("1" + _text_bits(0, 2) + _text_bits(BLOCK_BITS - 2, 3) + _side_image(side))
+            if multipliers[i]:
+                # green to red is in blue; one block holds the whole image
+                parts.append("1" + _text_bits(1, 2) + _text_bits(7, 3) + _side_image(np.array([[255, 0, 0, int(multipliers[i]) & 255]])))
+        parts.append("0")
+        heads.append("".join(parts))
+    return _entropy_code(heads, coded_r, coded_g, alphas)
+
+
+def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.ndarray], alphas: np.ndarray) -> list[bytes]:
+    """The RIFF files: what comes before the main image of each, and its pixels as red, green and one alpha."""
+    images = len(heads)
+    pixels = np.fromiter(map(len, coded_g), np.int64, images)
+    owner = np.repeat(np.arange(images), pixels)
+    red, green = np.concatenate(coded_r), np.concatenate(coded_g)
+    argb = (alphas[owner] << 24 | red << 16 | green << 8).astype(np.uint32)
+    place = np.arange(len(green))
+    ends = np.cumsum(pixels)
+    # runs of one pixel, from the second on
+    same = np.zeros(len(green), bool)
+    same[1:] = argb[1:] == argb[:-1]
     same[ends[:-1]] = False
-    in_run = place - np.maximum.accumulate(np.where(same, 0, place))  # 0 at its first byte
-    last = np.ones(len(data), bool)
+    in_run = place - np.maximum.accumulate(np.where(same, 0, place))  # 0 at its first pixel
+    last = np.ones(len(green), bool)
     last[:-1] = ~same[1:]
-    run_end = np.minimum.accumulate(np.where(last, place, len(data))[::-1])[::-1]
-    long_run = same & (in_run + run_end - place >= 4)
-    token = ~long_run | (in_run % 4096 == 1)
-    at = np.flatnonzero(token)
+    run_end = np.minimum.accumulate(np.where(last, place, len(green))[::-1])[::-1]
+    long_run = same & (in_run + run_end - place >= 3)
+    at = np.flatnonzero(~long_run | (in_run % 4096 == 1))
     is_run = long_run[at]
+    # the cache holds the last pixel of each hash: a hit is a pixel equal to the one before with its hash
+    slot = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    order = np.argsort(owner << CACHE_BITS | slot, kind="stable")
+    hit = np.zeros(len(green), bool)
+    again = (argb[order][1:] == argb[order][:-1]) & (slot[order][1:] == slot[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    hit[order[1:]] = again
+    of_token = owner[at]
+    is_hit = hit[at] & ~is_run
     runs = at[is_run]
     prefix, more, extra = _prefix_of(np.minimum(4096, run_end[runs] - runs + 1))
-    symbol = data[at].astype(np.int64)
+    symbol = green[at].copy()
     symbol[is_run] = _LITERALS + prefix
-    owner = tile[at]
-    alphabet = _LITERALS + _LENGTHS
-    counts = np.bincount(owner * alphabet + symbol, minlength=len(tiles) * alphabet).reshape(-1, alphabet)
-    sizes_of = _code_lengths(counts)
-    codes = _stream_codes(sizes_of)
-    value = codes[owner, symbol].astype(np.uint64)
-    bits = sizes_of[owner, symbol]
+    cached = symbol.copy()
+    cached[is_hit] = _LITERALS + _LENGTHS + slot[at][is_hit]
+    alphabet = _LITERALS + _LENGTHS + (1 << CACHE_BITS)
+    literal = ~is_run
+    without = _histograms(of_token, symbol, images, alphabet), _histograms(of_token[literal], red[at][literal], images)
+    missed = literal & ~is_hit
+    with_ = _histograms(of_token, cached, images, alphabet), _histograms(of_token[missed], red[at][missed], images)
+    uses = _bits(with_[0]) + _bits(with_[1]) < _bits(without[0]) + _bits(without[1])
+    symbol = np.where(uses[of_token], cached, symbol)
+    literal = np.where(uses[of_token], missed, literal)
+    greens = _code_lengths(np.where(uses[:, None], with_[0], without[0]))
+    reds = _code_lengths(np.where(uses[:, None], with_[1], without[1]))
+
+    def coded(lengths: np.ndarray, which: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and their bits; a code of one symbol takes none."""
+        taken = np.where((lengths > 0).sum(axis=1, keepdims=True) > 1, lengths, 0)
+        return _stream_codes(taken)[which, symbols].astype(np.uint64), taken[which, symbols]
+
+    value, bits = coded(greens, of_token, symbol)
     value[is_run] |= extra.astype(np.uint64) << bits[is_run].astype(np.uint64)
     bits[is_run] += more
-    # places: every tile starts at a 64-bit word of one buffer
-    heads = [_header(int(n) // WIDTH, row) for n, row in zip(sizes, sizes_of.tolist(), strict=True)]
-    head_bits = np.fromiter(map(len, heads), np.int64, len(heads))
-    data_bits = np.bincount(owner, bits, len(tiles)).astype(np.int64)
+    second, second_bits = coded(reds, of_token[literal], red[at][literal])
+    value[literal] |= second << bits[literal].astype(np.uint64)
+    bits[literal] += second_bits
+    texts = []
+    for i, (head, g, r) in enumerate(zip(heads, greens.tolist(), reds.tolist(), strict=True)):
+        cache = "1" + _text_bits(CACHE_BITS, 4) if uses[i] else "0"
+        # blue 0, one alpha, and distance prefix 1, the pixel to the left, are codes of one symbol
+        texts.append(head + cache + "0" + _code_text(g if uses[i] else g[: _LITERALS + _LENGTHS]) + _code_text(r) + _one_symbol(0) + _one_symbol(int(alphas[i])) + _one_symbol(1))
+    return _riff(texts, of_token, value, bits)
+
+
+def _riff(heads: list[str], owner: np.ndarray, value: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """Files of a head and the values of all tokens; every image starts at a 64-bit word of one buffer."""
+    images = len(heads)
+    head_bits = np.fromiter(map(len, heads), np.int64, images)
+    data_bits = np.bincount(owner, bits, images).astype(np.int64)
     words_of = (head_bits + data_bits + 63) // 64
     base = 64 * (np.cumsum(words_of) - words_of)
     before = np.cumsum(bits) - bits
-    first_token = np.searchsorted(owner, np.arange(len(tiles)))
+    first_token = np.searchsorted(owner, np.arange(images))
     start = before + (base + head_bits - before[first_token])[owner]
-    words = np.zeros(int(words_of.sum()) + 1, np.uint64)
+    words = np.zeros(int(words_of.sum()) + 2, np.uint64)
     word, shift = start >> 6, (start & 63).astype(np.uint64)
     groups = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     words[word[groups]] = np.add.reduceat(value << shift, groups)  # bits don't overlap: a sum is an or
@@ -446,8 +649,7 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
         begin = int(base[i]) // 8
         n = int(head_bits[i] + data_bits[i] + 7) // 8
         h = int(head[::-1], 2).to_bytes((len(head) + 7) // 8, "little")
-        own = np.frombuffer(h, np.uint8)
-        buffer[begin : begin + len(h)] |= own
+        buffer[begin : begin + len(h)] |= np.frombuffer(h, np.uint8)
         stream = buffer[begin : begin + n].tobytes()
         pad = b"\0" * (n & 1)
         out.append(b"RIFF" + struct.pack("<I", 12 + n + len(pad)) + b"WEBPVP8L" + struct.pack("<I", n) + stream + pad)
@@ -466,86 +668,212 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-# --- lock-step decoder of plain grey images -------------------------------------------------------
+# --- decoder of many images in step ---------------------------------------------------------------
 
-_STEPS = 128
 
+class Parsed:
+    """What stands before the pixels of a stream: size, transforms in their order, codes of the main image."""
 
-def _plain(data: bytes) -> tuple[int, int, np.ndarray, int] | None:
-    """Width, height, green code lengths and first pixel bit of a plain grey stream; None for any other."""
-    bits = Bits(data)
-    width, height = _size(bits)
-    if bits.read(1) or bits.read(1) or bits.read(1):  # a transform, a colour cache or code groups
-        return None
-    green = _read_lengths(bits, _LITERALS + _LENGTHS)
-    others = [np.flatnonzero(_read_lengths(bits, a)) for a in (256, 256, 256, _DISTANCES)]
-    if [o.tolist() for o in others] != [[0], [0], [255], [1]] or np.count_nonzero(green) < 2:
-        return None
-    return width, height, green, bits.at
-
-
-def _decode_plain(streams: list[bytes], greens: np.ndarray, first: np.ndarray, pixels: np.ndarray) -> list[np.ndarray]:
-    """Green samples of plain streams: step k reads token k of every stream that has one."""
-    count = len(streams)
-    longest = int(greens.max())
-    table = code_tables_padded(greens, longest).ravel()
-    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, streams), np.int64, count) + 8)))
-    raw = np.frombuffer(b"".join(s + b"\0" * 8 for s in streams) + b"\0" * 8, np.uint8)
-    window = np.zeros(len(raw), np.uint32)
-    for k in range(4):  # the four bytes from each place on, as one number
-        window[: len(raw) - k] |= raw[k:].astype(np.uint32) << np.uint32(8 * k)
-    out = np.zeros(int(pixels.sum()), np.uint8)
-    begin = np.cumsum(pixels) - pixels
-    lanes = np.arange(count)
-    at, left, carry = 8 * starts[:-1] + first, pixels.copy(), np.zeros(count, np.int64)
-    limit = 8 * starts[1:] - 8
-    mask = (1 << longest) - 1
-    while len(lanes):
-        n = len(lanes)
-        own = lanes << longest
-        symbols, lengths = np.empty((_STEPS, n), np.int32), np.ones((_STEPS, n), np.int32)
-        for k in range(_STEPS):
-            entry = table[own + ((window[at >> 3] >> (at & 7).astype(np.uint32)) & np.uint32(mask))]
-            at += entry >> 12
-            entry &= 4095
-            symbols[k] = entry
-            runs = np.flatnonzero(entry >= _LITERALS)
-            if len(runs):
-                prefix = entry[runs].astype(np.int64) - _LITERALS
-                more = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-                bits = (window[at[runs] >> 3] >> (at[runs] & 7).astype(np.uint32)).astype(np.int64) & ((1 << more) - 1)
-                lengths[k, runs] = np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << more) + bits + 1)
-                at[runs] += more
-            np.minimum(at, limit, out=at)  # lanes that have ended read on in place
-        symbols, lengths = symbols.T.astype(np.int64), lengths.T.astype(np.int64)
-        upto = np.cumsum(lengths, axis=1)
-        lengths = np.where(upto - lengths < left[:, None], lengths, 0)
-        # a run repeats the last literal before it, maybe one of an earlier block
-        source = np.maximum.accumulate(np.where(symbols < _LITERALS, np.arange(_STEPS), -1), axis=1)
-        values = np.where(source >= 0, np.take_along_axis(symbols, np.maximum(source, 0), axis=1), carry[:, None])
-        made = lengths.sum(axis=1)
-        if (made > left).any():
-            raise ValueError("a back-reference leaves the image")
-        target = np.repeat(begin[lanes] + pixels[lanes] - left - (np.cumsum(made) - made), made) + np.arange(int(made.sum()))
-        out[target] = np.repeat(values.ravel(), lengths.ravel())
-        left = left - made
-        carry = values[:, -1]
-        going = left > 0
-        lanes, at, left, carry, limit = lanes[going], at[going], left[going], carry[going], limit[going]
-    return np.split(out, begin[1:])
-
-
-def code_tables_padded(lengths: np.ndarray, longest: int) -> np.ndarray:
-    """Tables of ``longest`` bits for all rows, whatever each row's longest code."""
-    lengths = np.asarray(lengths, np.int64)
-    pad = np.where(lengths > 0, 1 << (longest - lengths), 0)
-    if (pad.sum(axis=1) != 1 << longest).any():
+    def __init__(self, data: bytes):
+        bits = Bits(data)
+        self.width, self.height = _size(bits)
+        self.undo, self.inner = [], self.width
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind in (0, 1):
+                block = bits.read(3) + 2
+                across = -(-self.inner >> block)
+                self.undo.append((kind, block, _planes(_read_image(bits, across, -(-self.height >> block), False), across)))
+            elif kind == 2:
+                self.undo.append((kind,))
+            else:
+                colours = bits.read(8) + 1
+                table = np.cumsum(_planes(_read_image(bits, colours, 1, False), colours)[0], axis=0) & 255
+                packed = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+                self.undo.append((kind, self.inner, packed, table))
+                self.inner = -(-self.inner >> packed)
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        self.groups = bits.read(1)
+        if not self.groups:
+            self.codes = [_read_lengths(bits, a) for a in (_LITERALS + _LENGTHS + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, _DISTANCES)]
+            self.first, self.pixels = bits.at, self.inner * self.height
+
+
+def _lookup(codes: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """One flat table for a code of each image: the next bits of a stream to symbol << 4 | length, and the number of bits."""
+    lengths = np.zeros((len(codes), max(map(len, codes))), np.int64)
+    for row, code in zip(lengths, codes, strict=True):
+        row[: len(code)] = code
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol]
+    size[(np.count_nonzero(lengths, axis=1) == 1)[row]] = 0  # a code of one symbol takes no bits
+    longest = int(size.max(initial=0))
+    space = np.bincount(row, 1 << (longest - size), len(codes))
+    if (space != 1 << longest).any():
         raise ValueError("a prefix code is not complete")
-    return code_tables(lengths)
+    order = np.lexsort((symbol, size, row))
+    tables = np.repeat((symbol[order] << 4 | size[order]).astype(np.uint16), 1 << (longest - size[order])).reshape(len(codes), 1 << longest)
+    return np.ascontiguousarray(tables[:, _REVERSED[: 1 << longest] >> (_MAX_CODE - longest)]).ravel(), longest
+
+
+def _decode_in_step(streams: list[bytes], heads: list[Parsed]) -> list[np.ndarray]:
+    """The coded pixels (ARGB) of each stream: step k makes pixel k of every image that has one.
+
+    A token is a literal, a pixel of the cache, or a back-reference, which then gives its pixels one a step.
+    """
+    order = sorted(range(len(heads)), key=lambda i: -heads[i].pixels)
+    heads, streams = [heads[i] for i in order], [streams[i] for i in order]
+    count = len(heads)
+    pixels = np.array([h.pixels for h in heads], np.int64)
+    width = np.array([h.inner for h in heads], np.int64)
+    (greens, gb), (reds, rb), (blues, bb), (alphas, ab), (distances, db) = (_lookup([h.codes[c] for h in heads]) for c in range(5))
+    sizes = np.fromiter(map(len, streams), np.int64, count) + 8
+    starts = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(s + bytes(8) for s in streams) + bytes(16), np.uint8)
+    window = np.zeros(len(raw), np.uint64)
+    for k in range(8):  # the eight bytes from each place on, as one number
+        window[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
+    at, limit = 8 * starts + [h.first for h in heads], 8 * (starts + sizes) - 63
+    cache_bits = max(h.cache_bits for h in heads)
+    shift = np.array([32 - (h.cache_bits or cache_bits or 1) for h in heads], np.uint32)
+    cache = np.zeros(count << cache_bits, np.uint32)
+    lanes, left, back = np.arange(count), np.zeros(count, np.int64), np.ones(count, np.int64)
+    out = np.zeros((int(pixels[0]), count), np.uint32)
+    live = np.searchsorted(-pixels, -np.arange(int(pixels[0])), side="left")  # images with more than k pixels
+    mask = lambda n: np.uint64((1 << n) - 1)
+    peek = lambda a: window[a >> 3] >> (a & 7).astype(np.uint64)
+    copying = False
+    for k, n in enumerate(live.tolist()):
+        own = np.flatnonzero(left[:n] == 0) if copying else lanes[:n]
+        made = np.zeros(n, np.uint32)
+        if len(own):
+            a = at[own] if copying else at[:n]
+            w = peek(a)
+            entry = greens[(own << gb) + (w & mask(gb)).astype(np.int64)].astype(np.int64)
+            symbol, a = entry >> 4, a + (entry & 15)
+            literal = np.flatnonzero(symbol < _LITERALS)
+            if len(literal):
+                some = len(literal) < len(own)
+                lane, place = (own[literal], a[literal]) if some else (own, a)
+                w = peek(place)
+                er = reds[(lane << rb) + (w & mask(rb)).astype(np.int64)].astype(np.int64)
+                place = place + (er & 15)
+                pixel = (er >> 4) << 16 | (symbol[literal] if some else symbol) << 8
+                for table, nb, up in ((blues, bb, 0), (alphas, ab, 24)):
+                    e = table[(lane << nb) + ((peek(place) & mask(nb)).astype(np.int64) if nb else 0)].astype(np.int64)
+                    pixel |= (e >> 4) << up
+                    place = place + (e & 15) if nb else place
+                made[lane] = pixel
+                if some:
+                    a[literal] = place
+                else:
+                    a = place
+            if len(literal) < len(own):
+                cached = np.flatnonzero(symbol >= _LITERALS + _LENGTHS)
+                made[own[cached]] = cache[(own[cached] << cache_bits) + symbol[cached] - _LITERALS - _LENGTHS]
+                runs = np.flatnonzero((symbol >= _LITERALS) & (symbol < _LITERALS + _LENGTHS))
+                if len(runs):
+                    lane, place = own[runs], a[runs]
+                    length, place = _values(symbol[runs] - _LITERALS, place, peek)
+                    e = distances[(lane << db) + (peek(place) & mask(db)).astype(np.int64)].astype(np.int64)
+                    code, a[runs] = _values(e >> 4, place + (e & 15), peek)
+                    near = _NEAR_XY[np.minimum(code, 120) - 1]
+                    back[lane] = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[lane]))
+                    left[lane] = length
+                    if (back[lane] > k).any() or (k + length > pixels[lane]).any():
+                        raise ValueError("a back-reference leaves the image")
+                    copying = True
+            at[own] = np.minimum(a, limit[own])
+        if copying:
+            lane = np.flatnonzero(left[:n])
+            made[lane] = out[k - back[lane], lane]
+            left[lane] -= 1
+            copying = bool(left[:n].any())
+        out[k, :n] = made
+        if cache_bits:
+            cache[(lanes[:n] << cache_bits) + ((made * np.uint32(0x1E35A7BD)) >> shift[:n])] = made
+    if (at >= limit).any():
+        raise ValueError("a stream ends early")
+    flat = np.ascontiguousarray(out.T)
+    found: list[np.ndarray] = [flat[0]] * count
+    for i, row, n in zip(order, flat, pixels.tolist(), strict=True):
+        found[i] = row[:n]
+    return found
+
+
+_NEAR_XY = np.array(_NEAR, np.int64)
+
+
+def _values(prefix: np.ndarray, at: np.ndarray, peek) -> tuple[np.ndarray, np.ndarray]:
+    """The values of length or distance prefixes, and where their extra bits end."""
+    more = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    extra = peek(at).astype(np.int64) & ((1 << more) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << more) + extra + 1), at + more
+
+
+def _invert_predictors(images: list[np.ndarray], blocks: list[int], modes: list[np.ndarray]) -> list[np.ndarray]:
+    """Predicted images of one width: along diagonals, two rows down for one pixel to the left, all pixels are independent."""
+    width, high = images[0].shape[1], max(len(im) for im in images)
+    out = np.zeros((len(images), high, width, 4), np.int64)
+    mode = np.zeros((len(images), high, width), np.int64)
+    for i, (image, block, table) in enumerate(zip(images, blocks, modes, strict=True)):
+        out[i, : len(image)] = image
+        mode[i, : len(image)] = np.repeat(np.repeat(table[..., 2], 1 << block, axis=0), 1 << block, axis=1)[: len(image), :width]
+    mode[mode > 13] = 0
+    mode[:, 0, :], mode[:, :, 0] = 1, 2
+    mode[:, 0, 0] = 0
+    for s in range(width + 2 * (high - 1)):
+        y = np.arange(max(0, -(-(s - width + 1) // 2)), min(high - 1, s // 2) + 1)
+        x = s - 2 * y
+        above = np.maximum(y - 1, 0)
+        left, top, corner = out[:, y, np.maximum(x - 1, 0)], out[:, above, x], out[:, above, np.maximum(x - 1, 0)]
+        # the last pixel of a row has the first of its own row for the one above to the right
+        right = out[:, np.where(x == width - 1, y, above), (x + 1) % width]
+        own = mode[:, y, x]
+        guess = np.zeros_like(left)
+        for m in np.unique(own).tolist():
+            which = own == m
+            guess[which] = _predict(m, left[which], top[which], right[which], corner[which])
+        out[:, y, x] = (out[:, y, x] + guess) & 255
+    return [o[: len(im)] for o, im in zip(out, images, strict=True)]
+
+
+def _undone(found: list[np.ndarray], heads: list[Parsed]) -> list[np.ndarray]:
+    """(height, width, 4) of alpha, red, green, blue of each image, its transforms inverted, predictors of all images together."""
+    images = [_planes(p, h.inner) for p, h in zip(found, heads, strict=True)]
+    left = [list(h.undo) for h in heads]
+    while any(left):
+        waiting: dict[int, list[int]] = {}
+        for i, steps in enumerate(left):
+            while steps and steps[-1][0] != 0:
+                kind, *of = steps.pop()
+                INVERTED[("predictor", "cross-colour", "subtract-green", "palette")[kind]] += 1
+                images[i] = _invert_cross_colour(images[i], *of) if kind == 1 else _invert_green(images[i]) if kind == 2 else _invert_palette(images[i], *of)
+            if steps:
+                waiting.setdefault(images[i].shape[1], []).append(i)
+        for same in waiting.values():
+            steps = [left[i].pop() for i in same]
+            INVERTED["predictor"] += len(same)
+            for i, image in zip(same, _invert_predictors([images[i] for i in same], [s[1] for s in steps], [s[2] for s in steps]), strict=True):
+                images[i] = image
+    return images
+
+
+def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
+    """(height, width, 4) uint8 of alpha, red, green, blue of each VP8L stream."""
+    heads = [Parsed(s) for s in streams]
+    out: list[np.ndarray | None] = [decode_stream(s) if h.groups else None for s, h in zip(streams, heads, strict=True)]
+    rest = [i for i, image in enumerate(out) if image is None]
+    if rest:
+        own = [heads[i] for i in rest]
+        INVERTED["colour cache"] += sum(h.cache_bits > 0 for h in own)
+        for i, image in zip(rest, _undone(_decode_in_step([streams[i] for i in rest], own), own), strict=True):
+            out[i] = image.astype(np.uint8)
+    return out
 
 
 def decode_media(media: list[bytes]) -> list[np.ndarray]:
-    """The pixel array (rows, width) of 8-bit samples of each media value, its images one below another."""
+    """The pixel array (rows, 64) of 8-bit samples of each media value, its images one below another."""
     owner, streams = [], []
     for i, m in enumerate(media):
         at = 0
@@ -553,20 +881,9 @@ def decode_media(media: list[bytes]) -> list[np.ndarray]:
             data, at = _chunk(m, at)
             owner.append(i)
             streams.append(data)
-    plain = [_plain(s) for s in streams]
-    images: list[np.ndarray | None] = [None] * len(streams)
-    fast = [i for i, p in enumerate(plain) if p]
-    if fast:
-        pixels = np.array([plain[i][0] * plain[i][1] for i in fast], np.int64)
-        found = _decode_plain([streams[i] for i in fast], np.stack([plain[i][2] for i in fast]), np.array([plain[i][3] for i in fast], np.int64), pixels)
-        for i, samples in zip(fast, found, strict=True):
-            images[i] = samples.reshape(plain[i][1], plain[i][0])
-    for i, image in enumerate(images):
-        if image is None:
-            images[i] = decode_stream(streams[i])[..., 2]
     parts: list[list[np.ndarray]] = [[] for _ in media]
-    for i, image in zip(owner, images, strict=True):
-        parts[i].append(image)
+    for i, image in zip(owner, decode_streams(streams), strict=True):
+        parts[i].append(image[..., 1:3].reshape(len(image), -1))
     return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
 
 
@@ -587,7 +904,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 #: Payload bytes of one numpy batch: bounds a worker's memory.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 2_500_000
 
 
 def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
