@@ -48,7 +48,7 @@ MISS = 3e-7
 #: Turns of hubs at least; a further one follows one that made links for this share of the members.
 TURNS, WORTH = 2, 0.1
 #: Shingles of a block of comparisons, members of a rare shingle that are compared as pairs, slots of shingle frequencies.
-BLOCK_SHINGLES, PAIR_GROUP, SLOT_BITS = 1_500_000, 16, 20
+BLOCK_SHINGLES, PAIR_GROUP, SLOT_BITS = 300_000, 16, 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
