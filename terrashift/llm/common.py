@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrashift.operators.joins import dealt_join
+from terrashift.operators.picks import new_path
+
+__all__ = ["dealt_join", "load", "materialize", "text_or_empty", "workspace"]
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; read through Spark so that any store Spark knows will do."""
@@ -15,18 +17,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is missing and the master is local (as in tests) is a temporary folder
-    made and set for the session; on a cluster a missing setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="terrashift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/terrashift/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return new_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,23 +31,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(col: str | Column) -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-
-
-#: A key with more rows than this, and than 1 / MAX_HOT of all rows, is dealt to several tasks.
-HOT_ROWS, MAX_HOT = 1_000, 10_000
-
-
-def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str) -> DataFrame:
-    """Inner equi-join of ``many`` rows with the one row of ``few`` for their key, hot keys dealt to several tasks.
-
-    ``rows``: a column of ``few``, how many rows of ``many`` have its key; ``row``: a column that tells
-    those apart. Fewer than ``MAX_HOT`` keys can be hot, so their list is broadcast; their rows in
-    ``few`` are repeated once for each part.
-    """
-    total = few.agg(F.sum(rows)).first()[0] or 0
-    most = max(HOT_ROWS, total // MAX_HOT)
-    parts = lambda: F.ceil(F.col(rows) / most).cast("int")
-    hot = few.filter(F.col(rows) > most).select(key, parts().alias("_parts"))
-    left = many.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(row), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    right = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts(), F.lit(1)) - 1)))
-    return left.join(right, [key, "_part"]).drop("_part")

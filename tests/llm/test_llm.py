@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from terrashift.llm import byte_bpe, common, components, minhash, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp  # noqa: E402
+from terrashift.llm import byte_bpe, components, minhash, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp  # noqa: E402
 from terrashift.llm.common import workspace  # noqa: E402
+from terrashift.operators import joins  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -148,7 +149,7 @@ def test_archive_round_trip(spark):
 
 
 def test_a_frequent_payload_is_dealt_to_several_tasks(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
     pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("html"))
     path = workspace(spark, "t")
     warc.write_archive(pages, path)
@@ -156,7 +157,7 @@ def test_a_frequent_payload_is_dealt_to_several_tasks(spark, monkeypatch):
     assert got == {i: (3, None if i == 0 else 0) if i % 3 == 0 else (len(str(i)), None) for i in range(200)}
     few = spark.createDataFrame([("a", 50, 1), ("b", 7, 2), ("c", 1, 3)], "k string, n long, v int")
     many = spark.range(58).select(F.col("id").alias("i"), F.when(F.col("id") < 50, "a").when(F.col("id") < 57, "b").otherwise("c").alias("k"))
-    joined = common.dealt_join(many, few, "k", "n", "i")
+    joined = joins.dealt_join(many, few, "k", "n", "i")
     assert sorted((r.i, r.v) for r in joined.collect()) == [(i, 1 if i < 50 else 2 if i < 57 else 3) for i in range(58)]
 
 
@@ -440,13 +441,55 @@ def test_media_round_trip(spark):
     assert webp.features(webp.store(empty(spark))).count() == 0
 
 
-def test_lock_step_and_general_decoder_agree():
+def decoded(riff):
+    """By both decoders, which must agree."""
+    plain, together = webp.decode_image(riff), webp.decode_streams([webp._chunk(riff)[0]])[0]
+    assert (plain == together).all()
+    return plain
+
+
+def test_both_decoders_give_back_the_samples():
     rng = random.Random(8)
-    payloads = [webp.to_payload(bytes(rng.choices(b"ab\0", k=n))) for n in (0, 1, 100, 3000)] + [bytes(range(256)) * 4]
-    for p, m in zip(payloads, webp.encode_payloads(payloads), strict=True):
-        image = webp.decode_image(m)
-        assert image[..., 2].tobytes() == p and (image[..., 0] == 255).all() and not image[..., 1].any()
-        assert webp.decode_media([m])[0].tobytes() == p
+    payloads = [webp.to_payload(bytes(rng.choices(b"ab\0", k=n))) for n in (0, 1, 100, 3000)] + [bytes(range(256)) * 4, b"Ha Ha Ha, " * 640, bytes(64 * 70), bytes(rng.randbytes(6400))]
+    media = webp.encode_payloads(payloads)
+    for p, m, together in zip(payloads, media, webp.decode_media(media), strict=True):
+        at, parts = 0, []
+        while at < len(m):
+            data, end = webp._chunk(m, at)
+            image = decoded(m[at:end])
+            assert (image[..., 0] == 255).all() and not image[..., 3].any()
+            parts.append(image[..., 1:3].tobytes())
+            at = end
+        assert b"".join(parts) == p == together.tobytes()
+
+
+def test_each_inverse_runs_on_documents():
+    """Images of documents that repeat a lot, as the query stores them, go through every transform."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the test tables aren't there")
+    texts = [t.encode() for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t and len(t) > 3000]
+    payloads = [webp.to_payload(t) for t in texts if len(zlib.compress(t, 1)) < len(t) / 5]
+    webp.INVERTED.clear()
+    assert [d.tobytes() for d in webp.decode_media(webp.encode_payloads(payloads))] == payloads
+    assert all(webp.INVERTED[name] for name in ("colour cache", "palette", "predictor", "cross-colour")), webp.INVERTED
+
+
+def test_decoders_agree_on_all_transforms():
+    """Random residuals under every predictor, random multipliers and subtracted green, in images of several widths."""
+    rng = np.random.default_rng(5)
+    streams = []
+    for width, height in ((1, 1), (1, 9), (17, 1), (20, 15), (33, 12), (8, 40)):
+        bits = webp._text_bits(0x2F, 8) + webp._text_bits(width - 1, 14) + webp._text_bits(height - 1, 14) + "0000"
+        blocks = -(-width // 4) * -(-height // 4)
+        side = lambda high, n: webp._side_image(rng.integers(0, high, (n, 4)))
+        for kind in rng.permutation(3).tolist():
+            bits += "1" + webp._text_bits(kind, 2) + ("" if kind == 2 else "000" + side(15 if kind == 0 else 256, blocks))
+        bits += "0" + "0" + side(256, width * height)
+        streams.append(int(bits[::-1], 2).to_bytes(len(bits) // 8 + 1, "little"))
+    for one, together in zip(map(webp.decode_stream, streams), webp.decode_streams(streams), strict=True):
+        assert (one == together).all()
 
 
 class Writer:
@@ -510,7 +553,7 @@ def test_decoder_palette_with_packed_pixels():
     w.put(0, 1)
     plain_codes(w, (0b10100101, 0b00000010), (0,), (0,), (0,))
     w.bits += "10"  # sorted symbols: 2 then 165
-    got = webp.decode_image(w.done())[0]
+    got = decoded(w.done())[0]
     index = [1, 0, 1, 0, 0, 1, 0, 1, 0, 1]
     assert got[:, 2].tolist() == [30 if i else 10 for i in index] and got[:, 1].tolist() == [2 if i else 1 for i in index] and got[:, 0].tolist() == [254 if i else 255 for i in index]
 
@@ -530,7 +573,7 @@ def test_decoder_cache_and_back_references():
         w.symbols(*s)
     codes = {literal: "0", min(back, cached): "10", max(back, cached): "11"}
     w.bits += codes[literal] + codes[cached] + codes[back] + codes[cached] + codes[literal]
-    got = webp.decode_image(w.done())[0]
+    got = decoded(w.done())[0]
     assert got[:, 2].tolist() == [7] * 8  # literal, cached, a run of four, cached, literal
 
 
@@ -547,7 +590,7 @@ def test_decoder_predictor(mode, want):
     w.put(0, 1)
     w.put(0, 1)
     plain_codes(w, (5,), alpha=(0,))
-    got = webp.decode_image(w.done())
+    got = decoded(w.done())
     # each pixel adds 5: (0,0) to black, the first row to the left, the first column to the top
     assert got[..., 2].ravel().tolist() == [5, 10, 10, {1: 15, 2: 15, 11: 15}[mode]]
     assert (got[..., 0] == 255).all()
@@ -567,7 +610,7 @@ def test_decoder_cross_colour_and_green():
     w.put(0, 1)
     w.put(0, 1)
     plain_codes(w, (10,), red=(1,), blue=(2,))
-    a, r, g, b = webp.decode_image(w.done())[0, 0].tolist()
+    a, r, g, b = decoded(w.done())[0, 0].tolist()
     # green is added first, as the last transform written is the first undone
     red = (1 + 10) + 10
     blue = (2 + 10) + 20 + red
@@ -581,6 +624,8 @@ def test_bad_media_are_refused():
     cut = good[:16] + (10).to_bytes(4, "little") + good[20:30]
     with pytest.raises(ValueError):
         webp.decode_image(cut)
+    with pytest.raises(ValueError):
+        webp.decode_media([cut])
 
 
 # 9: urls
@@ -664,7 +709,7 @@ def test_near_duplicates_match_brute_force(spark, words, threshold, monkeypatch)
     for block, pairs, hot in ((minhash.BLOCK_SHINGLES, 16, 1000), (400, 2, 3)):
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
         monkeypatch.setattr(minhash, "PAIR_GROUP", pairs)
-        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
         got = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts), words, threshold).collect()}
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
         assert [got[i].component_id for i in range(len(texts))] == want
