@@ -649,13 +649,30 @@ def test_urls_match_brute_force(spark):
     rules = [*url_filter.BASE_RULES, url_filter.Rule("a.example.net", "/", "block"), url_filter.Rule("net", "/en/", "block"), url_filter.Rule("example.net", "", "allow")]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"host": F.lit("clash"), "key": F.lit(1)})
     got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()}
-    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
-    wide = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls_by_table(pages, table).collect()}
     for i, u in enumerate(urls):
-        assert got[i] == wide[i] == brute_rule(u, rules), u
-    assert url_filter.judge_urls(pages.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(pages, [url_filter.Rule("a", "", "block")] * (url_filter.MAX_SHIPPED_RULES + 1))
+        assert got[i] == brute_rule(u, rules), u
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages, []).filter("rule IS NOT NULL").count() == 0
+
+
+def test_many_rules_and_ranges(spark):
+    """A table of rules that no task holds whole, and ranges that begin inside of rules opened before them."""
+    rng = random.Random(10)
+    label = lambda: "".join(rng.choices("ab-0", k=rng.randint(1, 2)))
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "".join(rng.choices("xy/", k=rng.randint(0, 3)))
+    rules = [url_filter.Rule(host(), rng.choice(["", path()]), rng.choice(["allow", "block"])) for _ in range(400)]
+    urls = [f"http://{rng.choice(['hot.a', host()])}{path()}" for _ in range(3000)]
+    table = url_filter.rule_table(spark, [*rules, *rules[:9]]).unionByName(spark.createDataFrame([(None, "/", "block"), ("a", None, "block")], "host string, path string, verdict string"))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert all(got[i] == brute_rule(u, rules) for i, u in enumerate(urls)) and len(got) == len(urls)
 
 
 # 10: near-duplicates
