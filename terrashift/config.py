@@ -1,4 +1,4 @@
-"""All thresholds of the study in one place; every operator takes them as arguments."""
+"""What the study searches and draws; thresholds of single operators are their arguments' defaults."""
 
 from __future__ import annotations
 
@@ -7,21 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
-    inner_radius_m: float = 500.0
-    background_buffer_m: float = 4000.0
-    roi_factor: float = 3.0
-    max_background_std: float = 0.015
-    min_q95_pixels: int = 10
-    min_q75_pixels: int = 10
-    max_scaled_nn: float = 2.0
-    edge_threshold: float = 0.8
-    velocity_multiple: float = 4.0
-    activity_floor_cm: float = 2.0
-    coast_m: float = 5000.0
-    step_days: int = 14
-    min_shake_g: float = 0.001
-    more_share: float = 0.3
-    min_group: int = 5
     max_lag_days: float = 120.0
     bootstrap_draws: int = 10_000
     bootstrap_seed: int = 123

@@ -362,13 +362,24 @@ def clusters(spark, d):
     return label_components(boxes.select("id"), overlapping_pairs(boxes, "id", 0.0617))
 
 
-@query("s034_clip", None)
+# A box inside a convex window: between two heights at which an edge begins, ends or meets a side of the box,
+# the shared width changes linearly, so height times the width in the middle is exact.
+_CLIP_SQL = f"""WITH {_BOXES_SQL}, w(px, py, qx, qy) AS (VALUES (-124.2::DOUBLE, 39.4::DOUBLE, -123.1::DOUBLE, 39.5::DOUBLE), (-123.1, 39.5, -123.3, 41.6), (-123.3, 41.6, -124.3, 41.2), (-124.3, 41.2, -124.2, 39.4)),
+    h AS (SELECT id, y AS v FROM b UNION SELECT id, y + s FROM b UNION SELECT id, py FROM b, w UNION SELECT id, py + (x - px) / (qx - px) * (qy - py) FROM b, w UNION SELECT id, py + (x + s - px) / (qx - px) * (qy - py) FROM b, w),
+    k AS (SELECT id, v, lead(v) OVER (PARTITION BY id ORDER BY v) AS n FROM (SELECT h.id, v FROM h JOIN b ON b.id = h.id AND v BETWEEN y AND y + s)),
+    m AS (SELECT id, (v + n) / 2 AS mid, n - v AS height FROM k WHERE n > v),
+    l AS (SELECT m.id, mid, height, min(px + (mid - py) / (qy - py) * (qx - px)) AS lo, max(px + (mid - py) / (qy - py) * (qx - px)) AS hi FROM m JOIN w ON (py - mid) * (qy - mid) < 0 GROUP BY ALL),
+    a AS (SELECT b.id, sum(height * greatest(0, least(x + s, hi) - greatest(x, lo))) AS area FROM l JOIN b ON b.id = l.id GROUP BY b.id)
+    SELECT id, round(area, 9) AS area FROM a WHERE area > 1e-12"""
+
+
+@query("s034_clip", _CLIP_SQL)
 def clip(spark, d):
     from terrashift.operators.spatial import clip_to, plane_area
 
     window = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-124.2, 39.4), (-123.1, 39.5), (-123.3, 41.6), (-124.3, 41.2))])
     clipped = _boxes(spark, d).select("id", clip_to("ring", window).alias("ring"))
-    return clipped.filter(F.size("ring") > 2).select("id", r(plane_area("ring"), 9).alias("area"))
+    return clipped.filter(F.size("ring") > 2).select("id", plane_area("ring").alias("area")).filter("area > 1e-12").select("id", r("area", 9).alias("area"))
 
 
 @query("s127_metrics", None)

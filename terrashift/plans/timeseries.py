@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from terrashift.config import Params
@@ -594,7 +596,19 @@ def bootstrap_ranks(spark, d):
     return stats.bootstrap_by_ranks(long, "variable", "grp", "value", "Faster", "Slower", draws=PARAMS.bootstrap_draws, seed=PARAMS.bootstrap_seed)
 
 
-@query("t154_significance", None)
+# By the statistics instead of their p-values: H against the tail of chi-square with 4 degrees of freedom, which has a
+# closed form, and the normal scores of all pairs, in order, against the quantiles of Holm's steps.
+_STEPS = ", ".join(f"({k}, {NormalDist().inv_cdf(1 - PARAMS.alpha / (2 * k))}::DOUBLE)" for k in range(1, 11))
+_SIGNIFICANCE_SQL = f"""WITH h AS ({_KRUSKAL_SQL}), u AS ({_U_SQL}), {_TEST}, n AS (SELECT v, g, count(*)::DOUBLE AS n, median(x) AS med FROM o GROUP BY v, g),
+    ties AS (SELECT v, g1, g2, sum(power(c, 3) - c) AS t FROM (SELECT u.v, g1, g2, x, count(*)::DOUBLE AS c FROM u JOIN o ON o.v = u.v AND o.g IN (g1, g2) GROUP BY ALL) GROUP BY ALL),
+    z AS (SELECT u.v, u.g1, u.g2, (abs(u - a.n * b.n / 2) - 0.5) / sqrt(a.n * b.n / 12 * (a.n + b.n + 1 - t / ((a.n + b.n) * (a.n + b.n - 1)))) AS z
+          FROM u JOIN n a ON a.v = u.v AND a.g = g1 JOIN n b ON b.v = u.v AND b.g = g2 JOIN ties ON ties.v = u.v AND ties.g1 = u.g1 AND ties.g2 = u.g2),
+    k AS (SELECT *, count(*) OVER (PARTITION BY v) - row_number() OVER (PARTITION BY v ORDER BY z DESC) + 1 AS step FROM z), q(step, bound) AS (VALUES {_STEPS})
+    SELECT h.v, exp(-h / 2) * (1 + h / 2) < {PARAMS.alpha} AS groups_differ, k.z > q.bound AS pair_differs, CASE WHEN b.med > a.med THEN 'up' WHEN b.med < a.med THEN 'down' ELSE 'same' END AS direction
+    FROM h JOIN k ON k.v = h.v AND g1 = '1-URGENT' AND g2 = '5-LOW' JOIN q ON q.step = k.step JOIN n a ON a.v = h.v AND a.g = g1 JOIN n b ON b.v = h.v AND b.g = g2"""
+
+
+@query("t154_significance", _SIGNIFICANCE_SQL)
 def significance(spark, d):
     o = _tested(spark, d)
     med = o.groupBy("v", "g").agg(F.median("x").alias("median"))

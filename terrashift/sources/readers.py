@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from terrashift.functions.coerce import nan_to_null
+from terrashift.operators.picks import total_before
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
@@ -59,13 +61,20 @@ def read_placemarks(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(file, segment, i, x, y) of a text file of ``x y`` lines in which lines with ``>`` start a segment."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
-    upto = Window.partitionBy("file").orderBy("i")
-    marked = lines.withColumn("segment", F.sum(F.col("value").startswith(">").cast("int")).over(upto))
+    """(file, segment, i, x, y) of a text file of ``x y`` lines in which lines with ``>`` start a segment.
+
+    Lines are ordered by the place of their split in the file and numbered by running counts over
+    ranges, so a file of any length spreads over many tasks.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    numbered = total_before(lines.withColumn("one", F.lit(1)), [F.col("file"), F.col("place.split"), F.col("place.line")], "one", "i")
+    counted = total_before(numbered.withColumn("starts", F.col("value").startswith(">").cast("int")), [F.col("i")], "starts", "before")
+    first = counted.groupBy("file").agg(F.min("before").alias("first"))
     parts = F.split(F.trim("value"), r"\s+")
-    points = marked.filter(~F.col("value").startswith(">") & (F.trim("value") != ""))
-    return points.select("file", "segment", "i", F.get(parts, F.lit(0)).try_cast("double").alias("x"), F.get(parts, F.lit(1)).try_cast("double").alias("y"))
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    placed = counted.join(first, "file").filter(~F.col("value").startswith(">") & (F.trim("value") != ""))
+    return placed.select("file", (F.col("before") - F.col("first")).alias("segment"), "i", number(0).alias("x"), number(1).alias("y"))
 
 
 def read_grid_text(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +119,7 @@ SITE_SCHEMA = (
     "site_id string, meta struct<lon:double,lat:double,global_start_date:string,global_end_date:string,eq_event_radius:int>, "
     "rainfall array<struct<date:date,rain_mm:double>>, geology struct<source:string,name:string,lithology:string,description:string>, "
     "distances struct<road_m:double,ocean_m:double,elevation_m:double>, "
-    "pga array<struct<event_id:string,event_time:timestamp,lat:double,lon:double,pga_mean:double,pga_std:double,pgv_mean:double,pgv_std:double>>"
+    "pga array<struct<event_id:string,event_time:timestamp,lat:double,lon:double,pga_mean:double,pga_std:double,pgv_mean:double,pgv_std:double,mmi_mean:double,mmi_std:double>>"
 )
 
 
@@ -123,21 +132,22 @@ def site_rain(sites: DataFrame) -> DataFrame:
 
 
 def site_shakes(sites: DataFrame) -> DataFrame:
-    return sites.select("site_id", F.explode("pga").alias("p")).select("site_id", "p.event_id", F.col("p.event_time").alias("time"), F.col("p.pga_mean").alias("pga"), F.col("p.pgv_mean").alias("pgv"))
+    return sites.select("site_id", F.explode("pga").alias("p")).select("site_id", "p.event_id", F.col("p.event_time").alias("time"), F.col("p.pga_mean").alias("pga"), F.col("p.pgv_mean").alias("pgv"), F.col("p.mmi_mean").alias("mmi"))
+
 
+def site_context(sites: DataFrame) -> DataFrame:
+    """(site_id, geology, lithology, road_m, ocean_m, elevation_m)."""
+    return sites.select("site_id", F.col("geology.name").alias("geology"), "geology.lithology", "distances.road_m", "distances.ocean_m", "distances.elevation_m")
 
-try:
-    import h5py  # noqa: F401
 
-    HAS_HDF5 = True
-except ImportError:
-    HAS_HDF5 = False
+def _needs_hdf5() -> None:
+    if importlib.util.find_spec("h5py") is None:
+        raise RuntimeError("h5py isn't installed")
 
 
 def read_hdf5_attributes(spark: SparkSession, path: str, group: str = "meta") -> DataFrame:
     """(path, attributes): all attributes of one group of each file, as text. Needs h5py on the executors."""
-    if not HAS_HDF5:
-        raise RuntimeError("h5py isn't installed")
+    _needs_hdf5()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def parse(batches):
@@ -158,9 +168,8 @@ def read_hdf5_attributes(spark: SparkSession, path: str, group: str = "meta") ->
 
 
 def read_hdf5_series(spark: SparkSession, path: str, datasets: list[str]) -> DataFrame:
-    """(path, i, <datasets>): vectors of equal length as long rows; a missing one is null. Needs h5py on the executors."""
-    if not HAS_HDF5:
-        raise RuntimeError("h5py isn't installed")
+    """(path, i, <datasets>): vectors as long rows, null where one is missing or shorter. Needs h5py on the executors."""
+    _needs_hdf5()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def parse(batches):
@@ -174,6 +183,6 @@ def read_hdf5_series(spark: SparkSession, path: str, datasets: list[str]) -> Dat
                 with h5py.File(io.BytesIO(content), "r") as f:
                     got = {d: f[d][:].astype(float) for d in datasets if d in f}
                 n = max(map(len, got.values()), default=0)
-                yield pd.DataFrame({"path": [name] * n, "i": range(n), **{d: got.get(d, [None] * n) for d in datasets}})
+                yield pd.DataFrame({"path": [name] * n, "i": range(n), **{d: [*got.get(d, []), *[None] * (n - len(got.get(d, [])))] for d in datasets}})
 
     return files.mapInPandas(parse, "path string, i long, " + ", ".join(f"`{d}` double" for d in datasets))
