@@ -362,6 +362,25 @@ def clusters(spark, d):
     return label_components(boxes.select("id"), overlapping_pairs(boxes, "id", 0.0617))
 
 
+# The union of boxes by the cells between all their sides: a cell counts if its middle lies in any box.
+_UNION_SQL = f"""WITH RECURSIVE {_PAIRS_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    w AS (SELECT id, id AS reach FROM b UNION SELECT w.id, u.b FROM w JOIN u ON u.a = w.reach), c AS (SELECT b.*, component FROM b JOIN (SELECT id, min(reach) AS component FROM w GROUP BY id) l ON l.id = b.id),
+    gx AS (SELECT component, v AS lo, lead(v) OVER (PARTITION BY component ORDER BY v) AS hi FROM (SELECT component, x AS v FROM c UNION SELECT component, x + s FROM c)),
+    gy AS (SELECT component, v AS lo, lead(v) OVER (PARTITION BY component ORDER BY v) AS hi FROM (SELECT component, y AS v FROM c UNION SELECT component, y + s FROM c)),
+    k AS (SELECT DISTINCT gx.component, gx.lo AS x0, gx.hi AS x1, gy.lo AS y0, gy.hi AS y1 FROM gx JOIN gy ON gy.component = gx.component
+          JOIN c ON c.component = gx.component AND c.x < (gx.lo + gx.hi) / 2 AND c.x + c.s > (gx.lo + gx.hi) / 2 AND c.y < (gy.lo + gy.hi) / 2 AND c.y + c.s > (gy.lo + gy.hi) / 2)
+    SELECT k.component, n, round(sum((x1 - x0) * (y1 - y0)), 9) AS area FROM k JOIN (SELECT component, count(*) AS n FROM c GROUP BY component) m ON m.component = k.component GROUP BY k.component, n"""
+
+
+@query("s136_unions", _UNION_SQL)
+def unions(spark, d):
+    from terrashift.operators.spatial import label_components, overlapping_pairs, union_components
+
+    boxes = _boxes(spark, d)
+    labels = label_components(boxes.select("id"), overlapping_pairs(boxes, "id", 0.0617))
+    return union_components(boxes, labels).select("component", "n", r("area", 9).alias("area"))
+
+
 # A box inside a convex window: between two heights at which an edge begins, ends or meets a side of the box,
 # the shared width changes linearly, so height times the width in the middle is exact.
 _CLIP_SQL = f"""WITH {_BOXES_SQL}, w(px, py, qx, qy) AS (VALUES (-124.2::DOUBLE, 39.4::DOUBLE, -123.1::DOUBLE, 39.5::DOUBLE), (-123.1, 39.5, -123.3, 41.6), (-123.3, 41.6, -124.3, 41.2), (-124.3, 41.2, -124.2, 39.4)),

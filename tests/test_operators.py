@@ -264,6 +264,53 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(40)) and got[45] == 41 and got[59] == 59
 
 
+def covered(point, regions):
+    return any(sum(1 for x0, x1 in spatial._bands(r, point[1]) if x0 <= point[0] <= x1) % 2 for rings in regions for r in [rings[0]])
+
+
+def test_union_outlines():
+    area = lambda rings: sum(spatial._ring_area(r) for r in rings)
+    box = lambda x, y, w, h: [np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)]
+    assert area(spatial.union_outline([box(0, 0, 2, 2), box(1, 1, 2, 2)])) == pytest.approx(7)
+    assert area(spatial.union_outline([box(0, 0, 2, 2), box(0, 0, 2, 2)])) == pytest.approx(4)  # one on the other
+    side = spatial.union_outline([box(0, 0, 1, 1), box(1, 0, 1, 1), box(0.5, 0.2, 0.2, 0.2)])  # side by side, and one inside
+    assert len(side) == 1 and area(side) == pytest.approx(2)
+    frame_ = spatial.union_outline([box(0, 0, 5, 1), box(0, 4, 5, 1), box(0, 0, 1, 5), box(4, 0, 1, 5)])  # around a hole
+    assert len(frame_) == 2 and area(frame_) == pytest.approx(16)
+    assert area(spatial.union_outline([frame_, box(2, 2, 1, 1), box(3, 3, 4, 4)])) == pytest.approx(16 + 1 + 16 - 3)
+    corners = spatial.union_outline([box(0, 0, 1, 1), box(1, 1, 1, 1)])
+    assert len(corners) == 2 and area(corners) == pytest.approx(2)
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        shapes = []
+        for _ in range(rng.integers(2, 7)):  # stars around random places
+            turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(5, 12)))
+            if np.diff(np.append(turn, turn[0] + 2 * np.pi)).max() > 3:
+                continue
+            shapes.append([rng.uniform(0, 2, 2) + rng.uniform(0.3, 1.2, len(turn))[:, None] * np.stack([np.cos(turn), np.sin(turn)], axis=1)])
+        if len(shapes) < 2:
+            continue
+        rings = spatial.union_outline(shapes)
+        if len(shapes) == 2:
+            p, q = (s[0] for s in shapes)
+            assert area(rings) == pytest.approx(spatial._ring_area(p) + spatial._ring_area(q) - spatial.overlap_area(p, q))
+        for point in rng.uniform(-1, 3, (60, 2)):
+            inside = sum(sum(1 for x0, x1 in spatial._bands(r, point[1]) if x0 <= point[0] <= x1) for r in rings) % 2 == 1
+            assert inside == covered(point, shapes)
+
+
+def test_unions_of_components(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_AT_A_TIME", 4)  # so that a component takes several rounds
+    square = lambda x, y, w=1.0: [{"x": x, "y": y}, {"x": x, "y": y + w}, {"x": x + w, "y": y + w}, {"x": x + w, "y": y}]
+    rows = [(i, square(i * 0.5, 0.0)) for i in range(30)] + [(50, square(0.0, 9.0)), (51, square(5.0, 9.0, 2.0)), (60, square(0.0, 0.0, 0.0))]
+    polygons = frame(spark, "id int, ring array<struct<x:double,y:double>>", *rows)
+    labels = frame(spark, "id int, component int", *[(i, 0) for i in range(30)], (50, 50), (51, 50), (60, 60))
+    got = {r["component"]: r for r in spatial.union_components(polygons, labels).collect()}
+    assert (got[0]["n"], got[0]["parts"]) == (30, 1) and got[0]["area"] == pytest.approx(15.5)
+    assert (got[50]["n"], got[50]["parts"], got[50]["area"]) == (2, 2, pytest.approx(5.0)) and {p["x"] for p in got[50]["ring"]} == {5.0, 7.0}
+    assert (got[60]["n"], got[60]["parts"], got[60]["area"]) == (1, 0, 0.0)
+
+
 def test_components_of_string_ids(spark):
     """A shuffled path of 1,000 named nodes is one component."""
     names = [f"ls_{i:04d}" for i in range(1000)]
