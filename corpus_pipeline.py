@@ -1,8 +1,13 @@
 """From raw documents to packed training sequences: five stages, each written before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``. Each works on all that its predecessor kept, and null, empty or repeated rows are
-treated as the operators state.
+of ``documents``, others that the table has pass through, whatever their names. Each works on all
+that its predecessor kept.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; given to a later
+stage alone, it is linked with nothing, has nothing to cut or replace, and is packed as its end id.
+Repeated rows are near-duplicates of each other, one of them stays; rows with a null id are rows like
+all others. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -25,10 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are compared by a number of their own, so repeated and null ids are rows like all others.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    groups = minhash.near_duplicates(rows, words=5, threshold=80, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("f"))
-    return rows.join(first.select(F.col("f._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    groups = minhash.near_duplicates(rows, words=5, threshold=80, doc_id=number).select(F.col("doc_id").alias(number), "component_id")
+    names = rows.select(F.col(number), F.col("doc_id").alias("named"))
+    first = names.join(groups, number).groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull().alias("unnamed"), "named", number)).alias("f"))
+    return rows.join(first.select(F.col(f"f.{number}").alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
