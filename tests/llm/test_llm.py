@@ -760,13 +760,13 @@ def test_work_on_families_grows_with_their_members(spark, monkeypatch):
 def test_rarest_shingles_meet():
     rng = np.random.default_rng(4)
     for _ in range(400):
-        a, t = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) * np.uint64(2)), int(rng.integers(50, 101))
+        a, t = np.unique(rng.integers(0, 2**63, rng.integers(1, 500), dtype=np.uint64) * np.uint64(2)), int(rng.integers(50, 101))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         levels = rng.integers(0, 4, 1 << minhash.SLOT_BITS).astype(np.uint8)
         if len(b) and 100 * both >= t * (len(a) + len(b) - both):
             (small, counting), (large, _) = (minhash.prefix(x, t, levels) for x in sorted((a, b), key=len))
-            assert len(np.intersect1d(small[:counting], large))
+            assert len(np.intersect1d(small[:counting], large)) >= minhash.must_share(min(len(a), len(b)), t) >= 1
 
 
 def test_near_duplicates_of_odd_tables(spark):
@@ -858,6 +858,20 @@ def test_one_row_of_repeated_documents_leaves_the_pipeline_whole(spark):
         df = spark.createDataFrame(kept, SCHEMA)
 
 
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).withColumns({"lang": F.lit("en"), "n_chars": F.lit(0)}).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    prose = lambda s: " ".join(random.Random(s).choices([f"word{i}" for i in range(900)], k=150))
+    names = ("_row", "row", "digest", "component_id", "fail_bits", "rest", "found", "kept", "node", "key")
+    df = spark.createDataFrame([(1, prose(1)), (2, prose(1)), (3, prose(2))], SCHEMA).withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == ["doc_id", "text", *names]
+    assert {(r.doc_id, r._row, r.node, r.digest) for r in df.collect()} == {(1, "_row", "node", "digest"), (3, "_row", "node", "digest")}
+
+
 def brute_redact(t):
     import re
 
