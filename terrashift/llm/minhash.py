@@ -12,8 +12,9 @@ them. What is then still apart is nearly always so: near the threshold, but belo
 by the rarest shingles: sets of sizes n <= m that are alike to t have a shingle in common among the
 first n - ceil(2 t n / (1 + t)) + 1 of the one and the first m - ceil(t m) + 1 of the other, whatever
 the order of all shingles is, and in order of frequency these are shingles that few others have. A
-part common to many sets is not among the former, unless it makes them alike. Members of different
-components that meet so are compared, as
+part common to many sets is not among the former, unless it makes them alike. Larger sets have some
+shingles more there, and must then have as many more in common. Members of different components that
+meet so are compared, as
 pairs where at most ``PAIR_GROUP`` members meet, else in blocks of bounded size that count common
 shingles through an index and give out links alone. So every pair that shares a bucket is confirmed,
 in one component anyway, or proven apart, with work that grows with the members and not with their
@@ -47,8 +48,10 @@ from terrashift.llm.components import connected_components
 MISS = 3e-7
 #: Turns of hubs at least; a further one follows one that made links for this share of the members.
 TURNS, WORTH = 2, 0.1
-#: Shingles of a block of comparisons, members of a rare shingle that are compared as pairs, slots of shingle frequencies.
-BLOCK_SHINGLES, PAIR_GROUP, SLOT_BITS = 300_000, 16, 20
+#: Shingles and members of a block of comparisons, members of a rare shingle that are compared as pairs, slots of shingle frequencies.
+BLOCK_SHINGLES, BLOCK_MEMBERS, PAIR_GROUP, SLOT_BITS = 300_000, 512, 16, 20
+#: Rare shingles that a pair must share: one for each so many of the smaller set, but no more than a few.
+SHARED_EACH, SHARED_MOST = 64, 4
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -146,10 +149,10 @@ def _counted(rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def _distinct_groups(members: DataFrame, *told_by: Column) -> DataFrame:
-    """(key, node, ...) of all keys of two members or more; of keys with the same members one stays."""
+    """(key, node, ..., alike) of all keys of two members or more; of ``alike`` keys with the same members one stays."""
     hashes = [F.bit_xor(F.xxhash64("node", *told_by, F.lit(i))).alias(f"h{i}") for i in (0, 1)]
     alike = _counted(members, *hashes).filter("n > 1")
-    kept = alike.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n")
+    kept = alike.groupBy("n", "h0", "h1").agg(F.min("key").alias("key"), F.count("*").alias("alike")).select("key", "n", "alike")
     return dealt_join(members, materialize(kept, "minhash-groups"), "key", "n", "node").drop("n")
 
 
@@ -157,7 +160,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     """(key, node) of all buckets of two nodes or more, those of equal members once."""
     rows = classes.select("node", F.explode("bands").alias("key"))
     shared = materialize(_counted(rows).filter("n > 1"), "minhash-shared")
-    return _distinct_groups(materialize(dealt_join(rows, shared, "key", "n", "node").drop("n").distinct(), "minhash-members"))
+    return _distinct_groups(materialize(dealt_join(rows, shared, "key", "n", "node").drop("n").distinct(), "minhash-members")).drop("alike")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -194,20 +197,26 @@ def _slot_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
 def _rarity(texts: DataFrame, words: int) -> np.ndarray:
     """For each slot of shingle hashes how frequent it is, on a scale of logarithms: one megabyte, whatever the input is."""
     counts = texts.select("packed").mapInArrow(lambda b: _slot_counts(b, words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counts.select("slot", F.floor(4 * F.log2("n")).cast("int").alias("level")).toArrow()  # a row for each slot at most
+    found = counts.filter("n > 1").select(F.col("slot").cast("int").alias("slot"), F.floor(4 * F.log2("n")).cast("tinyint").alias("level")).toArrow()  # a row for each slot at most
     levels = np.zeros(1 << SLOT_BITS, np.uint8)
     levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     return levels
 
 
+def must_share(size: int, threshold: int) -> int:
+    """How many rare shingles a set of this size shares with any no smaller one that is alike to it."""
+    return min(SHARED_MOST, 1 + size // SHARED_EACH, -(-2 * threshold * size // (100 + threshold)))
+
+
 def prefix(shingles: np.ndarray, threshold: int, levels: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest shingles of a set, and how many of them count towards sets that are no smaller.
 
-    Of two sets that are alike to ``threshold`` per cent, one of the smaller's that count is among the
-    larger's.
+    Of two sets that are alike to ``threshold`` per cent, :func:`must_share` of the smaller's that count
+    are among the larger's.
     """
     n = len(shingles)
-    size, counting = n - -(-threshold * n // 100) + 1, n - -(-2 * threshold * n // (100 + threshold)) + 1
+    more = must_share(n, threshold)
+    size, counting = n - -(-threshold * n // 100) + more, n - -(-2 * threshold * n // (100 + threshold)) + more
     order = np.lexsort((shingles, levels[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
     return shingles[order[:size]], counting
 
@@ -242,11 +251,14 @@ def _rare_members(open_members: DataFrame, texts: DataFrame, sizes: DataFrame, w
     return materialize(_distinct_groups(met, F.col("asks")), "minhash-groups")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of different components under a common key, ``a`` one that asks and no larger than ``b``; no key has more than ``PAIR_GROUP`` members."""
-    side = lambda name: members.select("key", F.struct("n_shingles", "node").alias(name), F.col("component").alias(f"of_{name}"), F.col("asks").alias(f"asks_{name}"))
-    met = side("a").filter("asks_a").join(side("b"), "key").filter("a < b AND of_a <> of_b")
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+def _pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of different components that share enough keys, ``a`` one that asks and no larger than ``b``; no key has more than ``PAIR_GROUP`` members."""
+    side = lambda rows, name: rows.select("key", F.struct("n_shingles", "node").alias(name), F.col("component").alias(f"of_{name}"), F.col("alike").alias(f"alike_{name}"))
+    sized = F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * threshold
+    met = side(members.filter("asks"), "a").join(side(members, "b"), "key").filter("a < b AND of_a <> of_b").filter(sized)
+    size = F.col("a.n_shingles")
+    least = F.least(F.lit(SHARED_MOST), 1 + F.floor(size / SHARED_EACH), F.ceil(2 * threshold * size / (100 + threshold)))
+    return met.groupBy("a", "b").agg(F.sum("alike_a").alias("shared")).filter(F.col("shared") >= least).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -255,8 +267,8 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     The members that ask are a query set that meets all members.
     """
     asked = F.sum(F.when(F.col("asks"), F.col("n_shingles")).otherwise(0))
-    count = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-    whole = _counted(members, count(asked).alias("query_blocks"), count(F.sum("n_shingles")).alias("member_blocks"))
+    count = lambda c, n: F.greatest(F.lit(1), F.ceil(c / block), F.ceil(n / BLOCK_MEMBERS)).cast("int")
+    whole = _counted(members, count(asked, F.count_if("asks")).alias("query_blocks"), count(F.sum("n_shingles"), F.count("*")).alias("member_blocks"))
     rows = dealt_join(members, whole, "key", "n", "node").withColumnRenamed("key", "family")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -268,7 +280,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def _star_blocks(pairs: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """As ``_blocks``: each hub ``a`` is the one query that meets its members ``b``."""
     members = pairs.select(F.col("a").alias("family"), F.col("b").alias("node")).join(sizes, "node")
-    parts = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("member_blocks"))
+    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("member_blocks"))
     rows = members.join(parts, "family")
     kind = lambda n: [F.lit(n).alias("is_member"), "node", F.col("node").alias("component")]
     as_members = rows.select("family", F.lit(0).alias("query_block"), F.pmod(F.xxhash64("node"), F.col("member_blocks")).cast("int").alias("member_block"), *kind(1))
@@ -371,8 +383,8 @@ def near_duplicates(
     if left:
         rare = _rare_members(open_members, texts, sizes, words, threshold)
         few = _counted(rare).filter(F.col("n") <= PAIR_GROUP).select("key")
-        small, large = rare.join(few, "key", "left_semi"), rare.join(few, "key", "left_anti")
-        met = _star_blocks(_pairs(small), sizes, BLOCK_SHINGLES).unionByName(_blocks(large, BLOCK_SHINGLES).withColumn("query_block", F.col("query_block") + 1))
+        small, large = rare.join(few, "key", "left_semi"), rare.join(few, "key", "left_anti").drop("alike")
+        met = _star_blocks(_pairs(small, threshold), sizes, BLOCK_SHINGLES).unionByName(_blocks(large, BLOCK_SHINGLES).withColumn("query_block", F.col("query_block") + 1))
         labels = joined(confirmed(met))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
