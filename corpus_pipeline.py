@@ -21,8 +21,8 @@ from terrashift.llm.common import load, materialize, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go; the ledger of all rules is written first."""
-    return quality.keep(materialize(quality.annotate(docs), "quality-ledger"), quality.PRODUCTION)
+    """Documents that the production policy rejects go, by the failure bits of one ledger beside the rows."""
+    return quality.keep(quality.annotate(docs), quality.PRODUCTION)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

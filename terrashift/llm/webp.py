@@ -116,12 +116,17 @@ def code_tables(lengths: np.ndarray) -> np.ndarray:
 def _read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
     """Code lengths of one prefix code."""
     lengths = np.zeros(alphabet, np.int64)
-    if bits.read(1):
-        count = bits.read(1) + 1
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if count == 2:
-            lengths[bits.read(8)] = 1
+    look = bits.peek(19)
+    if look & 1:  # one or two symbols, as they are
+        wide = 8 if look & 4 else 1
+        lengths[look >> 3 & ((1 << wide) - 1)] = 1
+        if look & 2:
+            lengths[look >> (3 + wide) & 255] = 1
+        bits.at += 3 + wide + (8 if look & 2 else 0)
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends early")
         return lengths
+    bits.at += 1
     own = [0] * 19
     for place in _LENGTH_ORDER[: 4 + bits.read(4)]:
         own[place] = bits.read(3)
@@ -339,7 +344,9 @@ CACHE_BITS, BLOCK_BITS = 6, 3
 #: Predictors that the encoder tries besides none: left, top, and left + top - top left.
 _TRIED = (0, 1, 2, 12)
 #: Cross-colour multipliers that it tries, in 32nds.
-_MULTIPLIERS = (-32, -16, -8, 8, 16, 32, 64)
+_MULTIPLIERS = (-16, 16, 32)
+#: Images that are written together.
+MAX_IMAGES = 50_000
 _RAREST = 1024  # rarer symbols count as one of so many: no code is longer than 11 bits
 
 
@@ -408,36 +415,38 @@ def _code_text(lengths: list[int]) -> str:
     used = len(lengths) - lengths.count(0)
     if used == 1 and lengths.index(1) < 256:
         return _one_symbol(lengths.index(1))
-    parts, at, n = [_CODE_HEAD], 0, len(lengths)
-    while at < n:
-        value, end = lengths[at], at + 1
-        if value == 0:
-            while end < n and lengths[end] == 0 and end - at < 138:
-                end += 1
-            if end - at >= 11:
-                parts.append(_OWN_TEXT[18] + _text_bits(end - at - 11, 7))
-            elif end - at >= 3:
-                parts.append(_OWN_TEXT[17] + _text_bits(end - at - 3, 3))
-            else:
-                parts.append(_OWN_TEXT[0] * (end - at))
-        else:
-            parts.append(_OWN_TEXT[value])
-        at = end
-    return "".join(parts)
-
-
-def _side_image(argb: np.ndarray) -> str:
-    """An image of a transform (palette, modes or multipliers): literals only."""
-    codes, texts = [], []
+    parts, at = [_CODE_HEAD], 0
+    for i in [i for i, n in enumerate(lengths) if n]:
+        parts.append(_zeros(i - at) + _OWN_TEXT[lengths[i]])
+        at = i + 1
+    return "".join(parts) + _zeros(len(lengths) - at)
+
+
+@lru_cache(maxsize=512)
+def _zeros(n: int) -> str:
+    """The bits for ``n`` unused symbols in a row."""
+    if n > 138:
+        return _zeros(138) + _zeros(n - 138)
+    return _OWN_TEXT[18] + _text_bits(n - 11, 7) if n >= 11 else _OWN_TEXT[17] + _text_bits(n - 3, 3) if n >= 3 else _OWN_TEXT[0] * n
+
+
+def _side_images(images: list[np.ndarray]) -> list[str]:
+    """Images of transforms (palettes, modes or multipliers), rows of alpha, red, green and blue: literals only."""
+    if not images:
+        return []
+    sizes = np.fromiter(map(len, images), np.int64, len(images))
+    owner = np.repeat(np.arange(len(images)), sizes)
+    every = np.concatenate(images)
+    texts, data = [], []
     for channel in (2, 1, 3, 0):  # green, red, blue, alpha
-        lengths = _code_lengths(np.bincount(argb[:, channel], minlength=280 if channel == 2 else 256)[None, :])
-        texts.append(_code_text(lengths[0].tolist()))
-        single = np.count_nonzero(lengths) == 1
-        values = _stream_codes(lengths)[0].tolist()
-        codes.append([""] * 280 if single else [_text_bits(c, n) for c, n in zip(values, lengths[0].tolist(), strict=True)])
-    green, red, blue, alpha = codes
-    data = [green[g] + red[r] + blue[b] + alpha[a] for a, r, g, b in argb.tolist()]
-    return "0" + "".join(texts) + _one_symbol(0) + "".join(data)
+        values = every[:, channel]
+        lengths = _code_lengths(_histograms(owner, values, len(images), 280 if channel == 2 else 256))
+        texts.append([_code_text(row) for row in lengths.tolist()])
+        taken = np.where((lengths > 0).sum(axis=1, keepdims=True) > 1, lengths, 0)
+        codes = _stream_codes(taken)
+        data.append([_text_bits(c, n) for c, n in zip(codes[owner, values].tolist(), taken[owner, values].tolist(), strict=True)])
+    pixels, ends = ["".join(p) for p in zip(*data, strict=True)], np.cumsum(sizes).tolist()
+    return ["0" + "".join(t) + _one_symbol(0) + "".join(pixels[e - n : e]) for t, e, n in zip(zip(*texts, strict=True), ends, sizes.tolist(), strict=True)]
 
 
 def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -452,6 +461,12 @@ def _histograms(owner: np.ndarray, values: np.ndarray, images: int, size: int =
     return np.bincount(owner * size + values, minlength=images * size).reshape(images, size)
 
 
+def _order(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Stable order by image, then value, both below 65,536: two radix sorts."""
+    first = np.argsort(values.astype(np.uint16), kind="stable")
+    return first[np.argsort(owner.astype(np.uint16)[first], kind="stable")]
+
+
 def _bits(counts: np.ndarray) -> np.ndarray:
     """Bits of all symbols of each row by its entropy, and some for describing the code."""
     total = counts.sum(axis=1, keepdims=True)
@@ -483,15 +498,28 @@ def _predicted(planes: np.ndarray, start: np.ndarray, rows: np.ndarray, owner: n
     tried = [(planes - np.where(inside, g, edge)) & 255 for g in guesses]
     costs = [np.bincount(block, own[0][owner << 8 | planes[0]] + own[1][owner << 8 | planes[1]] if m == 0 else price[t].sum(axis=0), int(across * high.sum())) for m, t in zip(_TRIED, tried, strict=True)]
     chosen = np.argmin(np.stack(costs), axis=0)
-    residual = np.choose(chosen[block], tried)
     before = sum(map(_bits, counts))
     several = np.minimum.reduceat(chosen, first) != np.maximum.reduceat(chosen, first)
-    after = sum(_bits(_histograms(owner, p, images)) for p in residual) + 70 + several * (80 + 2 * across * high)
-    pays = after < before
-    modes: list = [None] * images
-    for i in np.flatnonzero(pays).tolist():
-        modes[i] = np.array(_TRIED)[chosen[first[i] : first[i] + across * high[i]]]
-    return np.where(pays[owner], residual, planes), np.minimum(before, after), modes
+    describing = 70 + several * (80 + 2 * across * high)
+    # entropy decides, but only where the blocks' costs already promise enough
+    hoped = np.flatnonzero(np.add.reduceat(costs[0] - np.min(np.stack(costs), axis=0), first) > describing)
+    out, modes = planes, [None] * images
+    bits = before
+    if len(hoped):
+        rank = np.full(images, -1)
+        rank[hoped] = np.arange(len(hoped))
+        own_rank = rank[owner]
+        mine = np.flatnonzero(own_rank >= 0)
+        residual = np.choose(chosen[block[mine]], [t[:, mine] for t in tried])
+        after = sum(_bits(_histograms(own_rank[mine], p, len(hoped))) for p in residual) + describing[hoped]
+        pays = after < before[hoped]
+        out, bits = planes.copy(), before.copy()
+        kept = pays[own_rank[mine]]
+        out[:, mine[kept]] = residual[:, kept]
+        bits[hoped[pays]] = after[pays]
+        for i in hoped[pays].tolist():
+            modes[i] = np.array(_TRIED)[chosen[first[i] : first[i] + across * high[i]]]
+    return out, bits, modes
 
 
 def _uncrossed(planes: np.ndarray, owner: np.ndarray, predicted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -522,7 +550,13 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     residual, bits, modes = _predicted(planes, start, rows, owner)
     crossed, saved, multipliers = _uncrossed(residual, owner, np.array([m is not None for m in modes]))
     # or a palette, where the entropy of indexes and the colours themselves take less
-    colours, index, counts = np.unique(owner << 16 | planes[0] << 8 | planes[1], return_inverse=True, return_counts=True)
+    pixel = owner << 16 | planes[0] << 8 | planes[1]
+    order = _order(owner, pixel & 0xFFFF)
+    ranked = pixel[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    colours, counts = ranked[new], np.diff(np.append(np.flatnonzero(new), len(ranked)))
+    index = np.empty(len(ranked), np.int64)
+    index[order] = np.cumsum(new) - 1
     of_colour = colours >> 16
     n_colours = np.bincount(of_colour, minlength=images)
     first_colour = np.cumsum(n_colours) - n_colours
@@ -531,7 +565,6 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     palette = (n_colours <= 256) & (by_index < bits - saved)
     packed = np.where(n_colours <= 2, 3, np.where(n_colours <= 4, 2, np.where(n_colours <= 16, 1, 0)))
     # what is coded: pixels of one channel for palettes, of two for the others
-    heads = []
     coded_r, coded_g, alphas = [None] * images, [None] * images, np.full(images, 255)
     for i in np.flatnonzero(palette).tolist():
         own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
@@ -544,22 +577,23 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
         coded_r[i], coded_g[i] = crossed[start[i] : start[i] + pixels[i]], residual[1, start[i] : start[i] + pixels[i]]
         if modes[i] is not None:
             alphas[i] = 0  # all predictors give full alpha
-    for i in range(images):
-        parts = [_text_bits(0x2F, 8), _text_bits(WIDTH - 1, 14), _text_bits(int(rows[i]) - 1, 14), "0000"]
-        if palette[i]:
-            own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
-            argb = np.stack([np.full(len(own), 255), own >> 8, own & 255, np.zeros(len(own), np.int64)], axis=1)
-            parts.append("1" + _text_bits(3, 2) + _text_bits(len(own) - 1, 8) + _side_image(np.diff(argb, axis=0, prepend=0) & 255))
-        else:
-            if modes[i] is not None:
-                side = np.zeros((len(modes[i]), 4), np.int64)
-                side[:, 0], side[:, 2] = 255, modes[i]
-                parts.append("1" + _text_bits(0, 2) + _text_bits(BLOCK_BITS - 2, 3) + _side_image(side))
-            if multipliers[i]:
-                # green to red is in blue; one block holds the whole image
-                parts.append("1" + _text_bits(1, 2) + _text_bits(7, 3) + _side_image(np.array([[255, 0, 0, int(multipliers[i]) & 255]])))
-        parts.append("0")
-        heads.append("".join(parts))
+    sides: list[tuple[int, str, np.ndarray]] = []  # image, what stands before, and the image of each transform
+    for i in np.flatnonzero(palette).tolist():
+        own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
+        argb = np.stack([np.full(len(own), 255), own >> 8, own & 255, np.zeros(len(own), np.int64)], axis=1)
+        sides.append((i, "1" + _text_bits(3, 2) + _text_bits(len(own) - 1, 8), np.diff(argb, axis=0, prepend=0) & 255))
+    for i in np.flatnonzero(~palette & np.array([m is not None for m in modes])).tolist():
+        side = np.zeros((len(modes[i]), 4), np.int64)
+        side[:, 0], side[:, 2] = 255, modes[i]
+        sides.append((i, "1" + _text_bits(0, 2) + _text_bits(BLOCK_BITS - 2, 3), side))
+    for i in np.flatnonzero(~palette & (multipliers != 0)).tolist():
+        # green to red is in blue; one block holds the whole image
+        sides.append((i, "1" + _text_bits(1, 2) + _text_bits(7, 3), np.array([[255, 0, 0, int(multipliers[i]) & 255]])))
+    transforms = [""] * images
+    for (i, head, _), text in zip(sides, _side_images([side for *_, side in sides]), strict=True):
+        transforms[i] += head + text
+    begin = _text_bits(0x2F, 8) + _text_bits(WIDTH - 1, 14)
+    heads = [begin + _text_bits(n - 1, 14) + "0000" + t + "0" for n, t in zip(rows.tolist(), transforms, strict=True)]
     return _entropy_code(heads, coded_r, coded_g, alphas)
 
 
@@ -585,7 +619,7 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     is_run = long_run[at]
     # the cache holds the last pixel of each hash: a hit is a pixel equal to the one before with its hash
     slot = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-    order = np.argsort(owner << CACHE_BITS | slot, kind="stable")
+    order = _order(owner, slot)
     hit = np.zeros(len(green), bool)
     again = (argb[order][1:] == argb[order][:-1]) & (slot[order][1:] == slot[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     hit[order[1:]] = again
@@ -659,7 +693,7 @@ def _riff(heads: list[str], owner: np.ndarray, value: np.ndarray, bits: np.ndarr
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """The media of each payload (a positive multiple of 64 bytes): its images one after another."""
     tiles = [p[i : i + TILE] for p in payloads for i in range(0, len(p), TILE)]
-    files = _encode_tiles(tiles)
+    files = [f for i in range(0, len(tiles), MAX_IMAGES) for f in _encode_tiles(tiles[i : i + MAX_IMAGES])]
     out, at = [], 0
     for p in payloads:
         n = -(-len(p) // TILE)
@@ -737,6 +771,14 @@ def _decode_in_step(streams: list[bytes], heads: list[Parsed]) -> list[np.ndarra
     cache_bits = max(h.cache_bits for h in heads)
     shift = np.array([32 - (h.cache_bits or cache_bits or 1) for h in heads], np.uint32)
     cache = np.zeros(count << cache_bits, np.uint32)
+    # blue and alpha where all images have one value each
+    fixed = np.zeros(count, np.int64)
+    varied = []
+    for table, nb, up in ((blues, bb, 0), (alphas, ab, 24)):
+        if nb:
+            varied.append((table, nb, up))
+        else:
+            fixed |= (table.astype(np.int64) >> 4) << up
     lanes, left, back = np.arange(count), np.zeros(count, np.int64), np.ones(count, np.int64)
     out = np.zeros((int(pixels[0]), count), np.uint32)
     live = np.searchsorted(-pixels, -np.arange(int(pixels[0])), side="left")  # images with more than k pixels
@@ -758,11 +800,11 @@ def _decode_in_step(streams: list[bytes], heads: list[Parsed]) -> list[np.ndarra
                 w = peek(place)
                 er = reds[(lane << rb) + (w & mask(rb)).astype(np.int64)].astype(np.int64)
                 place = place + (er & 15)
-                pixel = (er >> 4) << 16 | (symbol[literal] if some else symbol) << 8
-                for table, nb, up in ((blues, bb, 0), (alphas, ab, 24)):
-                    e = table[(lane << nb) + ((peek(place) & mask(nb)).astype(np.int64) if nb else 0)].astype(np.int64)
+                pixel = (er >> 4) << 16 | (symbol[literal] if some else symbol) << 8 | fixed[lane]
+                for table, nb, up in varied:
+                    e = table[(lane << nb) + (peek(place) & mask(nb)).astype(np.int64)].astype(np.int64)
                     pixel |= (e >> 4) << up
-                    place = place + (e & 15) if nb else place
+                    place = place + (e & 15)
                 made[lane] = pixel
                 if some:
                     a[literal] = place
@@ -904,7 +946,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 #: Payload bytes of one numpy batch: bounds a worker's memory.
-BATCH_BYTES = 2_500_000
+BATCH_BYTES = 3_200_000
 
 
 def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:

@@ -483,7 +483,7 @@ def test_decoders_agree_on_all_transforms():
     for width, height in ((1, 1), (1, 9), (17, 1), (20, 15), (33, 12), (8, 40)):
         bits = webp._text_bits(0x2F, 8) + webp._text_bits(width - 1, 14) + webp._text_bits(height - 1, 14) + "0000"
         blocks = -(-width // 4) * -(-height // 4)
-        side = lambda high, n: webp._side_image(rng.integers(0, high, (n, 4)))
+        side = lambda high, n: webp._side_images([rng.integers(0, high, (n, 4))])[0]
         for kind in rng.permutation(3).tolist():
             bits += "1" + webp._text_bits(kind, 2) + ("" if kind == 2 else "000" + side(15 if kind == 0 else 256, blocks))
         bits += "0" + "0" + side(256, width * height)
