@@ -49,7 +49,7 @@ MISS = 3e-7
 #: Turns of hubs at least; a further one follows one that made links for this share of the members.
 TURNS, WORTH = 2, 0.1
 #: Shingles and members of a block of comparisons, members of a rare shingle that are compared as pairs, slots of shingle frequencies.
-BLOCK_SHINGLES, BLOCK_MEMBERS, PAIR_GROUP, SLOT_BITS = 300_000, 512, 16, 20
+BLOCK_SHINGLES, BLOCK_MEMBERS, PAIR_GROUP, SLOT_BITS = 300_000, 512, 256, 20
 #: Rare shingles that a pair must share: one for each so many of the smaller set, but no more than a few.
 SHARED_EACH, SHARED_MOST = 64, 4
 
@@ -280,8 +280,8 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def _star_blocks(pairs: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """As ``_blocks``: each hub ``a`` is the one query that meets its members ``b``."""
     members = pairs.select(F.col("a").alias("family"), F.col("b").alias("node")).join(sizes, "node")
-    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("member_blocks"))
-    rows = members.join(parts, "family")
+    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("member_blocks"), F.count("*").alias("n"))
+    rows = dealt_join(members, parts, "family", "n", "node")
     kind = lambda n: [F.lit(n).alias("is_member"), "node", F.col("node").alias("component")]
     as_members = rows.select("family", F.lit(0).alias("query_block"), F.pmod(F.xxhash64("node"), F.col("member_blocks")).cast("int").alias("member_block"), *kind(1))
     hubs = parts.select("family", F.lit(0).alias("query_block"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("member_block"), F.col("family").alias("node"))
@@ -373,7 +373,7 @@ def near_duplicates(
     open_members = members.withColumn("component", F.col("node"))
     turn = 0
     while True:
-        links = confirmed(_star_blocks(_star_pairs(open_members, turn), sizes, BLOCK_SHINGLES))
+        links = confirmed(_star_blocks(materialize(_star_pairs(open_members, turn), "minhash-pairs"), sizes, BLOCK_SHINGLES))
         labels = joined(links)
         open_members = materialize(_mixed(_labelled(open_members.select("key", "node"), labels)), "minhash-open")
         turn += 1
@@ -384,7 +384,7 @@ def near_duplicates(
         rare = _rare_members(open_members, texts, sizes, words, threshold)
         few = _counted(rare).filter(F.col("n") <= PAIR_GROUP).select("key")
         small, large = rare.join(few, "key", "left_semi"), rare.join(few, "key", "left_anti").drop("alike")
-        met = _star_blocks(_pairs(small, threshold), sizes, BLOCK_SHINGLES).unionByName(_blocks(large, BLOCK_SHINGLES).withColumn("query_block", F.col("query_block") + 1))
+        met = _star_blocks(materialize(_pairs(small, threshold), "minhash-pairs"), sizes, BLOCK_SHINGLES).unionByName(_blocks(large, BLOCK_SHINGLES).withColumn("query_block", F.col("query_block") + 1))
         labels = joined(confirmed(met))
 
     found = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
