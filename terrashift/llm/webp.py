@@ -604,38 +604,37 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     owner = np.repeat(np.arange(images), pixels)
     red, green = np.concatenate(coded_r), np.concatenate(coded_g)
     argb = (alphas[owner] << 24 | red << 16 | green << 8).astype(np.uint32)
-    place = np.arange(len(green))
-    ends = np.cumsum(pixels)
-    # runs of one pixel, from the second on
+    # runs of one pixel: its first is a literal, the rest a back-reference where there are three or more
     same = np.zeros(len(green), bool)
     same[1:] = argb[1:] == argb[:-1]
-    same[ends[:-1]] = False
-    in_run = place - np.maximum.accumulate(np.where(same, 0, place))  # 0 at its first pixel
-    last = np.ones(len(green), bool)
-    last[:-1] = ~same[1:]
-    run_end = np.minimum.accumulate(np.where(last, place, len(green))[::-1])[::-1]
-    long_run = same & (in_run + run_end - place >= 3)
-    at = np.flatnonzero(~long_run | (in_run % 4096 == 1))
-    is_run = long_run[at]
+    same[np.cumsum(pixels)[:-1]] = False
+    begin = np.flatnonzero(~same)
+    length = np.diff(np.append(begin, len(green)))
+    begin, length = begin[length > 3], length[length > 3] - 1
+    token, run = np.ones(len(green), bool), np.zeros(len(green), bool)
+    inner = np.repeat(begin + 2 - np.cumsum(length - 1) + (length - 1), length - 1) + np.arange(int((length - 1).sum()))
+    token[inner], run[begin + 1] = False, True
+    at = np.flatnonzero(token)
+    is_run = run[at]
     # the cache holds the last pixel of each hash: a hit is a pixel equal to the one before with its hash
     slot = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
     order = _order(owner, slot)
     hit = np.zeros(len(green), bool)
-    again = (argb[order][1:] == argb[order][:-1]) & (slot[order][1:] == slot[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    ranked, image = argb[order], owner[order]
+    again = (ranked[1:] == ranked[:-1]) & (image[1:] == image[:-1])
     hit[order[1:]] = again
     of_token = owner[at]
     is_hit = hit[at] & ~is_run
-    runs = at[is_run]
-    prefix, more, extra = _prefix_of(np.minimum(4096, run_end[runs] - runs + 1))
-    symbol = green[at].copy()
+    prefix, more, extra = _prefix_of(length)
+    symbol, reds_at = green[at], red[at]
     symbol[is_run] = _LITERALS + prefix
     cached = symbol.copy()
     cached[is_hit] = _LITERALS + _LENGTHS + slot[at][is_hit]
     alphabet = _LITERALS + _LENGTHS + (1 << CACHE_BITS)
     literal = ~is_run
-    without = _histograms(of_token, symbol, images, alphabet), _histograms(of_token[literal], red[at][literal], images)
+    without = _histograms(of_token, symbol, images, alphabet), _histograms(of_token[literal], reds_at[literal], images)
     missed = literal & ~is_hit
-    with_ = _histograms(of_token, cached, images, alphabet), _histograms(of_token[missed], red[at][missed], images)
+    with_ = _histograms(of_token, cached, images, alphabet), _histograms(of_token[missed], reds_at[missed], images)
     uses = _bits(with_[0]) + _bits(with_[1]) < _bits(without[0]) + _bits(without[1])
     symbol = np.where(uses[of_token], cached, symbol)
     literal = np.where(uses[of_token], missed, literal)
@@ -650,7 +649,7 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     value, bits = coded(greens, of_token, symbol)
     value[is_run] |= extra.astype(np.uint64) << bits[is_run].astype(np.uint64)
     bits[is_run] += more
-    second, second_bits = coded(reds, of_token[literal], red[at][literal])
+    second, second_bits = coded(reds, of_token[literal], reds_at[literal])
     value[literal] |= second << bits[literal].astype(np.uint64)
     bits[literal] += second_bits
     texts = []
