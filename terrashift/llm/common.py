@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrashift.operators.joins import dealt_join
 from terrashift.operators.picks import new_path
 
-__all__ = ["dealt_join", "load", "materialize", "text_or_empty", "workspace"]
+__all__ = ["dealt_join", "discard", "load", "materialize", "text_or_empty", "workspace", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,21 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = workspace(df.sparkSession, name)
+    return written(df, workspace(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written at ``path`` and read back."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_or_empty(col: str | Column) -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import byte_bpe, minhash, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp
+from terrashift.llm import byte_bpe, clusters, minhash, mixing, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp
 from terrashift.llm.common import load, materialize, workspace
 
 
@@ -61,6 +61,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.assign(load(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, size=64, seed=2))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest_columns(mixing.plan(load(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_archive": op2_warc_archive,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_url_filters": op9_url_filters,
     "op10_minhash": op10_minhash,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_source_mix": op13_source_mix,
 }
 
 
@@ -118,6 +128,43 @@ _MEASURES_SQL = r"""
                    + CASE WHEN word_chars > 15 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END
                    + CASE WHEN 100 * n_upper_words > 60 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)"""
 
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round is a table of centroids (c, j, m) and one of the nearest of each vector."""
+    parts = [
+        """e AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        "p AS MATERIALIZED (SELECT r, j, floor(256 * embedding[j]::DOUBLE)::BIGINT AS x FROM e, range(1, 65) AS g(j))",
+        f"""f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) - 1 AS c
+              FROM e QUALIFY c < {k})""",
+        "c0 AS MATERIALIZED (SELECT c, j, x AS m FROM f JOIN p ON p.r = f.r)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+            SELECT r, c, sum((x - m) * (x - m))::BIGINT AS d FROM p JOIN c{i} USING (j) GROUP BY r, c) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.c, c{i}.j, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{i} LEFT JOIN (
+                SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} JOIN p USING (r) GROUP BY c, j) q ON q.c = c{i}.c AND q.j = c{i}.j)""")
+    return f"""WITH {", ".join(parts)},
+        h AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} a JOIN e ON e.r = a.r JOIN h ON h.c = a.c"""
+
+
+_MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    k AS (SELECT *, substr(md5('13:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 16) AS key FROM d),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+    -- in order of the level at which sources reach their limit, each is full if the level of those not yet full is above its own
+    o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 sum(w) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM s WINDOW v AS (ORDER BY cap / w::DOUBLE, source NULLS LAST)),
+    f AS (SELECT source, source_size, cap, w, source_size = 0 OR rest * w > cap * shares AS full_ FROM o),
+    t AS (SELECT source, source_size, CASE WHEN full_ THEN cap::DOUBLE ELSE (sum(source_size) OVER () - coalesce(sum(cap) FILTER (WHERE full_) OVER (), 0))::DOUBLE * w
+                                                                   / sum(w) FILTER (WHERE NOT full_) OVER () END AS target FROM f),
+    b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+    e AS (SELECT b.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(target / t.source_size)::BIGINT ELSE 0 END AS whole FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target)::BIGINT - whole * source_size - before)))::BIGINT AS taken FROM e"""
+
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLES: dict[str, str] = {
@@ -157,6 +204,8 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
                count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_spans_sql("rank < 3")}) AS base_sha256, {_spans_sql("rank >= 0")} AS spans
         FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""",
+    "op12_centroid_clusters": _clusters_sql(),
+    "op13_source_mix": _MIX_SQL,
     "op10_minhash": """
         WITH RECURSIVE w AS (
           SELECT DISTINCT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
