@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrashift.llm import byte_bpe, clusters, minhash, mixing, packing, quality, secrets, suffix_dedup, tokens, url_filter, warc, webp
+from terrashift.llm import byte_bpe, clusters, minhash, mixing, packing, quality, runs, secrets, suffix_dedup, tokens, url_filter, warc, webp
 from terrashift.llm.common import load, materialize, workspace
 
 
@@ -61,6 +61,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.withColumn("text", runs.stretched(docs["doc_id"], docs["text"]))
+    return runs.digest_columns(runs.periodic_runs(docs, least_length=24, least_exponent=3))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.with_inertia(*clusters.assign(load(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, size=64, seed=2))
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_url_filters": op9_url_filters,
     "op10_minhash": op10_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_source_mix": op13_source_mix,
 }
