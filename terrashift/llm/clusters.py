@@ -51,11 +51,11 @@ def grid(vectors: DataFrame, scale: int, size: int, vec_id: str = "vec_id", vect
     return kept.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(number(x) * scale).cast("int")).alias("ints"))
 
 
-def starts(points: DataFrame, k: int, seed: int) -> np.ndarray:
+def starts(points: DataFrame, k: int, seed: int, size: int) -> np.ndarray:
     """The first centroids: the vectors whose ``seed:id`` has the smallest SHA-256, equal ones in order of their components."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = points.select(key.alias("key"), "ints").orderBy(F.col("key").asc_nulls_last(), "ints").limit(k).collect()  # k rows
-    return np.array([r.ints for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.ints for r in rows], np.int64).reshape(len(rows), size)
 
 
 def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def assign(
     ``size`` is 64 at most.
     """
     points = grid(vectors, scale, size, vec_id, vector)
-    centroids = starts(points, k, seed)
+    centroids = starts(points, k, seed, size)
     if not len(centroids):
         return points.select("vec_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance")), np.zeros((0, size), np.int64)
     spark, path = vectors.sparkSession, workspace(vectors.sparkSession, "clusters")
