@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrashift.operators.joins import dealt_join
 from terrashift.operators.picks import new_path
 
-__all__ = ["dealt_join", "discard", "load", "materialize", "text_or_empty", "workspace", "written"]
+__all__ = ["as_struct", "dealt_join", "discard", "load", "materialize", "quoted", "text_or_empty", "workspace", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name that stands for itself, whatever dots or backticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_struct(df: DataFrame) -> Column:
+    """All columns as one, where no name of theirs can clash with others."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 def text_or_empty(col: str | Column) -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

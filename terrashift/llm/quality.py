@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrashift.llm.common import text_or_empty
+from terrashift.llm.common import as_struct, quoted, text_or_empty
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -141,7 +141,7 @@ def apply_policy(ledger_df: DataFrame, policy: Policy) -> DataFrame:
 
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The ledger beside the rows themselves: (row, measures..., fail_bits), ``row`` a struct of all columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judged(text_or_empty(F.col(f"`{text}`"))).alias("j"))
+    rows = docs.select(as_struct(docs).alias("row"), judged(text_or_empty(F.col(quoted(text)))).alias("j"))
     return rows.select("row", *[F.col(f"j.m.{m}").alias(m) for m in MEASURES], F.col("j.bits").alias("fail_bits"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -99,13 +100,14 @@ def _either_case(word: str) -> str:
 
 def _for_sql(rule: secrets.Rule) -> str:
     words = "password|passwd|secret|token|api_?key"
-    return rule.pattern.replace(f"(?i:{words})", f"(?:{_either_case(words)})").replace("'", "''")
+    plain = re.sub(r"(?<=[*+}])\+", "", rule.pattern)  # an engine that doesn't go back has no possessive signs
+    return plain.replace(f"(?i:{words})", f"(?:{_either_case(words)})").replace("'", "''")
 
 
 def _matches_sql(i: int, rule: secrets.Rule) -> str:
     p = _for_sql(rule)
     return f"""
-        SELECT doc_id, '{rule.name}' AS kind, {i} AS rank, k, glen, mlen, vlen FROM (
+        SELECT doc_id, '{rule.name}' AS kind, {i} AS rank, {rule.least} AS least, k, glen, mlen, vlen FROM (
           SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS glen,
                  unnest(list_transform(m, lambda x: length(x))) AS mlen, unnest(list_transform(v, lambda x: length(x))) AS vlen
           FROM (SELECT doc_id, string_split_regex(text, '{p}') AS g, regexp_extract_all(text, '{p}', 0) AS m,
@@ -207,7 +209,7 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         m AS ({" UNION ALL ".join(_matches_sql(i, r) for i, r in enumerate(secrets.RULES))}),
         p AS (SELECT *, sum(glen + mlen) OVER (PARTITION BY doc_id, kind ORDER BY k)::BIGINT AS e FROM m),
-        f AS (SELECT doc_id, kind, rank, e - mlen AS s, e FROM p WHERE kind <> 'assign' OR vlen >= 6)
+        f AS (SELECT doc_id, kind, rank, e - mlen AS s, e FROM p WHERE vlen >= least)
         SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
                count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({_spans_sql("rank < 3")}) AS base_sha256, {_spans_sql("rank >= 0")} AS spans
         FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id""",

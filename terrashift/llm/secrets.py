@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrashift.llm.common import text_or_empty
+from terrashift.llm.common import as_struct, quoted, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -43,9 +43,11 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     # [0-9a-f]+ takes whole runs of hex digits, so the runs of 24 or more are the same matches
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    # the block to its END line, or where there is none the lines of base64 that follow
-    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*){0,60})"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # the block to its END line if no other line of dashes comes first, or the lines of base64 that follow, however many;
+    # what is looked at from one BEGIN ends at the next, so a text is read twice at most
+    Rule("pem", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D]*+(?:-{1,4}[A-Za-z0-9+/=:,\x20\x09-\x0D]++)*+-----END [A-Z ]*PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]{16,}+)*+)"),
+    # the first part is taken whole where no others follow it, and then dropped: no part is looked at again
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}+(\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?", 1),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
@@ -146,7 +148,7 @@ def report(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, do
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by ``[kind]``; overlapping spans become one."""
-    whole = F.col(f"row.`{text}`")
+    whole = F.col(f"row.{quoted(text)}")
 
     def step(acc: Column, m: Column) -> Column:
         fresh = m["start"] >= acc["at"]
@@ -160,9 +162,9 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text:
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole)))
     clean = F.when(F.col("found").isNull(), whole).otherwise(F.aggregate("found", start, step, rest))
     # the user's columns ride in a struct, where no name of theirs can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), address(text_or_empty(F.col(f"`{text}`"))).alias("digest"))
+    rows = docs.select(as_struct(docs).alias("row"), address(text_or_empty(F.col(quoted(text)))).alias("digest"))
     joined = rows.join(_found_in(rows, ledger, rules), "digest", "left")
-    return joined.select(*[(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return joined.select(*[(clean if c == text else F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def _joined(found: Column) -> Column:

@@ -39,8 +39,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrashift.llm.common import materialize, text_or_empty
+from terrashift.llm.common import materialize, quoted, text_or_empty
 
 #: Length of the k-grams; open contexts of one k-gram that are sorted in one task; bytes that agree before a trie is made.
 GRAM, MAX_GROUP, SHALLOW = 64, 100_000, 32
@@ -693,14 +694,15 @@ def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: st
     """What ``_cut`` gives for each row; with ``as_text`` all columns but the text come along as ``rest``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text and as_text] or [F.lit(None).cast("boolean").alias("none")]
+    others = [F.col(quoted(c)) for c in docs.columns if c != text and as_text] or [F.lit(None).cast("boolean").alias("none")]
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"),
         F.struct(*others).alias("rest"),
     )
-    rest = f"rest {rows.schema['rest'].dataType.simpleString()}"
+    rest = T.StructField("rest", rows.schema["rest"].dataType)
+    typed = lambda kinds: T.StructType([*T._parse_datatype_string(kinds).fields, rest])
     # written once, so that row ids stay what they are when a task is run again
-    packed = materialize(rows.mapInArrow(_pack, f"rid long, doc_id long, n_bytes long, packed binary, {rest}"), "repeats-texts")
+    packed = materialize(rows.mapInArrow(_pack, typed("rid long, doc_id long, n_bytes long, packed binary")), "repeats-texts")
     size = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS * parts, -(-size // BUCKET_BYTES))
     parts = max(parts, min(buckets // BUCKETS, MAX_PARTS))
@@ -708,15 +710,15 @@ def _removed(docs: DataFrame, length: int, gram: int, max_group: int, doc_id: st
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "rid")
 
-    texts = packed.drop("n_bytes").mapInArrow(lambda b: _text_rows(b, buckets), f"{_ROW}, {rest}")
+    texts = packed.drop("n_bytes").mapInArrow(lambda b: _text_rows(b, buckets), typed(_ROW))
     anchors = materialize(packed.select("rid", "packed").mapInArrow(lambda b: _anchor_rows(b, length, gram, buckets), _ROW), "repeats-anchors")
     # spans ride along with what else a step sends, so each step runs once
     settled = materialize(dealt(_spread(anchors, length, gram, buckets, max_group)).mapInArrow(lambda b: _settle(b, length, gram, buckets, max_group), _ROW), "repeats-settled")
     asked = dealt(settled.filter(F.col("kind") == _ASKS).union(texts.drop("rest")))
     contexts = asked.mapInArrow(lambda b: _answer(b, length, gram, buckets), _ROW)
     sorted_ = dealt(contexts).mapInArrow(lambda b: _sort_contexts(b, length, gram, buckets), _ROW)
-    spans = settled.filter(F.col("kind") == _SPANS).union(sorted_).withColumn("rest", F.lit(None).cast(rows.schema["rest"].dataType))
-    return dealt(spans.union(texts)).mapInArrow(lambda b: _cut(b, as_text), f"new_text string, {rest}" if as_text else _RESULT)
+    spans = settled.filter(F.col("kind") == _SPANS).union(sorted_).withColumn("rest", F.lit(None).cast(rest.dataType))
+    return dealt(spans.union(texts)).mapInArrow(lambda b: _cut(b, as_text), typed("new_text string") if as_text else _RESULT)
 
 
 def remove_repeats(
@@ -736,7 +738,7 @@ def cleaned(docs: DataFrame, length: int = 200, gram: int = GRAM, max_group: int
     """
     whole = _removed(docs, length, gram, max_group, doc_id, text, True)
     fresh = {text: F.col("new_text"), "n_chars": F.length("new_text")}
-    return whole.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return whole.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
