@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrashift.llm import minhash, packing, quality, secrets, suffix_dedup
-from terrashift.llm.common import load, materialize, workspace
+from terrashift.llm.common import as_struct, load, materialize, quoted, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +28,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows one stays, of those with the smallest id; null ids come last.
 
-    Rows are compared by a number of their own, so repeated and null ids are rows like all others.
+    Rows are compared by a number of their own, so repeated and null ids are rows like all others; the
+    columns of a row ride beside it in a struct, where no name of theirs can clash.
     """
-    number = "_row"
-    while number in docs.columns:
-        number += "_"
-    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
-    groups = minhash.near_duplicates(rows, words=5, threshold=80, doc_id=number).select(F.col("doc_id").alias(number), "component_id")
-    names = rows.select(F.col(number), F.col("doc_id").alias("named"))
-    first = names.join(groups, number).groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull().alias("unnamed"), "named", number)).alias("f"))
-    return rows.join(first.select(F.col(f"f.{number}").alias(number)), number, "left_semi").select(*docs.columns)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), as_struct(docs).alias("row")), "near-rows")
+    compared = rows.select("number", F.col("row.text").alias("text"))
+    groups = minhash.near_duplicates(compared, words=5, threshold=80, doc_id="number").select(F.col("doc_id").alias("number"), "component_id")
+    names = rows.select("number", F.col("row.doc_id").alias("named"))
+    first = names.join(groups, "number").groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull().alias("unnamed"), "named", "number")).alias("f"))
+    kept = rows.join(first.select(F.col("f.number").alias("number")), "number", "left_semi")
+    return kept.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
