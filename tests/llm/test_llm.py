@@ -887,12 +887,14 @@ def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
     empty(spark).withColumns({"lang": F.lit("en"), "n_chars": F.lit(0)}).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     prose = lambda s: " ".join(random.Random(s).choices([f"word{i}" for i in range(900)], k=150))
-    names = ("_row", "row", "digest", "component_id", "fail_bits", "rest", "found", "kept", "node", "key")
+    names = ("_ROW", "row", "Number", "digest", "component_id", "fail_bits", "rest", "found", "kept", "node", "key", "a.b", "back`tick", "new_text", "a b,c:<")
     df = spark.createDataFrame([(1, prose(1)), (2, prose(1)), (3, prose(2))], SCHEMA).withColumns({n: F.lit(n) for n in names})
+    df = df.withColumn("x.y", F.struct(F.lit(1).alias("p.q"), F.array(F.lit("z")).alias("a`b")))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
-        assert df.columns == ["doc_id", "text", *names]
-    assert {(r.doc_id, r._row, r.node, r.digest) for r in df.collect()} == {(1, "_row", "node", "digest"), (3, "_row", "node", "digest")}
+        assert df.columns == ["doc_id", "text", *names, "x.y"]
+    assert {(r[0], *r[2:-1], r[-1][0], tuple(r[-1][1])) for r in df.collect()} == {(i, *names, 1, ("z",)) for i in (1, 3)}
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == 2
 
 
 def brute_redact(t):
