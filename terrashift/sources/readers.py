@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import importlib.util
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrashift.functions.coerce import nan_to_null
+from terrashift.operators.overlay import repaired
 from terrashift.operators.picks import total_before
 
 
@@ -50,14 +51,90 @@ def read_geojson(spark: SparkSession, path: str, source: str) -> DataFrame:
     return rings.select(F.lit(source).alias("source"), "feature", "properties", ring.alias("ring"))
 
 
-def read_placemarks(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(source, name, ring) of the polygons of a KML file."""
-    schema = "name string, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
-    rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    text = F.trim(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates"))
+_COORDINATES = "struct<type:string,coordinates:string>"
+
+
+def read_regions(spark: SparkSession, path: str, source: str, lines: bool = False, repair: bool = True) -> DataFrame:
+    """(source, feature, properties, region) of the polygons and multi-polygons of GeoJSON files, holes included.
+
+    A file is one collection of features, or with ``lines`` has a feature on each line, so that a file of
+    any length spreads over many tasks. With ``repair`` rings that cross themselves are made simple, see
+    :mod:`terrashift.operators.overlay`. Features without polygons drop out.
+    """
+    if lines:
+        rows = spark.read.schema(f"properties map<string,string>, geometry {_COORDINATES}").json(path)
+        features = rows.select(F.monotonically_increasing_id().alias("feature"), "properties", F.col("geometry").alias("g"))
+    else:
+        rows = spark.read.schema(_FEATURE).json(path, multiLine=True)
+        features = rows.select(F.posexplode("features").alias("feature", "f")).select("feature", "f.properties", F.col("f.geometry").alias("g"))
+    polygons = F.when(F.col("g.type") == "MultiPolygon", F.from_json("g.coordinates", f"array<{_POLYGON}>")).when(F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", _POLYGON)))
+    corner = lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y"))
+    region = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, corner)))
+    read = features.select(F.lit(source).alias("source"), "feature", "properties", region.alias("region")).filter("region IS NOT NULL")
+    return read.withColumn("region", repaired("region")) if repair else read
+
+
+_LINEAR = "LinearRing: array<struct<coordinates: string>>"
+_KML_POLYGON = f"struct<outerBoundaryIs: struct<{_LINEAR}>, innerBoundaryIs: array<struct<{_LINEAR}>>>"
+_KML_PLACEMARK = f"struct<name: string, Polygon: array<{_KML_POLYGON}>, MultiGeometry: struct<Polygon: array<{_KML_POLYGON}>, MultiGeometry: array<struct<Polygon: array<{_KML_POLYGON}>>>>>"
+
+
+def _kml_folder(levels: int) -> str:
+    deeper = f"array<{_kml_folder(levels - 1)}>" if levels else "array<string>"
+    return f"struct<name: string, Placemark: array<{_KML_PLACEMARK}>, Folder: {deeper}>"
+
+
+def _kml_ring(text: Column) -> Column:
+    """Corners of ``lon,lat[,height]`` tuples."""
     part = lambda q, i: F.get(F.split(q, ","), F.lit(i)).try_cast("double")
-    ring = F.transform(F.split(text, r"\s+"), lambda q: F.struct(part(q, 0).alias("x"), part(q, 1).alias("y")))
-    return rows.filter(text.isNotNull()).select(F.lit(source).alias("source"), "name", ring.alias("ring"))
+    tuples = F.filter(F.split(F.trim(text), r"\s+"), lambda q: q != "")
+    return F.transform(tuples, lambda q: F.struct(part(q, 0).alias("x"), part(q, 1).alias("y")))
+
+
+def _kml_region(placemark: Column) -> Column:
+    """All polygons of a placemark, of nested collections too."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    many = placemark["MultiGeometry"]
+    inner = F.flatten(F.transform(F.coalesce(many["MultiGeometry"], none(f"struct<Polygon: array<{_KML_POLYGON}>>")), lambda m: F.coalesce(m["Polygon"], none(_KML_POLYGON))))
+    every = F.concat(F.coalesce(placemark["Polygon"], none(_KML_POLYGON)), F.coalesce(many["Polygon"], none(_KML_POLYGON)), inner)
+    rings = lambda boundary: F.transform(boundary["LinearRing"], lambda r: _kml_ring(r["coordinates"]))
+    holes = lambda p: F.flatten(F.transform(F.coalesce(p["innerBoundaryIs"], none(f"struct<{_LINEAR}>")), rings))
+    return F.transform(every, lambda p: F.concat(rings(p["outerBoundaryIs"]), holes(p)))
+
+
+def read_layers(spark: SparkSession, path: str, source: str, levels: int = 6, repair: bool = True) -> DataFrame:
+    """(source, file, layer, name, region) of the placemarks with polygons of KML files.
+
+    ``layer`` is the path of folder names around a placemark, joined by ``/``. All layers come from one
+    scan; a file is one row of it. Folders nested deeper than ``levels`` are an error, not left out.
+    """
+    container = _kml_folder(levels)
+    schema = container.replace("struct<", f"struct<Document: array<{container}>, ", 1)
+    rows = spark.read.format("xml").option("rowTag", "kml").schema(T.StructType.fromDDL(schema)).load(path)
+    row = "struct<layer: string, placemark: " + _KML_PLACEMARK + ">"
+
+    def placemarks(folder: Column, layer: Column, left: int) -> Column:
+        own = F.transform(folder["Placemark"], lambda p: F.struct(layer.alias("layer"), p.alias("placemark")))
+        if left < 0:
+            return F.coalesce(own, F.array().cast(f"array<{row}>"))
+        if not left:
+            below = F.transform(folder["Folder"], lambda f: F.raise_error(F.lit(f"folders are nested deeper than {levels} levels")).cast(f"array<{row}>"))
+        else:
+            name = lambda f: F.concat_ws("/", F.nullif(layer, F.lit("")), F.coalesce(f["name"], F.lit("")))
+            below = F.transform(folder["Folder"], lambda f: placemarks(f, name(f), left - 1))
+        empty = F.array().cast(f"array<{row}>")
+        return F.concat(F.coalesce(own, empty), F.coalesce(F.flatten(below), empty))
+
+    top = F.struct(F.lit(None).cast("string").alias("name"), "Placemark", "Folder")
+    whole = F.concat(F.transform(F.coalesce("Document", F.array().cast(f"array<{container}>")), lambda d: placemarks(d, F.lit(""), levels)), F.array(placemarks(top, F.lit(""), levels)))
+    found = rows.select(F.col("_metadata.file_name").alias("file"), F.explode(F.flatten(whole)).alias("p"))
+    read = found.select(F.lit(source).alias("source"), "file", "p.layer", F.col("p.placemark.name").alias("name"), _kml_region(F.col("p.placemark")).alias("region")).filter(F.size("region") > 0)
+    return read.withColumn("region", repaired("region")) if repair else read
+
+
+def read_placemarks(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """(source, name, ring): the outer rings of the polygons of KML files, as they are."""
+    return read_layers(spark, path, source, repair=False).select("source", "name", F.explode("region").alias("p")).select("source", "name", F.get("p", F.lit(0)).alias("ring"))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

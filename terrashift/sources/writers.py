@@ -34,6 +34,16 @@ def copy_selected(series: DataFrame, winners: DataFrame, path: str, key: str) ->
     return winners.select(key).distinct().join(have, key, "left").select(key, F.when(F.col("_have"), "copied").otherwise("skipped").alias("status"))
 
 
+def write_geojson_lines(df: DataFrame, path: str, region: str = "region") -> None:
+    """A feature on each line: ``region`` as its multi-polygon, all other columns as its properties; rings are closed."""
+    closed = lambda ring: F.concat(ring, F.slice(ring, 1, 1))
+    corners = F.transform(region, lambda p: F.transform(p, lambda ring: F.transform(closed(ring), lambda c: F.array(c["x"], c["y"]))))
+    geometry = F.when(F.col(region).isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), corners.alias("coordinates")))
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != region])
+    feature = F.struct(F.lit("Feature").alias("type"), others.alias("properties"), geometry.alias("geometry"))
+    df.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
 def as_document(df: DataFrame, key: str) -> DataFrame:
     """(key, document): all other columns as one JSON text; read it back with ``from_document``."""
     return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("document"))
