@@ -8,25 +8,31 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrashift.functions.coerce import filled
-from terrashift.functions.geo import EARTH_RADIUS_M, cell_index, chord_to_metres
-
+from terrashift.functions.geo import cell_index, chord_to_metres
+from terrashift.operators.picks import number_rows, shared_checkpoints
 
 #: A key with more rows than this, and than 1 / MAX_HOT of all rows, is dealt to several tasks.
 HOT_ROWS, MAX_HOT = 1_000, 10_000
 
 
-def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str) -> DataFrame:
+def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str, written: bool = False) -> DataFrame:
     """Inner equi-join of ``many`` rows with the one row of ``few`` for their key, hot keys dealt to several tasks.
 
     ``rows``: a column of ``few``, how many rows of ``many`` have its key; ``row``: a column that tells
     those apart. Fewer than ``MAX_HOT`` keys can be hot, so their list is broadcast; their rows in
-    ``few`` are repeated once for each part.
+    ``few`` are repeated once for each part. ``few`` is read three times, so it is written first, unless
+    it is ``written`` already.
     """
+    if not written:
+        shared_checkpoints(few.sparkSession)
+        few = few.checkpoint()
     total = few.agg(F.sum(rows)).first()[0] or 0
     most = max(HOT_ROWS, total // MAX_HOT)
     parts = lambda: F.ceil(F.col(rows) / most).cast("int")
@@ -36,48 +42,108 @@ def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str) -
     return left.join(right, [key, "_part"]).drop("_part")
 
 
-#: By how much the cells of a level are smaller than those above.
-_FINER = 4
+#: Items of a leaf, children of a node, and items of a node that one task splits further.
+LEAF, FAN_BITS, NODE_ROWS = 16, 4, 50_000
+
+
+def _depth(n: int, leaf: int) -> int:
+    """How often ``n`` items are split until no node has more than ``leaf``."""
+    depth = 0
+    while n > leaf:
+        n, depth = -(-n >> FAN_BITS), depth + 1
+    return depth
+
+
+def _split_further(table: pa.Table, axes: int, depth: int) -> pa.Table:
+    """``_node`` of the items of one node, ``depth`` levels deeper: each node is split along its widest axis into equal parts."""
+    n = table.num_rows
+    middle = np.stack([table.column(f"_m{i}").to_numpy() for i in range(axes)])
+    node = table.column("_node").to_numpy().astype(np.int64)
+    for _ in range(depth):
+        order = np.argsort(node, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(node[order]) > 0)))
+        size = np.diff(np.append(first, n))
+        spread = np.stack([np.maximum.reduceat(m[order], first) - np.minimum.reduceat(m[order], first) for m in middle])
+        axis = np.empty(n, np.int64)
+        axis[order] = np.repeat(spread.argmax(axis=0), size)
+        order = np.lexsort((*middle[::-1], middle[axis, np.arange(n)], node))
+        rank = np.arange(n) - np.repeat(first, size)
+        part = np.repeat(-(-size >> FAN_BITS), size)
+        node[order] = (node[order] << FAN_BITS) + rank // part
+    return table.set_column(table.column_names.index("_node"), "_node", pa.array(node))
 
 
-def nearest_leaves(
-    targets: DataFrame, items: DataFrame, ident: list[str], at: list[str], low: list[str], high: list[str], top: float, cell: float, by: list[str] | None = None, other: bool = False
-) -> DataFrame:
+def spatial_tree(items: DataFrame, low: list[str], high: list[str], by: list[str]) -> tuple[DataFrame, int]:
+    """``items`` with ``_node``, the number of their leaf, and the depth of the tree; 16 digits of 4 bits at most.
+
+    A node is split along its widest axis into 16 parts of equal numbers of items, until a leaf holds
+    ``LEAF`` at most, wherever they lie and however close. Nodes of many items are split by ranks over
+    ranges of all items, the others in one task each.
+    """
+    shared_checkpoints(items.sparkSession)
+    names = [f"_m{i}" for i in range(len(low))]
+    held = items.withColumns({m: ((F.col(a) + F.col(b)) / 2).cast("double") for m, a, b in zip(names, low, high, strict=True)}).withColumn("_node", F.lit(0).cast("long"))
+    key, depth = F.xxhash64(F.lit(1), *by, "_node"), 0
+    limits = [pick(m).alias(f"_{name}{m}") for m in names for name, pick in (("a", F.min), ("z", F.max))]
+    while True:
+        largest = held.groupBy(*by, "_node").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if largest <= NODE_ROWS:
+            break
+        nodes = held.withColumn("_key", key).groupBy("_key").agg(F.count("*").alias("_n"), *limits)
+        widest = F.greatest(*[F.struct((F.col(f"_z{m}") - F.col(f"_a{m}")).alias("s"), F.lit(-i).alias("i")) for i, m in enumerate(names)])["i"]
+        met = dealt_join(held.withColumn("_key", key), nodes.withColumn("_axis", -widest).select("_key", "_n", "_axis"), "_key", "_n", "_m0")
+        along = F.get(F.array(*names), F.col("_axis"))
+        ranked = number_rows(met.withColumn("_along", along), [F.col("_key"), F.col("_along"), *map(F.col, names)], "_rank")
+        first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
+        placed = dealt_join(ranked, first, "_key", "_rows", "_rank")
+        part = F.floor((F.col("_rank") - F.col("_first")) / F.ceil(F.col("_n") / (1 << FAN_BITS))).cast("long")
+        held = placed.withColumn("_node", F.shiftleft("_node", FAN_BITS) + part).select(*held.columns).checkpoint()
+        depth += 1
+    further = _depth(largest, LEAF)
+    if further:
+        axes = len(names)
+        held = held.groupBy(*by, "_node").applyInArrow(lambda t: _split_further(t, axes, further), held.schema)
+    return held.drop(*names).checkpoint(), depth + further
+
+
+def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: list[str], high: list[str], by: list[str] | None = None, other: bool = False) -> DataFrame:
     """Targets and items (columns ``low``, ``high``: the corners of a box in the space of ``at``) that may be nearest to each other.
 
-    Cells of side ``top`` down to ``cell`` form a tree, each with the box of what its items cover. From
-    the top each target keeps the cells whose box starts no farther away than where the nearest box
-    ends. So a target meets a few cells of each level, wherever the items are, and at last the items
-    of a few of the smallest cells: an equi-join on the cell for each level, and no round needs the
-    result of another. With ``by`` only items of the same group meet; with ``other`` a target may be
+    Items are held in a tree, see :func:`spatial_tree`, each node with the box of what it covers. From
+    the top each target keeps the nodes whose box starts no farther away than where the nearest box
+    ends. So a target meets a few nodes of each level, a row each with all children in an array, and at
+    last the items of a few leaves, wherever the items are. No two items may have the same box: bring
+    those together first. With ``by`` only items of the same group meet; with ``other`` a target may be
     among the items itself, and the nearest other item is kept too. Ties are kept.
     """
     by = by or []
-    sizes = [top]
-    while sizes[-1] > cell:
-        sizes.append(max(sizes[-1] / _FINER, cell))
-    middle = [(F.col(a) + F.col(b)) / 2 for a, b in zip(low, high, strict=True)]
-    # a key is a hash: cells that share one are one cell with a larger box
-    keyed = items
-    for k, size in enumerate(sizes):
-        keyed = keyed.withColumn(f"_k{k}", F.xxhash64(F.lit(k), *by, *[F.floor(m / size).cast("long") for m in middle]))
-    keyed = keyed.withColumn("_k", F.xxhash64(*by) if by else F.lit(0).cast("long"))
-    box = [F.min(c).alias(f"_l{i}") for i, c in enumerate(low)] + [F.max(c).alias(f"_h{i}") for i, c in enumerate(high)]
-    held = targets.withColumn("_at", F.xxhash64(*by) if by else F.lit(0).cast("long"))
-    one = Window.partitionBy(*ident)
-    gap = lambda i: F.greatest(F.col(f"_l{i}") - F.col(at[i]), F.lit(0.0), F.col(at[i]) - F.col(f"_h{i}"))
-    reach = lambda i: F.greatest(F.abs(F.col(at[i]) - F.col(f"_l{i}")), F.abs(F.col(at[i]) - F.col(f"_h{i}")))
-    length = lambda f: F.sqrt(reduce(lambda a, b: a + b, [f(i) * f(i) for i in range(len(at))]))
-    above = "_k"
-    for k in range(len(sizes)):
-        cells = keyed.groupBy(F.col(above).alias("_at"), F.col(f"_k{k}").alias("_next")).agg(F.count("*").alias("_n"), *box)
-        met = held.join(cells, "_at").withColumns({"_near": length(gap), "_far": length(reach)})
-        # a cell that holds the target alone says nothing about others
-        sure = F.when((F.col("_n") > 1) | (F.col("_near") > 0), F.col("_far")).otherwise(F.lit(float("inf"))) if other else F.col("_far")
-        kept = met.withColumn("_bound", F.min(sure).over(one)).filter(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-12)
-        held = kept.select(*targets.columns, F.col("_next").alias("_at"))
-        above = f"_k{k}"
-    return held.join(keyed.select(*[c for c in items.columns if c not in by], F.col(above).alias("_at")), "_at").drop("_at")
+    tree, depth = spatial_tree(items, low, high, by)
+    box = [F.min(c).alias(f"l{i}") for i, c in enumerate(low)] + [F.max(c).alias(f"h{i}") for i, c in enumerate(high)]
+    boxed = tree.groupBy(*by, "_node").agg(F.count("*").alias("n"), *box)
+    levels = []  # from the leaves up: the children of each node
+    for _ in range(depth):
+        sides = [f"{side}{i}" for side in "lh" for i in range(len(at))]
+        child = F.struct("_node", "n", *sides)
+        levels.append(boxed.groupBy(*by, F.shiftright("_node", FAN_BITS).alias("_at")).agg(F.collect_list(child).alias("_children")))
+        boxed = boxed.groupBy(*by, F.shiftright("_node", FAN_BITS).alias("_node")).agg(F.sum("n").alias("n"), *[(F.min if s[0] == "l" else F.max)(s).alias(s) for s in sides])
+    length = lambda parts: F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
+
+    def seen(c: Column) -> Column:
+        gaps = [F.greatest(c[f"l{i}"] - F.col(a), F.lit(0.0), F.col(a) - c[f"h{i}"]) for i, a in enumerate(at)]
+        reach = [F.greatest(F.abs(F.col(a) - c[f"l{i}"]), F.abs(F.col(a) - c[f"h{i}"])) for i, a in enumerate(at)]
+        near, far = length(gaps), length(reach)
+        # a node that holds the target alone says nothing about others
+        sure = F.when((c["n"] > 1) | (near > 0), far).otherwise(F.lit(float("inf"))) if other else far
+        return F.struct(c["_node"].alias("node"), near.alias("near"), sure.alias("sure"))
+
+    least = lambda bound: bound * (1 + 1e-9) + 1e-12
+    held = targets.withColumn("_at", F.lit(0).cast("long"))
+    for children in reversed(levels):
+        met = held.join(children, [*by, "_at"]).withColumn("_seen", F.transform("_children", seen)).withColumn("_bound", F.array_min(F.transform("_seen", lambda c: c["sure"])))
+        own = met.select(*targets.columns, "_bound", F.filter("_seen", lambda c: c["near"] <= least(F.col("_bound"))).alias("_seen"))
+        one = own.groupBy(*targets.columns).agg(F.min("_bound").alias("_bound"), F.flatten(F.collect_list("_seen")).alias("_seen"))
+        held = one.select(*targets.columns, F.explode(F.filter("_seen", lambda c: c["near"] <= least(F.col("_bound")))).alias("_c")).select(*targets.columns, F.col("_c.node").alias("_at"))
+    return held.join(tree.withColumnRenamed("_node", "_at"), [*by, "_at"]).drop("_at")
 
 
 def _on_sphere(df: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -85,18 +151,18 @@ def _on_sphere(df: DataFrame, lon: str, lat: str) -> DataFrame:
     return df.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)})
 
 
-def nearest_join(
-    targets: DataFrame, support: DataFrame, target_id: str, support_id: str, lon: str = "lon", lat: str = "lat", cell_m: float = 5_000.0
-) -> DataFrame:
+def nearest_join(targets: DataFrame, support: DataFrame, target_id: str, support_id: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """(target_id, support_id, distance_m): the nearest support of each target, the smallest id at equal distance.
 
-    Points are placed on the unit sphere and found by :func:`nearest_leaves`, far or near.
+    Points are placed on the unit sphere and found by :func:`nearest_leaves`, far or near; of supports
+    in the same place only the smallest id is held.
     """
     known = lambda df: df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
     t = _on_sphere(known(targets).select(target_id, lon, lat).distinct(), lon, lat).select(target_id, "_x", "_y", "_z")
-    s = _on_sphere(known(support), lon, lat).select(F.col(support_id), *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
     place = ["_sx", "_sy", "_sz"]
-    pairs = nearest_leaves(t, s, [target_id], ["_x", "_y", "_z"], place, place, 1.0, cell_m / EARTH_RADIUS_M)
+    s = _on_sphere(known(support), lon, lat).select(F.col(support_id), *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
+    s = s.groupBy(*place).agg(F.min(support_id).alias(support_id))
+    pairs = nearest_leaves(t, s, ["_x", "_y", "_z"], place, place)
     gap = lambda c: (F.col(f"_{c}") - F.col(f"_s{c}")) * (F.col(f"_{c}") - F.col(f"_s{c}"))
     best = pairs.groupBy(target_id).agg(F.min(F.struct(F.sqrt(gap("x") + gap("y") + gap("z")).alias("_d"), support_id)).alias("_b"))
     return best.select(target_id, F.col(f"_b.{support_id}").alias(support_id), chord_to_metres(F.col("_b._d")).alias("distance_m"))

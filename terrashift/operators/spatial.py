@@ -409,17 +409,18 @@ def select_pixels(pixels: DataFrame, by: list[str], inner_m: float, outer_m: flo
     return chosen.filter(F.when(F.col("label") == "q95", F.col("above95")).otherwise(F.col("above75"))).drop("_q", "above75", "above95")
 
 
-def mean_nearest_distance(cluster: DataFrame, by: list[str], ident: str, x: str = "x", y: str = "y", cell: float = 1.0, extent: float = 1024.0) -> DataFrame:
+def mean_nearest_distance(cluster: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """(by, mean_nn, n) over the pixels of each cluster, on a plane: the mean distance to the nearest other pixel.
 
-    Pixels meet by a tree of cells of side ``extent`` down to ``cell``, lone ones too.
+    Places that several pixels share are 0 for each of them; the others are found by
+    :func:`terrashift.operators.joins.nearest_leaves`. A cluster of one pixel gives no row.
     """
-    spots = cluster.select(*by, ident, x, y)
-    items = spots.select(*by, F.col(ident).alias("_o"), F.col(x).alias("_ox"), F.col(y).alias("_oy"))
-    met = nearest_leaves(spots, items, [*by, ident], [x, y], ["_ox", "_oy"], ["_ox", "_oy"], max(extent, cell), cell, by, other=True)
-    gap = F.hypot(F.col(x) - F.col("_ox"), F.col(y) - F.col("_oy"))
-    near = met.filter(F.col(ident) != F.col("_o")).groupBy(*by, ident).agg(F.min(gap).alias("d"))
-    return near.groupBy(*by).agg(F.avg("d").alias("mean_nn"), F.count("*").alias("n"))
+    spots = cluster.dropna(subset=[x, y]).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_times"))
+    items = spots.select(*by, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+    met = nearest_leaves(spots, items, ["_x", "_y"], ["_ox", "_oy"], ["_ox", "_oy"], by, other=True)
+    gap = F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy"))
+    near = met.groupBy(*by, "_x", "_y", "_times").agg(F.min(F.when(gap > 0, gap)).alias("d")).withColumn("d", F.when(F.col("_times") > 1, 0.0).otherwise(F.col("d")))
+    return near.filter("d IS NOT NULL").groupBy(*by).agg((F.sum(F.col("d") * F.col("_times")) / F.sum("_times")).alias("mean_nn"), F.sum("_times").alias("n"))
 
 
 def rejection(

@@ -64,7 +64,7 @@ def fallback(spark, d):
 )
 def nearest(spark, d):
     s = sites(spark, d).withColumnRenamed("id", "sid")
-    near = joins.nearest_join(sites(spark, d, "customer", "c_custkey"), s, "id", "sid", cell_m=10_000.0)
+    near = joins.nearest_join(sites(spark, d, "customer", "c_custkey"), s, "id", "sid")
     return near.select("id", r("distance_m", 3).alias("metres"))
 
 
@@ -438,16 +438,11 @@ _COMPACT_SQL = f"""WITH {RASTER_SQL}, c AS (SELECT s % 5 AS id, x * 1000 + y AS
 
 
 @query("s138_compactness", _COMPACT_SQL)
-@query("s138_compactness_all", _COMPACT_SQL)
 def compactness(spark, d):
-    return _compactness(raster(spark, d))
-
-
-def _compactness(g):
     from terrashift.operators.spatial import mean_nearest_distance
 
-    c = g.select((F.col("s") % 5).alias("id"), (F.col("x") * 1000 + F.col("y")).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return mean_nearest_distance(c, ["id"], "p").select("id", r("mean_nn").alias("mean_nn"), "n")
+    c = raster(spark, d).select((F.col("s") % 5).alias("id"), (F.col("x") * 1000 + F.col("y")).alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return mean_nearest_distance(c, ["id"]).select("id", r("mean_nn").alias("mean_nn"), "n")
 
 
 _PIX_SQL = f"""{RASTER_SQL}, px AS (SELECT s % 4 AS id, x * 1000 + y AS p, sqrt(power(x - 25, 2) + power(y - (SELECT max(y) FROM ras) / 2, 2)) AS distance,
@@ -535,7 +530,7 @@ def nearest_line(spark, d):
     lines = table(spark, d, "supplier").select(k.alias("line"), at(k * 37 % 200).alias("x1"), at(k * 53 % 330).alias("y1"), at(k * 37 % 200 + 4).alias("x2"), at(k * 53 % 330 + k % 7).alias("y2"))
     c = F.col("c_custkey")
     points = table(spark, d, "customer").select(c.alias("id"), (at(c * 17 % 210) + 0.25).alias("x"), (at(c * 29 % 340) + 0.5).alias("y"))
-    return nearest_segment(points, lines, "id", "line", 5.0, 400.0).select("id", r("distance").alias("distance"))
+    return nearest_segment(points, lines, "id", "line").select("id", r("distance").alias("distance"))
 
 
 @query("s121_geodesic", None)

@@ -167,7 +167,6 @@ _PIXEL_SQL = f"WITH {RASTER_SQL} SELECT s % 7 AS cluster, round(avg(nullif(v, 10
 
 
 @query("a078_pixel_means", _PIXEL_SQL)
-@query("a078_pixel_means_all", _PIXEL_SQL)
 def pixel_means(spark, d):
     return _pixel_means(raster(spark, d))
 
@@ -366,13 +365,11 @@ _LAG_SQL = f"WITH {SERIES_SQL}, {_XC} SELECT id, lag FROM (SELECT id, lag, row_n
 
 
 @query("c155_correlation", _CORRELATION_SQL)
-@query("c155_correlation_all", _CORRELATION_SQL)
 def correlation(spark, d):
     return _all_correlations(spark, d).select("id", F.col("lag").cast("long").alias("lag"), r("correlation", 5).alias("correlation"))
 
 
 @query("c157_best_lag", _LAG_SQL)
-@query("c157_best_lag_all", _LAG_SQL)
 def best_lag(spark, d):
     return se.best_lag(_all_correlations(spark, d), ["id"]).select("id", F.col("lag").cast("long").alias("lag"))
 
@@ -459,7 +456,6 @@ _GRID_FIT_SQL = f"""WITH {SERIES_SQL}, {_CURVE}, b AS (SELECT g, t AS t1 FROM cv
 
 
 @query("c159_grid_fit", _GRID_FIT_SQL)
-@query("c159_grid_fit_all", _GRID_FIT_SQL)
 def grid_fit(spark, d):
     """40 end levels and 100 decay rates."""
     got = fits.decay_grid_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.decay_rates), _steps(*PARAMS.end_levels))
@@ -473,7 +469,6 @@ _LOG_FIT_SQL = f"""WITH {SERIES_SQL}, {_CURVE}, p AS (SELECT g, t - 1.52 AS s, y
 
 
 @query("c160_log_fit", _LOG_FIT_SQL)
-@query("c160_log_fit_all", _LOG_FIT_SQL)
 def log_fit(spark, d):
     """61 end levels."""
     got = fits.decay_loglinear_fit(_curves(spark, d), ["g"], "t", "y", 1.52, _steps(*PARAMS.log_end_levels), before=0.8)
@@ -530,7 +525,6 @@ _KRUSKAL_SQL = f"""WITH {_TEST}, k AS (SELECT v, g, x, rank() OVER (PARTITION BY
 
 
 @query("t149_kruskal", _KRUSKAL_SQL)
-@query("t149_kruskal_all", _KRUSKAL_SQL)
 def kruskal(spark, d):
     return stats.kruskal_h(_tested(spark, d), ["v"], "g", "x").select("v", r("h").alias("h"), "k_groups", "n")
 
@@ -543,7 +537,6 @@ _U_SQL = f"""WITH {_TEST}, c AS (SELECT v, g, x, count(*) AS n FROM o GROUP BY A
 
 
 @query("t150_rank_sums", _U_SQL)
-@query("t150_rank_sums_all", _U_SQL)
 def rank_sums(spark, d):
     return stats.rank_sums(_tested(spark, d), ["v"], "g", "x").select("v", "g1", "g2", "u")
 
@@ -573,7 +566,6 @@ _ADJUSTED_SQL = f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY g
 
 
 @query("t153_adjusted", _ADJUSTED_SQL)
-@query("t153_adjusted_all", _ADJUSTED_SQL)
 def adjusted(spark, d):
     return _adjusted(table(spark, d, "orders"))
 

@@ -181,8 +181,38 @@ def test_nearest_join_over_an_ocean(spark):
     on_sphere = joins._on_sphere(targets.dropna(), "lon", "lat")
     items = joins._on_sphere(support, "lon", "lat").select("sid", *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
     place = ["_sx", "_sy", "_sz"]
-    met = joins.nearest_leaves(on_sphere, items, ["id"], ["_x", "_y", "_z"], place, place, 1.0, 0.0002).count()
-    assert met < 40 * len(t)
+    met = joins.nearest_leaves(on_sphere, items, ["_x", "_y", "_z"], place, place).count()
+    assert met < 60 * len(t)
+
+
+@pytest.mark.parametrize("node_rows", [50_000, 200])
+def test_nearest_join_of_supports_in_one_place(spark, monkeypatch, node_rows):
+    """All supports and targets within a few metres, on a line, at equal places: a target meets some tens of them."""
+    monkeypatch.setattr(joins, "NODE_ROWS", node_rows)
+    rng = np.random.default_rng(7)
+    for width, height in ((1e-5, 1e-5), (1e-5, 1e-9)):
+        spots = rng.uniform(0, 1, (2000, 2)) * [width, height] + [-123.0, 40.0]
+        s = [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(9000 + i, float(spots[i][0]), float(spots[i][1])) for i in range(500)]
+        t = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.2, 1.2, (400, 2)) * [width, height] + [-123.0, 40.0])]
+        targets, support = frame(spark, "id int, lon double, lat double", *t), frame(spark, "sid int, lon double, lat double", *s)
+        got = {r["id"]: r["distance_m"] for r in joins.nearest_join(targets, support, "id", "sid").collect()}
+        for i, lon, lat in t:
+            gap = np.radians(spots - [lon, lat]) * [math.cos(math.radians(40)), 1]
+            assert got[i] == pytest.approx(6371008.8 * np.hypot(*gap.T).min(), rel=1e-3, abs=1e-6)
+        on_sphere, held = joins._on_sphere(targets, "lon", "lat"), joins._on_sphere(support.filter("sid < 9000"), "lon", "lat")
+        items = held.select("sid", *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")]).dropDuplicates(["_sx", "_sy", "_sz"])
+        place = ["_sx", "_sy", "_sz"]
+        assert joins.nearest_leaves(on_sphere, items, ["_x", "_y", "_z"], place, place).count() < 100 * len(t)
+
+
+def test_trees_hold_every_item_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "NODE_ROWS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (3000, 2)) ** 5)]
+    tree, depth = joins.spatial_tree(frame(spark, "g int, i int, x double, y double", *rows), ["x", "y"], ["x", "y"], ["g"])
+    got = tree.groupBy("g", "_node").agg(F.count("*").alias("n"), F.collect_list("i").alias("i")).collect()
+    assert depth == 2 + joins._depth(6, joins.LEAF) and max(r["n"] for r in got) <= joins.LEAF
+    assert sorted(i for r in got for i in r["i"]) == list(range(3000))
 
 
 def test_asof_takes_equal_times_and_default(spark):
@@ -332,7 +362,7 @@ def test_pixels_with_nulls_are_in_their_polygon(spark):
 def test_nearest_other_pixel_near_and_lone(spark):
     rng = np.random.default_rng(9)
     rows = [(i % 3, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 900, (90, 2)))] + [(0, 100 + i, 5.0 + i % 4, 5.0 + i // 4) for i in range(16)] + [(1, 200, 3.0, 3.0), (1, 201, 3.0, 3.0), (7, 300, 1.0, 1.0)]
-    got = {r["c"]: (r["mean_nn"], r["n"]) for r in spatial.mean_nearest_distance(frame(spark, "c int, i int, x double, y double", *rows), ["c"], "i").collect()}
+    got = {r["c"]: (r["mean_nn"], r["n"]) for r in spatial.mean_nearest_distance(frame(spark, "c int, i int, x double, y double", *rows), ["c"]).collect()}
     for c in range(3):
         p = np.array([r[2:] for r in rows if r[0] == c])
         d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.diag([np.inf] * len(p))
@@ -451,7 +481,7 @@ def test_nearest_segment_of_far_points(spark):
 
     p = frame(spark, "id int, x double, y double", (1, 0.0, 3.0), (2, 900.0, 900.0), (3, 2.0, -1.0))
     s = frame(spark, "line int, x1 double, y1 double, x2 double, y2 double", (7, 0.0, 0.0, 4.0, 0.0), (8, 0.0, 50.0, 0.0, 50.0))
-    got = {r["id"]: (r["line"], r["distance"]) for r in nearest_segment(p, s, "id", "line", 1.0, 2000.0).collect()}
+    got = {r["id"]: (r["line"], r["distance"]) for r in nearest_segment(p, s, "id", "line").collect()}
     assert got[1] == (7, 3.0) and got[3] == (7, 1.0) and got[2][0] == 8 and got[2][1] == pytest.approx(math.hypot(900, 850))
 
 

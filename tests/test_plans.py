@@ -84,9 +84,9 @@ def test_fits_search_the_grids_of_the_survey(spark, monkeypatch):
     fixture = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(t, y, strict=True)], "g string, t double, y double")
     monkeypatch.setattr(timeseries, "_curves", lambda spark, d: fixture)
     grid, logs = brute_fits(t, y, 1.52)
-    got = QUERIES["c159_grid_fit_all"](spark, DATA).first()
+    got = QUERIES["c159_grid_fit"](spark, DATA).first()
     assert [got["rmse"], got["t1"], got["c"], got["beta"]] == pytest.approx(grid, abs=2e-6)
-    got = QUERIES["c160_log_fit_all"](spark, DATA).first()
+    got = QUERIES["c160_log_fit"](spark, DATA).first()
     assert [got["rmse"], got["c"], got["beta"]] == pytest.approx(logs, abs=2e-6)
 
 
