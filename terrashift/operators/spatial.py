@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from terrashift.functions.geo import distance_m, point_in_polygon
+from terrashift.functions.geo import distance_m
 from terrashift.operators.components import connected_components
+from terrashift.operators.cover import containment_join
 from terrashift.operators.joins import nearest_leaves
 from terrashift.operators.picks import shared_checkpoints
 
@@ -32,25 +33,14 @@ def with_bbox(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
-
-
-def containment_join(points: DataFrame, polygons: DataFrame, cell: float, x: str = "lon", y: str = "lat", ring: str = "ring") -> DataFrame:
-    """Points with each polygon that contains them: an equi-join on grid cells, then the even-odd rule."""
-    placed = points.withColumns({"_cx": F.floor(F.col(x) / cell).cast("long"), "_cy": F.floor(F.col(y) / cell).cast("long")})
-    spread = with_bbox(polygons, ring).select("*", _cells(F.col("x0"), F.col("x1"), cell).alias("_cx")).select("*", _cells(F.col("y0"), F.col("y1"), cell).alias("_cy"))
-    return placed.join(spread.drop("x0", "x1", "y0", "y1"), ["_cx", "_cy"]).filter(point_in_polygon(F.col(x), F.col(y), F.col(ring))).drop("_cx", "_cy")
-
-
-def polygon_mask(grid: DataFrame, polygons: DataFrame, cell: float, x: str = "lon", y: str = "lat") -> DataFrame:
+def polygon_mask(grid: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """``grid`` with label 1 for pixels in any polygon, else 0.
 
     Only positions are joined, so pixels keep whatever nulls they have and repeated pixels stay; one
     without a position lies in no polygon.
     """
     spots = grid.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
-    inside = containment_join(spots, polygons.select("ring"), cell, "_x", "_y").select("_x", "_y").distinct()
+    inside = containment_join(spots, polygons.select("ring"), "_x", "_y").select("_x", "_y").distinct()
     same = (F.col(f"g.`{x}`") == F.col("i._x")) & (F.col(f"g.`{y}`") == F.col("i._y"))
     return grid.drop("label").alias("g").join(inside.alias("i"), same, "left").select("g.*", F.col("i._x").isNotNull().cast("int").alias("label"))
 

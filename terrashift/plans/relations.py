@@ -331,10 +331,10 @@ def _boxes(spark, d):
     SELECT sid, string_agg(id::VARCHAR, ';' ORDER BY id) AS ids FROM p JOIN b ON lon > x AND lon < x + s AND lat > y AND lat < y + s GROUP BY sid""",
 )
 def containment(spark, d):
-    from terrashift.operators.spatial import containment_join
+    from terrashift.operators.cover import containment_join
 
     p = sites(spark, d).select(F.col("id").alias("sid"), (F.col("lon") + 0.0049).alias("lon"), (F.col("lat") + 0.0047).alias("lat"))
-    got = containment_join(p, _boxes(spark, d), 0.05)
+    got = containment_join(p, _boxes(spark, d))
     return got.groupBy("sid").agg(F.array_join(F.transform(F.sort_array(F.collect_set("id")), lambda i: i.cast("string")), ";").alias("ids"))
 
 
@@ -408,6 +408,26 @@ def metrics(spark, d):
     return _boxes(spark, d).select("id", polygon_metrics("ring").alias("m")).select("id", "m.*")
 
 
+# Boxes with a hole: a position lies in one if it lies in the box and not in its hole.
+@query(
+    "s051_regions",
+    f"""WITH {_BOXES_SQL}, p AS (SELECT c_custkey AS pid, -124.49963 + ((c_custkey * 71) % 2111) / 1000.0::DOUBLE AS lon, 39.00041 + ((c_custkey * 97) % 3407) / 1000.0::DOUBLE AS lat FROM customer)
+    SELECT pid, count(*) AS n, min(id) AS first FROM p JOIN b ON lon > x AND lon < x + s AND lat > y AND lat < y + s
+      AND NOT (lon > x + s / 4 AND lon < x + 3 * s / 4 AND lat > y + s / 4 AND lat < y + 3 * s / 4) GROUP BY pid""",
+)
+def contained_in_regions(spark, d):
+    from terrashift.operators.cover import containment_join
+
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("pid"), (F.lit(-124.49963) + ((k * 71) % 2111) / F.lit(1000)).alias("lon"), (F.lit(39.00041) + ((k * 97) % 3407) / F.lit(1000)).alias("lat"))
+    at = lambda p, f, g: F.struct((p["x"] + f).alias("x"), (p["y"] + g).alias("y"))
+    size = F.get("ring", F.lit(1))["x"] - F.get("ring", F.lit(0))["x"]
+    low = F.get("ring", F.lit(0))
+    hole = F.array(*[at(low, size * f, size * g) for f, g in ((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75))])
+    regions = _boxes(spark, d).select("id", F.array(F.array("ring", hole)).alias("region"))
+    return containment_join(points, regions, ring="region").groupBy("pid").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 @query(
     "s168_corners",
     f"WITH {RASTER_SQL} SELECT x // 10 AS box, min(x) AS tl_lon, max(y) AS tl_lat, max(x) AS tr_lon, max(y) AS tr_lat, min(x) AS bl_lon, min(y) AS bl_lat, max(x) AS br_lon, min(y) AS br_lat FROM ras GROUP BY x // 10",
@@ -429,7 +449,7 @@ def label_mask(spark, d):
     ring = [{"x": x, "y": y} for x, y in ((10.5, 3.5), (20.5, 3.5), (20.5, 9.5), (10.5, 9.5))]
     polygons = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>")
     # a quarter of the pixels have no velocity
-    return polygon_mask(raster(spark, d).select("x", "y", F.when(F.col("s") % 4 > 0, F.col("v")).alias("v")), polygons, 5.0, "x", "y")
+    return polygon_mask(raster(spark, d).select("x", "y", F.when(F.col("s") % 4 > 0, F.col("v")).alias("v")), polygons, "x", "y")
 
 
 _COMPACT_SQL = f"""WITH {RASTER_SQL}, c AS (SELECT s % 5 AS id, x * 1000 + y AS p, x, y FROM ras),

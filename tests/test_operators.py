@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import aggregates, fits, groups, joins, picks, series, spatial, stats
+from terrashift.operators import aggregates, cover, fits, groups, joins, picks, series, spatial, stats
 
 
 def frame(spark, schema, *rows):
@@ -355,8 +355,37 @@ def test_pixels_with_nulls_are_in_their_polygon(spark):
     ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]
     polygons = frame(spark, "ring array<struct<x:double,y:double>>", (ring,), (ring,))
     grid = frame(spark, "lon double, lat double, vel double, _in string", (0.6, 0.6, None, "mine"), (0.6, 0.6, None, "mine"), (0.5, 0.2, 1.0, None), (1.5, 0.5, None, None), (None, 0.5, 2.0, None))
-    got = sorted(((r["lon"], r["lat"]), r["vel"], r["label"]) for r in spatial.polygon_mask(grid, polygons, 0.7).collect() if r["lon"] is not None)
-    assert [g[2] for g in got] == [1, 1, 1, 0] and spatial.polygon_mask(grid, polygons, 0.7).filter("lon IS NULL").first()["label"] == 0
+    got = sorted(((r["lon"], r["lat"]), r["vel"], r["label"]) for r in spatial.polygon_mask(grid, polygons).collect() if r["lon"] is not None)
+    assert [g[2] for g in got] == [1, 1, 1, 0] and spatial.polygon_mask(grid, polygons).filter("lon IS NULL").first()["label"] == 0
+
+
+def test_covers_are_bounded_and_right():
+    rng = np.random.default_rng(4)
+    for size in (1e-6, 1.0, 1e6):
+        for _ in range(12):
+            turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 40)))
+            ring = rng.uniform(-3, 3, 2) * size + size * rng.uniform(0.2, 1, len(turn))[:, None] * np.stack([np.cos(turn), np.sin(turn)], axis=1)
+            squares = cover.cover([ring])
+            edges = [s for s in squares if not s[3]]
+            assert len({s[0] for s in edges}) <= 1 and len(edges) <= 4 * cover.BORDER and len(squares) <= 12 * cover.BORDER
+            spots = ring.mean(axis=0) + rng.uniform(-1.2, 1.2, (400, 2)) * size
+            held = cover._within(spots[:, 0], spots[:, 1], ring, np.roll(ring, -1, axis=0))
+            seen = {s[:3]: s[3] for s in squares}
+            for (x, y), inside in zip(spots.tolist(), held.tolist(), strict=True):
+                met = [seen[k] for n in {s[0] for s in squares} if (k := (n, math.floor(x / 2.0**n), math.floor(y / 2.0**n))) in seen]
+                assert len(met) <= 1 and (not inside or met) and (inside or met != [True])
+    assert cover.cover([np.zeros((0, 2))]) == [] and cover.cover([np.array([(0.0, 0.0), (1.0, 1.0)])]) == []
+
+
+def test_points_in_a_large_region_with_a_hole(spark):
+    box = lambda x, y, w: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+    regions = frame(spark, "id int, region array<array<array<struct<x:double,y:double>>>>", (1, [[box(0, 0, 1000), box(100, 100, 500)]]), (2, [[box(150, 150, 0.01)]]), (3, None), (4, []))
+    points = frame(spark, "p int, lon double, lat double, id string", (1, 50.0, 50.0, "a"), (2, 150.005, 150.005, "b"), (3, 601.0, 300.0, "c"), (4, None, 1.0, "d"), (5, -1.0, 5.0, "e"))
+    got = cover.containment_join(points, regions.withColumnRenamed("id", "r"), ring="region").collect()
+    assert sorted((r["p"], r["r"], r["id"]) for r in got) == [(1, 1, "a"), (2, 2, "b"), (3, 1, "c")]
+    assert cover.containment_join(points, regions.withColumnRenamed("id", "r").limit(0), ring="region").count() == 0
+    squares = regions.select("id", F.size(cover.region_cover("region")).alias("n")).collect()
+    assert all(r["n"] < 12 * cover.BORDER for r in squares)
 
 
 def test_nearest_other_pixel_near_and_lone(spark):
