@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrashift.functions.coerce import filled
 from terrashift.functions.geo import cell_index, chord_to_metres
+from terrashift.operators.blocks import BLOCK_ROWS, last_known
 from terrashift.operators.picks import number_rows, shared_checkpoints
 
 #: A key with more rows than this, and than 1 / MAX_HOT of all rows, is dealt to several tasks.
@@ -198,12 +198,15 @@ def backfill_join(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     return joined.drop(*[f"_x_{c}" for c in shared])
 
 
-def asof_join(targets: DataFrame, values: DataFrame, by: str, time: str, value: str, default: float | None = 0.0) -> DataFrame:
-    """``targets`` with the last ``value`` at or before their time, by union and one window."""
+def asof_join(targets: DataFrame, values: DataFrame, by: str, time: str, value: str, default: float | None = 0.0, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``targets`` with the last ``value`` at or before their time.
+
+    Targets and values are one table in order of time. Where a key has more than ``rows`` of them it is
+    many blocks, each of which begins with the last value of those before.
+    """
     tagged = targets.withColumns({"_v": F.lit(None).cast("double"), "_target": F.lit(1)})
     source = values.select(by, time, F.col(value).cast("double").alias("_v")).withColumn("_target", F.lit(0))
-    upto = Window.partitionBy(by).orderBy(time, "_target").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = tagged.unionByName(source, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(upto))
+    merged = last_known(tagged.unionByName(source, allowMissingColumns=True), [by], [F.col(time), F.col("_target")], F.col("_v"), "_last", rows=rows)
     last = F.coalesce("_last", F.lit(default)) if default is not None else F.col("_last")
     return merged.filter("_target = 1").withColumn(value, last).drop("_v", "_target", "_last")
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from terrashift.functions.ratio import grew_by, percent_change, safe_ratio
 from terrashift.functions.time import step_index
 from terrashift.operators.aggregates import percentiles
+from terrashift.operators.blocks import BLOCK_ROWS, between_known, in_window, total
 from terrashift.operators.joins import interval_join
 
 
@@ -29,6 +30,17 @@ def running_sum(by: list[str], t: str, value: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*by).orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def rolling(df: DataFrame, by: list[str], t: str, value: str, out: str, window: int, how: str = "mean", rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with the centred ``mean`` or ``median`` of a series of any length, as the columns above give it."""
+    of = {"mean": lambda w: F.avg(value).over(w), "median": lambda w: F.percentile(value, F.lit(0.5)).over(w)}[how]
+    return in_window(df, by, [F.col(t)], window // 2, out, of, rows)
+
+
+def running_total(df: DataFrame, by: list[str], t: str, value: str, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with the running sum of a series of any length."""
+    return total(df, by, [F.col(t)], value, out, rows)
+
+
 def normalize(df: DataFrame, by: list[str], value: str, out: str, how: str = "minmax", sign: Column | None = None) -> DataFrame:
     """Values turned by ``sign`` and brought to [0, 1], or to mean 0 and deviation 1; constants become 0."""
     v = F.col(value) * sign if sign is not None else F.col(value)
@@ -60,17 +72,9 @@ def onset_dates(df: DataFrame, by: list[str], t: str, value: str, split: Column,
     )
 
 
-def interpolate(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
+def interpolate(df: DataFrame, by: list[str], t: str, value: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """Nulls filled on the line between their neighbours, by position; at the end the last value stays."""
-    order = Window.partitionBy(*by).orderBy(t)
-    placed = df.withColumn("_i", F.row_number().over(order))
-    known = F.when(F.col(value).isNotNull(), F.struct("_i", F.col(value).alias("v")))
-    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = placed.withColumns({"_a": before, "_b": after})
-    share = F.try_divide(F.col("_i") - F.col("_a._i"), F.col("_b._i") - F.col("_a._i"))
-    line = F.coalesce(F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v")), F.col("_a.v"))
-    return both.withColumn(value, line).drop("_i", "_a", "_b")
+    return between_known(df, by, [F.col(t)], value, rows)
 
 
 def detrend(df: DataFrame, by: list[str], t: str, value: str, out: str) -> DataFrame:

@@ -186,17 +186,17 @@ def histogram(spark, d):
 
 @query("w080_rolling_mean", f"WITH {SERIES_SQL} SELECT event_id, round(avg(value) OVER (PARTITION BY id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS m FROM ev")
 def rolling_mean(spark, d):
-    return series(spark, d).select("event_id", r(se.rolling_mean(["id"], "t", "value")).alias("m"))
+    return se.rolling(series(spark, d), ["id"], "t", "value", "m", 5).select("event_id", r("m").alias("m"))
 
 
 @query("w081_rolling_median", f"WITH {SERIES_SQL} SELECT event_id, round(median(value) OVER (PARTITION BY id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS m FROM ev")
 def rolling_median(spark, d):
-    return series(spark, d).select("event_id", r(se.rolling_median(["id"], "t", "value")).alias("m"))
+    return se.rolling(series(spark, d), ["id"], "t", "value", "m", 3, "median").select("event_id", r("m").alias("m"))
 
 
 @query("w082_running_sum", f"WITH {SERIES_SQL} SELECT event_id, round(sum(value) OVER (PARTITION BY id ORDER BY t), 4) AS s FROM ev")
 def running_sum(spark, d):
-    return series(spark, d).select("event_id", r(se.running_sum(["id"], "t", "value"), 4).alias("s"))
+    return se.running_total(series(spark, d), ["id"], "t", "value", "s").select("event_id", r("s", 4).alias("s"))
 
 
 @query(

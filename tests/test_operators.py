@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import aggregates, cover, fits, groups, joins, picks, series, spatial, stats
+from terrashift.operators import aggregates, blocks, cover, fits, groups, joins, picks, series, spatial, stats
 
 
 def frame(spark, schema, *rows):
@@ -221,6 +221,49 @@ def test_asof_takes_equal_times_and_default(spark):
     assert sorted((r["id"], r["t"], r["v"]) for r in joins.asof_join(t, v, "id", "t", "v").collect()) == [(1, 0, 0.0), (1, 5, 7.0), (2, 3, 0.0)]
 
 
+@pytest.mark.parametrize("rows", [3, 40, 10_000])
+def test_long_series_in_any_number_of_blocks(spark, rows):
+    """One series and some short ones, cut into one block, a few, or hundreds: the same windows, sums and carried values."""
+    rng = np.random.default_rng(11)
+    data = [("a" if i % 5 else None if i % 2 else "b", i * 7 % 601, None if rng.random() < 0.4 else float(rng.integers(0, 50))) for i in range(600)] + [("c", 1, None), ("d", 1, 2.0)]
+    df = frame(spark, "g string, t int, v double", *data).repartition(4)
+    whole = df.groupBy().agg(F.count("*")).first()[0]
+    assert whole == len(data)
+    own = {g: sorted((t, v) for h, t, v in data if h == g) for g in {r[0] for r in data}}
+    want, nan = {}, float("nan")
+    for g, values in own.items():
+        v = [x for _, x in values]
+        known = [i for i, x in enumerate(v) if x is not None]
+        for i, (t, _) in enumerate(values):
+            near = lambda k, v=v, i=i: [x for x in v[max(0, i - k) : i + k + 1] if x is not None]
+            a, b = max((k for k in known if k <= i), default=None), min((k for k in known if k >= i), default=None)
+            line = None if a is None else v[a] if b is None or a == b else v[a] + (i - a) / (b - a) * (v[b] - v[a])
+            so_far = [x for x in v[: i + 1] if x is not None]
+            want[g, t] = (np.mean(near(2)) if near(2) else None, np.median(near(1)) if near(1) else None, sum(so_far) if so_far else None, line, None if a is None else v[a])
+    steps = [
+        series.rolling(df, ["g"], "t", "v", "x", 5, rows=rows), series.rolling(df, ["g"], "t", "v", "x", 3, "median", rows=rows), series.running_total(df, ["g"], "t", "v", "x", rows=rows),
+        series.interpolate(df.withColumn("x", F.col("v")), ["g"], "t", "x", rows=rows), blocks.last_known(df, ["g"], [F.col("t")], F.col("v"), "x", rows=rows),
+    ]
+    for k, step in enumerate(steps):
+        got = step.collect()
+        assert sorted(step.columns) == ["g", "t", "v", "x"] and len(got) == len(data)
+        assert [nan if r["x"] is None else r["x"] for r in got] == pytest.approx([nan if want[r["g"], r["t"]][k] is None else want[r["g"], r["t"]][k] for r in got], nan_ok=True), k
+    targets = frame(spark, "g string, t double, k int", *[(g, float(t), i) for i, (g, t) in enumerate([("a", x) for x in range(-5, 620, 9)] + [("b", 50), ("z", 9), ("c", 5)])])
+    met = joins.asof_join(targets, df.withColumn("t", F.col("t").cast("double")).dropna(subset=["v"]), "g", "t", "v", rows=rows).collect()
+    assert len(met) == targets.count()
+    for r in met:
+        before = [v for t, v in own.get(r["g"], []) if t <= r["t"] and v is not None]
+        assert r["v"] == (before[-1] if before else 0.0)
+
+
+def test_a_hot_series_spreads_over_many_blocks(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") * 7919 % 20_000).alias("t"))
+    sizes = [r["n"] for r in blocks.in_blocks(df, ["g"], [F.col("t")], 500).groupBy("g", "_block").agg(F.count("*").alias("n")).collect()]
+    assert sizes == [500] * 40
+    halo = blocks.with_halo(blocks.in_blocks(df, ["g"], [F.col("t")], 500), 3, 500).groupBy("_block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert halo == 506
+
+
 def test_columnwise_mixes_rows_and_row_mode_does_not(spark):
     df = frame(spark, "id int, k int, a double, b double", (1, 1, None, 2.0), (1, 2, 5.0, 3.0))
     assert picks.best_row(df, ["id"], [F.col("k")]).first().asDict() == {"id": 1, "k": 1, "a": None, "b": 2.0}
