@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,49 +18,83 @@ def decay_grid_fit(curves: DataFrame, by: list[str], t: str, y: str, event: floa
 
     y = k t + b before t1, c - (c - y(t1)) exp(-beta (t - t1)) from it on. Break times are the samples
     within ``search`` of the event, or the event if there are none; the line is fitted over ``before``
-    time units up to the break. The samples of one curve and all end levels and rates meet in one array.
+    time units up to the break. A curve is one array; see :func:`best_decay` for how it is searched.
     """
-    used = curves.filter(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(t).alias("t"), F.col(y).alias("y"))
-    near = used.filter(F.abs(F.col("t") - event) <= search).select(*by, F.col("t").alias("t1")).distinct()
-    bare = used.select(*by).distinct().join(near, by, "left_anti").withColumn("t1", F.lit(event))
-    breaks = near.unionByName(bare)
-    pairs = used.join(breaks, by)
-    since = F.col("t") - F.col("t1")
-    pre = pairs.filter((since <= 0) & (since >= -before))
-    # centred on the break, so that years near 2000 lose no digits
-    line = pre.groupBy(*by, "t1").agg(F.count("*").alias("n"), F.regr_slope("y", since).alias("k"), F.regr_intercept("y", since).alias("y1")).filter("n >= 2 AND k IS NOT NULL")
-    post = pairs.groupBy(*by, "t1").agg(F.count_if(F.col("t") >= F.col("t1")).alias("m")).filter("m >= 2")
-    # each curve is one array; the parameter grid is evaluated where its break stands, nothing is multiplied by it
-    samples = used.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("_s"))
-    breaks = line.join(post, [*by, "t1"]).select(*by, "t1", "k", "y1").join(samples, by)
-    fitted = breaks.withColumn("_f", _best_of_grid(betas, ends)(F.transform("_s", lambda p: p["t"]), F.transform("_s", lambda p: p["y"]), "t1", "k", "y1"))
-    best = fitted.groupBy(*by).agg(F.min(F.struct(F.round("_f.rmse", 12).alias("r"), "t1", "_f.c", "_f.beta", "k", "y1", "_f.rmse")).alias("f"))
-    return best.select(*by, "f.t1", "f.k", (F.col("f.y1") - F.col("f.k") * F.col("f.t1")).alias("b"), "f.c", "f.beta", "f.rmse")
-
-
-_FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("rmse", "c", "beta")])
-
-
-def _best_of_grid(betas: list[float], ends: list[float]):
-    """The end level and decay rate of the least error for each curve and break; of equal errors the smallest."""
+    used = curves.filter(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*by, F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")).alias("_s"))
+    samples = used.groupBy(*by).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     beta, c = np.sort(np.array(betas, float)), np.sort(np.array(ends, float))
 
-    @F.pandas_udf(_FIT)
-    def best(ts: pd.Series, ys: pd.Series, t1: pd.Series, k: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, y, at, slope, level in zip(ts, ys, t1, k, y1, strict=True):
-            since, y = np.asarray(t, float) - at, np.asarray(y, float)
-            pre, post = since < 0, since >= 0
-            before = float(((slope * since[pre] + level - y[pre]) ** 2).sum())
-            decay = np.exp(-beta[:, None] * since[post])
-            # c - (c - level) e - y = c (1 - e) + level e - y
-            off = c[:, None, None] * (1 - decay) + (level * decay - y[post])
-            rmse = np.sqrt((before + np.einsum("ijk,ijk->ij", off, off)) / len(y))
-            i, j = np.unravel_index(np.round(rmse, 12).argmin(), rmse.shape)
-            rows.append((rmse[i, j], c[i], beta[j]))
-        return pd.DataFrame(rows, columns=_FIT.names)
-
-    return best
+    @F.arrow_udf(_FIT)
+    def fit(arrays: pa.Array) -> pa.Array:
+        held, cuts = arrays.values, arrays.offsets.to_numpy()
+        ts, ys = held.field("t").to_numpy(), held.field("y").to_numpy()
+        rows = [best_decay(ts[i:j], ys[i:j], event, beta, c, search, before) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.array([None if r is None else dict(zip(_FIT.names, r, strict=True)) for r in rows], pa.struct([(n, pa.float64()) for n in _FIT.names]))
+
+    fitted = samples.select(*by, fit("_s").alias("f")).filter("f IS NOT NULL")
+    return fitted.select(*by, "f.t1", "f.k", (F.col("f.y1") - F.col("f.k") * F.col("f.t1")).alias("b"), "f.c", "f.beta", "f.rmse")
+
+
+_FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("t1", "k", "y1", "c", "beta", "rmse")])
+
+
+def best_decay(t: np.ndarray, y: np.ndarray, event: float, betas: np.ndarray, ends: np.ndarray, search: float, before: float) -> tuple[float, ...] | None:
+    """(t1, k, y1, c, beta, rmse) of least error, of equal ones the first; None if no break has two samples on both sides.
+
+    As exp(-beta (t - t1)) = exp(beta t1) exp(-beta t), one pass from the end gives for a rate the sums
+    behind all breaks, and with them the error is a parabola in the end level. So the work is samples
+    times rates plus combinations, and the memory some arrays of the curve. Combinations that are about
+    as good as the best are computed again sample by sample, so that no digits of the sums decide.
+    """
+    x, middle = t - event, float(y.mean())
+    z, n = y - middle, len(t)
+    near = np.unique(t[np.abs(x) <= search])
+    t1 = near if len(near) else np.array([event])
+    at = t1 - event
+    high, post = np.searchsorted(t, t1, "right"), np.searchsorted(t, t1, "left")
+    low = np.searchsorted(t, t1 - before - 1e-9 * (1 + np.abs(t1)), "left")
+    while (out := np.append(t, np.inf)[low] - t1 < -before).any():  # what lies within the time before is a matter of the difference itself
+        low = low + out
+    upto = lambda v: np.concatenate(([0.0], np.cumsum(v)))
+    sums = {name: upto(v) for name, v in (("x", x), ("xx", x * x), ("z", z), ("xz", x * z), ("zz", z * z))}
+    own = lambda name: sums[name][high] - sums[name][low]
+    count = high - low
+    ok = (count >= 2) & (n - post >= 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_x, mean_z = own("x") / count, own("z") / count
+        spread = own("xx") - count * mean_x**2
+        ok &= spread > 1e-13 * np.maximum(own("xx"), 1e-300)
+        k = (own("xz") - count * mean_x * mean_z) / spread
+        y1 = mean_z + k * (at - mean_x)
+    t1, at, k, y1, post = (v[ok] for v in (t1, at, k, y1, post))
+    if not len(t1):
+        return None
+    first = lambda name: sums[name][post]  # noqa: E731  # of the samples before the break
+    s, ss, sz = first("x") - at * post, first("xx") - 2 * at * first("x") + at**2 * post, first("xz") - at * first("z")
+    line = k**2 * ss + 2 * k * (y1 * s - sz) + post * y1**2 - 2 * y1 * first("z") + first("zz")
+    m, rest_z, rest_zz = n - post, sums["z"][-1] - first("z"), sums["zz"][-1] - first("zz")
+    behind = lambda v: np.append(np.cumsum(v[::-1])[::-1], 0.0)[post - post[0]]  # noqa: E731  # sums from each break to the end
+    later, level = x[post[0] :] - at[0], ends - middle
+    slack = 1e-12 * (sums["zz"][-1] + n * np.abs(level).max() ** 2)
+    least, found = np.inf, []
+    for j, beta in enumerate(betas):
+        decay, turn = np.exp(-beta * later), np.exp(beta * (at - at[0]))
+        e, ee, ez = turn * behind(decay), turn**2 * behind(decay**2), turn * behind(decay * z[post[0] :])
+        square, mixed = m - 2 * e + ee, rest_z - y1 * e - ez + y1 * ee
+        flat = line + rest_zz - 2 * y1 * ez + y1**2 * ee
+        for i, c in enumerate(level):
+            error = square * c**2 - 2 * mixed * c + flat
+            least = min(least, float(error.min()))
+            found += [(float(error[b]), b, i, j) for b in np.flatnonzero(error <= least + slack)]
+        found = [f for f in found if f[0] <= least + slack]
+    best = None
+    for _, b, i, j in sorted(found, key=lambda f: f[1:]):
+        since = x - at[b]
+        model = np.where(since < 0, k[b] * since + y1[b], level[i] - (level[i] - y1[b]) * np.exp(-betas[j] * np.maximum(since, 0)))
+        rmse = float(np.sqrt(np.mean((model - z) ** 2)))
+        if best is None or round(rmse, 12) < best[0]:
+            best = (round(rmse, 12), (float(t1[b]), float(k[b]), float(y1[b] + middle), float(ends[i]), float(betas[j]), rmse))
+    return best[1]
 
 
 def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event: float, ends: list[float], before: float = 4 / 12) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrashift.functions.ratio import grew_by, percent_change, safe_ratio
 from terrashift.functions.time import step_index
 from terrashift.operators.aggregates import percentiles
-from terrashift.operators.blocks import BLOCK_ROWS, between_known, in_window, total
+from terrashift.operators.blocks import BLOCK_ROWS, between_known, fits_a_block, in_blocks, in_window, total, with_halo
 from terrashift.operators.joins import interval_join
 
 
@@ -157,20 +160,58 @@ def group_stack(df: DataFrame, group: str, series: str, t: str, value: str, wind
     return flat.withColumn("smooth", rolling_mean([group], t, "median", window))
 
 
-def cross_correlation(df: DataFrame, by: list[str], t: str, a: str, b: str, step_days: float, max_lag_days: float = 120.0, least: int = 5) -> DataFrame:
+def cross_correlation(df: DataFrame, by: list[str], t: str, a: str, b: str, step_days: float, max_lag_days: float = 120.0, least: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
     """(by, lag, lag_days, correlation): full correlation of the two standardized series at all lags within the bound.
 
-    A self-join on the position difference; groups with fewer than ``least`` samples, or a constant
-    series, give no rows. ``b`` starts from 0. Lag k compares a(i + k) with b(i).
+    Groups with fewer than ``least`` samples, or a constant series, give no rows, nor do lags without a
+    pair of samples. Lag k compares a(i + k) with b(i). A series is an array, correlated by transforms;
+    one with more than ``rows`` samples is several, each with the samples that lags reach beside it, and
+    their sums are added up.
     """
-    whole = Window.partitionBy(*by)
-    placed = df.withColumns({"_b": baseline_reset(by, t, b), "_i": F.row_number().over(Window.partitionBy(*by).orderBy(t)), "_n": F.count("*").over(whole)}).filter(F.col("_n") >= least)
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(whole), F.when(F.stddev_pop(c).over(whole) > 0, F.stddev_pop(c).over(whole)))
-    z_scored = placed.select(*by, "_i", z(a).alias("_za"), z("_b").alias("_zb")).filter("_za IS NOT NULL AND _zb IS NOT NULL")
     bound = int(max_lag_days // step_days)
-    shifted = z_scored.select(*by, "_i", "_za").withColumn("lag", F.explode(F.sequence(F.lit(-bound), F.lit(bound)))).withColumn("_i", F.col("_i") - F.col("lag"))
-    pairs = shifted.join(z_scored.select(*by, "_i", "_zb"), [*by, "_i"])
-    return pairs.groupBy(*by, "lag").agg(F.sum(F.col("_za") * F.col("_zb")).alias("correlation")).withColumn("lag_days", F.col("lag") * F.lit(step_days))
+    whole = df.groupBy(*by).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}{i}") for i, c in enumerate((a, b)) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    whole = whole.filter((F.col("_n") >= least) & (F.col("_s0") > 0) & (F.col("_s1") > 0))
+    short = fits_a_block(df, by, rows)
+    if short:
+        placed = df.withColumns({"_i": F.row_number().over(Window.partitionBy(*by).orderBy(t)).cast("long"), "_block": F.lit(0), "_own": F.lit(True)})
+    else:
+        placed = with_halo(in_blocks(df, by, [F.col(t)], rows), bound, rows)
+    z = lambda c, i: (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")
+    standard = placed.join(whole, by).select(*by, "_block", F.struct("_i", "_own", z(a, 0).alias("a"), z(b, 1).alias("b")).alias("_v"))
+    arrays = standard.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+
+    @F.arrow_udf(_LAGS)
+    def lags(blocks: pa.Array) -> pa.Array:
+        v, cuts = blocks.values, blocks.offsets.to_numpy()
+        x, y, own = (v.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "_own"))
+        parts = [_correlated(x[i:j], y[i:j], own[i:j], bound) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        sizes = np.cumsum([0, *[len(p[0]) for p in parts]])
+        columns = [pa.array(np.concatenate([p[k] for p in parts]) if parts else []) for k in range(3)]
+        kinds = [("lag", pa.int32()), ("pairs", pa.int64()), ("c", pa.float64())]
+        flat = pa.StructArray.from_arrays([c.cast(k) for c, (_, k) in zip(columns, kinds, strict=True)], fields=[pa.field(*k) for k in kinds])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+
+    found = arrays.select(*by, F.explode(lags("_v")).alias("_c")).select(*by, "_c.lag", "_c.c")
+    if not short:
+        found = found.groupBy(*by, "lag").agg(F.sum("c").alias("c"))
+    return found.select(*by, "lag", F.col("c").alias("correlation"), (F.col("lag") * F.lit(step_days)).alias("lag_days"))
+
+
+_LAGS = T.ArrayType(T.StructType([T.StructField("lag", T.IntegerType()), T.StructField("pairs", T.LongType()), T.StructField("c", T.DoubleType())]))
+
+
+def _correlated(a: np.ndarray, b: np.ndarray, own: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lags with pairs, how many, and the sums of a(i + lag) b(i) over the own samples i; samples without both values don't count."""
+    known = ~(np.isnan(a) | np.isnan(b))
+    a, b = np.where(known, a, 0.0), np.where(known & own, b, 0.0)
+    bound = min(bound, len(a) - 1)
+    size = 1 << (len(a) + bound).bit_length()
+    transform = lambda v: np.fft.rfft(v, size)
+    both = lambda u, v: np.fft.irfft(transform(u) * np.conj(transform(v)), size)
+    lag = np.arange(-bound, bound + 1)
+    pairs = np.rint(both(known.astype(float), (known & own).astype(float))[lag]).astype(np.int64)
+    met = pairs > 0
+    return lag[met], pairs[met], both(a, b)[lag][met]
 
 
 def best_lag(correlations: DataFrame, by: list[str], digits: int = 9) -> DataFrame:

@@ -280,6 +280,61 @@ def test_decay_fit_recovers_a_curve(spark):
     assert log["c"] == 0.9 and log["beta"] == pytest.approx(3.0, abs=1e-6)
 
 
+def test_fits_by_sums_are_those_of_all_combinations():
+    rng = np.random.default_rng(0)
+    betas, ends = np.linspace(0.1, 2, 9), np.linspace(0.7, 1, 7)
+    for trial in range(40):
+        n, high = int(rng.integers(2, 60)), 1e4 if trial % 7 == 0 else 0.0
+        t = np.sort(rng.choice(np.arange(0, 4, 0.05), n, replace=bool(trial % 2)))
+        y = rng.normal(0, 0.05, n) + np.where(t < 1.5, 0.1 * t, 0.9 - 0.7 * np.exp(-0.7 * (t - 1.5))) + high
+        want = []
+        near = np.unique(t[np.abs(t - 1.52) <= 0.25])
+        for t1 in near if len(near) else [1.52]:
+            s = t - t1
+            pre = (s <= 0) & (s >= -1)
+            if pre.sum() < 2 or (s >= 0).sum() < 2 or np.ptp(s[pre]) == 0:
+                continue
+            k, y1 = np.polyfit(s[pre], y[pre], 1)
+            for c in ends + high:
+                for beta in betas:
+                    f = np.where(s < 0, k * s + y1, c - (c - y1) * np.exp(-beta * np.maximum(s, 0)))
+                    want.append((float(np.sqrt(np.mean((f - y) ** 2))), t1, c, beta))
+        got = fits.best_decay(t, y, 1.52, betas, ends + high, 0.25, 1.0)
+        assert (got is None) == (not want)
+        if want:
+            assert got[5] == pytest.approx(min(want)[0], abs=1e-7 if high else 1e-9)
+    assert fits.best_decay(np.array([0.0, 1.0]), np.array([1.0, 2.0]), 50.0, betas, ends, 0.25, 1.0) is None
+
+
+def test_the_memory_of_a_fit_is_that_of_its_curve():
+    import tracemalloc
+
+    t = np.linspace(0, 4, 100_000)
+    y = np.where(t < 1.5, 0.1 * t, 0.9 - 0.75 * np.exp(-0.7 * (t - 1.5)))
+    tracemalloc.start()
+    got = fits.best_decay(t, y, 1.5, np.linspace(0.1, 2, 20), np.linspace(0.7, 1, 31), 0.01, 1.0)
+    assert tracemalloc.get_traced_memory()[1] < 60 * t.nbytes and got[3] == pytest.approx(0.9)
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rows", [7, 50, 10_000])
+def test_correlations_of_series_in_any_number_of_blocks(spark, rows):
+    rng = np.random.default_rng(3)
+    data = [(g, i, None if rng.random() < 0.1 else float(x), float(y)) for g, n in (("a", 90), ("b", 12), ("c", 4), ("d", 30)) for i, (x, y) in enumerate(rng.normal(size=(n, 2)).cumsum(axis=0))]
+    data = [(g, i, 5.0 if g == "d" else x, y) for g, i, x, y in data]
+    df = frame(spark, "g string, t int, a double, b double", *data).repartition(3)
+    got = {(r["g"], r["lag"]): r["correlation"] for r in series.cross_correlation(df, ["g"], "t", "a", "b", 2.0, 40.0, rows=rows).collect()}
+    want = {}
+    for g in "ab":
+        x, y = (np.array([r[k] if r[k] is not None else np.nan for r in data if r[0] == g]) for k in (2, 3))
+        x, y = (x - np.nanmean(x)) / np.nanstd(x), (y - y.mean()) / y.std()
+        for lag in range(-20, 21):
+            pairs = [x[i + lag] * y[i] for i in range(len(x)) if 0 <= i + lag < len(x) and not np.isnan(x[i + lag]) and not np.isnan(x[i])]
+            if pairs:
+                want[g, lag] = sum(pairs)
+    assert set(got) == set(want) and got == pytest.approx(want)
+
+
 def test_intervals_and_band_of_resampled_fits(spark):
     rows = [(i, 1.4 + 0.05 * i, 0.1 * i - 0.1, 0.02 * i, 0.8 + 0.01 * i, 0.5 + 0.1 * i) for i in range(6)]
     fitted = frame(spark, "draw int, t1 double, k double, b double, c double, beta double", *rows)
