@@ -2,53 +2,43 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrashift.operators.ellipsoid import inverse, ring_area_perimeter
 from terrashift.operators.joins import nearest_leaves
-from terrashift.operators.spatial import WGS84_A, WGS84_F
+from terrashift.operators.overlay import _read
 
 GEODESIC = T.StructType([T.StructField(n, T.DoubleType()) for n in ("azimuth", "back_azimuth", "distance_m")])
 
 
-def inverse(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Azimuths at both ends and length of the geodesic, by Vincenty's iteration; NaN for nearly antipodal points."""
-    b = WGS84_A * (1 - WGS84_F)
-    u1, u2 = (np.arctan((1 - WGS84_F) * np.tan(np.radians(x))) for x in (lat1, lat2))
-    gap = np.radians((lon2 - lon1 + 180) % 360 - 180)
-    lam = gap.copy()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for _ in range(200):
-            sin_s = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
-            cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-            sigma = np.arctan2(sin_s, cos_s)
-            sin_a = np.where(sin_s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(sin_s == 0, 1, sin_s))
-            cos2 = 1 - sin_a**2
-            mid = np.where(cos2 > 1e-15, cos_s - 2 * np.sin(u1) * np.sin(u2) / np.where(cos2 > 1e-15, cos2, 1), 0.0)
-            c = WGS84_F / 16 * cos2 * (4 + WGS84_F * (4 - 3 * cos2))
-            new = gap + (1 - c) * WGS84_F * sin_a * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
-            moved = np.abs(new - lam)
-            lam = new
-            if not (moved > 1e-13).any():
-                break
-        k = cos2 * (WGS84_A**2 - b**2) / b**2
-        big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
-        small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
-        turn = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid**2 - 1) - small / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-        length = np.where(moved > 1e-9, np.nan, b * big * (sigma - turn))
-        there = np.degrees(np.arctan2(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam)))
-        back = np.degrees(np.arctan2(np.cos(u1) * np.sin(lam), -np.sin(u1) * np.cos(u2) + np.cos(u1) * np.sin(u2) * np.cos(lam))) + 180
-    return there % 360, back % 360, length
-
-
 @F.pandas_udf(GEODESIC)
 def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(GEODESIC.names, inverse(*(s.to_numpy(float) for s in (lon1, lat1, lon2, lat2))), strict=True)))
 
 
+_SIZE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("area_m2", "perimeter_m")])
+
+
+@F.arrow_udf(_SIZE)
+def region_size(regions: pa.Array) -> pa.Array:
+    """Area on the ellipsoid and length of all rings of regions in degrees whose edges are geodesics; holes are taken off.
+
+    For regions in simple rings, see :mod:`terrashift.operators.overlay`; null stays null.
+    """
+
+    def one(region) -> dict | None:
+        if region is None:
+            return None
+        sizes = [(i, *ring_area_perimeter(r)) for p in _read(region) for i, r in enumerate(p)]
+        return {"area_m2": float(sum(-abs(a) if i else abs(a) for i, a, _ in sizes)), "perimeter_m": float(sum(n for _, _, n in sizes))}
+
+    return pa.array([one(r) for r in regions.to_pylist()], pa.struct([(n, pa.float64()) for n in _SIZE.names]))
+
+
 def pixel_area(step_x: Column, step_y: Column, lon: Column, lat: Column) -> Column:
     """Area of one pixel in square metres from its two sides on the ellipsoid."""
     return F.abs(geodesic(lon, lat, lon + step_x, lat)["distance_m"] * geodesic(lon, lat, lon, lat + step_y)["distance_m"])

@@ -428,6 +428,28 @@ def contained_in_regions(spark, d):
     return containment_join(points, regions, ring="region").groupBy("pid").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
+# Triangles of a piece of the equator and a pole: their part of the ellipsoid's area is that of their longitude. The area follows from
+# the half axis and the flattening; a quarter of a meridian has 10,001,965.729313 m.
+_E2 = "(2 / 298.257223563 - power(1 / 298.257223563, 2))"
+
+
+@query(
+    "s127_octants",
+    f"""WITH w AS (SELECT 2 * pi() * power(6378137, 2) * (1 + (1 - {_E2}) / sqrt({_E2}) * 0.5 * ln((1 + sqrt({_E2})) / (1 - sqrt({_E2})))) AS whole),
+    t AS (SELECT c_custkey AS id, 1 + c_custkey % 150 AS width FROM customer)
+    SELECT id, round(whole * width / 720 / 1e6, 3) AS area_km2, round((6378137 * radians(width::DOUBLE) + 2 * 10001965.729313) / 1000, 5) AS perimeter_km FROM t, w""",
+)
+def octants(spark, d):
+    from terrashift.operators.geodesy import region_size
+
+    k = F.col("c_custkey")
+    west, width, pole = ((k * 37) % 360 - 180).cast("double"), (1 + k % 150).cast("double"), F.when(k % 2 == 0, 90.0).otherwise(-90.0)
+    at = lambda x, y: F.struct(F.when(x >= 180, x - 360).otherwise(x).alias("x"), y.alias("y"))
+    ring = F.array(at(west, F.lit(0.0)), at(west + width, F.lit(0.0)), at(west + width / 3, pole))
+    sized = table(spark, d, "customer").select(k.alias("id"), region_size(F.array(F.array(ring))).alias("s"))
+    return sized.select("id", r(F.col("s.area_m2") / 1e6, 3).alias("area_km2"), r(F.col("s.perimeter_m") / 1000, 5).alias("perimeter_km"))
+
+
 @query(
     "s168_corners",
     f"WITH {RASTER_SQL} SELECT x // 10 AS box, min(x) AS tl_lon, max(y) AS tl_lat, max(x) AS tr_lon, max(y) AS tr_lat, min(x) AS bl_lon, min(y) AS bl_lat, max(x) AS br_lon, min(y) AS br_lat FROM ras GROUP BY x // 10",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import aggregates, blocks, cover, fits, groups, joins, picks, series, spatial, stats
+from terrashift.operators import aggregates, blocks, cover, ellipsoid, fits, groups, joins, picks, series, spatial, stats
 
 
 def frame(spark, schema, *rows):
@@ -594,7 +594,7 @@ def test_operators_take_empty_input(spark):
 
 
 def test_geodesic_known_lengths():
-    from terrashift.operators.geodesy import inverse
+    from terrashift.operators.ellipsoid import inverse
 
     a, b, d = inverse(np.array([0.0, 0.0, 5.0, -71.117]), np.array([0.0, 0.0, 5.0, 42.25]), np.array([1.0, 0.0, 5.0, -123.683]), np.array([0.0, 1.0, 5.0, 45.517]))
     assert d[:3] == pytest.approx([111319.4908, 110574.3886, 0.0], abs=1e-3)
@@ -603,6 +603,43 @@ def test_geodesic_known_lengths():
     assert d[3] == pytest.approx(f[0], abs=1e-4) and (a[3], b[3]) == pytest.approx((e[0], c[0]))
 
 
+def test_geodesics_near_the_antipode():
+    """Published lengths and azimuths; and halving agrees with the iteration where that settles."""
+    lon1, lat1, lon2, lat2, want = np.array([(0, -30, 179.8, 29.9, 19989832.82761), (0, 0, 179.5, 0.5, 19936288.579), (0, 0, 179.7, 0.5, 19944127.421), (10, 40, -170, -40, 20003931.4586), (0, 90, 7, -90, 20003931.4586)], float).T
+    there, back, length = ellipsoid.inverse(lon1, lat1, lon2, lat2)
+    assert length == pytest.approx(want, abs=1e-3) and (there[0], back[0] - 180) == pytest.approx((161.89052473633, 18.09073724574), abs=1e-9)
+    rng = np.random.default_rng(1)
+    p = [rng.uniform(-180, 180, 300), rng.uniform(-89, 89, 300), rng.uniform(-180, 180, 300), rng.uniform(-89, 89, 300)]
+    lines, halved = ellipsoid._Lines(*p), ellipsoid._Lines(*p)
+    halved._halved(np.arange(300))
+    assert halved.lengths() == pytest.approx(lines.lengths(), abs=1e-6) and halved.areas() == pytest.approx(lines.areas(), rel=1e-7, abs=1e5)
+    assert np.abs(np.exp(1j * halved.azimuth2) - np.exp(1j * lines.azimuth2)).max() < 1e-7
+    far = [p[0], p[1], p[0] + 180 + rng.uniform(-0.6, 0.6, 300), -p[1] + rng.uniform(-0.6, 0.6, 300)]
+    assert ellipsoid.inverse(*far)[2] == pytest.approx(ellipsoid.inverse(*far[2:], *far[:2])[2], abs=1e-6)
+
+
+def test_areas_of_geodesic_polygons(spark):
+    from terrashift.operators.geodesy import region_size
+
+    assert ellipsoid.WHOLE_AREA == pytest.approx(510065621724088.5, rel=1e-14)
+    south = np.array([(-58, -63.1), (-74, -72.9), (-102, -71.9), (-102, -74.9), (-131, -74.3), (-163, -77.5), (163, -77.4), (172, -71.7), (140, -65.9), (113, -65.7), (88, -66.6), (59, -66.9), (25, -69.8), (-4, -70.0), (-14, -71.0), (-33, -77.3), (-46, -77.9), (-61, -74.7)], float)
+    area, perimeter = ellipsoid.ring_area_perimeter(south)
+    assert area == pytest.approx(13662703680020.1, rel=1e-12) and perimeter == pytest.approx(16831067.892793, abs=1e-5)
+    assert ellipsoid.ring_area_perimeter(south[::-1])[0] == pytest.approx(-area, rel=1e-12)
+    # a polygon and the two into which a diagonal cuts it, large and small, at a pole and across the date line
+    for scale in (30.0, 1e-3):
+        for lon, lat in ((-123.0, 40.0), (179.99, -10.0), (5.0, 59.0)):
+            p = np.array([(0, 0), (1, 0.1), (1.1, 0.9), (-0.1, 1)]) * scale + [lon, lat]
+            whole, first, second = (ellipsoid.ring_area_perimeter(q)[0] for q in (p, p[[0, 1, 2]], p[[0, 2, 3]]))
+            assert whole > 0 and first + second == pytest.approx(whole, rel=1e-8)
+    shape = lambda *corners: [{"x": float(x), "y": float(y)} for x, y in corners]
+    box = lambda x, y, w: shape((x, y), (x + w, y), (x + w, y + w), (x, y + w))
+    df = frame(spark, "i int, region array<array<array<struct<x:double,y:double>>>>", (1, [[box(0, 0, 1), box(0.25, 0.25, 0.5)]]), (2, None), (3, []))
+    got = {r["i"]: r["s"] for r in df.select("i", region_size("region").alias("s")).collect()}
+    outer, inner = (ellipsoid.ring_area_perimeter(np.array([(q["x"], q["y"]) for q in b])) for b in (box(0, 0, 1), box(0.25, 0.25, 0.5)))
+    assert got[1]["area_m2"] == pytest.approx(outer[0] - inner[0]) and got[1]["perimeter_m"] == pytest.approx(outer[1] + inner[1]) and got[2] is None and got[3]["area_m2"] == 0
+
+
 def test_nearest_segment_of_far_points(spark):
     from terrashift.operators.geodesy import nearest_segment
 
