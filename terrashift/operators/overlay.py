@@ -30,25 +30,22 @@ REGION = T.ArrayType(T.ArrayType(T.ArrayType(_POINT)))
 _ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 #: Places that are closer than this share of the extent are one.
-NEAR = 1e-10
+NEAR = 1e-12
 #: Pairs of edges, or of edges and rays, that are looked at together.
 _PAIRS = 2_000_000
 
 
-def _blocks(n: int, width: int):
-    step = max(1, _PAIRS // max(1, width))
-    return (slice(i, min(n, i + step)) for i in range(0, n, step))
-
-
 def _pieces(a: np.ndarray, b: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and original edges of all edges, cut where they cross, touch or overlap others; which starts and ends are corners.
 
-    Edges are ordered by their least x, so that each meets only those that begin before it ends.
+    Edges are ordered along the longer side of all, so that each meets only those that begin before it ends.
     """
     low, high = np.minimum(a, b) - near, np.maximum(a, b) + near
-    order = np.argsort(low[:, 0], kind="stable")
+    along = int(np.ptp(a[:, 1]) > np.ptp(a[:, 0]))
+    across = 1 - along
+    order = np.argsort(low[:, along], kind="stable")
     a, b, low, high = a[order], b[order], low[order], high[order]
-    last = np.searchsorted(low[:, 0], high[:, 0], side="right")
+    last = np.searchsorted(low[:, along], high[:, along], side="right")
     count = last - np.arange(len(a)) - 1
     d = b - a
     length = np.hypot(d[:, 0], d[:, 1])
@@ -60,7 +57,7 @@ def _pieces(a: np.ndarray, b: np.ndarray, near: float) -> tuple[np.ndarray, np.n
         i = np.repeat(np.arange(row, end), count[row:end])
         j = i + 1 + np.arange(len(i)) - np.repeat(starts[row:end] - starts[row], count[row:end])
         row = end
-        meet = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        meet = (low[i, across] <= high[j, across]) & (low[j, across] <= high[i, across])
         i, j = i[meet], j[meet]
         det = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
         gap = a[j] - a[i]
@@ -109,24 +106,50 @@ def _nodes(points: np.ndarray, corner: np.ndarray, near: float) -> tuple[np.ndar
 
 
 def _windings(u: np.ndarray, v: np.ndarray, net: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each ring winds around the left and the right side of every piece u -> v, which goes up, or level to the right.
+    """How often each ring winds around the left and the right side of every piece u -> v.
 
     ``net``: for each piece and ring, how often the ring runs along it less how often against it. A ray
-    to the right from the middle of a piece sees what is to its right; one from a level piece, taken a
-    little above it, what is to its left.
+    from the middle of a piece to the right sees what is to the right of a piece that goes up; one from
+    a level piece, taken a little above it, what is to the left of one that goes right. Rays run along
+    the shorter side of all, and meet only pieces of their own strip.
     """
-    middle = (u + v) / 2
+    if np.ptp(u[:, 0]) > np.ptp(u[:, 1]):  # seen in a mirror all turns are the other way
+        left, right = _windings(u[:, ::-1], v[:, ::-1], net)
+        return -right, -left
+    down = (v[:, 1] < u[:, 1]) | ((v[:, 1] == u[:, 1]) & (v[:, 0] < u[:, 0]))
+    low, high = np.where(down[:, None], v, u), np.where(down[:, None], u, v)
+    upward = np.where(down[:, None], -net, net)
+    middle = (low + high) / 2
+    slope = np.divide(high[:, 0] - low[:, 0], high[:, 1] - low[:, 1], out=np.zeros(len(u)), where=high[:, 1] != low[:, 1])
+    # pieces by the strips that they cross
+    base, strips = low[:, 1].min(), len(u)
+    width = (high[:, 1].max() - base) / strips or 1.0
+    strip = lambda y: np.clip(((y - base) / width).astype(np.int64), 0, strips - 1)
+    rising = np.flatnonzero(high[:, 1] > low[:, 1])
+    first, last = strip(low[rising, 1]), strip(high[rising, 1])
+    count = last - first + 1
+    piece = np.repeat(rising, count)
+    at = np.repeat(first, count) + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    piece = piece[np.argsort(at, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=strips))))
+    own = strip(middle[:, 1])
+    meets = starts[own + 1] - starts[own]
     seen = np.zeros(net.shape, np.int64)
-    slope = np.divide(v[:, 0] - u[:, 0], v[:, 1] - u[:, 1], out=np.zeros(len(u)), where=v[:, 1] != u[:, 1])
-    for part in _blocks(len(u), len(u)):
-        y = middle[part, 1][:, None]
-        crossed = (u[:, 1] <= y) & (v[:, 1] > y)
-        right = crossed & (u[:, 0] + (y - u[:, 1]) * slope > middle[part, 0][:, None])
-        own = np.arange(part.start, part.stop)
-        right[own - part.start, own] = False
-        seen[part] = right.astype(np.int32) @ net
-    level = (u[:, 1] == v[:, 1])[:, None]
-    return np.where(level, seen, seen + net), np.where(level, seen - net, seen)
+    before = np.concatenate(([0], np.cumsum(meets)))
+    row = 0
+    while row < len(u):
+        end = max(row + 1, int(np.searchsorted(before, before[row] + _PAIRS, side="right")) - 1)
+        i = np.repeat(np.arange(row, end), meets[row:end])
+        j = piece[np.repeat(starts[own[row:end]], meets[row:end]) + np.arange(len(i)) - np.repeat(before[row:end] - before[row], meets[row:end])]
+        row = end
+        y = middle[i, 1]
+        right = (low[j, 1] <= y) & (high[j, 1] > y) & (i != j)
+        i, j, y = i[right], j[right], y[right]
+        right = low[j, 0] + (y - low[j, 1]) * slope[j] > middle[i, 0]
+        np.add.at(seen, i[right], upward[j[right]])
+    level = (low[:, 1] == high[:, 1])[:, None]
+    left, right = np.where(level, seen, seen + upward), np.where(level, seen - upward, seen)
+    return np.where(down[:, None], right, left), np.where(down[:, None], left, right)
 
 
 def _linked(u: np.ndarray, v: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
@@ -211,26 +234,9 @@ def arranged(regions: list[list[list[np.ndarray]]], rule: Callable[[list[np.ndar
             polygon += 1
     if not rings:
         return []
-    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
-    ring = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
-    middle = (a.min(axis=0) + a.max(axis=0)) / 2  # so that no digits are lost far from the origin
-    near = NEAR * (float(np.ptp(a, axis=0).max()) or 1.0)
-    start, end, edge, corner = _pieces(a - middle, b - middle, near)
-    number, places = _nodes(np.concatenate([start, end]), corner, near)
-    u, v, ring = number[: len(start)], number[len(start) :], ring[edge]
-    u, v, ring = u[u != v], v[u != v], ring[u != v]
-    # one piece for those that lie on each other, directed up, or level to the right
-    p, q = places[u], places[v]
-    turned = (q[:, 1] < p[:, 1]) | ((q[:, 1] == p[:, 1]) & (q[:, 0] < p[:, 0]))
-    low, high = np.where(turned, v, u), np.where(turned, u, v)
-    pairs, which = np.unique(low * len(places) + high, return_inverse=True)
-    net = np.zeros((len(pairs), len(rings)), np.int64)
-    np.add.at(net, (which, ring), np.where(turned, -1, 1))
-    low, high = pairs // len(places), pairs % len(places)
-    left, right = _windings(places[low], places[high], net)
+    owners, hole, of = np.array(owner), np.array(is_hole), np.array(region)
 
     def inside(winding: np.ndarray) -> np.ndarray:
-        owners, hole, of = np.array(owner), np.array(is_hole), np.array(region)
         held = [np.zeros(len(winding), bool) for _ in regions]
         for n in np.unique(owners):
             own = owners == n
@@ -238,6 +244,46 @@ def arranged(regions: list[list[list[np.ndarray]]], rule: Callable[[list[np.ndar
             held[of[own][0]] |= within
         return rule(held)
 
+    return _outlined(rings, np.arange(len(rings)), inside)
+
+
+def united(regions: list[list[list[np.ndarray]]]) -> list[list[np.ndarray]]:
+    """The union of any number of regions in simple rings, outer ones counter-clockwise, holes clockwise.
+
+    All rings together wind around a place once for each region that holds it, so one number a side is
+    enough, however many regions there are.
+    """
+    rings = [r for polygons in regions for p in polygons for r in p if len(r) > 2]
+    return _outlined(rings, np.zeros(len(rings), np.int64), lambda winding: winding[:, 0] > 0) if rings else []
+
+
+def _outlined(rings: list[np.ndarray], kind: np.ndarray, inside: Callable[[np.ndarray], np.ndarray]) -> list[list[np.ndarray]]:
+    """The polygons of the places that ``inside`` says are, from how often the rings of each kind wind around them."""
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    net = np.zeros((len(a), int(kind.max()) + 1), np.int64)
+    net[np.arange(len(a)), np.repeat(kind, [len(r) for r in rings])] = 1
+    middle = (a.min(axis=0) + a.max(axis=0)) / 2  # so that no digits are lost far from the origin
+    near = NEAR * (float(np.ptp(a, axis=0).max()) or 1.0)
+    a, b, known = a - middle, b - middle, -1
+    while len(a) != known:  # places move a little as they become one; what then meets is cut again
+        known = len(a)
+        start, end, edge, corner = _pieces(a, b, near)
+        number, places = _nodes(np.concatenate([start, end]), corner, near)
+        u, v = number[: len(start)], number[len(start) :]
+        real = u != v
+        u, v, along = u[real], v[real], net[edge[real]]
+        # one piece for those that lie on each other; those whose rings run both ways alike are none
+        turned = u > v
+        pairs, which = np.unique(np.where(turned, v, u) * len(places) + np.where(turned, u, v), return_inverse=True)
+        net = np.zeros((len(pairs), net.shape[1]), np.int64)
+        np.add.at(net, which, np.where(turned[:, None], -along, along))
+        low, high = pairs // len(places), pairs % len(places)
+        some = net.any(axis=1)
+        low, high, net = low[some], high[some], net[some]
+        a, b = places[low], places[high]
+        if not len(a):
+            return []
+    left, right = _windings(a, b, net)
     to_left, to_right = inside(left), inside(right)
     along, against = to_left & ~to_right, to_right & ~to_left
     outline = _linked(np.concatenate([low[along], high[against]]), np.concatenate([high[along], low[against]]), places)
@@ -248,6 +294,12 @@ def repair(region: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     return arranged([region], lambda held: held[0])
 
 
+@F.arrow_udf(REGION)
+def union_of(many: pa.Array) -> pa.Array:
+    """The union of an array of regions as :func:`repaired` gives them; null ones don't count."""
+    return pa.array([_shown(united([_read(r) for r in regions or () if r is not None])) for regions in many.to_pylist()], _ARROW)
+
+
 _RULES = {
     "intersection": lambda held: held[0] & held[1],
     "union": lambda held: held[0] | held[1],
@@ -362,5 +414,7 @@ def clip_regions(regions: DataFrame, windows: DataFrame, region: str = "region",
         first = index(F.greatest(f"_l{axis}0", f"_r{axis}0"))
         met = met.filter((F.col(f"_c{axis}") == first) & (F.col(f"_l{axis}0") <= F.col(f"_r{axis}1")) & (F.col(f"_r{axis}0") <= F.col(f"_l{axis}1")))
     kept = [c for c in [*regions.columns, *[c for c in windows.columns if c not in regions.columns]]]
-    cut = met.select(*[F.col(f"`{c}`") for c in kept]).withColumn(region, overlay(region, window))
+    # a fixed number of tasks: pairs are few bytes and much work, and would be put together by their bytes
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = met.select(*[F.col(f"`{c}`") for c in kept]).repartition(parts).withColumn(region, overlay(region, window))
     return cut.filter(F.size(region) > 0)

@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrashift.functions.geo import distance_m
+from terrashift.operators.blocks import fits_a_block, in_blocks
 from terrashift.operators.components import connected_components
 from terrashift.operators.cover import containment_join
 from terrashift.operators.ellipsoid import WGS84_A, WGS84_F, ring_area_perimeter
 from terrashift.operators.joins import nearest_leaves
+from terrashift.operators.overlay import as_region, outer_rings, region_area, region_bounds, repaired, union_of
 from terrashift.operators.picks import shared_checkpoints
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -221,160 +223,50 @@ def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id") -> D
     return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def union_outline(regions: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """The rings of the union of regions, each given by its rings: outer ones counter-clockwise, holes clockwise.
+#: Regions that are united in one go.
+_AT_A_TIME = 64
 
-    Edges are cut where they meet those of other regions. A piece is on the outline if its middle lies
-    in no other region, and of pieces that lie on each other the first stays if all have the union on
-    the same side. The pieces are then linked, turning left wherever several go on.
-    """
-    edges = [np.concatenate([np.stack([r, np.roll(r, -1, axis=0)], axis=1) for r in rings]) for rings in regions]
-    owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
-    a, b = np.concatenate(edges).transpose(1, 0, 2)
-    low, scale = a.min(axis=0), float(np.ptp(a, axis=0).max()) or 1.0
-    near = 1e-9 * scale
-    d = b - a
-    length = np.hypot(*d.T)
-    pieces, keeps = [], {}
-    for i in range(len(a)):
-        other = owner != owner[i]
-        c, e = a[other], d[other]
-        det = d[i, 0] * e[:, 1] - d[i, 1] * e[:, 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((c[:, 0] - a[i, 0]) * e[:, 1] - (c[:, 1] - a[i, 1]) * e[:, 0]) / det
-            u = ((c[:, 0] - a[i, 0]) * d[i, 1] - (c[:, 1] - a[i, 1]) * d[i, 0]) / det
-        slack = near / np.maximum(length[other], near)
-        cuts = t[(np.abs(det) > near * near) & (u >= -slack) & (u <= 1 + slack) & (t > 0) & (t < 1)]
-        along = ((c - a[i]) @ d[i]) / length[i] ** 2  # corners of others on this edge
-        off = np.abs((c[:, 0] - a[i, 0]) * d[i, 1] - (c[:, 1] - a[i, 1]) * d[i, 0]) / length[i]
-        stops = np.unique(np.concatenate(([0.0, 1.0], cuts, along[(off <= near) & (along > 0) & (along < 1)])))
-        spots = a[i] + stops[:, None] * d[i]
-        for p, q in zip(spots, spots[1:], strict=False):
-            if np.hypot(*(q - p)) > 2 * near and _on_outline((p + q) / 2, d[i], owner[i], a, d, length, owner, near):
-                pieces.append((p, q))
-    # ends that nearly agree are one place
-    place = lambda p: tuple(np.round((p - low) / (4 * near)).astype(np.int64).tolist())
-    for p, q in pieces:
-        keeps.setdefault(place(p), []).append((p, q))
-    rings = []
-    while keeps:
-        start, ways = next(iter(keeps.items()))
-        p, q = ways.pop()
-        if not ways:
-            del keeps[start]
-        ring = [p]
-        while place(q) != start and (ways := keeps.get(place(q))):
-            back = p - q
-            turn = lambda w, q=q, back=back: math.atan2(back[0] * (w[1] - q)[1] - back[1] * (w[1] - q)[0], back @ (w[1] - q)) % (2 * math.pi)
-            best = max(range(len(ways)), key=lambda i: turn(ways[i]))  # noqa: B023
-            end = ways.pop(best)[1]
-            if not ways:
-                del keeps[place(q)]
-            p, q = q, end
-            ring.append(p)
-        if len(ring) > 2:
-            rings.append(np.array(ring))
-    return rings
-
-
-def _on_outline(m: np.ndarray, direction: np.ndarray, own: int, a: np.ndarray, d: np.ndarray, length: np.ndarray, owner: np.ndarray, near: float) -> bool:
-    t = np.clip(((m - a) * d).sum(axis=1) / length**2, 0, 1)
-    touches = (np.hypot(*(a + t[:, None] * d - m).T) <= 2 * near) & (owner != own)
-    if touches.any():
-        same = (d[touches] @ direction) > 0
-        if not same.all() or (owner[touches] < own).any():
-            return False
-    b = a + d
-    crosses = (a[:, 1] > m[1]) != (b[:, 1] > m[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        right = crosses & (a[:, 0] + (m[1] - a[:, 1]) * d[:, 0] / d[:, 1] > m[0])
-    inside = np.bincount(owner[right], minlength=int(owner.max()) + 1) % 2 == 1
-    inside[own] = False
-    inside[owner[touches]] = False
-    return not inside.any()
-
-
-#: Corners of a region, each with the number of its ring.
-_CORNERS = T.ArrayType(T.StructType([T.StructField("ring", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-
-def _rings(corners, turned: bool = False) -> list[np.ndarray]:
-    """The rings of a region without repeated corners; with ``turned`` a single one counter-clockwise."""
-    held: dict[int, list] = {}
-    for c in corners:
-        held.setdefault(c["ring"], []).append((c["x"], c["y"]))
-    out = []
-    for points in held.values():
-        p = np.array(points, float)
-        p = p[(p != np.roll(p, 1, axis=0)).any(axis=1)]
-        if len(p) > 2 and _ring_area(p):
-            out.append(p)
-    return [out[0][::-1]] if turned and len(out) == 1 and _ring_area(out[0]) < 0 else out
-
-
-@F.pandas_udf(_CORNERS)
-def _union_of(corners: pd.Series) -> pd.Series:
-    """The union of regions, whose corners come one after another with the number of their region."""
-
-    def one(corners) -> list:
-        parts: dict[int, list] = {}
-        for c in corners:
-            parts.setdefault(c["part"], []).append(c)
-        own = [r for r in (_rings(p, True) for p in parts.values()) if r]
-        rings = own[0] if len(own) == 1 else union_outline(own) if own else []
-        return [{"ring": i, "x": x, "y": y} for i, r in enumerate(rings) for x, y in r.tolist()]
-
-    return pd.Series([one(c) for c in corners])
-
-
-_PARTS = T.StructType([T.StructField("area", T.DoubleType()), T.StructField("parts", T.IntegerType()), T.StructField("ring", RING)])
-
-
-@F.pandas_udf(_PARTS)
-def _largest_part(regions: pd.Series) -> pd.DataFrame:
-    """Area and number of parts of each region, and the outer ring of the largest part."""
-
-    def one(rings) -> tuple:
-        own = _rings(rings)
-        outer, holes = [r for r in own if _ring_area(r) > 0], [r for r in own if _ring_area(r) < 0]
-        if not outer:
-            return 0.0, 0, []
-        sizes = np.array([_ring_area(r) for r in outer])
-        parts = sizes.copy()
-        for h in holes:  # a hole belongs to the smallest outer ring around it
-            around = [i for i, r in enumerate(outer) if any(x0 <= h[0, 0] <= x1 for x0, x1 in _bands(r, h[:, 1].mean()))] or [int(sizes.argmax())]
-            parts[min(around, key=lambda i: sizes[i])] += _ring_area(h)
-        top = outer[int(parts.argmax())]
-        return float(parts.sum()), len(outer), [{"x": x, "y": y} for x, y in top.tolist()]
-
-    return pd.DataFrame([one(r) for r in regions], columns=_PARTS.names)
 
+def _curve_place(x: Column, y: Column) -> Column:
+    """Place on a curve through a grid of 2^16 by 2^16 squares that keeps near squares together: bits of both in turn."""
 
-#: Regions that are united in one go.
-_AT_A_TIME = 64
+    def spread(c: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return c
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
 
 
 def union_components(polygons: DataFrame, labels: DataFrame, ident: str = "id", ring: str = "ring") -> DataFrame:
-    """(component, n, area, parts, ring) of polygons with labels (id, component): the union of each component.
+    """(component, n, area, parts, ring, region) of polygons with labels (id, component): the union of each component.
 
-    ``ring`` is the outer ring of its largest part, ``area`` that of all parts. Some tens of regions of
-    a component are united at a time, in as many rounds as that takes, so no component has to fit one
-    task before it is united. Polygons without an area don't count.
+    ``ring`` is a ring or a region of each polygon; the result's is the outer ring of the largest part,
+    ``area`` that of all parts. Neighbours on a curve through the plane are united some tens at a time,
+    so that their common edges go at once, in as many rounds as that takes: no component has to fit one
+    task before it is united, and each round's work is that of the edges that are left. Polygons without
+    an area don't count.
     """
     shared_checkpoints(polygons.sparkSession)
-    corners = F.transform(ring, lambda p: F.struct(F.lit(0).alias("ring"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    members = polygons.select(F.col(ident).alias("id"), corners.alias("region")).join(labels.select("id", "component"), "id")
+    is_region = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
+    shapes = polygons.select(F.col(ident).alias("id"), repaired(F.col(ring) if is_region else as_region(ring)).alias("region"))
+    members = shapes.join(labels.select("id", "component"), "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    held = members.select("component", F.xxhash64("id").alias("key"), "region").checkpoint()
-    while True:
-        counts = held.groupBy("component").agg(F.count("*").alias("_n"))
-        salt = F.pmod(F.hash("key"), F.ceil(F.col("_n") / _AT_A_TIME).cast("int"))
-        named = F.transform("region", lambda p: F.struct(F.col("key").alias("part"), p["ring"].alias("ring"), p["x"].alias("x"), p["y"].alias("y")))
-        grouped = held.join(counts, "component").groupBy("component", salt.alias("_salt")).agg(F.flatten(F.collect_list(named)).alias("corners"), F.min("key").alias("key"))
-        held = grouped.withColumn("region", _union_of("corners")).select("component", "key", "region").checkpoint()
-        if held.groupBy("component").agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():
-            break
-    return held.join(sizes, "component").withColumn("_p", _largest_part("region")).select("component", "n", "_p.area", "_p.parts", "_p.ring")
+    box = region_bounds("region")
+    held = members.select("component", "region", ((box["x0"] + box["x1"]) / 2).alias("cx"), ((box["y0"] + box["y1"]) / 2).alias("cy")).checkpoint()
+    low = held.agg(F.min("cx").alias("x"), F.min("cy").alias("y"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-300)).alias("size")).first()
+    square = lambda c, start: F.coalesce(F.floor((F.col(c) - F.lit(start or 0.0)) / F.lit(low["size"] or 1.0) * 65535), F.lit(0)).cast("long")
+    held = held.select("component", "region", _curve_place(square("cx", low["x"]), square("cy", low["y"])).alias("place"))
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = False
+    while not whole:
+        whole = fits_a_block(held, ["component"], _AT_A_TIME)
+        placed = held.withColumn("_block", F.lit(0).cast("long")) if whole else in_blocks(held, ["component"], [F.col("place")], _AT_A_TIME)
+        # a fixed number of tasks, as regions are much work for their bytes
+        grouped = placed.repartition(parts, "component", "_block").groupBy("component", "_block").agg(F.collect_list("region").alias("regions"), F.min("place").alias("place"))
+        held = grouped.select("component", union_of("regions").alias("region"), "place").checkpoint()
+    shown = outer_rings(held, "region", "ring", largest=True)
+    return shown.join(sizes, "component").select("component", "n", region_area("region").alias("area"), F.size("region").alias("parts"), "ring", "region")
 
 
 def select_pixels(pixels: DataFrame, by: list[str], inner_m: float, outer_m: float, factor: float = 2.0, least_q95: int = 10) -> DataFrame:

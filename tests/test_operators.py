@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import aggregates, blocks, cover, ellipsoid, fits, groups, joins, picks, series, spatial, stats
+from terrashift.operators import aggregates, blocks, cover, ellipsoid, fits, groups, joins, overlay, picks, series, spatial, stats
 
 
 def frame(spark, schema, *rows):
@@ -392,39 +392,63 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(40)) and got[45] == 41 and got[59] == 59
 
 
-def covered(point, regions):
-    return any(sum(1 for x0, x1 in spatial._bands(r, point[1]) if x0 <= point[0] <= x1) % 2 for rings in regions for r in [rings[0]])
-
-
 def test_union_outlines():
-    area = lambda rings: sum(spatial._ring_area(r) for r in rings)
-    box = lambda x, y, w, h: [np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)]
-    assert area(spatial.union_outline([box(0, 0, 2, 2), box(1, 1, 2, 2)])) == pytest.approx(7)
-    assert area(spatial.union_outline([box(0, 0, 2, 2), box(0, 0, 2, 2)])) == pytest.approx(4)  # one on the other
-    side = spatial.union_outline([box(0, 0, 1, 1), box(1, 0, 1, 1), box(0.5, 0.2, 0.2, 0.2)])  # side by side, and one inside
-    assert len(side) == 1 and area(side) == pytest.approx(2)
-    frame_ = spatial.union_outline([box(0, 0, 5, 1), box(0, 4, 5, 1), box(0, 0, 1, 5), box(4, 0, 1, 5)])  # around a hole
-    assert len(frame_) == 2 and area(frame_) == pytest.approx(16)
-    assert area(spatial.union_outline([frame_, box(2, 2, 1, 1), box(3, 3, 4, 4)])) == pytest.approx(16 + 1 + 16 - 3)
-    corners = spatial.union_outline([box(0, 0, 1, 1), box(1, 1, 1, 1)])
+    area = lambda region: sum(overlay._area(r) for p in region for r in p)
+    union = lambda *shapes: overlay.united([overlay.repair(s) for s in shapes])
+    box = lambda x, y, w, h: [[np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)]]
+    assert area(union(box(0, 0, 2, 2), box(1, 1, 2, 2))) == pytest.approx(7)
+    assert area(union(box(0, 0, 2, 2), box(0, 0, 2, 2))) == pytest.approx(4)  # one on the other
+    side = union(box(0, 0, 1, 1), box(1, 0, 1, 1), box(0.5, 0.2, 0.2, 0.2))  # side by side, and one inside
+    assert [len(p) for p in side] == [1] and area(side) == pytest.approx(2)
+    frame_ = union(box(0, 0, 5, 1), box(0, 4, 5, 1), box(0, 0, 1, 5), box(4, 0, 1, 5))  # around a hole
+    assert [len(p) for p in frame_] == [2] and area(frame_) == pytest.approx(16)
+    assert area(union(frame_, box(2, 2, 1, 1), box(3, 3, 4, 4))) == pytest.approx(16 + 1 + 16 - 3)
+    corners = union(box(0, 0, 1, 1), box(1, 1, 1, 1))
     assert len(corners) == 2 and area(corners) == pytest.approx(2)
     rng = np.random.default_rng(4)
     for _ in range(25):
         shapes = []
         for _ in range(rng.integers(2, 7)):  # stars around random places
             turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(5, 12)))
-            if np.diff(np.append(turn, turn[0] + 2 * np.pi)).max() > 3:
-                continue
-            shapes.append([rng.uniform(0, 2, 2) + rng.uniform(0.3, 1.2, len(turn))[:, None] * np.stack([np.cos(turn), np.sin(turn)], axis=1)])
+            if np.diff(np.append(turn, turn[0] + 2 * np.pi)).max() <= 3:
+                shapes.append([[rng.uniform(0, 2, 2) + rng.uniform(0.3, 1.2, len(turn))[:, None] * np.stack([np.cos(turn), np.sin(turn)], axis=1)]])
         if len(shapes) < 2:
             continue
-        rings = spatial.union_outline(shapes)
+        region = union(*shapes)
         if len(shapes) == 2:
-            p, q = (s[0] for s in shapes)
-            assert area(rings) == pytest.approx(spatial._ring_area(p) + spatial._ring_area(q) - spatial.overlap_area(p, q))
-        for point in rng.uniform(-1, 3, (60, 2)):
-            inside = sum(sum(1 for x0, x1 in spatial._bands(r, point[1]) if x0 <= point[0] <= x1) for r in rings) % 2 == 1
-            assert inside == covered(point, shapes)
+            p, q = (s[0][0] for s in shapes)
+            assert area(region) == pytest.approx(spatial._ring_area(p) + spatial._ring_area(q) - spatial.overlap_area(p, q))
+        for spot in rng.uniform(-1, 3, (60, 2)):
+            inside = any(overlay._around(p[0], spot) and not any(overlay._around(h, spot) for h in p[1:]) for p in region)
+            assert inside == any(overlay._around(s[0][0], spot) for s in shapes)
+
+
+def test_the_union_of_a_long_chain_is_linear():
+    import time
+
+    took = []
+    for n in (1500, 15_000):
+        x, y = np.arange(n) * 0.7, 0.3 * np.sin(np.arange(n) * 0.37)
+        squares = [[[np.array([(a, b), (a + 1, b), (a + 1, b + 1), (a, b + 1)])]] for a, b in zip(x, y, strict=True)]
+        start = time.perf_counter()
+        region = overlay.united(squares)
+        took.append(time.perf_counter() - start)
+        want = n - 0.3 * (1 - np.abs(np.diff(y))).sum()
+        assert [len(p) for p in region] == [1] and overlay._area(region[0][0]) == pytest.approx(want, rel=1e-9)
+    assert took[1] < 40 * took[0]
+
+
+def test_unions_of_regions_with_holes_by_neighbours(spark, monkeypatch):
+    """A chain of frames in two components, many more than are united at a time."""
+    monkeypatch.setattr(spatial, "_AT_A_TIME", 8)
+    box = lambda x, y, w: [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+    rows = [(i, [[box(3.0 * (i // 2), 50.0 * (i % 2), 4.0), box(3.0 * (i // 2) + 1, 50.0 * (i % 2) + 1, 1.0)]]) for i in range(300)]
+    polygons = frame(spark, "id int, region array<array<array<struct<x:double,y:double>>>>", *rows).repartition(3)
+    labels = frame(spark, "id int, component int", *[(i, i % 2) for i in range(300)])
+    got = {r["component"]: r for r in spatial.union_components(polygons, labels, ring="region").collect()}
+    for k in (0, 1):
+        assert (got[k]["n"], got[k]["parts"]) == (150, 1) and got[k]["area"] == pytest.approx(4.0 * (3 * 149 + 4) - 150)
+        assert len(got[k]["region"][0]) == 151 and len(got[k]["ring"]) == 4
 
 
 def test_unions_of_components(spark, monkeypatch):
