@@ -280,9 +280,11 @@ def _outlined(rings: list[np.ndarray], kind: np.ndarray, inside: Callable[[np.nd
         low, high = pairs // len(places), pairs % len(places)
         some = net.any(axis=1)
         low, high, net = low[some], high[some], net[some]
-        a, b = places[low], places[high]
+        a, b, spots = places[low], places[high], np.concatenate([start, end])
         if not len(a):
             return []
+        if (places[number] == spots).all():  # nothing moved
+            break
     left, right = _windings(a, b, net)
     to_left, to_right = inside(left), inside(right)
     along, against = to_left & ~to_right, to_right & ~to_left

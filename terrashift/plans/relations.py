@@ -24,6 +24,29 @@ def documents(spark, d):
     return writers.from_document(docs, "n_nationkey", "n_name string, n_regionkey int")
 
 
+@query(
+    "r010_trees",
+    """SELECT n_nationkey AS id, n_name AS name, n_regionkey::BIGINT AS region, (DATE '2020-02-28' + n_nationkey::INT)::VARCHAR AS since, n_nationkey * 1.5 + 0.25::DOUBLE AS total, n_name || '|tail' AS tags,
+    true AS no_note, n_nationkey % 3 AS left_out, 'OBJECT<lists: OBJECT<empty: ARRAY<VOID>, sizes: ARRAY<DOUBLE>, tags: ARRAY<STRING>>, meta: OBJECT<note: VOID, region: BIGINT, since: DATE>, name: STRING>' AS kind FROM nation""",
+)
+def trees(spark, d):
+    """Nations as nested documents, written as tagged rows, read without a schema."""
+    from terrashift.sources.trees import tree_documents, tree_rows
+
+    k = F.col("n_nationkey")
+    meta = F.struct(F.col("n_regionkey").cast("long").alias("region"), F.date_add(F.lit("2020-02-28").cast("date"), k.cast("int")).alias("since"), F.lit(None).cast("string").alias("note"))
+    lists = F.struct(F.array(k * 1.0, k * 0.5 + 0.25).alias("sizes"), F.array("n_name", F.lit("tail")).alias("tags"), F.array().cast("array<string>").alias("empty"))
+    path = scratch(spark)
+    tree_rows(table(spark, d, "nation").select(k.alias("id"), F.to_variant_object(F.struct(F.col("n_name").alias("name"), meta.alias("meta"), lists.alias("lists"))).alias("doc")), "id", "doc").write.parquet(path)
+    docs = tree_documents(spark.read.parquet(path), "id")
+    at = lambda where, kind: F.try_variant_get("document", where, kind)
+    total = at("$.lists.sizes[0]", "double") + at("$.lists.sizes[1]", "double")
+    return docs.select(
+        "id", at("$.name", "string").alias("name"), at("$.meta.region", "bigint").alias("region"), at("$.meta.since", "date").cast("string").alias("since"), total.alias("total"),
+        F.concat_ws("|", at("$.lists.tags", "array<string>")).alias("tags"), F.is_variant_null(at("$.meta.note", "variant")).alias("no_note"), (F.col("id") % 3).alias("left_out"), F.schema_of_variant("document").alias("kind"),
+    )
+
+
 @query("r012_by_key", "SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier WHERE s_nationkey < 10 GROUP BY s_nationkey")
 def by_key(spark, d):
     path = scratch(spark)
