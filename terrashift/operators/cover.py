@@ -6,6 +6,9 @@ inside stay as they are, those outside go. So a cover has about ``BORDER`` squar
 few inside for each of them and level, however large the polygon is. A point is keyed by the square it
 lies in on each level that occurs: an equi-join, in which no ring is copied. Only points in squares at a
 border are joined to the ring.
+
+Polygons of up to ``FEW`` corners are tested as fast as they would be covered: the squares that their box
+touches, some tens at most, are all taken for border, in columns without Python.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from terrashift.operators.picks import shared_checkpoints
 
 #: Squares at the border at which a cover isn't refined further, and levels at most.
 BORDER, LEVELS = 48, 24
+#: Corners of a polygon that isn't worth a finer cover.
+FEW = 32
 
 _SQUARE = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("inner", T.BooleanType())]))
 _ARROW = pa.list_(pa.struct([("level", pa.int32()), ("i", pa.int64()), ("j", pa.int64()), ("inner", pa.bool_())]))
@@ -96,6 +101,18 @@ def _squares(covers: list[list[tuple[int, int, int, bool]]]) -> pa.Array:
     return pa.array([[dict(zip(("level", "i", "j", "inner"), s, strict=True)) for s in c] for c in covers], _ARROW)
 
 
+def _box_squares(points: Column) -> Column:
+    """The squares that the box of a few corners touches, of a side that gives some of them along the longer way."""
+    along = lambda axis: F.transform(points, lambda p: p[axis])
+    low, high = {a: F.array_min(along(a)) for a in "xy"}, {a: F.array_max(along(a)) for a in "xy"}
+    wide, tall = high["x"] - low["x"], high["y"] - low["y"]
+    reach = F.greatest(*[F.abs(side[a]) for side in (low, high) for a in "xy"])
+    level = F.ceil(F.log2(F.greatest(F.greatest(wide, tall) / 8, F.sqrt(wide * tall) / 2, reach * 2.0**-38, F.lit(1e-290)))).cast("int")
+    index = lambda v: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+    square = lambda i: F.transform(F.sequence(index(low["y"]), index(high["y"])), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j"), F.lit(False).alias("inner")))
+    return F.when(F.size(points) > 2, F.flatten(F.transform(F.sequence(index(low["x"]), index(high["x"])), square)))
+
+
 def point_in_region(x: Column, y: Column, region: Column) -> Column:
     """Whether a point lies in an odd number of a region's rings: in a polygon and in none of its holes."""
     return F.aggregate(F.transform(F.flatten(region), lambda r: point_in_polygon(x, y, r)), F.lit(False), lambda inside, c: inside != c)
@@ -110,9 +127,15 @@ def containment_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     """
     shared_checkpoints(polygons.sparkSession)
     is_region = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
-    covered = (region_cover if is_region else ring_cover)(ring)
-    numbered = polygons.withColumns({"_polygon": F.monotonically_increasing_id(), "_squares": covered}).checkpoint()
-    squares = numbered.select("_polygon", F.explode("_squares").alias("_s")).select("_polygon", "_s.*").withColumnsRenamed({"level": "_level", "i": "_i", "j": "_j", "inner": "_inner"})
+    numbered = polygons.withColumn("_polygon", F.monotonically_increasing_id()).checkpoint()
+    corners = F.filter(F.flatten(F.flatten(ring)) if is_region else F.col(ring), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    shaped = numbered.select("_polygon", F.col(ring).alias("_shape"), corners.alias("_corners"))
+    few, many = shaped.filter(F.size("_corners") <= FEW), shaped.filter(F.size("_corners") > FEW)
+    # a fixed number of tasks: a cover is much work for its bytes
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = many.select("_polygon", "_shape").repartition(parts).select("_polygon", (region_cover if is_region else ring_cover)("_shape").alias("_squares"))
+    covered = few.select("_polygon", _box_squares(F.col("_corners")).alias("_squares")).unionByName(fine).checkpoint()
+    squares = covered.select("_polygon", F.explode("_squares").alias("_s")).select("_polygon", "_s.*").withColumnsRenamed({"level": "_level", "i": "_i", "j": "_j", "inner": "_inner"})
     levels = [r[0] for r in squares.select("_level").distinct().collect()]
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col(x) / 2.0**n).cast("long").alias("_i"), F.floor(F.col(y) / 2.0**n).cast("long").alias("_j")) for n in sorted(levels)]))
     if not levels:

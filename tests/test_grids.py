@@ -47,7 +47,7 @@ def write_grid(path, lon, lat, z, version=1, packed=False, records=False):
         at += sizes[n]
     data = header(begins) + b"".join(pad(body[n][0].tobytes()) for n in fixed)
     if records:
-        data += b"".join(pad(body[n][0][i].tobytes()) for i in range(len(lat)) for n in body if n not in fixed)
+        data += b"".join(pad(body[n][0][i : i + 1].tobytes()) for i in range(len(lat)) for n in body if n not in fixed)
     path.write_bytes(data)
 
 
