@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrashift.functions.geo import point_in_polygon
-from terrashift.operators.picks import shared_checkpoints
+from terrashift.operators.picks import kept
 
 #: Squares at the border at which a cover isn't refined further, and levels at most.
 BORDER, LEVELS = 48, 24
@@ -125,17 +125,14 @@ def containment_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     even-odd rule. Polygons are written once with a number each. The levels that occur, some tens at
     most, come to the driver.
     """
-    shared_checkpoints(polygons.sparkSession)
     is_region = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
-    numbered = polygons.withColumn("_polygon", F.monotonically_increasing_id()).checkpoint()
+    rest = [c for c in polygons.columns if c != ring]
     corners = F.filter(F.flatten(F.flatten(ring)) if is_region else F.col(ring), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    shaped = numbered.select("_polygon", F.col(ring).alias("_shape"), corners.alias("_corners"))
-    few, many = shaped.filter(F.size("_corners") <= FEW), shaped.filter(F.size("_corners") > FEW)
-    # a fixed number of tasks: a cover is much work for its bytes
-    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = many.select("_polygon", "_shape").repartition(parts).select("_polygon", (region_cover if is_region else ring_cover)("_shape").alias("_squares"))
-    covered = few.select("_polygon", _box_squares(F.col("_corners")).alias("_squares")).unionByName(fine).checkpoint()
-    squares = covered.select("_polygon", F.explode("_squares").alias("_s")).select("_polygon", "_s.*").withColumnsRenamed({"level": "_level", "i": "_i", "j": "_j", "inner": "_inner"})
+    # the Python function sees a ring only where it has many corners
+    large = (region_cover if is_region else ring_cover)(F.when(F.size(corners) > FEW, F.col(ring)))
+    squared = F.when(F.size(corners) <= FEW, _box_squares(corners)).otherwise(large)
+    numbered = kept(polygons.withColumns({"_polygon": F.monotonically_increasing_id(), "_squares": squared}), "covers")
+    squares = numbered.select(*rest, "_polygon", F.explode("_squares").alias("_s")).select(*rest, "_polygon", "_s.*").withColumnsRenamed({"level": "_level", "i": "_i", "j": "_j", "inner": "_inner"})
     levels = [r[0] for r in squares.select("_level").distinct().collect()]
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col(x) / 2.0**n).cast("long").alias("_i"), F.floor(F.col(y) / 2.0**n).cast("long").alias("_j")) for n in sorted(levels)]))
     if not levels:
@@ -145,6 +142,4 @@ def containment_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     shapes = numbered.select("_polygon", F.col(ring).alias("_ring"))
     holds = (point_in_region if is_region else point_in_polygon)(F.col(x), F.col(y), F.col("_ring"))
     at_border = met.filter(~F.col("_inner")).join(shapes, "_polygon").filter(holds).drop("_ring")
-    found = met.filter("_inner").unionByName(at_border).drop("_inner")
-    rest = [c for c in polygons.columns if c != ring]
-    return found.join(numbered.select("_polygon", *rest), "_polygon").drop("_polygon") if rest else found.drop("_polygon")
+    return met.filter("_inner").unionByName(at_border).drop("_inner", "_polygon")

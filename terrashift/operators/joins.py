@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terrashift.functions.coerce import filled
 from terrashift.functions.geo import cell_index, chord_to_metres
 from terrashift.operators.blocks import BLOCK_ROWS, last_known
-from terrashift.operators.picks import number_rows, shared_checkpoints
+from terrashift.operators.picks import kept, number_rows
 
 #: A key with more rows than this, and than 1 / MAX_HOT of all rows, is dealt to several tasks.
 HOT_ROWS, MAX_HOT = 1_000, 10_000
@@ -31,8 +31,7 @@ def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, row: str, w
     it is ``written`` already.
     """
     if not written:
-        shared_checkpoints(few.sparkSession)
-        few = few.checkpoint()
+        few = kept(few, "few")
     total = few.agg(F.sum(rows)).first()[0] or 0
     most = max(HOT_ROWS, total // MAX_HOT)
     parts = lambda: F.ceil(F.col(rows) / most).cast("int")
@@ -80,7 +79,6 @@ def spatial_tree(items: DataFrame, low: list[str], high: list[str], by: list[str
     ``LEAF`` at most, wherever they lie and however close. Nodes of many items are split by ranks over
     ranges of all items, the others in one task each.
     """
-    shared_checkpoints(items.sparkSession)
     names = [f"_m{i}" for i in range(len(low))]
     held = items.withColumns({m: ((F.col(a) + F.col(b)) / 2).cast("double") for m, a, b in zip(names, low, high, strict=True)}).withColumn("_node", F.lit(0).cast("long"))
     key, depth = F.xxhash64(F.lit(1), *by, "_node"), 0
@@ -97,13 +95,13 @@ def spatial_tree(items: DataFrame, low: list[str], high: list[str], by: list[str
         first = ranked.groupBy("_key").agg(F.min("_rank").alias("_first"), F.count("*").alias("_rows"))
         placed = dealt_join(ranked, first, "_key", "_rows", "_rank")
         part = F.floor((F.col("_rank") - F.col("_first")) / F.ceil(F.col("_n") / (1 << FAN_BITS))).cast("long")
-        held = placed.withColumn("_node", F.shiftleft("_node", FAN_BITS) + part).select(*held.columns).checkpoint()
-        depth += 1
+        held = placed.withColumn("_node", F.shiftleft("_node", FAN_BITS) + part).select(*held.columns)
+        held, depth = kept(held, "tree"), depth + 1
     further = _depth(largest, LEAF)
     if further:
         axes = len(names)
         held = held.groupBy(*by, "_node").applyInArrow(lambda t: _split_further(t, axes, further), held.schema)
-    return held.drop(*names).checkpoint(), depth + further
+    return kept(held.drop(*names), "tree"), depth + further
 
 
 def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: list[str], high: list[str], by: list[str] | None = None, other: bool = False) -> DataFrame:

@@ -50,16 +50,15 @@ def extreme_row(df: DataFrame, by: list[str], value: str, tie: str, largest: boo
 def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """Rows numbered from 1 in a global order, without bringing them into one task.
 
-    Rows are range-partitioned and sorted, checkpointed so that the ranges stay what they are, and
+    Rows are range-partitioned and sorted, written so that the ranges stay what they are, and
     numbered by their place plus the count of all partitions before. Only one row for each partition
     is summed up in order. Rows that tie in ``order`` are told apart by a hash of all their columns,
     so a value that a third of all rows have fills a third of all ranges. Give an order without ties
     for stable numbers.
     """
-    shared_checkpoints(df.sparkSession)
     order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).checkpoint()
+    placed = kept(placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
@@ -68,9 +67,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> Dat
 
 def total_before(df: DataFrame, order: list[Column], weight: str, name: str) -> DataFrame:
     """The sum of ``weight`` over all rows before each in a global order without ties, by ranges as in :func:`number_rows`."""
-    shared_checkpoints(df.sparkSession)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}).checkpoint()
+    placed = kept(placed.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "summed")
     sizes = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,7 +93,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/terrashift/{name}-{uuid.uuid4().hex}"
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoints go to the shared folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends there and lost executors cost a rerun of their tasks.
+
+    A checkpoint would do the work twice, once to count and once to write.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from terrashift.operators.cover import containment_join
 from terrashift.operators.ellipsoid import WGS84_A, WGS84_F, ring_area_perimeter
 from terrashift.operators.joins import nearest_leaves
 from terrashift.operators.overlay import as_region, outer_rings, region_area, region_bounds, repaired, union_of
-from terrashift.operators.picks import shared_checkpoints
+from terrashift.operators.picks import kept
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
@@ -214,12 +214,11 @@ def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id") -> D
     """(id, component): the least id that each node reaches over edges (a, b); edges to other ids don't count.
 
     Rounds of large-star and small-star steps end when all components are stars, without a cap.
-    ``checkpoint`` cuts the lineage.
+    Each round is written, which cuts the lineage.
     """
-    shared_checkpoints(nodes.sparkSession)
     ids = nodes.select(F.col(ident).alias("id"))
     inside = edges.select("a", "b").join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
-    labels = connected_components(inside, lambda df: df.checkpoint()).withColumnRenamed("node", "id")
+    labels = connected_components(inside, lambda df: kept(df, "components")).withColumnRenamed("node", "id")
     return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -247,13 +246,13 @@ def union_components(polygons: DataFrame, labels: DataFrame, ident: str = "id",
     task before it is united, and each round's work is that of the edges that are left. Polygons without
     an area don't count.
     """
-    shared_checkpoints(polygons.sparkSession)
     is_region = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
     shapes = polygons.select(F.col(ident).alias("id"), repaired(F.col(ring) if is_region else as_region(ring)).alias("region"))
     members = shapes.join(labels.select("id", "component"), "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
     box = region_bounds("region")
-    held = members.select("component", "region", ((box["x0"] + box["x1"]) / 2).alias("cx"), ((box["y0"] + box["y1"]) / 2).alias("cy")).checkpoint()
+    held = members.select("component", "region", ((box["x0"] + box["x1"]) / 2).alias("cx"), ((box["y0"] + box["y1"]) / 2).alias("cy"))
+    held = kept(held, "regions")
     low = held.agg(F.min("cx").alias("x"), F.min("cy").alias("y"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-300)).alias("size")).first()
     square = lambda c, start: F.coalesce(F.floor((F.col(c) - F.lit(start or 0.0)) / F.lit(low["size"] or 1.0) * 65535), F.lit(0)).cast("long")
     held = held.select("component", "region", _curve_place(square("cx", low["x"]), square("cy", low["y"])).alias("place"))
@@ -264,7 +263,8 @@ def union_components(polygons: DataFrame, labels: DataFrame, ident: str = "id",
         placed = held.withColumn("_block", F.lit(0).cast("long")) if whole else in_blocks(held, ["component"], [F.col("place")], _AT_A_TIME)
         # a fixed number of tasks, as regions are much work for their bytes
         grouped = placed.repartition(parts, "component", "_block").groupBy("component", "_block").agg(F.collect_list("region").alias("regions"), F.min("place").alias("place"))
-        held = grouped.select("component", union_of("regions").alias("region"), "place").checkpoint()
+        held = grouped.select("component", union_of("regions").alias("region"), "place")
+        held = kept(held, "unions")
     shown = outer_rings(held, "region", "ring", largest=True)
     return shown.join(sizes, "component").select("component", "n", region_area("region").alias("area"), F.size("region").alias("parts"), "ring", "region")
 

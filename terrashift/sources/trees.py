@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrashift.operators.picks import shared_checkpoints
+from terrashift.operators.picks import kept
 
 # Fixed names of the kinds of leaves.
 GROUP, JSON, NULL, TEXT, TEXTS, TIME, TIMES = "dict", "json", "null", "utf-8", "utf-8[]", "datetime-iso", "datetime-iso[]"
@@ -66,7 +66,6 @@ def tree_rows(df: DataFrame, key: str, document: str) -> DataFrame:
     ``path`` is an array of names. Deeper levels are looked at as long as there are groups.
     """
     spark = df.sparkSession
-    shared_checkpoints(spark)
     level = df.select(F.col(key).alias("_key"), F.array().cast("array<string>").alias("path"), F.col(document).alias("v")).filter("v IS NOT NULL")
     found = None
     while True:
@@ -74,7 +73,7 @@ def tree_rows(df: DataFrame, key: str, document: str) -> DataFrame:
         full = (F.col("tag") == GROUP) & (F.schema_of_variant("v") != "OBJECT<>")
         leaves = tagged.filter(~full).select("_key", "path", "tag", _text(F.col("tag"), F.col("v")).alias("value"))
         found = leaves if found is None else found.unionByName(leaves)
-        groups = tagged.filter(full).select("_key", "path", "v").checkpoint()
+        groups = kept(tagged.filter(full).select("_key", "path", "v"), "groups")
         if groups.isEmpty():
             return found.select(F.col("_key").alias(key), "path", "tag", "value")
         parts = groups.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
