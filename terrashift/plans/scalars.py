@@ -282,10 +282,12 @@ def wkt(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), geo.closed_ring_wkt([(a, F.lit(0.0)), (a, F.lit(1.0)), (F.lit(0.5), F.lit(1.0))]).alias("wkt"))
 
 
-@query("f134_sensitivity", "SELECT a AS azimuth, round(abs(cos(radians(a) - radians(-100))), 6) AS down, round(abs(cos(radians(a) - radians(100))), 6) AS up FROM (SELECT unnest(range(0, 360, 5)) AS a)")
+@query("f134_sensitivity", "SELECT p_partkey AS id, a AS azimuth, round(abs(cos(radians(a) - radians(-100))), 6) AS down, round(abs(cos(radians(a) - radians(100))), 6) AS up FROM (SELECT p_partkey, (p_partkey * 7 + p_size) % 360 AS a FROM part)")
 def sensitivity(spark, d):
-    a = F.col("id").cast("double")
-    return spark.range(0, 360, 5).select(F.col("id").alias("azimuth"), r(geo.look_sensitivity(a, -100.0)).alias("down"), r(geo.look_sensitivity(a, 100.0)).alias("up"))
+    """How well two look directions see motion along the azimuth of each part."""
+    a = (F.col("p_partkey") * 7 + F.col("p_size")) % 360
+    seen = lambda heading: r(geo.look_sensitivity(a.cast("double"), heading))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), a.alias("azimuth"), seen(-100.0).alias("down"), seen(100.0).alias("up"))
 
 
 @query("f135_arrows", f"WITH {TWO_SQL} SELECT id, CASE WHEN v2 - v1 - 0.3 > 0 THEN 'up' WHEN v2 - v1 + 0.3 < 0 THEN 'down' ELSE 'ns' END AS arrow FROM two")

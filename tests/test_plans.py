@@ -97,6 +97,6 @@ def test_resampled_fits_and_draws_are_those_of_the_survey(spark, monkeypatch):
     monkeypatch.setattr(fits, "decay_grid_fit", lambda c, by, t, y, e, betas, ends: seen.append((betas, ends)) or fit(c, by, t, y, e, betas[:2], ends[:2]))
     QUERIES["c162_resampled_fit"](spark, DATA)
     assert np.allclose(seen[0][0], np.linspace(0.1, 2.0, 100)) and np.allclose(seen[0][1], np.linspace(0.7, 1.0, 40))
-    for name, plan in (("bootstrap_median_difference", "t151_bootstrap"), ("bootstrap_by_ranks", "t151_bootstrap_ranks")):
+    for name, plan in (("bootstrap_median_difference", "t151_bootstrap_seeded"), ("bootstrap_by_ranks", "t151_bootstrap")):
         monkeypatch.setattr(stats, name, lambda *a, draws, seed: (draws, seed))
         assert QUERIES[plan](spark, DATA) == (10_000, 123)
