@@ -101,16 +101,22 @@ def _squares(covers: list[list[tuple[int, int, int, bool]]]) -> pa.Array:
     return pa.array([[dict(zip(("level", "i", "j", "inner"), s, strict=True)) for s in c] for c in covers], _ARROW)
 
 
-def _box_squares(points: Column) -> Column:
-    """The squares that the box of a few corners touches, of a side that gives some of them along the longer way."""
-    along = lambda axis: F.transform(points, lambda p: p[axis])
-    low, high = {a: F.array_min(along(a)) for a in "xy"}, {a: F.array_max(along(a)) for a in "xy"}
-    wide, tall = high["x"] - low["x"], high["y"] - low["y"]
-    reach = F.greatest(*[F.abs(side[a]) for side in (low, high) for a in "xy"])
+def _with_box_squares(df: DataFrame, corners: Column) -> DataFrame:
+    """``df`` with ``_corners`` and ``_few``: the squares that the box of a few corners touches, of a side that gives some of them along the longer way.
+
+    Each step is a column of its own, so that nothing is computed again for every square.
+    """
+    along = lambda axis: F.transform("_corners", lambda p: p[axis])
+    df = df.withColumn("_corners", corners).withColumns({f"_{name}{a}": pick(along(a)) for a in "xy" for name, pick in (("low", F.array_min), ("high", F.array_max))})
+    wide, tall = F.col("_highx") - F.col("_lowx"), F.col("_highy") - F.col("_lowy")
+    reach = F.greatest(*[F.abs(f"_{side}{a}") for side in ("low", "high") for a in "xy"])
     level = F.ceil(F.log2(F.greatest(F.greatest(wide, tall) / 8, F.sqrt(wide * tall) / 2, reach * 2.0**-38, F.lit(1e-290)))).cast("int")
-    index = lambda v: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
-    square = lambda i: F.transform(F.sequence(index(low["y"]), index(high["y"])), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j"), F.lit(False).alias("inner")))
-    return F.when(F.size(points) > 2, F.flatten(F.transform(F.sequence(index(low["x"]), index(high["x"])), square)))
+    df = df.withColumn("_level", level).withColumn("_side", F.pow(F.lit(2.0), F.col("_level")))
+    index = lambda v: F.floor(F.col(v) / F.col("_side")).cast("long")
+    df = df.withColumns({f"_{a}s": F.sequence(index(f"_low{a}"), index(f"_high{a}")) for a in "xy"})
+    square = lambda i: F.transform("_ys", lambda j: F.struct(F.col("_level").alias("level"), i.alias("i"), j.alias("j"), F.lit(False).alias("inner")))
+    few = F.when((F.size("_corners") > 2) & (F.size("_corners") <= FEW), F.flatten(F.transform("_xs", square)))
+    return df.withColumn("_few", few).drop("_level", "_side", "_xs", "_ys", *[f"_{side}{a}" for side in ("low", "high") for a in "xy"])
 
 
 def point_in_region(x: Column, y: Column, region: Column) -> Column:
@@ -129,9 +135,10 @@ def containment_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     rest = [c for c in polygons.columns if c != ring]
     corners = F.filter(F.flatten(F.flatten(ring)) if is_region else F.col(ring), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     # the Python function sees a ring only where it has many corners
-    large = (region_cover if is_region else ring_cover)(F.when(F.size(corners) > FEW, F.col(ring)))
-    squared = F.when(F.size(corners) <= FEW, _box_squares(corners)).otherwise(large)
-    numbered = kept(polygons.withColumns({"_polygon": F.monotonically_increasing_id(), "_squares": squared}), "covers")
+    large = (region_cover if is_region else ring_cover)(F.when(F.size("_corners") > FEW, F.col(ring)))
+    shaped = _with_box_squares(polygons.withColumn("_polygon", F.monotonically_increasing_id()), corners)
+    squared = shaped.withColumn("_squares", F.when(F.size("_corners") > FEW, large).otherwise(F.col("_few")))
+    numbered = kept(squared.drop("_corners", "_few"), "covers")
     squares = numbered.select(*rest, "_polygon", F.explode("_squares").alias("_s")).select(*rest, "_polygon", "_s.*").withColumnsRenamed({"level": "_level", "i": "_i", "j": "_j", "inner": "_inner"})
     levels = [r[0] for r in squares.select("_level").distinct().collect()]
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col(x) / 2.0**n).cast("long").alias("_i"), F.floor(F.col(y) / 2.0**n).cast("long").alias("_j")) for n in sorted(levels)]))
