@@ -144,7 +144,9 @@ def containment_join(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.floor(F.col(x) / 2.0**n).cast("long").alias("_i"), F.floor(F.col(y) / 2.0**n).cast("long").alias("_j")) for n in sorted(levels)]))
     if not levels:
         return points.limit(0).join(polygons.drop(ring).limit(0), F.lit(True))
-    placed = points.select("*", at.alias("_at")).select(*[F.col(f"`{c}`") for c in points.columns], "_at.*")
+    # a fixed number of tasks: points are few bytes and meet many squares, each with a test
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = points.repartition(parts).select("*", at.alias("_at")).select(*[F.col(f"`{c}`") for c in points.columns], "_at.*")
     met = placed.join(squares, ["_level", "_i", "_j"]).drop("_level", "_i", "_j")
     shapes = numbered.select("_polygon", F.col(ring).alias("_ring"))
     holds = (point_in_region if is_region else point_in_polygon)(F.col(x), F.col(y), F.col("_ring"))

@@ -100,3 +100,42 @@ def test_resampled_fits_and_draws_are_those_of_the_survey(spark, monkeypatch):
     for name, plan in (("bootstrap_median_difference", "t151_bootstrap_seeded"), ("bootstrap_by_ranks", "t151_bootstrap")):
         monkeypatch.setattr(stats, name, lambda *a, draws, seed: (draws, seed))
         assert QUERIES[plan](spark, DATA) == (10_000, 123)
+
+
+@pytest.fixture
+def repeated(spark, duck, tmp_path):
+    """Customers and suppliers 13,200 keys further on, where places and shapes repeat, and views of them."""
+
+    def make(times):
+        for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+            sql = f"SELECT t.* REPLACE ({key} + 13200 * i AS {key}) FROM '{DATA}/{name}.parquet' t, range({times}) r(i)"
+            duck.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con = duck.cursor()
+        for name in ("customer", "supplier"):
+            con.sql(f"CREATE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+        return str(tmp_path), con
+
+    return make
+
+
+def same_as_sql(name, spark, con, path):
+    df, rel = QUERIES[name](spark, path), con.sql(ORACLES[name])
+    columns = sorted(df.columns)
+    mine = sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+    at = [rel.columns.index(c) for c in columns]
+    return len(mine), mine == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["s051_containment", "s051_regions"])
+def test_equal_shapes_meet_a_place_once(spark, repeated, monkeypatch, name):
+    from terrashift.operators import cover
+
+    seen, join = [], cover.containment_join
+    monkeypatch.setattr(cover, "containment_join", lambda *a, **k: seen.append(join(*a, **k)) or seen[-1])
+    path, con = repeated(1)
+    QUERIES[name](spark, path)
+    once = seen[-1].count()
+    path, con = repeated(4)
+    rows, same = same_as_sql(name, spark, con, path)
+    assert same and rows > 0
+    assert seen[-1].count() <= (once if name == "s051_containment" else 4 * once)
