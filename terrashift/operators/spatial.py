@@ -195,19 +195,53 @@ def clip_to(rings: pd.Series, windows: pd.Series) -> pd.Series:
     return pd.Series([[{"x": x, "y": y} for x, y in clip_convex(_points(r), _points(w)).tolist()] for r, w in zip(rings, windows, strict=True)])
 
 
-def overlapping_pairs(polygons: DataFrame, ident: str, near: float, least_share: float = 0.3, ring: str = "ring") -> DataFrame:
-    """(a, b) with a < b: centres within ``near`` (units of the rings) and a shared area of at least
-    ``least_share`` of the smaller polygon. Centres meet in grid cells of that size."""
-    p = polygons.select(F.col(ident).alias("id"), F.col(ring).alias("ring")).withColumn("area", plane_area("ring"))
-    p = with_bbox(p).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+def _overlapping_shapes(polygons: DataFrame, ident: str, near: float, least_share: float, ring: str) -> tuple[DataFrame, DataFrame]:
+    """(id, shape) of every polygon with a ring, and the pairs (a <= b) of shapes that overlap, with themselves too.
+
+    A shape is a ring, however many polygons have it. Centres meet in grid cells of side ``near``, on a
+    fixed number of tasks.
+    """
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = polygons.select(F.col(ident).alias("id"), F.col(ring).alias("ring")).filter("ring IS NOT NULL")
+    p = kept(named.select("ring").distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    members = kept(named.join(p, "ring").select("id", "shape"), "members")
+    p = with_bbox(p.repartition(parts).withColumn("area", plane_area("ring"))).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    p = kept(p, "shapes")
     cell = lambda c: F.floor(F.col(c) / near).cast("long")
     right = p.select(*[F.col(c).alias(f"r_{c}") for c in p.columns]).withColumns({"_i": F.floor(F.col("r_cx") / near).cast("long"), "_j": F.floor(F.col("r_cy") / near).cast("long")})
     left = p.withColumn("_i", F.explode(F.sequence(cell("cx") - 1, cell("cx") + 1))).withColumn("_j", F.explode(F.sequence(cell("cy") - 1, cell("cy") + 1)))
     close = F.hypot(F.col("cx") - F.col("r_cx"), F.col("cy") - F.col("r_cy")) <= near
     boxes = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
-    pairs = left.join(right, ["_i", "_j"]).filter((F.col("id") < F.col("r_id")) & close & boxes)
+    pairs = left.join(right, ["_i", "_j"]).filter((F.col("shape") <= F.col("r_shape")) & close & boxes)
     enough = shared_area("ring", "r_ring") >= least_share * F.least("area", "r_area")
-    return pairs.filter(enough).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+    return members, kept(pairs.repartition(parts).filter(enough).select(F.col("shape").alias("a"), F.col("r_shape").alias("b")), "overlaps")
+
+
+def overlapping_pairs(polygons: DataFrame, ident: str, near: float, least_share: float = 0.3, ring: str = "ring") -> DataFrame:
+    """(a, b) with a < b: centres within ``near`` (units of the rings) and a shared area of at least
+    ``least_share`` of the smaller polygon.
+
+    Only different rings are compared; the pairs of their copies are a plain join.
+    """
+    members, shapes = _overlapping_shapes(polygons, ident, near, least_share, ring)
+    first = shapes.withColumnRenamed("a", "shape").join(members, "shape").select(F.col("id").alias("_a"), (F.col("shape") == F.col("b")).alias("_own"), F.col("b").alias("shape"))
+    # a fixed number of tasks: a row becomes as many as its shape has copies
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.repartition(parts).join(members, "shape").filter(F.when(F.col("_own"), F.col("_a") < F.col("id")).otherwise(F.col("_a") != F.col("id")))
+    return both.select(F.least("_a", "id").alias("a"), F.greatest("_a", "id").alias("b"))
+
+
+def overlapping_components(polygons: DataFrame, ident: str, near: float, least_share: float = 0.3, ring: str = "ring") -> DataFrame:
+    """(id, component): the least id that each polygon reaches over :func:`overlapping_pairs`, without making the pairs of copies."""
+    members, shapes = _overlapping_shapes(polygons, ident, near, least_share, ring)
+    linked = connected_components(shapes, lambda df: kept(df, "components")).withColumnRenamed("node", "shape")
+    # a shape without others is a component if it overlaps itself; one without an area or with odd corners may not
+    own = shapes.filter("a = b").select(F.col("a").alias("shape"), F.col("a").alias("_self"))
+    labels = own.join(linked, "shape", "full").select("shape", F.coalesce("component", "_self").alias("_group"))
+    grouped = kept(members.join(labels, "shape").select("id", "_group"), "grouped")
+    least = grouped.groupBy("_group").agg(F.min("id").alias("component"))
+    found = grouped.join(least, "_group").groupBy("id").agg(F.min("component").alias("component"))
+    return polygons.select(F.col(ident).alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id") -> DataFrame:
@@ -244,24 +278,25 @@ def union_components(polygons: DataFrame, labels: DataFrame, ident: str = "id",
     ``area`` that of all parts. Neighbours on a curve through the plane are united some tens at a time,
     so that their common edges go at once, in as many rounds as that takes: no component has to fit one
     task before it is united, and each round's work is that of the edges that are left. Polygons without
-    an area don't count.
+    an area count in ``n`` alone, and copies of a shape are united once.
     """
     is_region = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
-    shapes = polygons.select(F.col(ident).alias("id"), repaired(F.col(ring) if is_region else as_region(ring)).alias("region"))
-    members = shapes.join(labels.select("id", "component"), "id")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = polygons.select(F.col(ident).alias("id"), F.col(ring).alias("_shape")).join(labels.select("id", "component"), "id")
+    copies = kept(members.groupBy("component", "_shape").agg(F.count("*").alias("n")), "shapes")
+    sizes = copies.groupBy("component").agg(F.sum("n").alias("n"))
+    # a fixed number of tasks, as regions are much work for their bytes
+    shapes = copies.repartition(parts).select("component", repaired(F.col("_shape") if is_region else as_region("_shape")).alias("region"))
     box = region_bounds("region")
-    held = members.select("component", "region", ((box["x0"] + box["x1"]) / 2).alias("cx"), ((box["y0"] + box["y1"]) / 2).alias("cy"))
+    held = shapes.select("component", "region", ((box["x0"] + box["x1"]) / 2).alias("cx"), ((box["y0"] + box["y1"]) / 2).alias("cy"))
     held = kept(held, "regions")
     low = held.agg(F.min("cx").alias("x"), F.min("cy").alias("y"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-300)).alias("size")).first()
     square = lambda c, start: F.coalesce(F.floor((F.col(c) - F.lit(start or 0.0)) / F.lit(low["size"] or 1.0) * 65535), F.lit(0)).cast("long")
     held = held.select("component", "region", _curve_place(square("cx", low["x"]), square("cy", low["y"])).alias("place"))
-    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = False
     while not whole:
         whole = fits_a_block(held, ["component"], _AT_A_TIME)
         placed = held.withColumn("_block", F.lit(0).cast("long")) if whole else in_blocks(held, ["component"], [F.col("place")], _AT_A_TIME)
-        # a fixed number of tasks, as regions are much work for their bytes
         grouped = placed.repartition(parts, "component", "_block").groupBy("component", "_block").agg(F.collect_list("region").alias("regions"), F.min("place").alias("place"))
         held = grouped.select("component", union_of("regions").alias("region"), "place")
         held = kept(held, "unions")

@@ -139,3 +139,17 @@ def test_equal_shapes_meet_a_place_once(spark, repeated, monkeypatch, name):
     rows, same = same_as_sql(name, spark, con, path)
     assert same and rows > 0
     assert seen[-1].count() <= (once if name == "s051_containment" else 4 * once)
+
+
+@pytest.mark.parametrize("name", ["s052_overlaps", "s136_clusters", "s136_unions"])
+def test_equal_shapes_are_compared_once(spark, repeated, monkeypatch, name):
+    from terrashift.operators import spatial
+
+    seen, components = [], spatial.connected_components
+    monkeypatch.setattr(spatial, "connected_components", lambda edges, keep: seen.append(edges.count()) or components(edges, keep))
+    path, con = repeated(1)
+    QUERIES[name](spark, path)
+    path, con = repeated(3)
+    rows, same = same_as_sql(name, spark, con, path)
+    assert same and rows > 0
+    assert len(set(seen)) == (0 if name == "s052_overlaps" else 1)  # no links of copies
