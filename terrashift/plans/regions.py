@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrashift.operators.overlay import clip_regions, overlay, region_area, region_perimeter
+from terrashift.operators.picks import once_each
 from terrashift.plans.registry import query, r, scratch, table
 from terrashift.sources import readers, writers
 
@@ -80,5 +81,5 @@ def remainders(spark, d):
     """What one window leaves of each region, and what lies in one of both alone."""
     window = _windows(spark, d).filter("window_id = 2").select("window")
     both = _regions(spark, d).join(F.broadcast(window.limit(1)))  # one row
-    laid = both.select("id", overlay("region", "window", "difference").alias("rest"), overlay("region", "window", "symmetric").alias("either"))
+    laid = once_each(both, ["region", "window"], rest=overlay("region", "window", "difference"), either=overlay("region", "window", "symmetric"))
     return laid.select("id", r(region_area("rest"), 9).alias("rest"), r(region_area("either"), 9).alias("either"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from terrashift.functions.coerce import nan_to_null
 from terrashift.operators.overlay import repaired
-from terrashift.operators.picks import total_before
+from terrashift.operators.picks import once_each, total_before
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def read_regions(spark: SparkSession, path: str, source: str, lines: bool = Fals
     corner = lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y"))
     region = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, corner)))
     read = features.select(F.lit(source).alias("source"), "feature", "properties", region.alias("region")).filter("region IS NOT NULL")
-    return read.withColumn("region", repaired("region")) if repair else read
+    return once_each(read, ["region"], region=repaired("region")).select(*read.columns) if repair else read
 
 
 _LINEAR = "LinearRing: array<struct<coordinates: string>>"
@@ -129,7 +129,7 @@ def read_layers(spark: SparkSession, path: str, source: str, levels: int = 6, re
     whole = F.concat(F.transform(F.coalesce("Document", F.array().cast(f"array<{container}>")), lambda d: placemarks(d, F.lit(""), levels)), F.array(placemarks(top, F.lit(""), levels)))
     found = rows.select(F.col("_metadata.file_name").alias("file"), F.explode(F.flatten(whole)).alias("p"))
     read = found.select(F.lit(source).alias("source"), "file", "p.layer", F.col("p.placemark.name").alias("name"), _kml_region(F.col("p.placemark")).alias("region")).filter(F.size("region") > 0)
-    return read.withColumn("region", repaired("region")) if repair else read
+    return once_each(read, ["region"], region=repaired("region")).select(*read.columns) if repair else read
 
 
 def read_placemarks(spark: SparkSession, path: str, source: str) -> DataFrame:

@@ -104,11 +104,11 @@ def test_resampled_fits_and_draws_are_those_of_the_survey(spark, monkeypatch):
 
 @pytest.fixture
 def repeated(spark, duck, tmp_path):
-    """Customers and suppliers 13,200 keys further on, where places and shapes repeat, and views of them."""
+    """Customers and suppliers 118,800 keys further on, where places and shapes repeat, and views of them."""
 
     def make(times):
         for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
-            sql = f"SELECT t.* REPLACE ({key} + 13200 * i AS {key}) FROM '{DATA}/{name}.parquet' t, range({times}) r(i)"
+            sql = f"SELECT t.* REPLACE ({key} + 118800 * i AS {key}) FROM '{DATA}/{name}.parquet' t, range({times}) r(i)"
             duck.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
         con = duck.cursor()
         for name in ("customer", "supplier"):
@@ -153,3 +153,32 @@ def test_equal_shapes_are_compared_once(spark, repeated, monkeypatch, name):
     rows, same = same_as_sql(name, spark, con, path)
     assert same and rows > 0
     assert len(set(seen)) == (0 if name == "s052_overlaps" else 1)  # no links of copies
+
+
+@pytest.mark.parametrize("name", ["r014_repaired", "s034_overlay", "s034_remainders", "s034_clip", "s127_metrics", "s127_octants"])
+def test_much_work_is_done_once_for_equal_values(spark, duck, repeated, monkeypatch, name):
+    from terrashift.operators import overlay, picks
+
+    seen, kept = {}, picks.kept
+    for module in (picks, overlay):
+        monkeypatch.setattr(module, "kept", lambda df, what: seen.update({what: kept(df, what)}) or seen[what])
+    path, con = repeated(4)
+    con.sql(f"CREATE TEMP VIEW region AS SELECT * FROM '{DATA}/region.parquet'")
+    con.sql(f"COPY (SELECT * FROM region) TO '{path}/region.parquet' (FORMAT parquet)")
+    if name in ORACLES:
+        rows, same = same_as_sql(name, spark, con, path)
+        assert same and rows > 0
+    else:
+        assert QUERIES[name](spark, path).count() == 4 * con.sql("SELECT count(DISTINCT c_custkey % 118800) FROM customer").fetchall()[0][0]
+    done = seen["parts" if name == "s034_overlay" else "results"].count()
+    assert 0 < done <= 150 * (5 if name == "s034_overlay" else 1)
+
+
+def test_results_of_equal_values_join_back_with_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from terrashift.operators.picks import once_each
+
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 > 0, F.array((F.col("id") % 4).cast("double"))).alias("v"))
+    got = {r["id"]: (r["v"], r["n"]) for r in once_each(df, ["v"], n=F.coalesce(F.size("v"), F.lit(0)), v=F.concat("v", "v")).collect()}
+    assert len(got) == 40 and got[5] == ([1.0, 1.0], 1) and got[4][0] is None
