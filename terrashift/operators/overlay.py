@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrashift.operators.picks import kept
+
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 REGION = T.ArrayType(T.ArrayType(T.ArrayType(_POINT)))
 _ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
@@ -399,8 +401,9 @@ def clip_regions(regions: DataFrame, windows: DataFrame, region: str = "region",
     """``regions`` cut by each of ``windows`` that they share an area with: their columns, ``region`` is the shared part.
 
     Both are covered by cells of side ``cell`` and meet in the first cell that their boxes share, so each
-    pair is laid out once.
+    pair is laid out once, and once for all rows with equal regions or windows.
     """
+    shapes, frames = (kept(df.select(name).filter(F.col(name).isNotNull()).distinct(), "shapes") for df, name in ((regions, region), (windows, window)))
     index = lambda c: F.floor(c / cell).cast("long")
 
     def covered(df: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -410,13 +413,14 @@ def clip_regions(regions: DataFrame, windows: DataFrame, region: str = "region",
             df = df.withColumn(f"_c{axis}", F.explode(F.sequence(index(F.col(f"{prefix}{axis}0")), index(F.col(f"{prefix}{axis}1")))))
         return df
 
-    left, right = covered(regions, region, "_l"), covered(windows, window, "_r")
+    left, right = covered(shapes.withColumnRenamed(region, "_shape"), "_shape", "_l"), covered(frames.withColumnRenamed(window, "_frame"), "_frame", "_r")
     met = left.join(right, ["_cx", "_cy"])
     for axis in ("x", "y"):
         first = index(F.greatest(f"_l{axis}0", f"_r{axis}0"))
         met = met.filter((F.col(f"_c{axis}") == first) & (F.col(f"_l{axis}0") <= F.col(f"_r{axis}1")) & (F.col(f"_r{axis}0") <= F.col(f"_l{axis}1")))
-    kept = [c for c in [*regions.columns, *[c for c in windows.columns if c not in regions.columns]]]
     # a fixed number of tasks: pairs are few bytes and much work, and would be put together by their bytes
     parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = met.select(*[F.col(f"`{c}`") for c in kept]).repartition(parts).withColumn(region, overlay(region, window))
-    return cut.filter(F.size(region) > 0)
+    cut = kept(met.select("_shape", "_frame").repartition(parts).withColumn("_part", overlay("_shape", "_frame")).filter(F.size("_part") > 0), "parts")
+    own = [c for c in windows.columns if c not in regions.columns]
+    found = regions.join(cut, F.col(region) == F.col("_shape")).join(windows.select(F.col(window).alias("_same"), *own), F.col("_frame") == F.col("_same"))
+    return found.select(*[F.col("_part").alias(c) if c == region else F.col(f"`{c}`") for c in [*regions.columns, *own]])
