@@ -97,10 +97,11 @@ def best_decay(t: np.ndarray, y: np.ndarray, event: float, betas: np.ndarray, en
     return best[1]
 
 
-def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event: float, ends: list[float], before: float = 4 / 12) -> DataFrame:
+def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event: float, ends: list[float], before: float = 4 / 12, fallback: bool = True) -> DataFrame:
     """(by, k, b, c, beta, rmse) for a fixed break: ln(c - y) is regressed on time for each end level c.
 
-    Without a usable end level the line goes on, with a decay rate of 0.
+    Without a usable end level the line goes on, with a decay rate of 0; without ``fallback`` such curves,
+    and those without a line before the break, give no row.
     """
     used = curves.filter(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*by, (F.col(t) - event).alias("s"), F.col(y).alias("y"))
     pre = used.filter("s < 0")
@@ -108,7 +109,8 @@ def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event:
     line = pre.filter(F.col("s") >= -before).groupBy(*by).agg(F.regr_slope("y", "s").alias("slope"), F.regr_intercept("y", "s").alias("level"))
     first = used.filter("s >= 0").groupBy(*by).agg(F.min_by("y", "s").alias("first"))
     two = F.col("m") >= 2
-    lines = used.select(*by).distinct().join(count, by, "left").join(line, by, "left").join(first, by, "left").select(
+    known = used.select(*by).distinct().join(count, by, "left").join(line, by, "left").join(first, by, "left")
+    lines = (known if fallback else known.filter("slope IS NOT NULL")).select(
         *by, F.when(two, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("k"),
         F.when(two, F.coalesce("level", "last")).otherwise(F.coalesce("last", "first")).alias("y1"),
     )
@@ -124,7 +126,7 @@ def decay_loglinear_fit(curves: DataFrame, by: list[str], t: str, y: str, event:
     )
     plain = lines.join(best, by, "left_anti").join(used, by).groupBy(*by, "k", "y1").agg(off(F.col("k") * F.col("s") + F.col("y1")).alias("rmse"))
     plain = plain.select(*by, "k", "y1", (F.col("y1") + 1e-6).alias("c"), F.lit(0.0).alias("beta"), "rmse")
-    return best.unionByName(plain).select(*by, "k", (F.col("y1") - F.col("k") * event).alias("b"), "c", "beta", "rmse")
+    return (best.unionByName(plain) if fallback else best).select(*by, "k", (F.col("y1") - F.col("k") * event).alias("b"), "c", "beta", "rmse")
 
 
 def decay_times(k: Column, beta: Column, amplitude: Column) -> dict[str, Column]:

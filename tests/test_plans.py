@@ -182,3 +182,59 @@ def test_results_of_equal_values_join_back_with_nulls(spark):
     df = spark.range(40).select("id", F.when(F.col("id") % 4 > 0, F.array((F.col("id") % 4).cast("double"))).alias("v"))
     got = {r["id"]: (r["v"], r["n"]) for r in once_each(df, ["v"], n=F.coalesce(F.size("v"), F.lit(0)), v=F.concat("v", "v")).collect()}
     assert len(got) == 40 and got[5] == ([1.0, 1.0], 1) and got[4][0] is None
+
+
+def test_curves_above_all_end_levels_give_no_row(spark, monkeypatch):
+    from terrashift.plans import timeseries
+
+    fixture = spark.createDataFrame([("g", i / 10, 5.0 + i / 100) for i in range(40)], "g string, t double, y double")
+    monkeypatch.setattr(timeseries, "_curves", lambda spark, d: fixture)
+    assert QUERIES["c160_log_fit"](spark, DATA).count() == 0
+
+
+def from_range(duck, tmp_path, table, key, n):
+    """``n`` rows of a table with keys from 0, its own rows repeated, in a folder and as a view."""
+    duck.sql(f"COPY (SELECT t.* REPLACE (row_number() OVER () - 1 AS {key}) FROM '{DATA}/{table}.parquet' t, range({n}) LIMIT {n}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    return con
+
+
+def test_numbers_beyond_three_digits_are_those_of_sql(spark, duck, tmp_path):
+    con = from_range(duck, tmp_path, "supplier", "s_suppkey", 1100)
+    assert same_as_sql("p092_dense_ids", spark, con, str(tmp_path)) == (1100, True)
+
+
+def test_a_gain_of_zero_is_divided_as_in_sql(spark, duck, tmp_path):
+    con = duck.cursor()
+    con.sql(f"COPY (SELECT * REPLACE (50 AS p_size, 5890 AS p_partkey) FROM '{DATA}/part.parquet' LIMIT 1) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert same_as_sql("f124_look_gain", spark, con, str(tmp_path)) == (1, True)
+
+
+def test_pixels_of_one_number_are_one(spark):
+    from terrashift.operators.spatial import mean_nearest_distance
+
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, i // 5, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 90, (200, 2)))]
+    got = {r["c"]: (r["mean_nn"], r["n"]) for r in mean_nearest_distance(spark.createDataFrame(rows, "c int, p int, x double, y double"), ["c"], ident="p").collect()}
+    for c in (0, 1):
+        own = [r for r in rows if r[0] == c]
+        least = {}
+        for a in own:
+            least[a[1]] = min([least.get(a[1], math.inf), *(math.hypot(a[2] - b[2], a[3] - b[3]) for b in own if b[1] != a[1])])
+        assert got[c] == (pytest.approx(np.mean(list(least.values()))), len(least))
+
+
+@pytest.mark.parametrize("name", ["j042_nearest", "s025_nearest_line"])
+def test_a_place_is_searched_once(spark, repeated, monkeypatch, name):
+    from terrashift.operators import geodesy, joins
+
+    seen, leaves = [], joins.nearest_leaves
+    for module in (geodesy, joins):
+        monkeypatch.setattr(module, "nearest_leaves", lambda targets, *a, **k: seen.append(targets.count()) or leaves(targets, *a, **k))
+    for times in (1, 3):
+        path, con = repeated(times)
+        rows, same = same_as_sql(name, spark, con, path)
+        assert same and rows == 150 * times
+    assert name == "s025_nearest_line" or seen[0] == seen[1]
