@@ -76,12 +76,16 @@ def los_gain(incidence: Column, azimuth: Column, slope: Column, aspect: Column)
     return east + north - F.cos(inc) * F.sin(s)
 
 
-def los_to_downslope(los: Column, gain: Column) -> Column:
-    return F.try_divide(los, gain)
+def los_to_downslope(los: Column, gain: Column, null_at_zero: bool = True) -> Column:
+    """Where nothing is seen null, or what a division of doubles by this zero gives."""
+    if null_at_zero:
+        return F.try_divide(los, gain)
+    sign = F.signum(los) * F.when(F.atan2(gain, F.lit(-1.0)) < 0, -1.0).otherwise(1.0)  # zeros have signs
+    return F.when(gain == 0, F.when(los == 0, F.lit(math.nan)).otherwise(sign * F.lit(math.inf))).otherwise(F.try_divide(los, gain))
 
 
-def downslope_to_los(value: Column, gain: Column) -> Column:
-    return F.when(gain != 0, value * gain)
+def downslope_to_los(value: Column, gain: Column, null_at_zero: bool = True) -> Column:
+    return F.when(gain != 0, value * gain) if null_at_zero else value * gain
 
 
 def look_sensitivity(azimuth: Column, heading_deg: float) -> Column:
