@@ -56,13 +56,16 @@ def nearest_segment(points: DataFrame, segments: DataFrame, ident: str, line: st
     """(ident, line, distance): the nearest of the segments (line, x1, y1, x2, y2) to each point (ident, x, y), in plane units.
 
     Segments are found by their boxes, see :func:`terrashift.operators.joins.nearest_leaves`; of equal
-    segments the smallest line is held. Cut long lines into short segments first.
+    segments the smallest line is held, and points in the same place are one search. Cut long lines
+    into short segments first.
     """
     ends = ("x1", "y1", "x2", "y2")
     held = segments.dropna(subset=list(ends)).groupBy(*ends).agg(F.min(line).alias(line))
     end = lambda pick, axis: pick(F.col(f"{axis}1"), F.col(f"{axis}2"))
     boxed = held.withColumns({f"_{name}{axis}": end(pick, axis) for name, pick in (("low", F.least), ("high", F.greatest)) for axis in "xy"})
-    met = nearest_leaves(points.select(ident, "x", "y").dropna(subset=["x", "y"]).distinct(), boxed, ["x", "y"], ["_lowx", "_lowy"], ["_highx", "_highy"])
+    known = points.select(ident, "x", "y").dropna(subset=["x", "y"])
+    met = nearest_leaves(known.select("x", "y").distinct(), boxed, ["x", "y"], ["_lowx", "_lowy"], ["_highx", "_highy"])
     gap = segment_distance(*[F.col(c) for c in ("x", "y", *ends)])
-    best = met.groupBy(ident).agg(F.min(F.struct(gap.alias("d"), F.col(line))).alias("_b"))
+    found = met.groupBy("x", "y").agg(F.min(F.struct(gap.alias("d"), F.col(line))).alias("_b"))
+    best = known.join(found, ["x", "y"]).groupBy(ident).agg(F.min("_b").alias("_b"))
     return best.select(ident, F.col(f"_b.{line}").alias(line), F.col("_b.d").alias("distance"))

@@ -104,7 +104,7 @@ def spatial_tree(items: DataFrame, low: list[str], high: list[str], by: list[str
     return kept(held.drop(*names), "tree"), depth + further
 
 
-def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: list[str], high: list[str], by: list[str] | None = None, other: bool = False) -> DataFrame:
+def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: list[str], high: list[str], by: list[str] | None = None, other: bool = False, label: str | None = None) -> DataFrame:
     """Targets and items (columns ``low``, ``high``: the corners of a box in the space of ``at``) that may be nearest to each other.
 
     Items are held in a tree, see :func:`spatial_tree`, each node with the box of what it covers. From
@@ -112,18 +112,21 @@ def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: lis
     ends. So a target meets a few nodes of each level, a row each with all children in an array, and at
     last the items of a few leaves, wherever the items are. No two items may have the same box: bring
     those together first. With ``by`` only items of the same group meet; with ``other`` a target may be
-    among the items itself, and the nearest other item is kept too. Ties are kept.
+    among the items itself, and the nearest other item is kept too. With ``label``, a column of targets,
+    the nearest item with another one is kept too; an item has the least and greatest of its labels as
+    ``_la`` and ``_lz``. Ties are kept.
     """
     by = by or []
     tree, depth = spatial_tree(items, low, high, by)
     box = [F.min(c).alias(f"l{i}") for i, c in enumerate(low)] + [F.max(c).alias(f"h{i}") for i, c in enumerate(high)]
-    boxed = tree.groupBy(*by, "_node").agg(F.count("*").alias("n"), *box)
+    ends = lambda: [F.min("_la").alias("_la"), F.max("_lz").alias("_lz")] if label else []
+    boxed = tree.groupBy(*by, "_node").agg(F.count("*").alias("n"), *box, *ends())
     levels = []  # from the leaves up: the children of each node
     for _ in range(depth):
         sides = [f"{side}{i}" for side in "lh" for i in range(len(at))]
-        child = F.struct("_node", "n", *sides)
+        child = F.struct("_node", "n", *sides, *(["_la", "_lz"] if label else []))
         levels.append(boxed.groupBy(*by, F.shiftright("_node", FAN_BITS).alias("_at")).agg(F.collect_list(child).alias("_children")))
-        boxed = boxed.groupBy(*by, F.shiftright("_node", FAN_BITS).alias("_node")).agg(F.sum("n").alias("n"), *[(F.min if s[0] == "l" else F.max)(s).alias(s) for s in sides])
+        boxed = boxed.groupBy(*by, F.shiftright("_node", FAN_BITS).alias("_node")).agg(F.sum("n").alias("n"), *[(F.min if s[0] == "l" else F.max)(s).alias(s) for s in sides], *ends())
     length = lambda parts: F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 
     def seen(c: Column) -> Column:
@@ -132,6 +135,8 @@ def nearest_leaves(targets: DataFrame, items: DataFrame, at: list[str], low: lis
         near, far = length(gaps), length(reach)
         # a node that holds the target alone says nothing about others
         sure = F.when((c["n"] > 1) | (near > 0), far).otherwise(F.lit(float("inf"))) if other else far
+        if label:  # so does one whose items all have the target's label
+            sure = F.when((c["_la"] != F.col(label)) | (c["_lz"] != F.col(label)), far).otherwise(F.lit(float("inf")))
         return F.struct(c["_node"].alias("node"), near.alias("near"), sure.alias("sure"))
 
     least = lambda bound: bound * (1 + 1e-9) + 1e-12
@@ -153,16 +158,18 @@ def nearest_join(targets: DataFrame, support: DataFrame, target_id: str, support
     """(target_id, support_id, distance_m): the nearest support of each target, the smallest id at equal distance.
 
     Points are placed on the unit sphere and found by :func:`nearest_leaves`, far or near; of supports
-    in the same place only the smallest id is held.
+    in the same place only the smallest id is held, and targets in the same place are one search.
     """
     known = lambda df: df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
     t = _on_sphere(known(targets).select(target_id, lon, lat).distinct(), lon, lat).select(target_id, "_x", "_y", "_z")
     place = ["_sx", "_sy", "_sz"]
     s = _on_sphere(known(support), lon, lat).select(F.col(support_id), *[F.col(c).alias(f"_s{c[1:]}") for c in ("_x", "_y", "_z")])
     s = s.groupBy(*place).agg(F.min(support_id).alias(support_id))
-    pairs = nearest_leaves(t, s, ["_x", "_y", "_z"], place, place)
+    at = ["_x", "_y", "_z"]
+    pairs = nearest_leaves(t.select(*at).distinct(), s, at, place, place)
     gap = lambda c: (F.col(f"_{c}") - F.col(f"_s{c}")) * (F.col(f"_{c}") - F.col(f"_s{c}"))
-    best = pairs.groupBy(target_id).agg(F.min(F.struct(F.sqrt(gap("x") + gap("y") + gap("z")).alias("_d"), support_id)).alias("_b"))
+    found = pairs.groupBy(*at).agg(F.min(F.struct(F.sqrt(gap("x") + gap("y") + gap("z")).alias("_d"), support_id)).alias("_b"))
+    best = t.join(found, at).groupBy(target_id).agg(F.min("_b").alias("_b"))
     return best.select(target_id, F.col(f"_b.{support_id}").alias(support_id), chord_to_metres(F.col("_b._d")).alias("distance_m"))
 
 
