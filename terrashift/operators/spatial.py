@@ -324,12 +324,19 @@ def select_pixels(pixels: DataFrame, by: list[str], inner_m: float, outer_m: flo
     return chosen.filter(F.when(F.col("label") == "q95", F.col("above95")).otherwise(F.col("above75"))).drop("_q", "above75", "above95")
 
 
-def mean_nearest_distance(cluster: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
+def mean_nearest_distance(cluster: DataFrame, by: list[str], x: str = "x", y: str = "y", ident: str | None = None) -> DataFrame:
     """(by, mean_nn, n) over the pixels of each cluster, on a plane: the mean distance to the nearest other pixel.
 
     Places that several pixels share are 0 for each of them; the others are found by
-    :func:`terrashift.operators.joins.nearest_leaves`. A cluster of one pixel gives no row.
+    :func:`terrashift.operators.joins.nearest_leaves`. A cluster of one pixel gives no row. With ``ident``
+    all places with the same value are one pixel, and the nearest one has another value.
     """
+    if ident:
+        spots = cluster.dropna(subset=[x, y, ident]).select(*by, F.col(ident).alias("_label"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
+        items = spots.groupBy(*by, F.col("_x").alias("_ox"), F.col("_y").alias("_oy")).agg(F.min("_label").alias("_la"), F.max("_label").alias("_lz"))
+        met = nearest_leaves(spots, items, ["_x", "_y"], ["_ox", "_oy"], ["_ox", "_oy"], by, label="_label")
+        gap = F.when((F.col("_la") != F.col("_label")) | (F.col("_lz") != F.col("_label")), F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")))
+        return met.groupBy(*by, "_label").agg(F.min(gap).alias("d")).filter("d IS NOT NULL").groupBy(*by).agg(F.avg("d").alias("mean_nn"), F.count("*").alias("n"))
     spots = cluster.dropna(subset=[x, y]).groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_times"))
     items = spots.select(*by, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
     met = nearest_leaves(spots, items, ["_x", "_y"], ["_ox", "_oy"], ["_ox", "_oy"], by, other=True)
