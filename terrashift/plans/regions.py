@@ -81,5 +81,5 @@ def remainders(spark, d):
     """What one window leaves of each region, and what lies in one of both alone."""
     window = _windows(spark, d).filter("window_id = 2").select("window")
     both = _regions(spark, d).join(F.broadcast(window.limit(1)))  # one row
-    laid = once_each(both, ["region", "window"], rest=overlay("region", "window", "difference"), either=overlay("region", "window", "symmetric"))
-    return laid.select("id", r(region_area("rest"), 9).alias("rest"), r(region_area("either"), 9).alias("either"))
+    laid = once_each(both, ["region", "window"], **{n: r(region_area(overlay("region", "window", how)), 9) for n, how in (("rest", "difference"), ("either", "symmetric"))})
+    return laid.select("id", "rest", "either")
