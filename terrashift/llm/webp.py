@@ -9,9 +9,9 @@ back-references for runs.
 
 ``decode_media`` reads any lossless WebP (VP8L) stream: prefix codes, back-references, colour cache,
 and the predictor, cross-colour, subtract-green and palette transforms. It walks all images of a
-batch in step, one pixel of each at a time in numpy, and inverts predictors along diagonals of all
-images. Images with several code groups, which are not written here, are read one by one by
-``decode_stream``, a plain decoder of all features that tests hold against the other.
+batch in step, their codes too, one token of each at a time in numpy, and inverts predictors along
+diagonals of all images. Images with several code groups, which are not written here, are read one by
+one by ``decode_stream``, a plain decoder of all features that tests hold against the other.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal media; repeated rows
 are stored one by one; an empty table gives an empty table; other columns are ignored.
@@ -345,11 +345,15 @@ CACHE_BITS, BLOCK_BITS = 6, 3
 _TRIED = (0, 1, 2, 12)
 #: Cross-colour multipliers that it tries, in 32nds.
 _MULTIPLIERS = (-16, 16, 32)
-#: Images that are written together.
-MAX_IMAGES = 50_000
+#: Images that are written together: few, so that their arrays stay in a core's cache; image and slot must fit into 16 bits.
+MAX_IMAGES = 256
 _RAREST = 1024  # rarer symbols count as one of so many: no code is longer than 11 bits
 
 
+#: Code space that a code of each length takes up when it gets shorter by one; lengths of 0 and 1 never do.
+_GAIN = np.array([1 << 30, 1 << 30] + [1 << (_MAX_CODE - n) for n in range(2, _MAX_CODE + 1)])
+
+
 def _code_lengths(counts: np.ndarray) -> np.ndarray:
     """Complete code lengths for each row of counts, near -log2 of the shares; rows of one used symbol get length 1 for it.
 
@@ -360,36 +364,41 @@ def _code_lengths(counts: np.ndarray) -> np.ndarray:
     out = (counts > 0).astype(np.int64)
     if not several.any():
         return out
-    counts = counts[several]
+    symbols = np.flatnonzero(counts.any(axis=0))
+    counts = counts[np.ix_(several, symbols)]
     counts = np.where(counts > 0, np.maximum(counts, counts.sum(axis=1, keepdims=True) / _RAREST), 0)
     total = counts.sum(axis=1, keepdims=True)
     want = np.ceil(np.log2(total / np.where(counts > 0, counts, 1))).astype(np.int64)
     lengths = np.where(counts > 0, np.clip(want, 1, _MAX_CODE), 0)
     order = np.argsort(-counts, axis=1, kind="stable")[:, : int((counts > 0).sum(axis=1).max())]
-    ordered = np.take_along_axis(lengths, order, axis=1)
-    spare = (1 << _MAX_CODE) - np.where(ordered > 0, 1 << (_MAX_CODE - ordered), 0).sum(axis=1)
+    ordered = np.ascontiguousarray(np.take_along_axis(lengths, order, axis=1).T)
+    spare = (1 << _MAX_CODE) - np.where(ordered > 0, 1 << (_MAX_CODE - ordered), 0).sum(axis=0)
     while (spare > 0).any():
-        for k in range(ordered.shape[1]):
-            own = ordered[:, k]
-            gain = np.where(own > 1, 1 << (_MAX_CODE - own), 1 << 30)
+        for own in ordered:
+            gain = _GAIN.take(own)
             take = gain <= spare
-            own[take] -= 1
-            spare -= np.where(take, gain, 0)
-    np.put_along_axis(lengths, order, ordered, axis=1)
-    out[several] = lengths
+            own -= take
+            spare -= gain * take
+    np.put_along_axis(lengths, order, ordered.T, axis=1)
+    out[np.ix_(several, symbols)] = lengths
     return out
 
 
 def _stream_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of each row, bits in the order of the stream."""
-    longest = int(lengths.max())
-    codes, first, before = np.zeros_like(lengths), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for n in range(1, longest + 1):
-        mine = lengths == n
-        first = (first + before) << 1
-        codes += np.where(mine, first[:, None] + np.cumsum(mine, axis=1) - 1, 0)
-        before = mine.sum(axis=1)
-    return np.where(lengths > 0, _REVERSED[codes] >> (_MAX_CODE - lengths), 0)
+    out, rows = np.zeros_like(lengths), len(lengths)
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol]
+    group = row << 4 | size
+    count = np.bincount(group, minlength=rows << 4).reshape(rows, 16)
+    first = np.zeros_like(count)
+    for n in range(1, 16):
+        first[:, n] = (first[:, n - 1] + count[:, n - 1]) << 1
+    order = np.argsort(group, kind="stable")
+    codes = np.empty(len(group), np.int64)
+    codes[order] = np.arange(len(group)) - (np.cumsum(count) - count.ravel() - first.ravel())[group[order]]
+    out[row, symbol] = _REVERSED[codes] >> (_MAX_CODE - size)
+    return out
 
 
 # The code for code lengths is the same in all images: thirteen symbols of 4 bits, six of 5.
@@ -430,6 +439,62 @@ def _zeros(n: int) -> str:
     return _OWN_TEXT[18] + _text_bits(n - 11, 7) if n >= 11 else _OWN_TEXT[17] + _text_bits(n - 3, 3) if n >= 3 else _OWN_TEXT[0] * n
 
 
+def _number(text: str) -> int:
+    return int(text[::-1] or "0", 2)
+
+
+# The same for whole tables: bits for 0 to 344 unused symbols in a row, then one of each length.
+_ZERO_BITS = np.array([len(_zeros(n)) for n in range(_LITERALS + _LENGTHS + (1 << CACHE_BITS) + 1)])
+_ZERO_VALUE = np.array([_number(_zeros(n)) for n in range(len(_ZERO_BITS))], np.uint64)
+_OWN_BITS, _OWN_VALUE = np.array(_OWN_LENGTHS), np.array(_OWN_CODES, np.uint64)
+
+
+class Words:
+    """Streams being written, each from a 64-bit word of one buffer on; ``at`` is the bit where each goes on."""
+
+    def __init__(self, bits: np.ndarray):
+        size = (bits + 63) // 64
+        self.begin = self.at = 64 * (np.cumsum(size) - size)
+        self.words = np.zeros(int(size.sum()) + 2, np.uint64)
+
+    def put(self, owner: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+        """Tokens of at most 64 bits, by stream."""
+        total = np.bincount(owner, bits, len(self.at)).astype(np.int64)
+        start = np.cumsum(bits) - bits + (self.at - np.cumsum(total) + total)[owner]
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        groups = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        if len(owner):
+            self.words[word[groups]] |= np.add.reduceat(value << shift, groups)  # bits don't overlap: a sum is an or
+        over = np.flatnonzero((start & 63) + bits > 64)
+        self.words[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+        self.at = self.at + total
+
+    def put_one(self, value: np.ndarray | int, bits: np.ndarray | int) -> None:
+        """One token for each stream."""
+        n = len(self.at)
+        self.put(np.arange(n), np.broadcast_to(np.asarray(value, np.uint64), n), np.broadcast_to(bits, n))
+
+
+def _code_tokens(lengths: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_code_text`` gives for each row cut at its size, as (row, value, bits) of tokens, three parts one after another."""
+    row, symbol = np.nonzero(lengths)
+    used, rows = np.bincount(row, minlength=len(lengths)), np.arange(len(lengths))
+    last = symbol[np.cumsum(used) - 1]
+    one = (used == 1) & (last < 256)
+    zeros = np.diff(symbol, prepend=-1) - 1
+    first = np.cumsum(used) - used
+    zeros[first] = symbol[first]
+    own = lengths[row, symbol]
+    kept = ~one[row]
+    value = _ZERO_VALUE[zeros] | _OWN_VALUE[own] << _ZERO_BITS[zeros].astype(np.uint64)
+    left = np.where(one, 0, sizes - 1 - last)
+    return [
+        (rows, np.where(one, 5 | last << 3, _number(_CODE_HEAD)).astype(np.uint64), np.where(one, 11, len(_CODE_HEAD))),
+        (row[kept], value[kept], (_ZERO_BITS[zeros] + _OWN_BITS[own])[kept]),
+        (rows, _ZERO_VALUE[left], _ZERO_BITS[left]),
+    ]
+
+
 def _side_images(images: list[np.ndarray]) -> list[str]:
     """Images of transforms (palettes, modes or multipliers), rows of alpha, red, green and blue: literals only."""
     if not images:
@@ -437,16 +502,18 @@ def _side_images(images: list[np.ndarray]) -> list[str]:
     sizes = np.fromiter(map(len, images), np.int64, len(images))
     owner = np.repeat(np.arange(len(images)), sizes)
     every = np.concatenate(images)
-    texts, data = [], []
-    for channel in (2, 1, 3, 0):  # green, red, blue, alpha
-        values = every[:, channel]
-        lengths = _code_lengths(_histograms(owner, values, len(images), 280 if channel == 2 else 256))
-        texts.append([_code_text(row) for row in lengths.tolist()])
-        taken = np.where((lengths > 0).sum(axis=1, keepdims=True) > 1, lengths, 0)
-        codes = _stream_codes(taken)
-        data.append([_text_bits(c, n) for c, n in zip(codes[owner, values].tolist(), taken[owner, values].tolist(), strict=True)])
-    pixels, ends = ["".join(p) for p in zip(*data, strict=True)], np.cumsum(sizes).tolist()
-    return ["0" + "".join(t) + _one_symbol(0) + "".join(pixels[e - n : e]) for t, e, n in zip(zip(*texts, strict=True), ends, sizes.tolist(), strict=True)]
+    n = len(images)
+    channels = [every[:, c] for c in (2, 1, 3, 0)]  # green, red, blue, alpha
+    lengths = _code_lengths(np.concatenate([_histograms(owner, c, n, _LITERALS + _LENGTHS) for c in channels]))
+    texts = [_code_text(row if k < n else row[:256]) for k, row in enumerate(lengths.tolist())]
+    taken = np.where((lengths > 0).sum(axis=1, keepdims=True) > 1, lengths, 0)
+    codes = _stream_codes(taken)
+    value, bits = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for k, channel in enumerate(channels):
+        value |= codes[owner + k * n, channel] << bits
+        bits += taken[owner + k * n, channel]
+    pixels, ends = [_text_bits(v, b) for v, b in zip(value.tolist(), bits.tolist(), strict=True)], np.cumsum(sizes).tolist()
+    return ["0" + "".join(texts[i::n]) + _one_symbol(0) + "".join(pixels[e - m : e]) for i, (e, m) in enumerate(zip(ends, sizes.tolist(), strict=True))]
 
 
 def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,12 +528,6 @@ def _histograms(owner: np.ndarray, values: np.ndarray, images: int, size: int =
     return np.bincount(owner * size + values, minlength=images * size).reshape(images, size)
 
 
-def _order(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Stable order by image, then value, both below 65,536: two radix sorts."""
-    first = np.argsort(values.astype(np.uint16), kind="stable")
-    return first[np.argsort(owner.astype(np.uint16)[first], kind="stable")]
-
-
 def _bits(counts: np.ndarray) -> np.ndarray:
     """Bits of all symbols of each row by its entropy, and some for describing the code."""
     total = counts.sum(axis=1, keepdims=True)
@@ -481,22 +542,26 @@ def _predicted(planes: np.ndarray, start: np.ndarray, rows: np.ndarray, owner: n
     have predictors of their own.
     """
     images, size = len(rows), planes.shape[1]
-    place = np.arange(size) - start[owner]
     high, across = -(-rows >> BLOCK_BITS), WIDTH >> BLOCK_BITS
     first = across * (np.cumsum(high) - high)
-    block = first[owner] + (place // WIDTH >> BLOCK_BITS) * across + (place % WIDTH >> BLOCK_BITS)
-    on_top, on_left = place < WIDTH, place % WIDTH == 0
+    tops = start // WIDTH  # the row of all on which each image begins
+    row = np.arange(size // WIDTH) - np.repeat(tops, rows)
+    block = ((np.repeat(first, rows) + (row >> BLOCK_BITS) * across)[:, None] + (np.arange(WIDTH) >> BLOCK_BITS)).ravel()
     at = lambda back: np.concatenate((planes[:, :1].repeat(back, axis=1), planes[:, :-back]), axis=1)[:, :size]
     left, top, corner = at(1), at(WIDTH), at(WIDTH + 1)
-    zero = np.zeros_like(planes)
-    edge = np.where(on_top, np.where(on_left, zero, left), top)
-    inside = ~(on_top | on_left)
+    slope = np.clip(left.astype(np.int16) + top - corner, 0, 255).astype(np.uint8)
+    by_left, by_top = planes - left, planes - top  # of bytes: modulo 256
+    grid = lambda a: a.reshape(2, -1, WIDTH)
+    tried = [planes.copy(), by_left.copy(), by_top.copy(), planes - slope]
+    for t in tried:
+        grid(t)[:, :, 0] = grid(by_top)[:, :, 0]
+        grid(t)[:, tops] = grid(by_left)[:, tops]
+        grid(t)[:, tops, 0] = grid(planes)[:, tops, 0]
     price = (1 + 2 * np.log2(1 + np.abs((np.arange(256) ^ 128) - 128.0))).astype(np.float32)
     counts = [_histograms(owner, p, images) for p in planes]
     own = [np.log2((c.sum(axis=1, keepdims=True) + 256) / (c + 1)).astype(np.float32).ravel() for c in counts]
-    guesses = (zero, left, top, np.clip(left + top - corner, 0, 255))
-    tried = [(planes - np.where(inside, g, edge)) & 255 for g in guesses]
-    costs = [np.bincount(block, own[0][owner << 8 | planes[0]] + own[1][owner << 8 | planes[1]] if m == 0 else price[t].sum(axis=0), int(across * high.sum())) for m, t in zip(_TRIED, tried, strict=True)]
+    raw = owner << 8
+    costs = [np.bincount(block, own[0].take(raw | planes[0]) + own[1].take(raw | planes[1]) if m == 0 else price.take(t[0]) + price.take(t[1]), int(across * high.sum())) for m, t in zip(_TRIED, tried, strict=True)]
     chosen = np.argmin(np.stack(costs), axis=0)
     before = sum(map(_bits, counts))
     several = np.minimum.reduceat(chosen, first) != np.maximum.reduceat(chosen, first)
@@ -528,21 +593,25 @@ def _uncrossed(planes: np.ndarray, owner: np.ndarray, predicted: np.ndarray) ->
     An image with a predictor takes the best multiplier, any other only one that pays, else 0 for none.
     """
     images = len(predicted)
-    red, signed = planes[0], (planes[1] ^ 128) - 128
+    red, green = planes
+    signed = (np.arange(256) ^ 128) - 128
+    shares = np.array([(m * signed) >> 5 & 255 for m in (0, *_MULTIPLIERS)]).astype(np.uint8)  # what green takes from red
     plain = _bits(_histograms(owner, red, images))
     best, chosen = np.where(predicted, np.inf, plain - 70), np.zeros(images, np.int64)
-    for m in _MULTIPLIERS:
-        bits = _bits(_histograms(owner, (red - ((m * signed) >> 5)) & 255, images))
-        chosen = np.where(bits < best, m, chosen)
+    for k in range(1, len(shares)):
+        bits = _bits(_histograms(owner, red - shares[k].take(green), images))
+        chosen = np.where(bits < best, k, chosen)
         best = np.minimum(best, bits)
-    return (red - ((chosen[owner] * signed) >> 5)) & 255, np.where(chosen != 0, plain - best - 70, 0), chosen
+    if chosen.any():
+        red = red - shares[chosen[owner], green]
+    return red, np.where(chosen != 0, plain - best - 70, 0), np.array((0, *_MULTIPLIERS))[chosen]
 
 
 def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     """One RIFF file for each tile (a multiple of 64 bytes, at most TILE)."""
     images = len(tiles)
     rows = np.fromiter(map(len, tiles), np.int64, images) // SAMPLES
-    planes = np.ascontiguousarray(np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 2).T).astype(np.int32)  # red and green
+    planes = np.ascontiguousarray(np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 2).T)  # red and green
     pixels = rows * WIDTH
     start = np.cumsum(pixels) - pixels
     owner = np.repeat(np.arange(images), pixels)
@@ -550,17 +619,12 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     residual, bits, modes = _predicted(planes, start, rows, owner)
     crossed, saved, multipliers = _uncrossed(residual, owner, np.array([m is not None for m in modes]))
     # or a palette, where the entropy of indexes and the colours themselves take less
-    pixel = owner << 16 | planes[0] << 8 | planes[1]
-    order = _order(owner, pixel & 0xFFFF)
-    ranked = pixel[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    colours, counts = ranked[new], np.diff(np.append(np.flatnonzero(new), len(ranked)))
-    index = np.empty(len(ranked), np.int64)
-    index[order] = np.cumsum(new) - 1
+    ranked = np.sort(owner.astype(np.uint32) << 16 | planes[0].astype(np.uint32) << 8 | planes[1])
+    begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    colours, counts = ranked[begin].astype(np.int64), np.diff(np.append(begin, len(ranked)))
     of_colour = colours >> 16
     n_colours = np.bincount(of_colour, minlength=images)
     first_colour = np.cumsum(n_colours) - n_colours
-    index = index - first_colour[owner]
     by_index = np.bincount(of_colour, counts * np.log2(pixels[of_colour] / counts), images) + 16 * n_colours + 160
     palette = (n_colours <= 256) & (by_index < bits - saved)
     packed = np.where(n_colours <= 2, 3, np.where(n_colours <= 4, 2, np.where(n_colours <= 16, 1, 0)))
@@ -570,9 +634,10 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
         own = colours[first_colour[i] : first_colour[i] + n_colours[i]] & 0xFFFF
         k = int(packed[i])
         each = 8 >> k
-        ids = index[start[i] : start[i] + pixels[i]].reshape(-1, 1 << k)
-        coded_g[i] = (ids << (each * np.arange(1 << k))).sum(axis=1)
-        coded_r[i] = np.zeros(len(ids), np.int64)
+        its = planes[:, start[i] : start[i] + pixels[i]].astype(np.int64)
+        ids = np.searchsorted(own, its[0] << 8 | its[1]).reshape(-1, 1 << k)
+        coded_g[i] = (ids << (each * np.arange(1 << k))).sum(axis=1).astype(np.uint8)
+        coded_r[i] = np.zeros(len(ids), np.uint8)
     for i in np.flatnonzero(~palette).tolist():
         coded_r[i], coded_g[i] = crossed[start[i] : start[i] + pixels[i]], residual[1, start[i] : start[i] + pixels[i]]
         if modes[i] is not None:
@@ -592,21 +657,19 @@ def _encode_tiles(tiles: list[bytes]) -> list[bytes]:
     transforms = [""] * images
     for (i, head, _), text in zip(sides, _side_images([side for *_, side in sides]), strict=True):
         transforms[i] += head + text
-    begin = _text_bits(0x2F, 8) + _text_bits(WIDTH - 1, 14)
-    heads = [begin + _text_bits(n - 1, 14) + "0000" + t + "0" for n, t in zip(rows.tolist(), transforms, strict=True)]
-    return _entropy_code(heads, coded_r, coded_g, alphas)
+    return _entropy_code(rows, transforms, coded_r, coded_g, alphas)
 
 
-def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.ndarray], alphas: np.ndarray) -> list[bytes]:
-    """The RIFF files: what comes before the main image of each, and its pixels as red, green and one alpha."""
-    images = len(heads)
+def _entropy_code(rows: np.ndarray, transforms: list[str], coded_r: list[np.ndarray], coded_g: list[np.ndarray], alphas: np.ndarray) -> list[bytes]:
+    """The RIFF files: rows and transforms of each image, and its coded pixels as red, green and one alpha."""
+    images = len(rows)
     pixels = np.fromiter(map(len, coded_g), np.int64, images)
     owner = np.repeat(np.arange(images), pixels)
     red, green = np.concatenate(coded_r), np.concatenate(coded_g)
-    argb = (alphas[owner] << 24 | red << 16 | green << 8).astype(np.uint32)
+    pair = red.astype(np.uint16) << 8 | green
     # runs of one pixel: its first is a literal, the rest a back-reference where there are three or more
     same = np.zeros(len(green), bool)
-    same[1:] = argb[1:] == argb[:-1]
+    same[1:] = pair[1:] == pair[:-1]
     same[np.cumsum(pixels)[:-1]] = False
     begin = np.flatnonzero(~same)
     length = np.diff(np.append(begin, len(green)))
@@ -617,19 +680,20 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     at = np.flatnonzero(token)
     is_run = run[at]
     # the cache holds the last pixel of each hash: a hit is a pixel equal to the one before with its hash
-    slot = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-    order = _order(owner, slot)
+    argb = np.repeat(alphas.astype(np.uint32) << 24, pixels) | pair.astype(np.uint32) << 8
+    slot = ((argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)).astype(np.uint16)
+    place = owner.astype(np.uint16) << CACHE_BITS | slot
+    order = np.argsort(place, kind="stable")  # a radix sort
     hit = np.zeros(len(green), bool)
-    ranked, image = argb[order], owner[order]
-    again = (ranked[1:] == ranked[:-1]) & (image[1:] == image[:-1])
-    hit[order[1:]] = again
+    ranked, place = pair[order], place[order]
+    hit[order[1:]] = (ranked[1:] == ranked[:-1]) & (place[1:] == place[:-1])
     of_token = owner[at]
     is_hit = hit[at] & ~is_run
     prefix, more, extra = _prefix_of(length)
-    symbol, reds_at = green[at], red[at]
+    symbol, reds_at = green[at].astype(np.int64), red[at]
     symbol[is_run] = _LITERALS + prefix
     cached = symbol.copy()
-    cached[is_hit] = _LITERALS + _LENGTHS + slot[at][is_hit]
+    cached[is_hit] = _LITERALS + _LENGTHS + slot[at][is_hit].astype(np.int64)
     alphabet = _LITERALS + _LENGTHS + (1 << CACHE_BITS)
     literal = ~is_run
     without = _histograms(of_token, symbol, images, alphabet), _histograms(of_token[literal], reds_at[literal], images)
@@ -637,14 +701,15 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     with_ = _histograms(of_token, cached, images, alphabet), _histograms(of_token[missed], reds_at[missed], images)
     uses = _bits(with_[0]) + _bits(with_[1]) < _bits(without[0]) + _bits(without[1])
     symbol = np.where(uses[of_token], cached, symbol)
-    literal = np.where(uses[of_token], missed, literal)
+    literal = np.flatnonzero(np.where(uses[of_token], missed, literal))
     greens = _code_lengths(np.where(uses[:, None], with_[0], without[0]))
     reds = _code_lengths(np.where(uses[:, None], with_[1], without[1]))
 
     def coded(lengths: np.ndarray, which: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and their bits; a code of one symbol takes none."""
         taken = np.where((lengths > 0).sum(axis=1, keepdims=True) > 1, lengths, 0)
-        return _stream_codes(taken)[which, symbols].astype(np.uint64), taken[which, symbols]
+        both = (_stream_codes(taken) << 4 | taken).astype(np.uint32).ravel().take(which * lengths.shape[1] + symbols)
+        return (both >> 4).astype(np.uint64), (both & 15).astype(np.int64)
 
     value, bits = coded(greens, of_token, symbol)
     value[is_run] |= extra.astype(np.uint64) << bits[is_run].astype(np.uint64)
@@ -652,41 +717,32 @@ def _entropy_code(heads: list[str], coded_r: list[np.ndarray], coded_g: list[np.
     second, second_bits = coded(reds, of_token[literal], reds_at[literal])
     value[literal] |= second << bits[literal].astype(np.uint64)
     bits[literal] += second_bits
-    texts = []
-    for i, (head, g, r) in enumerate(zip(heads, greens.tolist(), reds.tolist(), strict=True)):
-        cache = "1" + _text_bits(CACHE_BITS, 4) if uses[i] else "0"
-        # blue 0, one alpha, and distance prefix 1, the pixel to the left, are codes of one symbol
-        texts.append(head + cache + "0" + _code_text(g if uses[i] else g[: _LITERALS + _LENGTHS]) + _code_text(r) + _one_symbol(0) + _one_symbol(int(alphas[i])) + _one_symbol(1))
-    return _riff(texts, of_token, value, bits)
-
-
-def _riff(heads: list[str], owner: np.ndarray, value: np.ndarray, bits: np.ndarray) -> list[bytes]:
-    """Files of a head and the values of all tokens; every image starts at a 64-bit word of one buffer."""
-    images = len(heads)
-    head_bits = np.fromiter(map(len, heads), np.int64, images)
-    data_bits = np.bincount(owner, bits, images).astype(np.int64)
-    words_of = (head_bits + data_bits + 63) // 64
-    base = 64 * (np.cumsum(words_of) - words_of)
-    before = np.cumsum(bits) - bits
-    first_token = np.searchsorted(owner, np.arange(images))
-    start = before + (base + head_bits - before[first_token])[owner]
-    words = np.zeros(int(words_of.sum()) + 2, np.uint64)
-    word, shift = start >> 6, (start & 63).astype(np.uint64)
-    groups = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    words[word[groups]] = np.add.reduceat(value << shift, groups)  # bits don't overlap: a sum is an or
-    over = np.flatnonzero(shift.astype(np.int64) + bits > 64)
-    words[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-    buffer = words.view(np.uint8)
-    out = []
-    for i, head in enumerate(heads):
-        begin = int(base[i]) // 8
-        n = int(head_bits[i] + data_bits[i] + 7) // 8
-        h = int(head[::-1], 2).to_bytes((len(head) + 7) // 8, "little")
-        buffer[begin : begin + len(h)] |= np.frombuffer(h, np.uint8)
-        stream = buffer[begin : begin + n].tobytes()
-        pad = b"\0" * (n & 1)
-        out.append(b"RIFF" + struct.pack("<I", 12 + n + len(pad)) + b"WEBPVP8L" + struct.pack("<I", n) + stream + pad)
-    return out
+    codes = _code_tokens(greens, np.where(uses, alphabet, _LITERALS + _LENGTHS)) + _code_tokens(reds, np.full(images, 256))
+    text_bits = np.fromiter(map(len, transforms), np.int64, images)
+    fixed_bits = 40 + text_bits + np.where(uses, 7, 3) + 33
+    out = Words(fixed_bits + sum(np.bincount(o, b, images) for o, _, b in [*codes, (of_token, None, bits)]).astype(np.int64))
+    out.put_one(0x2F | WIDTH - 1 << 8 | rows - 1 << 22, 40)
+    for i in np.flatnonzero(text_bits).tolist():
+        begin = int(out.at[i]) // 8  # the 40 bits before are whole bytes
+        text = _number(transforms[i]).to_bytes((len(transforms[i]) + 7) // 8, "little")
+        out.words.view(np.uint8)[begin : begin + len(text)] |= np.frombuffer(text, np.uint8)
+    out.at = out.at + text_bits
+    # no more transforms, the cache, one group of codes
+    out.put_one(np.where(uses, 2 | CACHE_BITS << 2, 0), np.where(uses, 7, 3))
+    for part in codes:
+        out.put(*part)
+    # blue 0, one alpha, and distance prefix 1, the pixel to the left, are codes of one symbol
+    out.put_one(5 | (5 | alphas << 3) << 11 | (5 | 1 << 3) << 22, 33)
+    out.put(of_token, value, bits)
+    return _riff(out)
+
+
+def _riff(out: Words) -> list[bytes]:
+    """The file of each stream."""
+    buffer, files = out.words.tobytes(), []
+    for begin, n in zip((out.begin // 8).tolist(), ((out.at - out.begin + 7) // 8).tolist(), strict=True):
+        files.append(b"RIFF" + struct.pack("<I", 12 + n + (n & 1)) + b"WEBPVP8L" + struct.pack("<I", n) + buffer[begin : begin + n] + b"\0" * (n & 1))
+    return files
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
@@ -704,152 +760,216 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
 # --- decoder of many images in step ---------------------------------------------------------------
 
 
-class Parsed:
-    """What stands before the pixels of a stream: size, transforms in their order, codes of the main image."""
-
-    def __init__(self, data: bytes):
-        bits = Bits(data)
-        self.width, self.height = _size(bits)
-        self.undo, self.inner = [], self.width
-        while bits.read(1):
-            kind = bits.read(2)
-            if kind in (0, 1):
-                block = bits.read(3) + 2
-                across = -(-self.inner >> block)
-                self.undo.append((kind, block, _planes(_read_image(bits, across, -(-self.height >> block), False), across)))
-            elif kind == 2:
-                self.undo.append((kind,))
-            else:
-                colours = bits.read(8) + 1
-                table = np.cumsum(_planes(_read_image(bits, colours, 1, False), colours)[0], axis=0) & 255
-                packed = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
-                self.undo.append((kind, self.inner, packed, table))
-                self.inner = -(-self.inner >> packed)
-        self.cache_bits = bits.read(4) if bits.read(1) else 0
-        self.groups = bits.read(1)
-        if not self.groups:
-            self.codes = [_read_lengths(bits, a) for a in (_LITERALS + _LENGTHS + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, _DISTANCES)]
-            self.first, self.pixels = bits.at, self.inner * self.height
-
-
-def _lookup(codes: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """One flat table for a code of each image: the next bits of a stream to symbol << 4 | length, and the number of bits."""
-    lengths = np.zeros((len(codes), max(map(len, codes))), np.int64)
-    for row, code in zip(lengths, codes, strict=True):
-        row[: len(code)] = code
+class Streams:
+    """The streams of a batch in one buffer, each followed by zeros; places are bits of the buffer."""
+
+    def __init__(self, streams: list[bytes]):
+        sizes = np.fromiter(map(len, streams), np.int64, len(streams)) + 8
+        raw = b"".join([s + bytes(8) for s in streams])
+        # the eight bytes from each place on, as one number
+        self.window = np.ndarray(len(raw) - 7, "<i8", raw, strides=(1,)).astype(np.int64)
+        self.at = 8 * (np.cumsum(sizes) - sizes)
+        self.limit = self.at + 8 * sizes - 63
+
+    def peek(self, at: np.ndarray) -> np.ndarray:
+        """The next 57 bits from each place on; above them stands anything."""
+        return self.window.take(at >> 3) >> (at & 7)
+
+
+def _ended(at: np.ndarray, limit: np.ndarray) -> None:
+    if (at >= limit).any():
+        raise ValueError("a stream ends early")
+
+
+#: What a symbol of a code for code lengths stands for: least number of repeats, and bits that add to it.
+_LEAST, _MORE = np.array([1] * 16 + [3, 3, 11]), np.array([0] * 16 + [2, 3, 7])
+
+
+def _read_codes(s: Streams, at: np.ndarray, limit: np.ndarray, alphabets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths of one prefix code from each place on, a row each, and where they end; one token of each at a time."""
+    lengths = np.zeros((len(at), int(alphabets.max())), np.uint8)
+    look, at = s.peek(at), at.copy()
+    plain = np.flatnonzero(look & 1)  # one or two symbols, as they are
+    if len(plain):
+        own = look[plain]
+        wide, two = np.where(own & 4, 8, 1), own >> 1 & 1
+        first = own >> 3 & ((1 << wide) - 1)
+        second = np.where(two, own >> (3 + wide) & 255, first)
+        if (np.maximum(first, second) >= alphabets[plain]).any():
+            raise ValueError("a code has a symbol outside its alphabet")
+        lengths[plain, first] = lengths[plain, second] = 1
+        at[plain] += 3 + wide + 8 * two
+    lane = np.flatnonzero(~look & 1)
+    if len(lane):
+        number = 4 + (look[lane] >> 1 & 15)
+        place = at[lane] + 5
+        look = s.peek(np.minimum(place, limit[lane]))
+        own = np.zeros((len(lane), 19), np.uint8)
+        for k, symbol in enumerate(_LENGTH_ORDER):
+            own[:, symbol] = np.where(k < number, look >> 3 * k & 7, 0)
+        place = np.minimum(place + 3 * number, limit[lane])
+        table, most = _lookup(own)
+        look = s.peek(place)
+        wide = 2 + 2 * (look >> 1 & 7)
+        fewer = look & 1 == 1
+        left = np.where(fewer, 2 + (look >> 4 & ((1 << wide) - 1)), alphabets[lane])
+        place += np.where(fewer, 4 + wide, 1)
+        row, size, end = np.arange(len(lane)) << most, alphabets[lane], limit[lane]
+        filled, previous, mask = np.zeros(len(lane), np.int64), np.full(len(lane), 8), (1 << most) - 1
+        while len(lane):
+            place = np.minimum(place, end)
+            look = s.peek(place)
+            entry = table.take(row + (look & mask)).astype(np.int64)
+            symbol, used = entry >> 4, entry & 15
+            value, repeat = symbol, 1
+            if (symbol > 15).any():
+                more = _MORE.take(symbol)
+                repeat = _LEAST.take(symbol) + (look >> used & ((1 << more) - 1))
+                used += more
+                value = np.where(symbol == 16, previous, np.where(symbol > 16, 0, symbol))
+                for i in np.flatnonzero(symbol == 16).tolist():
+                    lengths[lane[i], filled[i] : filled[i] + repeat[i]] = value[i]
+            if (filled + repeat > size).any():
+                raise ValueError("too many code lengths")
+            single = np.flatnonzero((symbol > 0) & (symbol < 16))
+            lengths[lane[single], filled[single]] = symbol[single]
+            previous[single] = symbol[single]
+            filled, place, left = filled + repeat, place + used, left - 1
+            open_ = (filled < size) & (left > 0)
+            if not open_.all():
+                at[lane] = place
+                lane, row, size, end, filled, previous, place, left = (x[open_] for x in (lane, row, size, end, filled, previous, place, left))
+    at = np.minimum(at, limit)
+    _ended(at, limit)
+    return lengths, at
+
+
+def _lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """One flat table for the codes of all rows: the next bits of a stream to symbol << 4 | length, and the number of bits."""
     row, symbol = np.nonzero(lengths)
-    size = lengths[row, symbol]
-    size[(np.count_nonzero(lengths, axis=1) == 1)[row]] = 0  # a code of one symbol takes no bits
+    size = lengths[row, symbol].astype(np.int64)
+    size[(np.bincount(row, minlength=len(lengths)) == 1)[row]] = 0  # a code of one symbol takes no bits
     longest = int(size.max(initial=0))
-    space = np.bincount(row, 1 << (longest - size), len(codes))
+    space = np.bincount(row, 1 << (longest - size), len(lengths))
     if (space != 1 << longest).any():
         raise ValueError("a prefix code is not complete")
-    order = np.lexsort((symbol, size, row))
-    tables = np.repeat((symbol[order] << 4 | size[order]).astype(np.uint16), 1 << (longest - size[order])).reshape(len(codes), 1 << longest)
-    return np.ascontiguousarray(tables[:, _REVERSED[: 1 << longest] >> (_MAX_CODE - longest)]).ravel(), longest
+    order = np.argsort(row << 4 | size, kind="stable")
+    size = size[order]
+    tables = np.repeat((symbol[order] << 4 | size).astype(np.uint16), 1 << (longest - size)).reshape(len(lengths), 1 << longest)
+    return tables.take(_REVERSED[: 1 << longest] >> (_MAX_CODE - longest), axis=1).ravel(), longest
 
 
-def _decode_in_step(streams: list[bytes], heads: list[Parsed]) -> list[np.ndarray]:
-    """The coded pixels (ARGB) of each stream: step k makes pixel k of every image that has one.
+def _read_pixels(s: Streams, at: np.ndarray, limit: np.ndarray, width: np.ndarray, height: np.ndarray, cache_bits: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The coded pixels (ARGB) of an image of one group from each place on, and where they end; one token of each at a time.
 
-    A token is a literal, a pixel of the cache, or a back-reference, which then gives its pixels one a step.
+    A token is a literal, a pixel of the cache, or a back-reference.
     """
-    order = sorted(range(len(heads)), key=lambda i: -heads[i].pixels)
-    heads, streams = [heads[i] for i in order], [streams[i] for i in order]
-    count = len(heads)
-    pixels = np.array([h.pixels for h in heads], np.int64)
-    width = np.array([h.inner for h in heads], np.int64)
-    (greens, gb), (reds, rb), (blues, bb), (alphas, ab), (distances, db) = (_lookup([h.codes[c] for h in heads]) for c in range(5))
-    sizes = np.fromiter(map(len, streams), np.int64, count) + 8
-    starts = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(s + bytes(8) for s in streams) + bytes(16), np.uint8)
-    window = np.zeros(len(raw), np.uint64)
-    for k in range(8):  # the eight bytes from each place on, as one number
-        window[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
-    at, limit = 8 * starts + [h.first for h in heads], 8 * (starts + sizes) - 63
-    cache_bits = max(h.cache_bits for h in heads)
-    shift = np.array([32 - (h.cache_bits or cache_bits or 1) for h in heads], np.uint32)
-    cache = np.zeros(count << cache_bits, np.uint32)
+    count, codes = len(at), []
+    for size in (_LITERALS + _LENGTHS + np.where(cache_bits, 1 << cache_bits, 0), 256, 256, 256, _DISTANCES):
+        lengths, at = _read_codes(s, at, limit, np.broadcast_to(size, count))
+        codes.append(_lookup(lengths))
+    (greens, gb), (reds, rb), (blues, bb), (alphas, ab), (distances, db) = codes
+    pixels = width * height
+    out = np.zeros(int(pixels.sum()), np.uint32)
+    end = np.cumsum(pixels)
+    begin = to = end - pixels
+    most = int(cache_bits.max())
+    cache = np.zeros(count << most, np.uint32)
     # blue and alpha where all images have one value each
-    fixed = np.zeros(count, np.int64)
-    varied = []
+    fixed, varied = np.zeros(count, np.int64), []
     for table, nb, up in ((blues, bb, 0), (alphas, ab, 24)):
         if nb:
             varied.append((table, nb, up))
         else:
             fixed |= (table.astype(np.int64) >> 4) << up
-    lanes, left, back = np.arange(count), np.zeros(count, np.int64), np.ones(count, np.int64)
-    out = np.zeros((int(pixels[0]), count), np.uint32)
-    live = np.searchsorted(-pixels, -np.arange(int(pixels[0])), side="left")  # images with more than k pixels
-    mask = lambda n: np.uint64((1 << n) - 1)
-    peek = lambda a: window[a >> 3] >> (a & 7).astype(np.uint64)
-    copying = False
-    for k, n in enumerate(live.tolist()):
-        own = np.flatnonzero(left[:n] == 0) if copying else lanes[:n]
-        made = np.zeros(n, np.uint32)
-        if len(own):
-            a = at[own] if copying else at[:n]
-            w = peek(a)
-            entry = greens[(own << gb) + (w & mask(gb)).astype(np.int64)].astype(np.int64)
-            symbol, a = entry >> 4, a + (entry & 15)
-            literal = np.flatnonzero(symbol < _LITERALS)
-            if len(literal):
-                some = len(literal) < len(own)
-                lane, place = (own[literal], a[literal]) if some else (own, a)
-                w = peek(place)
-                er = reds[(lane << rb) + (w & mask(rb)).astype(np.int64)].astype(np.int64)
-                place = place + (er & 15)
-                pixel = (er >> 4) << 16 | (symbol[literal] if some else symbol) << 8 | fixed[lane]
-                for table, nb, up in varied:
-                    e = table[(lane << nb) + (peek(place) & mask(nb)).astype(np.int64)].astype(np.int64)
-                    pixel |= (e >> 4) << up
-                    place = place + (e & 15)
-                made[lane] = pixel
-                if some:
-                    a[literal] = place
-                else:
-                    a = place
-            if len(literal) < len(own):
-                cached = np.flatnonzero(symbol >= _LITERALS + _LENGTHS)
-                made[own[cached]] = cache[(own[cached] << cache_bits) + symbol[cached] - _LITERALS - _LENGTHS]
-                runs = np.flatnonzero((symbol >= _LITERALS) & (symbol < _LITERALS + _LENGTHS))
-                if len(runs):
-                    lane, place = own[runs], a[runs]
-                    length, place = _values(symbol[runs] - _LITERALS, place, peek)
-                    e = distances[(lane << db) + (peek(place) & mask(db)).astype(np.int64)].astype(np.int64)
-                    code, a[runs] = _values(e >> 4, place + (e & 15), peek)
-                    near = _NEAR_XY[np.minimum(code, 120) - 1]
-                    back[lane] = np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width[lane]))
-                    left[lane] = length
-                    if (back[lane] > k).any() or (k + length > pixels[lane]).any():
-                        raise ValueError("a back-reference leaves the image")
-                    copying = True
-            at[own] = np.minimum(a, limit[own])
-        if copying:
-            lane = np.flatnonzero(left[:n])
-            made[lane] = out[k - back[lane], lane]
-            left[lane] -= 1
-            copying = bool(left[:n].any())
-        out[k, :n] = made
-        if cache_bits:
-            cache[(lanes[:n] << cache_bits) + ((made * np.uint32(0x1E35A7BD)) >> shift[:n])] = made
-    if (at >= limit).any():
-        raise ValueError("a stream ends early")
-    flat = np.ascontiguousarray(out.T)
-    found: list[np.ndarray] = [flat[0]] * count
-    for i, row, n in zip(order, flat, pixels.tolist(), strict=True):
-        found[i] = row[:n]
-    return found
+    # where distances take no bits, as those written here
+    back = _distance(distances.astype(np.int64) >> 4, width) if not db and int(distances.max()) >> 4 < 4 else None
+    lane, ends = np.arange(count), at.copy()
+    base, second, slots = lane << gb, lane << rb, lane << most
+    shift = (32 - np.where(cache_bits, cache_bits, most or 1)).astype(np.uint32)
+    mask, red_mask = (1 << gb) - 1, (1 << rb) - 1
+    factor = np.uint32(0x1E35A7BD)
+    while len(lane):
+        look = s.peek(at)
+        entry = greens.take((look & mask) + base).astype(np.int64)
+        symbol, used = entry >> 4, entry & 15
+        look >>= used
+        entry = reds.take((look & red_mask) + second).astype(np.int64)
+        made = (entry >> 4 << 16) | (symbol << 8) | fixed
+        entry &= 15
+        used += entry
+        for table, nb, up in varied:
+            e = table.take((lane << nb) + (s.peek(np.minimum(at + used, limit)) & ((1 << nb) - 1))).astype(np.int64)
+            made |= e >> 4 << up
+            used += e & 15
+        made = made.astype(np.uint32)
+        at = at + used
+        other = np.flatnonzero(symbol >= _LITERALS)
+        runs = ()
+        if len(other):
+            code = symbol[other]
+            # no literal: only the green code was read
+            place = at[other] - used[other]
+            place = np.minimum(place + (greens.take(base[other] + (s.peek(place) & mask)) & 15), limit[other])
+            if most:
+                hit = code >= _LITERALS + _LENGTHS
+                made[other] = cache.take(slots[other] + np.where(hit, code - _LITERALS - _LENGTHS, 0))
+                runs = np.flatnonzero(~hit)
+            else:
+                runs = np.arange(len(other))
+            at[other] = place
+        if len(runs):
+            mine = other[runs]
+            length, place = _values(code[runs] - _LITERALS, place[runs], s, limit[mine])
+            if back is None:
+                e = distances.take((lane[mine] << db) + (s.peek(place) & ((1 << db) - 1))).astype(np.int64)
+                far, place = _values(e >> 4, np.minimum(place + (e & 15), limit[mine]), s, limit[mine])
+                behind = _distance(far - 1, width[mine])
+            else:
+                behind = back[lane[mine]]
+            at[mine] = place
+            start = to[mine]
+            if (behind > start - begin[mine]).any() or (start + length > end[mine]).any():
+                raise ValueError("a back-reference leaves the image")
+            made[mine] = out[start - 1]  # the cache has the pixel before already
+            to = to.copy()
+            to[mine] += length - 1
+            one = behind == 1
+            same = length[one]
+            out[np.repeat(start[one] - np.cumsum(same) + same, same) + np.arange(int(same.sum()))] = np.repeat(made[mine[one]], same)
+            for i in np.flatnonzero(~one).tolist():
+                first, n, k = int(start[i]), int(length[i]), int(behind[i])
+                for p in range(first, first + n, k):
+                    out[p : min(p + k, first + n)] = out[p - k : min(p, first + n - k)]
+                made[mine[i]] = out[first + n - 1]
+                if most:  # of pixels in one slot the last stays
+                    cache[slots[mine[i]] + (out[first : first + n] * factor >> shift[mine[i]])] = out[first : first + n]
+        out[to] = made
+        to = to + 1
+        if most:
+            cache[slots + (made * factor >> shift)] = made
+        at = np.minimum(at, limit)
+        open_ = to < end
+        if not open_.all():
+            ends[lane] = at
+            lane, at, limit, base, second, slots, shift, fixed, to, begin, end, width = (x[open_] for x in (lane, at, limit, base, second, slots, shift, fixed, to, begin, end, width))
+    return np.split(out, np.cumsum(pixels)[:-1]), ends
 
 
 _NEAR_XY = np.array(_NEAR, np.int64)
 
 
-def _values(prefix: np.ndarray, at: np.ndarray, peek) -> tuple[np.ndarray, np.ndarray]:
+def _distance(code: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Pixels back that distance codes, counted from 0, stand for."""
+    near = _NEAR_XY[np.minimum(code, 119)]
+    return np.where(code > 119, code - 119, np.maximum(1, near[:, 0] + near[:, 1] * width))
+
+
+def _values(prefix: np.ndarray, at: np.ndarray, s: Streams, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of length or distance prefixes, and where their extra bits end."""
     more = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-    extra = peek(at).astype(np.int64) & ((1 << more) - 1)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << more) + extra + 1), at + more
+    extra = s.peek(at) & ((1 << more) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << more) + extra + 1), np.minimum(at + more, limit)
 
 
 def _invert_predictors(images: list[np.ndarray], blocks: list[int], modes: list[np.ndarray]) -> list[np.ndarray]:
@@ -879,10 +999,8 @@ def _invert_predictors(images: list[np.ndarray], blocks: list[int], modes: list[
     return [o[: len(im)] for o, im in zip(out, images, strict=True)]
 
 
-def _undone(found: list[np.ndarray], heads: list[Parsed]) -> list[np.ndarray]:
-    """(height, width, 4) of alpha, red, green, blue of each image, its transforms inverted, predictors of all images together."""
-    images = [_planes(p, h.inner) for p, h in zip(found, heads, strict=True)]
-    left = [list(h.undo) for h in heads]
+def _undone(images: list[np.ndarray], left: list[list[tuple]]) -> list[np.ndarray]:
+    """The images with their transforms inverted, predictors of all images together."""
     while any(left):
         waiting: dict[int, list[int]] = {}
         for i, steps in enumerate(left):
@@ -902,17 +1020,68 @@ def _undone(found: list[np.ndarray], heads: list[Parsed]) -> list[np.ndarray]:
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """(height, width, 4) uint8 of alpha, red, green, blue of each VP8L stream."""
-    heads = [Parsed(s) for s in streams]
-    out: list[np.ndarray | None] = [decode_stream(s) if h.groups else None for s, h in zip(streams, heads, strict=True)]
-    rest = [i for i, image in enumerate(out) if image is None]
-    if rest:
-        own = [heads[i] for i in rest]
-        INVERTED["colour cache"] += sum(h.cache_bits > 0 for h in own)
-        for i, image in zip(rest, _undone(_decode_in_step([streams[i] for i in rest], own), own), strict=True):
-            out[i] = image.astype(np.uint8)
+    if not streams:
+        return []
+    s = Streams(streams)
+    at, limit = s.at.copy(), s.limit
+    look = s.peek(at)
+    if (look & 255 != 0x2F).any():
+        raise ValueError("not a VP8L stream")
+    if (look >> 37 & 7).any():
+        raise ValueError("unknown version")
+    width, height = (look >> 8 & 0x3FFF) + 1, (look >> 22 & 0x3FFF) + 1
+    undo: list[list[tuple]] = [[] for _ in streams]
+    inner, open_ = width.copy(), np.arange(len(streams))
+    at += 40
+    while len(open_):  # the next transform of each stream that has one
+        _ended(at, limit)
+        look = s.peek(at[open_])
+        at[open_] += 1
+        open_, look = open_[look & 1 == 1], look[look & 1 == 1]
+        kind, of = look >> 1 & 3, look >> 3
+        at[open_] += np.array([5, 5, 2, 10])[kind]
+        for i in open_[kind == 2].tolist():
+            undo[i].append((2,))
+        sided = kind != 2
+        own, kinds, of = open_[sided], kind[sided], of[sided]
+        if len(own):
+            block = (of & 7) + 2
+            across = np.where(kinds == 3, (of & 255) + 1, -(-inner[own] >> block))
+            down = np.where(kinds == 3, 1, -(-height[own] >> block))
+            cache_bits = _read_cache_bits(s, at, limit, own)
+            sides, at[own] = _read_pixels(s, at[own], limit[own], across, down, cache_bits)
+            for i, k, b, n, side in zip(own.tolist(), kinds.tolist(), block.tolist(), across.tolist(), sides, strict=True):
+                if k != 3:
+                    undo[i].append((k, b, _planes(side, n)))
+                    continue
+                packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                undo[i].append((k, int(inner[i]), packed, np.cumsum(_planes(side, n)[0], axis=0) & 255))
+                inner[i] = -(-inner[i] >> packed)
+    cache_bits = _read_cache_bits(s, at, limit, np.arange(len(streams)))
+    grouped = s.peek(at) & 1 == 1
+    at += 1
+    out: list[np.ndarray | None] = [decode_stream(data) if g else None for data, g in zip(streams, grouped.tolist(), strict=True)]
+    rest = np.flatnonzero(~grouped)
+    if len(rest):
+        INVERTED["colour cache"] += int((cache_bits[rest] > 0).sum())
+        found, ends = _read_pixels(s, at[rest], limit[rest], inner[rest], height[rest], cache_bits[rest])
+        _ended(ends, limit[rest])
+        # without transforms the bytes of a pixel are those of the image
+        images = [_planes(p, n) if undo[i] else p.astype(">u4").view(np.uint8).reshape(-1, n, 4) for i, p, n in zip(rest.tolist(), found, inner[rest].tolist(), strict=True)]
+        for i, image in zip(rest.tolist(), _undone(images, [undo[i] for i in rest.tolist()]), strict=True):
+            out[i] = image.astype(np.uint8, copy=False)
     return out
 
 
+def _read_cache_bits(s: Streams, at: np.ndarray, limit: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Bits of the colour cache of the images that start at ``at[own]``, which moves behind them."""
+    look = s.peek(np.minimum(at[own], limit[own]))
+    has = look & 1
+    at[own] += 1 + 4 * has
+    _ended(at[own], limit[own])
+    return np.where(has, look >> 1 & 15, 0)
+
+
 def decode_media(media: list[bytes]) -> list[np.ndarray]:
     """The pixel array (rows, 64) of 8-bit samples of each media value, its images one below another."""
     owner, streams = [], []
@@ -939,13 +1108,13 @@ def to_payload(data: bytes) -> bytes:
 def feature(samples: np.ndarray) -> str:
     """Rows, sum, distinct samples, and one bit for each pair of neighbouring columns: whether the sum rises."""
     columns = samples.sum(axis=0, dtype=np.int64)
-    rises = "".join("1" if b > a else "0" for a, b in zip(columns[:-1].tolist(), columns[1:].tolist(), strict=True))
+    rises = np.packbits(np.diff(columns, prepend=columns[0]) > 0).tobytes().hex()
     distinct = int(np.count_nonzero(np.bincount(samples.ravel(), minlength=256)))
-    return f"{len(samples)}:{int(columns.sum())}:{distinct}:{int('0' + rises, 2):016x}"
+    return f"{len(samples)}:{int(columns.sum())}:{distinct}:{rises}"
 
 
-#: Payload bytes of one numpy batch: bounds a worker's memory.
-BATCH_BYTES = 3_200_000
+#: Payload bytes that are decoded in step: bounds a worker's memory.
+BATCH_BYTES = 6_400_000
 
 
 def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import sys
 import time
 import zlib
 from collections import Counter
@@ -640,6 +641,73 @@ def test_decoder_cross_colour_and_green():
     assert (a, r, g, b) == (255, red, 10, blue)
 
 
+def test_media_share_the_calls_of_a_batch():
+    """CPU seconds of op8_media_columns: images are written and read together, not bit by bit or code by code of each."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(900)]
+    payloads = [webp.to_payload(" ".join(rng.choices(words, k=170)).encode()) for _ in range(600)]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        images = webp.decode_media(webp.encode_payloads(payloads))
+    finally:
+        sys.setprofile(None)
+    assert [im.tobytes() for im in images] == payloads
+    assert calls["call"] + calls["c_call"] < 150 * len(payloads)
+
+
+def test_media_bytes_stay_the_same():
+    """Of prose, a palette, repeats at a row's period and noise: digests of what the encoder wrote one image at a time."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abc de\n", k=n)).encode() for n in (0, 5, 700, 9000)] + [bytes(rng.choices(b"ab", k=2000)), b"A line of sixty-four characters, over and over, and then again!\n" * 90]
+    texts += [bytes((31 * i + (i >> 6) * 7 + rng.randrange(2)) & 255 for i in range(12000)), rng.randbytes(5000), b"".join(rng.choices([rng.randbytes(2) for _ in range(16)], k=1500))]
+    media = b"".join(webp.encode_payloads([webp.to_payload(t) for t in texts]))
+    assert hashlib.sha256(media).hexdigest() == "f550546644d7c5f03a21692b4b8e9a08de10a536e2c08b0bba37d0b34940ae9a"
+
+
+def test_decoders_agree_on_back_references():
+    """Copies from near and far, with colour caches of several sizes and none, read together."""
+    rng, streams = random.Random(3), []
+    for bits in (0, 1, 3, 6):
+        w = Writer()
+        w.head(12, 40)
+        w.put(0, 1)
+        w.put(1 if bits else 0, 1)
+        w.put(bits, 4 if bits else 0)
+        w.put(0, 1)
+        # lengths of 2 and of 9 to 12; distances of a row and of 9 to 72 pixels
+        green = [7, 9, 200, 255, 257, 262] + ([280, 281] if bits else [11, 12])
+        w.lengths([3 if s in green else 0 for s in range(280 + (1 << bits if bits else 0))])
+        for s in ((4, 90), (0,), (255,), (0, 14)):
+            w.symbols(*s)
+        at, ranks = 0, {s: f"{k:03b}" for k, s in enumerate(sorted(green))}
+        while at < 480:
+            s, more, far, extra = rng.choice(green), rng.randrange(4), rng.randrange(2), rng.randrange(64)
+            length = {257: 2, 262: 9 + more}.get(s, 1)
+            if s in (257, 262) and (at < (9 + extra if far else 12) or at + length > 480):
+                continue
+            w.bits += ranks[s]
+            if s < 256:
+                w.put(rng.randrange(2), 1)
+            elif s < 280:
+                w.put(more, 2 if s == 262 else 0)
+                w.put(far, 1)
+                w.put(extra, 6 if far else 0)
+            at += length
+        streams.append(webp._chunk(w.done())[0])
+    for one, together in zip(map(webp.decode_stream, streams), webp.decode_streams(streams), strict=True):
+        assert (one == together).all() and len(np.unique(one[..., 2])) > 3
+
+
+def test_symbols_outside_an_alphabet_are_refused():
+    w = Writer()
+    w.head(2, 2)
+    w.put(0, 3)
+    plain_codes(w, (5,), dist=(40,))
+    with pytest.raises(ValueError):
+        webp.decode_media([w.done()])
+
+
 def test_bad_media_are_refused():
     with pytest.raises(ValueError):
         webp.decode_image(b"RIFF" + b"\0" * 30)
